@@ -150,17 +150,17 @@ def _join_marks(rows: DataFrame, marks: DataFrame, strata: list[str]) -> DataFra
 
 
 def _ranked_step(
-    rows: DataFrame, order: SampleOrder, steps: Steps, strata: list[str]
+    rows: DataFrame, order: SampleOrder, steps: Steps, strata: list[str], past_cap: bool
 ) -> DataFrame:
     """``step`` of the rows of cut buckets, from their rank inside the bucket."""
     inside = Window.partitionBy(*strata, "bucket").orderBy(*order.ranking())
     total = F.col("total_rows")
-    return (
+    ranked = (
         rows.withColumn("_rank", F.col("rows_before") + F.row_number().over(inside))
         .withColumn("step", steps.before(F.col("_rank"), total) + 1)
-        .where(F.col("step") <= steps.count(total))
         .drop("_rank")
     )
+    return ranked if past_cap else ranked.where(F.col("step") <= steps.count(total))
 
 
 def sample_rows(
@@ -168,11 +168,13 @@ def sample_rows(
     order: SampleOrder,
     sizes: list[int] | None = None,
     strata: str | None = None,
+    past_cap: bool = False,
 ) -> DataFrame:
     """Rows of the random prefix with the ``step`` at which each is drawn.
 
     ``sizes`` are cumulative sample sizes, per stratum if ``strata`` is given; by default the
-    ladder of the table. Reads the key columns once to count buckets, then the wanted rows.
+    ladder of the table. ``past_cap`` adds all other rows as one more step. Reads the key columns
+    once to count buckets, then the wanted rows.
     """
     groups = ["_stratum"] if strata else []
     prioritised = df.withColumn("priority", order.priority())
@@ -181,10 +183,10 @@ def sample_rows(
         prioritised = prioritised.withColumn("_stratum", F.col(strata))
     per_bucket = prioritised.groupBy(*groups, "bucket").agg(F.count(F.lit(1)).alias("sample_rows"))
     steps = Steps(tuple(sorted(set(sizes or ()))))
-    marks = _bucket_marks(per_bucket, steps, groups)
+    marks = _bucket_marks(per_bucket, steps, groups, past_cap)
     joined = _join_marks(prioritised, marks, groups)
     whole = joined.where(F.col("step").isNotNull())
-    cut = _ranked_step(joined.where(F.col("step").isNull()), order, steps, groups)
+    cut = _ranked_step(joined.where(F.col("step").isNull()), order, steps, groups, past_cap)
     return whole.unionByName(cut).select(*df.columns, "priority", "step")
 
 

@@ -1 +1,159 @@
-"""To be filled."""
+"""Streams over the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.functions.registers import precision_for
+from plumbline.operators import sketch
+from plumbline.session import scratch_path
+from plumbline.streaming import live
+from suite import sql
+from suite.registry import EVENTS_ORDER, query, table
+
+P = precision_for(0.05)
+SLOTS = 64
+
+
+def _stream(spark, sf, files: int | None = 4, per_batch: int | None = 1):
+    """The events as a stream of several files, in small batches."""
+    source = f"{sf}/events.parquet"
+    if files:
+        source = scratch_path(spark, "events")
+        table(spark, sf, "events").repartition(files, "event_id").write.parquet(source)
+    reader = spark.readStream.schema(table(spark, sf, "events").schema)
+    if per_batch:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
+    return reader.parquet(source)
+
+
+def _finished(spark, stream, complete: bool = True):
+    """Runs the stream over all data that is there, and reads what it wrote."""
+    path, checkpoint = scratch_path(spark, "live"), scratch_path(spark, "live-checkpoint")
+    start = live.start_complete if complete else live.start_append
+    start(stream, path, checkpoint).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def _zoneless(df):
+    for name in ("window_start", "window_end"):
+        df = df.withColumn(name, F.col(name).cast("timestamp_ntz"))
+    return df
+
+
+_SLOT = f"""SELECT *, CAST('0x' || substr(md5(concat_ws('|', 'slot', event_id)), 1, 8) AS BIGINT)
+              % {SLOTS} AS slot, {sql.priority(("event_id",))} AS pr FROM events"""
+
+
+@query(
+    "slot_reservoir",
+    f"""SELECT slot, event_id, user_id, event_type, value FROM (
+          SELECT *, row_number() OVER (PARTITION BY slot ORDER BY pr) AS nth FROM ({_SLOT}))
+        WHERE nth = 1""",
+)
+def slot_reservoir(spark, sf):
+    rows = _stream(spark, sf).select("event_id", "user_id", "event_type", "value")
+    return _finished(spark, live.slot_reservoir(rows, EVENTS_ORDER, SLOTS))
+
+
+_DAY = "date_trunc('day', ts)"
+
+
+@query(
+    "window_counts",
+    f"""SELECT {_DAY} AS window_start, {_DAY} + INTERVAL 1 DAY AS window_end, event_type,
+               count(*) AS rows, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total,
+               CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS mean
+        FROM events GROUP BY ALL""",
+)
+def window_counts(spark, sf):
+    timed = live.event_time(_stream(spark, sf), "ts", "1 hour")
+    totals = live.window_totals(timed, "ts", "1 day", ("event_type",), "value")
+    return _zoneless(_finished(spark, totals))
+
+
+@query(
+    "window_counts_closed",
+    f"""SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, rows
+        FROM (SELECT {_DAY} AS window_start, count(*) AS rows FROM events GROUP BY 1)
+        WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
+def window_counts_closed(spark, sf):
+    # one batch: files of a small batch would make rows of the others late
+    timed = live.event_time(_stream(spark, sf, 4, None), "ts", "1 hour")
+    return _zoneless(_finished(spark, live.window_totals(timed, "ts", "1 day"), complete=False))
+
+
+@query(
+    "window_counts_sliding",
+    """SELECT start AS window_start, start + INTERVAL 1 DAY AS window_end, count(*) AS rows
+       FROM (SELECT unnest([date_trunc('day', ts) + INTERVAL 12 HOUR * i
+                            FOR i IN range(-2, 3)]) AS start, ts FROM events)
+       WHERE start <= ts AND ts < start + INTERVAL 1 DAY GROUP BY start""",
+)
+def window_counts_sliding(spark, sf):
+    timed = live.event_time(_stream(spark, sf), "ts", "1 hour")
+    return _zoneless(_finished(spark, live.window_totals(timed, "ts", "1 day", slide="12 hours")))
+
+
+@query(
+    "session_counts",
+    """SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end,
+              count(*) AS rows
+       FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS nth
+             FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
+                                   < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events))
+       GROUP BY user_id, nth
+       HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
+def session_counts(spark, sf):
+    timed = live.event_time(_stream(spark, sf, 4, None), "ts", "1 hour")
+    sessions = live.session_totals(timed, "ts", "6 hours", ("user_id",))
+    return _zoneless(_finished(spark, sessions, complete=False))
+
+
+_HARMONIC = "CAST(coalesce(sum(pow(CAST(2 AS DOUBLE), -rnk)), 0) AS DOUBLE)"
+
+
+@query(
+    "window_distinct",
+    f"""WITH {sql.hll_registers(f"(SELECT {_DAY} AS day, user_id FROM events)", "user_id", P, by="day")}
+        SELECT day AS window_start, {sql.hll_estimate(_HARMONIC, "count(*)", P)} AS estimate
+        FROM regs GROUP BY day""",
+)
+def window_distinct(spark, sf):
+    timed = live.event_time(_stream(spark, sf), "ts", "1 hour")
+    stored = _zoneless(
+        _finished(spark, live.window_registers(timed, "ts", "1 day", "user_id", P, "md5"))
+    )
+    counted = sketch.cardinality(stored, P, ("window_start",))
+    return counted.withColumn("estimate", F.round("estimate", 6))
+
+
+@query("window_sketches")
+def window_sketches(spark, sf):
+    timed = live.event_time(_stream(spark, sf, 4, None), "ts", "1 hour")
+    sketches = live.window_sketches(timed, "ts", "1 day", "user_id")
+    return _zoneless(_finished(spark, sketches, complete=False)).drop("sketch")
+
+
+@query(
+    "live_estimates",
+    f"""WITH drawn AS (
+          SELECT {_DAY} AS g, value, row_number() OVER (PARTITION BY {_DAY}, slot ORDER BY pr) AS nth,
+                 count(*) OVER (PARTITION BY {_DAY}) AS ng FROM ({_SLOT})),
+        moments AS (
+          SELECT 1 AS it, 0 AS scanned, 0 AS total, g, ng AS pop_rows, count(*) AS n,
+                 sum(CAST(value AS DECIMAL(18,2))) AS sy,
+                 sum(CAST(value AS DECIMAL(38,4)) * CAST(value AS DECIMAL(18,2))) AS syy,
+                 count(*) AS sx
+          FROM drawn WHERE nth = 1 GROUP BY g, ng)"""
+    + sql.estimates(False)
+    + """ SELECT g AS window_start, estimate, err AS relative_error, ci_low, ci_high, sample_rows,
+                 pop_rows AS population_rows FROM est""",
+)
+def live_estimates(spark, sf):
+    timed = live.event_time(_stream(spark, sf), "ts", "1 hour")
+    samples = live.window_samples(timed, "ts", "1 day", "value", EVENTS_ORDER, SLOTS)
+    estimates = live.window_estimates(_finished(spark, samples))
+    return _zoneless(estimates).drop("window_end")

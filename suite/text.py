@@ -1 +1,153 @@
-"""To be filled."""
+"""Fields, values and intents that texts speak of."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from plumbline.operators import textmatch
+from plumbline.operators.profile import column_profile, text_cells
+from suite.registry import query, table
+
+_FIELD_TABLES = ("documents", "part")
+_COLUMNS = {
+    "documents": ("lang", "source"),
+    "part": ("p_name", "p_brand", "p_type"),
+    "conversations": ("role",),
+    "events": ("event_type",),
+}
+
+
+def _profile(spark, sf, name):
+    return column_profile(text_cells(table(spark, sf, name).select(*_COLUMNS[name])))
+
+
+def _fields(spark, sf):
+    """All described columns, numbered across their tables."""
+    parts = [
+        textmatch.described_fields(_profile(spark, sf, name), name).withColumn(
+            "position", F.col("position") + 100 * i
+        )
+        for i, name in enumerate(_COLUMNS)
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+_FIELDS_SQL = " UNION ALL ".join(
+    f"""SELECT '{column}' AS field, {100 * i + j} AS position,
+          '{column}' || ' ' || (SELECT string_agg(v, ' ' ORDER BY v) FROM (
+            SELECT DISTINCT trim({column}) AS v FROM {name} WHERE trim({column}) <> ''
+            ORDER BY v LIMIT 2)) AS description"""
+    for i, (name, columns) in enumerate(_COLUMNS.items())
+    for j, column in enumerate(columns)
+)
+
+
+def _tokens(text: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({text}), '[a-z0-9]+'))"
+
+
+_MATCH_SQL = f"""WITH fields AS ({_FIELDS_SQL}),
+  ft AS (SELECT field, position, unnest({_tokens("description")}) AS token FROM fields)"""
+
+_PICK = """
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS nth
+             FROM scored)"""
+
+
+@query(
+    "token_match",
+    _MATCH_SQL
+    + f""",
+  words AS (SELECT doc_id, unnest({_tokens("text")}) AS token FROM documents),
+  scored AS (SELECT d.doc_id, f.field, f.position, count(ft.token) AS score
+             FROM documents d CROSS JOIN fields f
+             LEFT JOIN (SELECT doc_id, ft.field, ft.token FROM words JOIN ft USING (token)) ft
+               ON ft.doc_id = d.doc_id AND ft.field = f.field
+             GROUP BY ALL),
+{_PICK}
+  SELECT doc_id, field, score FROM ranked WHERE nth = 1""",
+)
+def token_match(spark, sf):
+    documents = table(spark, sf, "documents")
+    return textmatch.best_field(documents, "text", ["doc_id"], _fields(spark, sf))
+
+
+@query(
+    "token_match_grouped",
+    _MATCH_SQL
+    + f""",
+  marked AS (SELECT doc_id, lower(text) AS t FROM documents WHERE lower(text) LIKE '% by %'),
+  pieces AS (SELECT doc_id, {_tokens("t")} AS everything,
+                    {_tokens("string_split(t, ' by ')[-1]")} AS after FROM marked),
+  words AS (SELECT doc_id, unnest(everything) AS token, after FROM pieces),
+  scored AS (SELECT doc_id, field, position,
+               CAST(sum(CASE WHEN list_contains(after, token) THEN 4 ELSE 1 END) AS BIGINT) AS score
+             FROM words JOIN ft USING (token) GROUP BY ALL),
+{_PICK}
+  SELECT doc_id, field, score FROM ranked WHERE nth = 1""",
+)
+def token_match_grouped(spark, sf):
+    documents = table(spark, sf, "documents")
+    return textmatch.best_group_field(documents, "text", ["doc_id"], _fields(spark, sf))
+
+
+_VALUES_SQL = " UNION ALL ".join(
+    f"""SELECT '{column}' AS field, row_number() OVER (ORDER BY v) AS place, v AS value FROM (
+          SELECT DISTINCT trim({column}) AS v FROM {name} WHERE trim({column}) <> ''
+          ORDER BY v LIMIT 2)"""
+    for name, columns in _COLUMNS.items()
+    for column in columns
+)
+
+
+@query(
+    "value_mentions",
+    f"""WITH known AS ({_VALUES_SQL})
+        SELECT doc_id, field, arg_min(value, place) AS value FROM documents
+        JOIN known ON contains(lower(text), lower(value)) GROUP BY doc_id, field""",
+)
+def value_mentions(spark, sf):
+    parts = [
+        _profile(spark, sf, name).select(
+            F.col("column").alias("field"),
+            F.posexplode("examples").alias("place", "value"),
+        )
+        for name in _COLUMNS
+    ]
+    known = reduce(lambda a, b: a.unionByName(b), parts)
+    return textmatch.value_mentions(table(spark, sf, "documents"), "text", ["doc_id"], known)
+
+
+@query(
+    "value_mentions_many",
+    """WITH known AS (
+         SELECT 'word' AS field, row_number() OVER (ORDER BY w) AS place, w AS value
+         FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w
+               FROM benchmark))
+       SELECT conv_id, turn, field, arg_min(value, place) AS value FROM conversations
+       JOIN known ON contains(lower(text), value) GROUP BY conv_id, turn, field""",
+)
+def value_mentions_many(spark, sf):
+    words = (
+        table(spark, sf, "benchmark")
+        .select(F.explode(textmatch.tokens(F.col("text"))).alias("value"))
+        .distinct()
+        # words are their own order
+        .select(F.lit("word").alias("field"), F.col("value").alias("place"), "value")
+    )
+    texts = table(spark, sf, "conversations")
+    return textmatch.value_mentions(texts, "text", ["conv_id", "turn"], words)
+
+
+@query(
+    "intent_counts",
+    """SELECT intent, count(*) AS texts FROM (SELECT CASE
+         WHEN regexp_matches(lower(text), 'unique|distinct|dedup') THEN 'distinct'
+         WHEN regexp_matches(lower(text), 'average|avg|mean') THEN 'avg'
+         WHEN regexp_matches(lower(text), 'total|sum') THEN 'sum'
+         ELSE 'count' END AS intent FROM documents) GROUP BY intent""",
+)
+def intent_counts(spark, sf):
+    return textmatch.intent_counts(table(spark, sf, "documents"), "text")
