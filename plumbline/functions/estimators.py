@@ -1,19 +1,47 @@
-"""Estimators over sample sums, as column arithmetic.
+"""Estimators over sample sums, as SQL expressions for ``selectExpr``.
 
-``n`` sample rows out of ``population``; ``y`` the value (0 for NULL); ``x`` 1 for a value that
-counts towards the mean, else 0. Sampling is without replacement, hence the factor 1 - n/N.
+``n`` sample rows out of ``pop``; ``y`` the value (0 for NULL); ``x`` 1 for a value that counts
+towards the mean, else 0. Sampling is without replacement, hence the factor 1 - n/pop. Each list
+names its steps, and a later step uses the names of the earlier ones.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from statistics import NormalDist
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 #: Fixed value: estimates closer to zero than this have no meaningful relative error.
-NEAR_ZERO = 1e-9
+NEAR_ZERO = "1e-9D"
+
+#: the sums of ``operators.sampling.step_moments``, as doubles under short names
+SUMS = [
+    "cast(sample_rows as double) as n",
+    "cast(population_rows as double) as pop",
+    "cast(sum_y as double) as y",
+    "cast(sum_yy as double) as yy",
+    "cast(sum_x as double) as x",
+    "cast(sum_xx as double) as xx",
+    "cast(sum_xy as double) as xy",
+    "1 - n / nullif(pop, 0D) as unsampled",
+]
+
+#: population size times sample mean; 0 for an empty sample
+TOTAL = [
+    "y / nullif(n, 0D) as mean_y",
+    "coalesce(pop * mean_y, 0D) as estimate",
+    "greatest(0D, (yy - n * mean_y * mean_y) / nullif(n - 1, 0D)) as variance",
+    "pop * sqrt(greatest(0D, unsampled * variance / nullif(n, 0D))) as standard_error",
+    "n < 2 as blind",
+]
+
+#: sum of values over count of values; 0 when no row has a value
+MEAN = [
+    "y / nullif(x, 0D) as ratio",
+    "coalesce(ratio, 0D) as estimate",
+    "x / nullif(n, 0D) as mean_x",
+    "greatest(0D, (yy - 2 * ratio * xy + ratio * ratio * xx) / nullif(n - 1, 0D)) as variance",
+    "sqrt(greatest(0D, unsampled * variance / nullif(n * mean_x * mean_x, 0D))) as standard_error",
+    "n < 2 or x = 0 as blind",
+]
 
 
 def normal_quantile(confidence: float) -> float:
@@ -23,86 +51,18 @@ def normal_quantile(confidence: float) -> float:
     return NormalDist().inv_cdf((1 + confidence) / 2)
 
 
-@dataclass(frozen=True)
-class Moments:
-    """The six mergeable sums of a sample and the size of the population, all doubles."""
-
-    n: Column
-    y: Column
-    yy: Column
-    x: Column
-    xx: Column
-    xy: Column
-    population: Column
-
-    @classmethod
-    def named(cls) -> "Moments":
-        def double(name: str) -> Column:
-            return F.col(name).cast("double")
-
-        return cls(
-            n=double("sample_rows"),
-            y=double("sum_y"),
-            yy=double("sum_yy"),
-            x=double("sum_x"),
-            xx=double("sum_xx"),
-            xy=double("sum_xy"),
-            population=double("population_rows"),
-        )
-
-    @property
-    def unsampled_share(self) -> Column:
-        return 1 - self.n / F.nullif(self.population, F.lit(0.0))
-
-
-def _at_least_zero(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), value)
-
-
-def total_estimate(m: Moments) -> Column:
-    """N times the sample mean; 0 for an empty sample."""
-    return F.coalesce(m.population * (m.y / F.nullif(m.n, F.lit(0.0))), F.lit(0.0))
-
-
-def total_standard_error(m: Moments) -> Column:
-    mean = m.y / F.nullif(m.n, F.lit(0.0))
-    variance = _at_least_zero((m.yy - m.n * mean * mean) / F.nullif(m.n - 1, F.lit(0.0)))
-    return m.population * F.sqrt(
-        _at_least_zero(m.unsampled_share * variance / F.nullif(m.n, F.lit(0.0)))
-    )
-
-
-def mean_estimate(m: Moments) -> Column:
-    """Ratio estimator: sum of values over count of values; 0 when no row has a value."""
-    return F.coalesce(m.y / F.nullif(m.x, F.lit(0.0)), F.lit(0.0))
-
-
-def mean_standard_error(m: Moments) -> Column:
-    ratio = m.y / F.nullif(m.x, F.lit(0.0))
-    mean_x = m.x / F.nullif(m.n, F.lit(0.0))
-    residual = m.yy - 2 * ratio * m.xy + ratio * ratio * m.xx
-    variance = _at_least_zero(residual / F.nullif(m.n - 1, F.lit(0.0)))
-    return F.sqrt(
-        _at_least_zero(
-            m.unsampled_share * variance / F.nullif(m.n * mean_x * mean_x, F.lit(0.0))
-        )
-    )
-
-
-def relative_error(
-    estimate: Column, standard_error: Column, m: Moments, z: float, mean: bool
-) -> Column:
-    """Half-width of the interval over the estimate, with the cases that have no variance.
+def interval(confidence: float) -> list[str]:
+    """``relative_error``, ``ci_low`` and ``ci_high`` after ``TOTAL`` or ``MEAN``.
 
-    A full sample is exact (0). An empty one, a single row and, for a mean, a sample without
-    any value know nothing (1).
+    A full sample is exact (error 0). An empty one, a single row and, for a mean, a sample
+    without any value know nothing (error 1) and, below two rows, have no interval.
     """
-    margin = F.lit(z) * standard_error
-    knows_nothing = (m.n < 2) | (m.x == 0) if mean else (m.n < 2)
-    return (
-        F.when(m.n == m.population, F.lit(0.0))
-        .when(knows_nothing, F.lit(1.0))
-        .when(margin <= 0, F.lit(0.0))
-        .when(F.abs(estimate) <= NEAR_ZERO, F.lit(1.0))
-        .otherwise(margin / F.nullif(F.abs(estimate), F.lit(0.0)))
-    )
+    z = f"{normal_quantile(confidence)!r}D"
+    return [
+        f"case when n = pop then 0D else {z} * standard_error end as margin",
+        "case when n = pop then 0D when blind then 1D when margin <= 0 then 0D "
+        f"when abs(estimate) <= {NEAR_ZERO} then 1D "
+        "else margin / nullif(abs(estimate), 0D) end as relative_error",
+        "case when n >= 2 then estimate - margin end as ci_low",
+        "case when n >= 2 then estimate + margin end as ci_high",
+    ]

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import display
-from plumbline.functions.estimators import (
-    Moments,
-    mean_estimate,
-    mean_standard_error,
-    normal_quantile,
-    relative_error,
-    total_estimate,
-    total_standard_error,
-)
+from plumbline.functions.estimators import MEAN, SUMS, TOTAL, interval
 from plumbline.functions.order import SampleOrder
 from plumbline.operators.exact import aggregate_column
 from plumbline.operators.sampling import step_moments
@@ -23,24 +15,9 @@ from plumbline.spec import AggregateSpec
 
 def with_estimates(sums: DataFrame, spec: AggregateSpec, confidence: float) -> DataFrame:
     """Adds ``estimate``, ``relative_error``, ``ci_low`` and ``ci_high`` to sample sums."""
-    z = normal_quantile(confidence)
-    m = Moments.named()
-    mean = spec.agg == "avg"
-    estimate = mean_estimate(m) if mean else total_estimate(m)
-    spread = mean_standard_error(m) if mean else total_standard_error(m)
-    margin = F.when(m.n == m.population, F.lit(0.0)).otherwise(z * F.col("standard_error"))
-    return (
-        sums.withColumn("estimate", estimate)
-        .withColumn("standard_error", spread)
-        .withColumn(
-            "relative_error",
-            relative_error(F.col("estimate"), F.col("standard_error"), m, z, mean),
-        )
-        # no interval where the sample says nothing about the spread
-        .withColumn("ci_low", F.when(m.n >= 2, F.col("estimate") - margin))
-        .withColumn("ci_high", F.when(m.n >= 2, F.col("estimate") + margin))
-        .drop("standard_error")
-    )
+    estimator = MEAN if spec.agg == "avg" else TOTAL
+    worked = sums.selectExpr("*", *SUMS, *estimator, *interval(confidence))
+    return worked.select(*sums.columns, "estimate", "relative_error", "ci_low", "ci_high")
 
 
 def _until_met(levels: DataFrame, target_error: float) -> DataFrame:
@@ -51,22 +28,21 @@ def _until_met(levels: DataFrame, target_error: float) -> DataFrame:
     """
     if not 0 < target_error <= 0.5:
         raise ValueError("target error must lie in (0, 0.5]")
-    everything = Window.partitionBy()
-    met = F.col("overall_error") <= target_error
-    first_met = F.min(F.when(met, F.col("iteration"))).over(everything)
-    last = F.max("iteration").over(everything)
     return (
-        levels.withColumn("target_met", met)
-        .withColumn("_stop", F.coalesce(first_met, last))
-        .where(F.col("iteration") <= F.col("_stop"))
-        .withColumn("is_final", F.col("iteration") == F.col("_stop"))
-        .withColumn(
-            "stopped_reason",
-            F.when(F.col("is_final") & F.col("target_met"), "target_reached").when(
-                F.col("is_final"), "sample_cap"
-            ),
+        levels.selectExpr(
+            "*",
+            f"overall_error <= {target_error!r}D as target_met",
+            f"min(case when overall_error <= {target_error!r}D then iteration end) over () as met_at",
+            "max(iteration) over () as last",
+        )
+        .where("iteration <= coalesce(met_at, last)")
+        .selectExpr(
+            *levels.columns,
+            "target_met",
+            "iteration = coalesce(met_at, last) as is_final",
+            "case when not is_final then null when target_met then 'target_reached' "
+            "else 'sample_cap' end as stopped_reason",
         )
-        .drop("_stop")
     )
 
 
@@ -87,8 +63,7 @@ def adaptive_trace(
     if spec.agg == "count":
         return exact_count_trace(df, spec)
     levels = with_estimates(step_moments(df, spec, order), spec, confidence)
-    levels = levels.withColumn("overall_error", F.col("relative_error"))
-    return _until_met(levels, target_error).select(
+    return _until_met(levels.selectExpr("*", "relative_error as overall_error"), target_error).select(
         "iteration",
         "estimate",
         "relative_error",

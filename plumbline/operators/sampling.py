@@ -25,6 +25,8 @@ CAP_FRACTION = 0.4
 
 _LARGEST_TABLE = 1 << 60
 
+SUM_COLUMNS = ("sample_rows", "sum_y", "sum_yy", "sum_x")
+
 
 def growth_steps() -> list[int]:
     """Cumulative sample sizes before the cap is applied; about 65 for any table size."""
@@ -36,73 +38,69 @@ def growth_steps() -> list[int]:
 
 @dataclass(frozen=True)
 class Steps:
-    """Increasing sample sizes; by default the growth steps, cut off at the cap of the table."""
+    """Increasing sample sizes as SQL; by default the growth steps up to the cap of the table.
+
+    ``total`` and ``rank`` are the names of columns, or expressions.
+    """
 
     sizes: tuple[int, ...] = ()
 
-    def _cap(self, total: Column) -> Column:
-        share = F.floor(total.cast("double") * CAP_FRACTION).cast("long")
-        cap = F.greatest(F.lit(1), F.least(total, F.greatest(F.lit(MIN_CAP), share)))
-        return cap.cast("long")
+    @property
+    def _listed(self) -> str:
+        return f"array({', '.join(f'{s}L' for s in self.sizes or growth_steps())})"
 
-    def _uncapped(self) -> Column:
-        return F.expr(f"array({', '.join(f'{s}L' for s in self.sizes or growth_steps())})")
+    @staticmethod
+    def _cap(total: str) -> str:
+        share = f"cast(floor(cast({total} as double) * {CAP_FRACTION}D) as bigint)"
+        return f"greatest(1L, least({total}, greatest({MIN_CAP}L, {share})))"
 
-    def before(self, rank: Column, total: Column) -> Column:
+    def before(self, rank: str, total: str) -> str:
         """Number of steps smaller than ``rank``."""
-        smaller = F.size(F.filter(self._uncapped(), lambda s: s < rank))
+        smaller = f"size(filter({self._listed}, s -> s < {rank}))"
         if self.sizes:
             return smaller
-        return F.when(rank > self._cap(total), self.count(total)).otherwise(smaller)
+        return f"case when {rank} > {self._cap(total)} then {self.count(total)} else {smaller} end"
 
-    def count(self, total: Column) -> Column:
+    def count(self, total: str) -> str:
         if self.sizes:
-            return F.lit(len(self.sizes))
-        cap = self._cap(total)
-        return F.size(F.filter(self._uncapped(), lambda s: s < cap)) + 1
+            return str(len(self.sizes))
+        return f"size(filter({self._listed}, s -> s < {self._cap(total)})) + 1"
 
-    def array(self, total: Column) -> Column:
+    def array(self, total: str) -> str:
         if self.sizes:
-            return self._uncapped()
-        cap = self._cap(total)
-        return F.array_distinct(F.transform(self._uncapped(), lambda s: F.least(s, cap)))
+            return self._listed
+        return f"array_distinct(transform({self._listed}, s -> least(s, {self._cap(total)})))"
 
 
 def ladder(population: DataFrame) -> DataFrame:
     """Sample steps for a one-row frame with ``population_rows``."""
-    return population.select(
-        "population_rows", F.posexplode(Steps().array(F.col("population_rows")))
-    ).select(
-        (F.col("pos") + 1).alias("iteration"),
-        F.col("col").alias("sample_rows"),
-        "population_rows",
-    )
+    return population.selectExpr(
+        "population_rows", f"posexplode({Steps().array('population_rows')}) as (pos, sample_rows)"
+    ).selectExpr("pos + 1 as iteration", "sample_rows", "population_rows")
 
 
-def _values(spec: AggregateSpec) -> list[Column]:
+def value_columns(spec: AggregateSpec) -> list[str]:
     """y and x of the estimators: NULL counts as 0, and has no weight in a mean."""
-    column = F.col(spec.column)
-    if spec.scale is None:
-        number, zero = column.cast("double"), F.lit(0.0)
-    else:
-        number = column.cast(f"decimal(18,{spec.scale})")
-        zero = F.lit(0).cast(f"decimal(18,{spec.scale})")
-    weight = F.lit(1) if spec.agg == "sum" else F.when(column.isNull(), 0).otherwise(1)
-    return [F.coalesce(number, zero).alias("y"), weight.cast("long").alias("x")]
+    kind = "double" if spec.scale is None else f"decimal(18,{spec.scale})"
+    column = f"`{spec.column}`"
+    weight = "1L" if spec.agg == "sum" else f"if({column} is null, 0L, 1L)"
+    return [f"coalesce(cast({column} as {kind}), cast(0 as {kind})) as y", f"{weight} as x"]
 
 
-def _first_sums() -> list[Column]:
-    # x is 0 or 1 and y is 0 where x is 0, so the sums of x*x and x*y need no pass of their own
-    return [
-        F.count(F.lit(1)).alias("sample_rows"),
-        F.sum("y").alias("sum_y"),
-        F.sum(F.col("y") * F.col("y")).alias("sum_yy"),
-        F.sum("x").alias("sum_x"),
-    ]
+def first_sums() -> list[Column]:
+    """Sums over sample rows. x is 0 or 1, and y is 0 where x is 0, so that the sums of x*x and
+    x*y are those of x and y."""
+    return _exprs(
+        "count(1) as sample_rows", "sum(y) as sum_y", "sum(y * y) as sum_yy", "sum(x) as sum_x"
+    )
 
 
 def _merge_sums() -> list[Column]:
-    return [F.sum(c).alias(c) for c in ("sample_rows", "sum_y", "sum_yy", "sum_x")]
+    return _exprs(*[f"sum({c}) as {c}" for c in SUM_COLUMNS])
+
+
+def _exprs(*texts: str) -> list[Column]:
+    return [F.expr(t) for t in texts]
 
 
 def _bucket_marks(
@@ -113,27 +111,21 @@ def _bucket_marks(
     ``step`` is NULL for a bucket that a step boundary cuts through. Buckets past the last step
     are left out, or given the number after it if ``past_cap``.
     """
-    along = Window.partitionBy(*strata).orderBy("bucket")
-    everything = Window.partitionBy(*strata)
-    counted = (
-        per_bucket.groupBy(*strata, "bucket")
-        .agg(F.sum("sample_rows").alias("bucket_rows"))
-        .withColumn("rows_through", F.sum("bucket_rows").over(along))
-        .withColumn("rows_before", F.col("rows_through") - F.col("bucket_rows"))
-        .withColumn("total_rows", F.sum("bucket_rows").over(everything))
-    )
-    total = F.col("total_rows")
-    # sizes are whole numbers, so "size <= r" is "size < r + 1"
-    counted = counted.withColumn("begun", steps.before(F.col("rows_before") + 1, total)).withColumn(
-        "ended", steps.before(F.col("rows_through"), total)
-    )
-    kept = counted if past_cap else counted.where(F.col("begun") < steps.count(total))
-    return kept.select(
+    stratum = f"partition by {', '.join(strata)}" if strata else ""
+    counted = per_bucket.selectExpr(
         *strata,
         "bucket",
-        "rows_before",
-        "total_rows",
-        F.when(F.col("begun") == F.col("ended"), F.col("begun") + 1).alias("step"),
+        f"sum(sample_rows) over ({stratum} order by bucket) as rows_through",
+        "rows_through - sample_rows as rows_before",
+        f"sum(sample_rows) over ({stratum}) as total_rows",
+    )
+    # sizes are whole numbers, so "size <= r" is "size < r + 1"
+    begun = steps.before("rows_before + 1", "total_rows")
+    ended = steps.before("rows_through", "total_rows")
+    placed = counted.selectExpr("*", f"{begun} as begun", f"{ended} as ended")
+    kept = placed if past_cap else placed.where(f"begun < {steps.count('total_rows')}")
+    return kept.selectExpr(
+        *strata, "bucket", "rows_before", "total_rows", "if(begun = ended, begun + 1, null) as step"
     )
 
 
@@ -154,13 +146,12 @@ def _ranked_step(
 ) -> DataFrame:
     """``step`` of the rows of cut buckets, from their rank inside the bucket."""
     inside = Window.partitionBy(*strata, "bucket").orderBy(*order.ranking())
-    total = F.col("total_rows")
     ranked = (
         rows.withColumn("_rank", F.col("rows_before") + F.row_number().over(inside))
-        .withColumn("step", steps.before(F.col("_rank"), total) + 1)
+        .withColumn("step", F.expr(f"{steps.before('_rank', 'total_rows')} + 1"))
         .drop("_rank")
     )
-    return ranked if past_cap else ranked.where(F.col("step") <= steps.count(total))
+    return ranked if past_cap else ranked.where(f"step <= {steps.count('total_rows')}")
 
 
 def sample_rows(
@@ -218,106 +209,99 @@ def step_moments(df: DataFrame, spec: AggregateSpec, order: SampleOrder) -> Data
     per_bucket = keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias("sample_rows"))
     steps = Steps()
     marks = _bucket_marks(per_bucket, steps, [], past_cap=bool(groups))
-    rows = keyed.select(
-        *[F.col(spec.group_by).alias(g) for g in groups], "priority", bucket, *_values(spec)
-    ).join(F.broadcast(marks), "bucket")
+    group = [f"`{spec.group_by}` as group_value"] if groups else []
+    rows = (
+        keyed.select("*", bucket)
+        .selectExpr(*group, "priority", "bucket", *value_columns(spec))
+        .join(F.broadcast(marks), "bucket")
+    )
 
     # Rows of a cut bucket keep their place in the order, all others only their step. Equal rows
     # fold into one line with a count, so a repeated row makes no large group.
-    is_cut = F.col("step").isNull()
     place = ("bucket", "rows_before", "priority", "y", "x")
     folded = rows.groupBy(
-        *groups, "step", "total_rows", *[F.when(is_cut, F.col(c)).alias(f"cut_{c}") for c in place]
-    ).agg(*_first_sums())
-    along = (
-        Window.partitionBy("cut_bucket", "step", *[F.when(~is_cut, F.col(g)) for g in groups])
-        .orderBy("cut_priority", "cut_y", "cut_x", *groups)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        *groups,
+        "step",
+        "total_rows",
+        *_exprs(*[f"if(step is null, {c}, null) as cut_{c}" for c in place]),
+    ).agg(*first_sums())
+    apart = ", ".join(["cut_bucket", "step", *[f"if(step is null, null, {g})" for g in groups]])
+    along = ", ".join(["cut_priority", "cut_y", "cut_x", *groups])
+    placed = folded.selectExpr(
+        "*",
+        "cut_rows_before + sum(sample_rows) over (partition by " + apart + " order by " + along
+        + " rows between unbounded preceding and current row) as ends",
     )
-    ends = F.col("cut_rows_before") + F.sum("sample_rows").over(along)
-    total = F.col("total_rows")
-    share = _shares(steps, F.col("ends"), F.col("sample_rows"), total)
-    taken = F.col("share.taken")
+    shared = placed.selectExpr("*", f"explode({_shares(steps)}) as share")
     lines = (
-        folded.withColumn("ends", ends)
-        .withColumn("share", F.explode(share))
-        .select(
+        shared.selectExpr(
             *groups,
-            F.col("share.step").alias("step"),
+            "share.step as step",
             "total_rows",
-            taken.alias("sample_rows"),
-            _scaled("sum_y", F.col("cut_y") * taken, spec),
-            _scaled("sum_yy", F.col("cut_y") * F.col("cut_y") * taken, spec),
-            F.coalesce(F.col("cut_x") * taken, F.col("sum_x")).alias("sum_x"),
+            "share.taken as sample_rows",
+            _scaled("sum_y", "cut_y * share.taken", spec),
+            _scaled("sum_yy", "cut_y * cut_y * share.taken", spec),
+            "coalesce(cut_x * share.taken, sum_x) as sum_x",
         )
         .groupBy(*groups, "step")
         .agg(F.max("total_rows").alias("total_rows"), *_merge_sums())
     )
     if not groups:
         # an empty table still has one step, of no rows
-        nothing = df.sparkSession.range(1).select(
-            F.lit(1).alias("step"),
-            *[F.lit(0).alias(c) for c in ("total_rows", "sample_rows", "sum_y", "sum_yy", "sum_x")],
+        nothing = df.sparkSession.range(1).selectExpr(
+            "1 as step", *[f"0L as {c}" for c in ("total_rows", *SUM_COLUMNS)]
         )
         lines = lines.unionByName(nothing)
 
     # every line counts towards its own step and all later ones
-    n_steps = steps.count(F.max("total_rows").over(Window.partitionBy()))
-    at = lines.withColumn("n_steps", n_steps).select(
-        "*", F.explode(F.sequence(F.lit(1), F.col("n_steps"))).alias("iteration")
-    )
-    seen = F.col("iteration") >= F.col("step")
+    at = lines.selectExpr("*", f"explode(sequence(1, {steps.count('total_rows')})) as iteration")
     sums = at.groupBy("iteration", *groups).agg(
-        F.max("total_rows").alias("total_rows"),
-        *[
-            F.coalesce(F.sum(F.when(seen, F.col(c))), F.lit(0)).alias(c)
-            for c in ("sample_rows", "sum_y", "sum_yy", "sum_x")
-        ],
-        F.sum("sample_rows").alias("population_rows"),
+        *_exprs(
+            "max(total_rows) as total_rows",
+            *[
+                f"coalesce(sum(if(iteration >= step, {c}, null)), 0) as {c}"
+                for c in SUM_COLUMNS
+            ],
+            "sum(sample_rows) as population_rows",
+        )
     )
-    size = F.element_at(steps.array(F.col("total_rows")), F.col("iteration"))
-    return sums.select(
+    size = f"element_at({steps.array('total_rows')}, iteration)"
+    return sums.selectExpr(
         "iteration",
-        F.least(size, F.col("total_rows")).alias("scanned_rows"),
+        f"least({size}, total_rows) as scanned_rows",
         "total_rows",
         *groups,
-        "sample_rows",
-        "sum_y",
-        "sum_yy",
-        "sum_x",
-        F.col("sum_x").alias("sum_xx"),
-        F.col("sum_y").alias("sum_xy"),
-        F.col("population_rows" if groups else "total_rows").alias("population_rows"),
+        *SUM_COLUMNS,
+        "sum_x as sum_xx",
+        "sum_y as sum_xy",
+        f"{'population_rows' if groups else 'total_rows'} as population_rows",
     )
 
 
-def _shares(steps: Steps, ends: Column, rows: Column, total: Column) -> Column:
-    """Steps that take part of ``rows`` equal rows, the last of them ranked ``ends``.
+def _shares(steps: Steps) -> str:
+    """Steps that take part of ``sample_rows`` equal rows, the last of them ranked ``ends``.
 
     Nearly always one step takes them all. Rows past the last step go to one more step after it.
     """
-    begins = ends - rows
-    known = F.coalesce(F.col("step"), steps.before(ends, total) + 1)
-    undivided = F.col("step").isNotNull() | (
-        steps.before(begins + 1, total) == steps.before(ends, total)
+    first = steps.before("(ends - sample_rows + 1)", "total_rows")
+    last = steps.before("ends", "total_rows")
+    sizes = steps.array("total_rows")
+    spans = (
+        f"transform(array_append({sizes}, ends), (high, i) -> named_struct('step', i + 1, 'taken', "
+        f"least(high, ends) - greatest(element_at(array_insert({sizes}, 1, 0L), i + 1), "
+        "ends - sample_rows)))"
     )
-    low = F.array_insert(steps.array(total), 1, F.lit(0).cast("long"))
-    high = F.array_append(steps.array(total), ends)
-    spans = F.transform(
-        F.arrays_zip(low.alias("low"), high.alias("high")),
-        lambda s, i: F.struct(
-            (i + 1).alias("step"),
-            (F.least(s["high"], ends) - F.greatest(s["low"], begins)).alias("taken"),
-        ),
+    whole = "array(named_struct('step', {step}, 'taken', sample_rows))"
+    return (
+        f"case when step is not null then {whole.format(step='step')} "
+        f"when {first} = {last} then {whole.format(step=f'{last} + 1')} "
+        f"else filter({spans}, s -> s.taken > 0) end"
     )
-    return F.when(
-        undivided, F.array(F.struct(known.alias("step"), rows.alias("taken")))
-    ).otherwise(F.filter(spans, lambda s: s["taken"] > 0))
 
 
-def _scaled(name: str, cut: Column, spec: AggregateSpec) -> Column:
+def _scaled(name: str, cut: str, spec: AggregateSpec) -> str:
     if spec.scale is None:
         kind = "double"
     else:
         kind = f"decimal(38,{spec.scale * (2 if name == 'sum_yy' else 1)})"
-    return F.coalesce(cut.cast(kind), F.col(name).cast(kind)).alias(name)
+    return f"coalesce(cast({cut} as {kind}), cast({name} as {kind})) as {name}"

@@ -11,20 +11,17 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.adaptive import with_estimates
 from plumbline.operators.method import MOST_GROUPS
-from plumbline.operators.sampling import _first_sums, _values
+from plumbline.operators.sampling import SUM_COLUMNS, first_sums, value_columns
 from plumbline.sources.layout import STEP, manifest
 from plumbline.spec import AggregateSpec
 
-_SUMS = ("sample_rows", "sum_y", "sum_yy", "sum_x")
-
-
 @dataclass
 class _Running:
     """Sums so far of one group; at most ``MOST_GROUPS`` of them live on the driver."""
 
     population: int = 0
     sums: dict[str, int | float | Decimal] = field(
-        default_factory=lambda: dict.fromkeys(_SUMS, 0)
+        default_factory=lambda: dict.fromkeys(SUM_COLUMNS, 0)
     )
 
 
@@ -60,10 +57,11 @@ def _group_sizes(layout: DataFrame, spec: AggregateSpec) -> dict:
 
 def _step_sums(layout: DataFrame, spec: AggregateSpec, step: int) -> dict:
     one = spec.projected(layout.where(F.col(STEP) == step))
-    values = one.select(*([F.col(spec.group_by)] if spec.group_by else []), *_values(spec))
-    summed = values.groupBy(*([spec.group_by] if spec.group_by else [])).agg(*_first_sums())
+    by = [spec.group_by] if spec.group_by else []
+    values = one.selectExpr(*[f"`{g}`" for g in by], *value_columns(spec))
+    summed = values.groupBy(*by).agg(*first_sums())
     return {
-        (row[spec.group_by] if spec.group_by else None): {c: row[c] or 0 for c in _SUMS}
+        (row[spec.group_by] if spec.group_by else None): {c: row[c] or 0 for c in SUM_COLUMNS}
         for row in summed.collect()
     }
 
@@ -79,7 +77,7 @@ def _estimates(
     ]
     schema = "at int, sample_rows long, sum_y double, sum_yy double, sum_x double, population_rows double"
     sums = spark.createDataFrame(rows, schema)
-    sums = sums.withColumn("sum_xx", F.col("sum_x")).withColumn("sum_xy", F.col("sum_y"))
+    sums = sums.selectExpr("*", "sum_x as sum_xx", "sum_y as sum_xy")
     labels = list(groups)
     return [
         {
