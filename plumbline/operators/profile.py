@@ -33,9 +33,26 @@ def text_cells(df: DataFrame) -> DataFrame:
     return df.select(*[cells.cell_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
 
 
-def _all(text: Column, holds: Column) -> Column:
-    # a blank cell (NULL) neither confirms nor refutes a type
-    return F.coalesce(F.every(F.when(text.isNotNull(), holds)), F.lit(False))
+# what a cell can look like, one bit each; whole numbers of three sorts
+_BOOLEAN, _WHOLE, _LONG_WHOLE, _COMPACT_DAY, _FRACTION, _DAY, _OTHER = (1 << i for i in range(7))
+_ANY_WHOLE = _WHOLE | _LONG_WHOLE | _COMPACT_DAY
+
+
+def _looks(text: Column) -> Column:
+    """The bit of a cell. Each cell is tested in order, until one form fits."""
+    whole = (
+        F.when((F.length(text) == 8) & cells.is_date(text), _COMPACT_DAY)
+        .when(F.length(text) <= 18, _WHOLE)
+        .when(text.try_cast("bigint").isNotNull(), _WHOLE)
+        .otherwise(_LONG_WHOLE)
+    )
+    return (
+        F.when(cells.is_boolean(text), _BOOLEAN)
+        .when(cells.is_integer(text), whole)
+        .when(cells.is_double(text), _FRACTION)
+        .when(cells.is_date(text), _DAY)
+        .when(text.isNotNull(), _OTHER)
+    )
 
 
 def column_profile(
@@ -48,37 +65,47 @@ def column_profile(
     each end in one row of flags per task, whatever the number of distinct values.
     """
     declared = declared or {}
-    texts = {name: cells.stripped(F.col(f"`{name}`")) for name in df.columns}
-    smallest = df.agg(
-        F.struct(*[F.min(text).alias(f"c{i}") for i, text in enumerate(texts.values())])
-    ).scalar()
-    with_smallest = df.select(
-        *[text.alias(f"c{i}") for i, text in enumerate(texts.values())], smallest.alias("least")
+    texts = [cells.stripped(F.col(f"`{name}`")) for name in df.columns]
+    smallest = df.agg(F.struct(*[F.min(text).alias(f"c{i}") for i, text in enumerate(texts)]))
+    stripped = df.select(
+        *[text.alias(f"c{i}") for i, text in enumerate(texts)], smallest.scalar().alias("least")
     )
+    flags = []
+    for i in range(len(texts)):
+        text, least = F.col(f"c{i}"), F.col(f"least.c{i}")
+        flags += [
+            F.coalesce(F.bit_or(_looks(text)), F.lit(0)).alias(f"seen{i}"),
+            F.count(text).alias(f"filled{i}"),
+            F.min(text).alias(f"first{i}"),
+            F.min(F.when(text > least, text)).alias(f"second{i}"),
+        ]
+    scanned = stripped.agg(F.count(F.lit(1)).alias("row_count"), *flags)
 
     def summary(i: int, name: str) -> Column:
-        text, least = F.col(f"c{i}"), F.col(f"least.c{i}")
+        def only(bits: int) -> Column:
+            seen = F.col(f"seen{i}")
+            return (seen != 0) & (seen.bitwiseAND(~bits) == 0)
+
+        otherwise = declared_type(declared.get(name))
         kind = (
-            F.when(F.count(text) == 0, declared_type(declared.get(name)))
-            .when(_all(text, cells.is_boolean(text)), "BOOLEAN")
-            .when(_all(text, cells.is_integer(text)), "INTEGER")
-            .when(_all(text, cells.is_double(text)), "DOUBLE")
-            .when(_all(text, cells.is_date(text)), "DATE")
-            .otherwise(declared_type(declared.get(name)))
+            F.when(only(_BOOLEAN), "BOOLEAN")
+            .when(only(_ANY_WHOLE), "INTEGER")
+            .when(only(_ANY_WHOLE | _FRACTION), "DOUBLE")
+            .when(only(_COMPACT_DAY | _DAY), "DATE")
+            .otherwise(otherwise)
         )
-        second = F.min(F.when(text > least, text))
         return F.struct(
             F.lit(i).alias("position"),
             F.lit(name).alias("column"),
             (F.lit("TEXT") if name in forced_text else kind).alias("type"),
-            _all(text, text.try_cast("bigint").isNotNull()).alias("fits_long"),
-            F.count(text).alias("filled_rows"),
-            F.count(F.lit(1)).alias("row_count"),
-            F.array_compact(F.array(F.min(text), second)).alias("examples"),
+            only(_ANY_WHOLE & ~_LONG_WHOLE).alias("fits_long"),
+            F.col(f"filled{i}").alias("filled_rows"),
+            "row_count",
+            F.array_compact(F.array(f"first{i}", f"second{i}")).alias("examples"),
         )
 
-    summaries = [summary(i, name) for i, name in enumerate(texts)]
-    return with_smallest.agg(F.array(*summaries).alias("columns")).select(F.inline("columns"))
+    summaries = [summary(i, name) for i, name in enumerate(df.columns)]
+    return scanned.select(F.inline(F.array(*summaries)))
 
 
 @dataclass(frozen=True)
@@ -92,7 +119,7 @@ class ColumnType:
         if self.type == "BOOLEAN":
             return cells.to_boolean(text)
         if self.type == "INTEGER":
-            # longer numbers keep all their digits
+            # numbers of up to 38 digits keep them all
             return text.try_cast("bigint" if self.fits_long else "decimal(38,0)")
         if self.type == "DOUBLE":
             return cells.to_double(text)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import closing
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from plumbline import AggregateSpec, Comparison
@@ -17,7 +18,6 @@ from plumbline.operators.profile import column_profile, dataset_listing, text_ce
 from plumbline.plans.progressive import progressive_trace
 from plumbline.session import scratch_path
 from plumbline.sources import delimited, layout, records, sqlite, xml
-from plumbline.sources.rows import dataset
 from suite import sql
 from suite.registry import LINEITEM_KEYS, query, table
 from suite.sampled import PRICE_SUM, lineitem
@@ -206,7 +206,8 @@ def json_lines_source(spark, sf):
         F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("price"),
         F.col("o_orderpriority").alias("priority"),
     )
-    return records.read_json_lines(spark, _written(spark, orders, "json")).typed()
+    found = records.read_json_lines(spark, _written(spark, orders, "json"))
+    return found.stored(scratch_path(spark, "cells")).typed()
 
 
 @query(
@@ -222,7 +223,8 @@ def json_documents(spark, sf):
     documents = table(spark, sf, "orders").select(
         F.concat(F.lit('{"note":"[","rows":['), rows, F.lit('],"tail":[1]}')).alias("text")
     )
-    return records.records_dataset(records.document_records(documents, "text")).typed()
+    found = records.records_dataset(records.document_records(documents, "text"))
+    return found.stored(scratch_path(spark, "cells")).typed()
 
 
 @query(
@@ -255,17 +257,20 @@ def xml_source(spark, sf):
     path = _written(
         spark, customers, "xml", rowTag="customer", rootTag="customers", attributePrefix="attr_"
     )
-    return xml.read_xml(spark, path).typed()
+    return xml.read_xml(spark, path).stored(scratch_path(spark, "cells")).typed()
 
 
 def _write_sqlite(folder: str):
-    """Writes each partition of a frame as a SQLite file of its own."""
+    """Writes each partition of a frame as a SQLite file of its own.
+
+    The file gets its name when it is whole, so a task that runs twice leaves one file.
+    """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(folder, exist_ok=True)
-        file = os.path.join(folder, f"{uuid.uuid4().hex}.db")
+        draft = os.path.join(folder, f"{uuid.uuid4().hex}.draft")
         rows = 0
-        with closing(sqlite3.connect(file)) as connection:
+        with closing(sqlite3.connect(draft)) as connection:
             connection.execute(
                 "CREATE TABLE orders ([Order Key] INTEGER, price REAL, status TEXT, note TEXT)"
             )
@@ -275,6 +280,8 @@ def _write_sqlite(folder: str):
                 )
                 rows += len(batch)
             connection.commit()
+        file = os.path.join(folder, f"part-{TaskContext.get().partitionId()}.db")
+        os.replace(draft, file)
         yield pd.DataFrame({"file": [file], "rows": [rows]})
 
     return write
@@ -286,19 +293,13 @@ def _write_sqlite(folder: str):
               CAST(NULL AS VARCHAR) AS note FROM orders""",
 )
 def sqlite_source(spark, sf):
+    # SQLite needs a folder that the executors have mounted
     folder = scratch_path(spark, "sqlite").removeprefix("file:")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     files = orders.repartition(4).mapInPandas(_write_sqlite(folder), "file string, rows long")
-    # files of tasks that ran twice are left out
-    names = [row["file"] for row in files.collect()]
-    frames = [
-        sqlite.read_sqlite(spark, name, "shop", rows_per_range=1_000)[0].text for name in names
-    ]
-    text = frames[0]
-    for other in frames[1:]:
-        text = text.unionByName(other)
-    declared = {"order_key": "INTEGER", "price": "REAL", "status": "TEXT", "note": "TEXT"}
-    return dataset("shop_orders", text, declared).typed()
+    files.agg(F.sum("rows")).collect()
+    shop = sqlite.read_sqlite(spark, f"{folder}/*.db", "shop", rows_per_range=10_000)
+    return shop[0].stored(scratch_path(spark, "cells")).typed()
 
 
 def _layout(spark, sf):
