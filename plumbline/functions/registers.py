@@ -45,12 +45,20 @@ def register_and_rank(value: Column, precision: int, method: str) -> tuple[Colum
         rest = high * (1 << (32 - precision)) + F.shiftright(low, precision)
     else:
         raise ValueError(f"unknown hash {method!r}")
-    width = 64 - precision
-    # bit length by text: a logarithm of a double can round up across a power of two
-    rank = F.when(rest == 0, width + 1).otherwise(width + 1 - F.length(F.bin(rest)))
+    rank = F.when(rest == 0, 65 - precision).otherwise(64 - precision - _highest_bit(rest))
     return index.cast("int"), rank.cast("int")
 
 
+def _highest_bit(number: Column) -> Column:
+    """Place of the highest one-bit of a positive long.
+
+    The logarithm of the nearest double can be one too high, just below a power of two.
+    """
+    guess = F.floor(F.log2(number.cast("double"))).cast("int")
+    power = F.call_function("shiftleft", F.lit(1).cast("long"), guess)
+    return guess - F.when(power > number, 1).otherwise(0)
+
+
 def estimate(harmonic_part: Column, filled: Column, precision: int) -> Column:
     """Cardinality from the sum of 2**-rank over ``filled`` non-empty registers."""
     size = 1 << precision

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.order import SampleOrder
+from plumbline.session import stored
 from plumbline.spec import AggregateSpec
 
 # First batch 512 rows, growth by 1.75, cap at 40 % of the rows but at least 2,048.
@@ -175,6 +176,9 @@ def sample_rows(
     per_bucket = prioritised.groupBy(*groups, "bucket").agg(F.count(F.lit(1)).alias("sample_rows"))
     steps = Steps(tuple(sorted(set(sizes or ()))))
     marks = _bucket_marks(per_bucket, steps, groups, past_cap)
+    if strata:
+        # as many lines as strata meet buckets: written, so that the join knows how many
+        marks = stored(marks, "marks")
     joined = _join_marks(prioritised, marks, groups)
     whole = joined.where(F.col("step").isNotNull())
     cut = _ranked_step(joined.where(F.col("step").isNull()), order, steps, groups, past_cap)
@@ -210,10 +214,13 @@ def step_moments(df: DataFrame, spec: AggregateSpec, order: SampleOrder) -> Data
     steps = Steps()
     marks = _bucket_marks(per_bucket, steps, [], past_cap=bool(groups))
     group = [f"`{spec.group_by}` as group_value"] if groups else []
+    # values are worked out after the join, which drops the rows past the cap
     rows = (
         keyed.select("*", bucket)
-        .selectExpr(*group, "priority", "bucket", *value_columns(spec))
         .join(F.broadcast(marks), "bucket")
+        .selectExpr(
+            *group, "bucket", "priority", "rows_before", "total_rows", "step", *value_columns(spec)
+        )
     )
 
     # Rows of a cut bucket keep their place in the order, all others only their step. Equal rows

@@ -21,7 +21,8 @@ GROUP_WEIGHT = 3
 #: largest field or value list that is sent to every task; longer ones are shuffled
 LARGEST_BROADCAST = 10_000
 LARGEST_INLINE = 500
-_GRAM = 4
+#: a value is looked up by its first letters, as many of these as it has
+_ANCHOR_LENGTHS = (1, 2, 3, 4, 8, 16)
 
 
 def tokens(text: Column) -> Column:
@@ -155,8 +156,10 @@ def _mentions_inline(
 def _mentions_joined(
     texts: DataFrame, text: str, ids: Sequence[str], known: DataFrame
 ) -> DataFrame:
+    length = F.length("_value")
+    anchor = F.greatest(*[F.when(length >= n, n) for n in _ANCHOR_LENGTHS])
     anchored = known.withColumn("_value", F.lower("value")).withColumn(
-        "gram", F.substring("_value", 1, _GRAM)
+        "gram", F.substring(F.col("_value"), F.lit(1), anchor)
     )
     lengths = [r[0] for r in anchored.select(F.length("gram")).distinct().collect()]
     lowered = texts.select(*ids, F.lower(F.col(text)).alias("_text"))
@@ -170,8 +173,16 @@ def _mentions_joined(
             for n in lengths
         ],
     )
-    met = lowered.select("*", F.explode(pieces).alias("gram")).join(anchored, "gram")
-    hits = met.where(F.col("_text").contains(F.col("_value")))
+    # only ids travel with the pieces; each text then meets the few values that it may contain
+    candidates = (
+        lowered.select(*ids, F.explode(pieces).alias("gram"))
+        .join(anchored, "gram")
+        .groupBy(*ids)
+        .agg(F.collect_list(F.struct("field", "place", "value", "_value")).alias("_known"))
+    )
+    hits = lowered.join(candidates, list(ids)).select(
+        *ids, F.inline(F.filter("_known", lambda k: F.col("_text").contains(k["_value"])))
+    )
     return (
         hits.groupBy(*ids, "field")
         .agg(F.min(F.struct("place", "value")).alias("first"))

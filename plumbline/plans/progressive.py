@@ -1,36 +1,33 @@
-"""Approximate answers that stop reading: one job per sample step over a sample layout."""
+"""Approximate answers that stop reading: a few jobs over the steps of a sample layout."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from decimal import Decimal
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from plumbline.functions.display import group_label
 from plumbline.operators.adaptive import with_estimates
 from plumbline.operators.method import MOST_GROUPS
 from plumbline.operators.sampling import SUM_COLUMNS, first_sums, value_columns
 from plumbline.sources.layout import STEP, manifest
 from plumbline.spec import AggregateSpec
 
-@dataclass
-class _Running:
-    """Sums so far of one group; at most ``MOST_GROUPS`` of them live on the driver."""
-
-    population: int = 0
-    sums: dict[str, int | float | Decimal] = field(
-        default_factory=lambda: dict.fromkeys(SUM_COLUMNS, 0)
-    )
+#: the first job reads the steps up to about this many rows, each later job one more step
+FIRST_READ_ROWS = 8_192
 
 
 @dataclass(frozen=True)
 class StepResult:
-    """Where a run stands after a step."""
+    """Where a run stands after a step; ``estimates`` has one row per group, or just one.
+
+    Files and bytes are those of all steps that the jobs so far have opened.
+    """
 
     iteration: int
-    estimates: tuple[dict, ...]
+    estimates: tuple[Row, ...]
     overall_error: float
     sample_rows: int
     total_rows: int
@@ -42,55 +39,70 @@ class StepResult:
     stopped_reason: str | None
 
 
-def _group_sizes(layout: DataFrame, spec: AggregateSpec) -> dict:
-    """Filtered rows of every group (or of the table), from the filter and group columns only."""
-    rows = spec.projected(layout) if spec.group_by else spec.filtered(layout)
+def _group_sizes(layout: DataFrame, spec: AggregateSpec, rows: int) -> dict[str | None, int]:
+    """Filtered rows of every group, from the filter and group columns only.
+
+    Nothing is read for the whole of a table without filters.
+    """
     if spec.group_by is None:
-        return {None: rows.count()}
-    counted = rows.groupBy(spec.group_by).agg(F.count(F.lit(1)).alias("n"))
+        return {None: spec.filtered(layout).count() if spec.where else rows}
+    label = group_label(F.col(spec.group_by)).alias("label")
+    counted = spec.projected(layout).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     # one more than allowed is enough to refuse
-    sizes = {r[0]: r["n"] for r in counted.limit(MOST_GROUPS + 1).collect()}
+    sizes = {r["label"]: r["n"] for r in counted.limit(MOST_GROUPS + 1).collect()}
     if len(sizes) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups: answer exactly instead")
     return sizes
 
 
-def _step_sums(layout: DataFrame, spec: AggregateSpec, step: int) -> dict:
-    one = spec.projected(layout.where(F.col(STEP) == step))
-    by = [spec.group_by] if spec.group_by else []
-    values = one.selectExpr(*[f"`{g}`" for g in by], *value_columns(spec))
-    summed = values.groupBy(*by).agg(*first_sums())
-    return {
-        (row[spec.group_by] if spec.group_by else None): {c: row[c] or 0 for c in SUM_COLUMNS}
-        for row in summed.collect()
-    }
+def _sums_by_step(layout: DataFrame, spec: AggregateSpec, steps: list[int]) -> list[Row]:
+    """Sums of each of the steps (and groups): at most 65 steps of 16 groups."""
+    drawn = spec.projected(layout.where(F.col(STEP).isin(steps)), STEP)
+    by = ["label"] if spec.group_by else []
+    label = [group_label(F.col(spec.group_by)).alias("label")] if by else []
+    values = drawn.select(STEP, *label, *[F.expr(v) for v in value_columns(spec)])
+    return values.groupBy(STEP, *by).agg(*first_sums()).collect()
+
+
+def _chunks(steps: dict[int, Row]) -> list[list[int]]:
+    """Steps by the job that reads them; the folder beyond the largest sample is left out."""
+    drawn = sorted(steps)[:-1] if len(steps) > 1 else sorted(steps)
+    first, rows = [], 0
+    for step in drawn:
+        rows += steps[step]["rows"]
+        if first and rows > FIRST_READ_ROWS:
+            break
+        first.append(step)
+    return [c for c in [first, *[[s] for s in drawn[len(first) :]]] if c]
+
+
+def _running(
+    sums: list[Row], steps: list[int], sizes: dict, totals: dict, labelled: bool
+) -> list[tuple]:
+    """Sums of the growing sample after each of the steps, added up per group."""
+    found = {(r[STEP], r["label"] if labelled else None): r for r in sums}
+    lines = []
+    for step in steps:
+        for at, label in enumerate(sizes):
+            new = found.get((step, label))
+            if new is not None:
+                totals[label] = [a + (new[c] or 0) for a, c in zip(totals[label], SUM_COLUMNS)]
+            lines.append((step, at, *totals[label], sizes[label]))
+    return lines
 
 
 def _estimates(
-    spark: SparkSession, groups: dict, spec: AggregateSpec, confidence: float
-) -> list[dict]:
-    """The estimator columns over the few rows of running sums."""
-    rows = [
-        (i, int(g.sums["sample_rows"]), float(g.sums["sum_y"]), float(g.sums["sum_yy"]),
-         float(g.sums["sum_x"]), float(g.population))
-        for i, g in enumerate(groups.values())
-    ]
-    schema = "at int, sample_rows long, sum_y double, sum_yy double, sum_x double, population_rows double"
-    sums = spark.createDataFrame(rows, schema)
+    layout: DataFrame, lines: list[tuple], spec: AggregateSpec, confidence: float
+) -> list[Row]:
+    """The estimator columns over a few rows of sums."""
+    names = ("step", "at", *SUM_COLUMNS, "population_rows")
+    literals = ", ".join(
+        "struct(" + ", ".join(f"double('{float(v)!r}') as {n}" for n, v in zip(names, line)) + ")"
+        for line in lines
+    )
+    sums = layout.sparkSession.range(1).selectExpr(f"inline(array({literals}))")
     sums = sums.selectExpr("*", "sum_x as sum_xx", "sum_y as sum_xy")
-    labels = list(groups)
-    return [
-        {
-            "group_value": labels[row["at"]],
-            "estimate": row["estimate"],
-            "relative_error": row["relative_error"],
-            "ci_low": row["ci_low"],
-            "ci_high": row["ci_high"],
-            "sample_rows": row["sample_rows"],
-            "population_rows": int(row["population_rows"]),
-        }
-        for row in with_estimates(sums, spec, confidence).collect()
-    ]
+    return with_estimates(sums, spec, confidence).orderBy("step", "at").collect()
 
 
 def progressive(
@@ -99,7 +111,7 @@ def progressive(
     target_error: float = 0.05,
     confidence: float = 0.95,
 ) -> Iterator[StepResult]:
-    """Reads one more step of the layout at a time until the error target is met.
+    """Reads more steps of the layout until the error target is met.
 
     Yields after every step, so a caller can show progress or leave early. The steps are those
     of the layout: with filters a step has fewer rows, still a simple random sample of the
@@ -107,38 +119,52 @@ def progressive(
     """
     if not spec.is_approximable_total:
         raise ValueError("only sum and avg are sampled; counts are answered exactly")
-    spark = layout.sparkSession
     steps = {row[STEP]: row for row in manifest(layout).collect()}
-    groups = {g: _Running(n) for g, n in _group_sizes(layout, spec).items()}
-    total = sum(g.population for g in groups.values())
-    # the folder after the last step lies beyond the largest sample
-    drawn = sorted(steps)[:-1] if len(steps) > 1 else sorted(steps)
-    bytes_total = sum(r["bytes"] for r in steps.values())
-    files = read = 0
-    for iteration, step in enumerate(drawn, 1):
-        for group, sums in _step_sums(layout, spec, step).items():
-            for name, value in sums.items():
-                groups[group].sums[name] += value
-        files, read = files + steps[step]["files"], read + steps[step]["bytes"]
-        estimates = _estimates(spark, groups, spec, confidence)
-        worst = max((e["relative_error"] for e in estimates), default=0.0)
-        met = worst <= target_error
-        last = met or iteration == len(drawn)
-        yield StepResult(
-            iteration=iteration,
-            estimates=tuple(estimates),
-            overall_error=worst,
-            sample_rows=sum(e["sample_rows"] for e in estimates),
-            total_rows=total,
-            files_read=files,
-            bytes_read=read,
-            bytes_total=bytes_total,
-            target_met=met,
-            is_final=last,
-            stopped_reason=("target_reached" if met else "sample_cap") if last else None,
-        )
-        if last:
-            return
+    sizes = _group_sizes(layout, spec, sum(r["rows"] for r in steps.values()))
+    totals = {label: [0] * len(SUM_COLUMNS) for label in sizes}
+    labels = list(sizes)
+    chunks = _chunks(steps)
+    last_step = chunks[-1][-1] if chunks else None
+    opened: list[int] = []
+    iteration = 0
+    for chunk in chunks if sizes else []:
+        opened += chunk
+        sums = _sums_by_step(layout, spec, chunk)
+        lines = _running(sums, chunk, sizes, totals, spec.group_by is not None)
+        found = _estimates(layout, lines, spec, confidence)
+        for step in chunk:
+            iteration += 1
+            estimates = tuple(
+                Row(
+                    group_value=labels[int(e["at"])],
+                    estimate=e["estimate"],
+                    relative_error=e["relative_error"],
+                    ci_low=e["ci_low"],
+                    ci_high=e["ci_high"],
+                    sample_rows=int(e["sample_rows"]),
+                    population_rows=int(e["population_rows"]),
+                )
+                for e in found
+                if e["step"] == step
+            )
+            worst = max(e["relative_error"] for e in estimates)
+            met = worst <= target_error
+            last = met or step == last_step
+            yield StepResult(
+                iteration=iteration,
+                estimates=estimates,
+                overall_error=worst,
+                sample_rows=sum(e["sample_rows"] for e in estimates),
+                total_rows=sum(sizes.values()),
+                files_read=sum(steps[s]["files"] for s in opened),
+                bytes_read=sum(steps[s]["bytes"] for s in opened),
+                bytes_total=sum(r["bytes"] for r in steps.values()),
+                target_met=met,
+                is_final=last,
+                stopped_reason=("target_reached" if met else "sample_cap") if last else None,
+            )
+            if last:
+                return
 
 
 _TRACE = (
@@ -158,7 +184,7 @@ def progressive_trace(
     """The whole run as a frame: one row per step (and group)."""
     rows = [
         (
-            r.iteration, _label(e["group_value"], spec), e["estimate"], e["relative_error"],
+            r.iteration, e["group_value"], e["estimate"], e["relative_error"],
             e["ci_low"], e["ci_high"], e["sample_rows"], e["population_rows"], r.overall_error,
             r.sample_rows, r.total_rows, r.files_read, r.bytes_read, r.bytes_total, r.target_met,
             r.is_final, r.stopped_reason,
@@ -168,9 +194,3 @@ def progressive_trace(
     ]
     trace = layout.sparkSession.createDataFrame(rows, _TRACE)
     return trace if spec.group_by else trace.drop("group_value", "scanned_rows", "overall_error")
-
-
-def _label(group, spec: AggregateSpec) -> str | None:
-    if spec.group_by is None:
-        return None
-    return "NULL" if group is None else str(group)

@@ -293,8 +293,9 @@ def _write_sqlite(folder: str):
               CAST(NULL AS VARCHAR) AS note FROM orders""",
 )
 def sqlite_source(spark, sf):
-    # SQLite needs a folder that the executors have mounted
     folder = scratch_path(spark, "sqlite").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError("SQLite files need a scratch folder that all executors have mounted")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     files = orders.repartition(4).mapInPandas(_write_sqlite(folder), "file string, rows long")
     files.agg(F.sum("rows")).collect()
@@ -321,11 +322,12 @@ def layout_manifest(spark, sf):
 
 @query(
     "layout_prefix",
-    f"""SELECT l_returnflag, count(*) AS rows,
+    f"""WITH RECURSIVE pop AS (SELECT count(*) AS n FROM lineitem), {sql.ladder("pop")}
+        SELECT l_returnflag, count(*) AS rows,
           CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total
         FROM (SELECT *, row_number() OVER
                 (ORDER BY {sql.priority(LINEITEM_KEYS)}, l_extendedprice) AS rk FROM lineitem)
-        WHERE rk <= 3136 GROUP BY l_returnflag""",
+        WHERE rk <= (SELECT size FROM ladder WHERE it = 4) GROUP BY l_returnflag""",
 )
 def layout_prefix(spark, sf):
     prefix = layout.up_to(_layout(spark, sf), 4)

@@ -4,12 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
-
+from suite.verify import TABLES, differences, sorted_result
 
 @pytest.fixture(scope="module")
 def db(sf):
@@ -19,26 +14,16 @@ def db(sf):
     return connection
 
 
-def plain(names, rows):
-    places = sorted(range(len(names)), key=lambda i: names[i])
-    cells = [tuple(row[i] for i in places) for row in rows]
-    return sorted(names), sorted(cells, key=lambda r: tuple((v is None, str(v)) for v in r))
-
-
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, sf, db, name):
     result = entry.queries()[name](spark, sf)
-    got = plain(result.columns, [tuple(r) for r in result.collect()])
+    got = sorted_result(result.columns, [tuple(r) for r in result.collect()])
     assert got[0]
     sql = entry.oracle_sql().get(name)
-    if sql is None:
-        return
-    cursor = db.execute(sql)
-    names = [c[0] for c in cursor.description]
-    want = plain(names, cursor.fetchall())
-    assert got[0] == want[0] and len(got[1]) == len(want[1])
-    for ours, theirs in zip(got[1], want[1]):
-        assert ours == pytest.approx(theirs, rel=1e-12, nan_ok=True)
+    if sql is not None:
+        cursor = db.execute(sql)
+        want = sorted_result([c[0] for c in cursor.description], cursor.fetchall())
+        assert differences(got, want, 1e-12) == []
 
 
 def test_entry(spark):

@@ -77,3 +77,10 @@ def test_clamped_precision_misses_the_target(spark):
     df = spark.range(100).selectExpr("id as v")
     line = sketch.distinct_trace(df, AggregateSpec("count", "v", distinct=True), 0.001).first()
     assert (line["target_met"], line["stopped_reason"]) == (False, "sample_cap")
+
+
+def test_highest_bit(spark):
+    numbers = [n for i in range(60) for n in ((1 << i) - 1, 1 << i, (1 << i) + 1) if n > 0]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    got = df.select("n", hll._highest_bit(F.col("n")).alias("b")).collect()
+    assert all(r["b"] == r["n"].bit_length() - 1 for r in got)
