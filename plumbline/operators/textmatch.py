@@ -15,6 +15,8 @@ INTENT_WORDS = {
     "avg": ("average", "avg", "mean"),
     "sum": ("total", "sum"),
 }
+TRUE_TOKENS = ("true", "yes", "y", "1")
+FALSE_TOKENS = ("false", "no", "n", "0")
 GROUP_MARK = " by "
 GROUP_WEIGHT = 3
 
@@ -53,8 +55,9 @@ def _field_tokens(fields: DataFrame, default_first: bool = False) -> DataFrame:
 
     With ``default_first`` the first field also has the empty token.
     """
-    local = _local_copy(fields.select("field", "position", "description"), LARGEST_BROADCAST)
-    described = fields if local is None else local
+    wanted = fields.select("field", "position", "description")
+    local = _local_copy(wanted, LARGEST_BROADCAST)
+    described = wanted if local is None else local
     candidate = F.struct(F.negative("position").alias("rank"), "field")
     listed = described.select(
         candidate.alias("candidate"), F.explode(tokens(F.col("description"))).alias("token")
@@ -116,6 +119,28 @@ def best_group_field(
     )
 
 
+def boolean_mentions(
+    texts: DataFrame, text: str, ids: Sequence[str], fields: DataFrame
+) -> DataFrame:
+    """Per text and boolean field that it shares a token with: ``value``, if the text says which.
+
+    A word for true anywhere in the text wins over one for false; a text with neither has no row.
+    """
+    said = texts.select(*ids, tokens(F.col(text)).alias("_tokens")).withColumn(
+        "value",
+        F.when(F.arrays_overlap("_tokens", F.array(*map(F.lit, TRUE_TOKENS))), True).when(
+            F.arrays_overlap("_tokens", F.array(*map(F.lit, FALSE_TOKENS))), False
+        ),
+    )
+    words = said.where(F.col("value").isNotNull()).select(
+        *ids, "value", F.explode("_tokens").alias("token")
+    )
+    met = words.join(_field_tokens(fields.where(F.col("type") == "BOOLEAN")), "token")
+    return met.groupBy(*ids, F.col("candidate.field").alias("field")).agg(
+        F.first("value").alias("value")
+    )
+
+
 def value_mentions(
     texts: DataFrame, text: str, ids: Sequence[str], values: DataFrame
 ) -> DataFrame:

@@ -16,12 +16,28 @@ from plumbline.operators.sampling import sample_rows
 
 STEP = "sample_step"
 
+_ROW_PLACE = ("row_file", "row_index")
+#: the random order of a table without a key of its own, after ``with_row_place``
+ROW_PLACE_ORDER = SampleOrder(_ROW_PLACE)
+
 
 def write_typed(df: DataFrame, path: str) -> None:
     """The table as Parquet."""
     df.write.parquet(path)
 
 
+def with_row_place(table: DataFrame) -> DataFrame:
+    """Adds the file and the place in it of every row of a Parquet table: a key for any table.
+
+    A hash of the values would not do: equal rows would be drawn together.
+    """
+    return table.select(
+        "*",
+        F.col("_metadata.file_name").alias(_ROW_PLACE[0]),
+        F.col("_metadata.row_index").alias(_ROW_PLACE[1]),
+    )
+
+
 def _slice(priority: Column, order: SampleOrder, slices: int) -> Column:
     """Number of the slice of the random order that a row lies in; all slices are equally long."""
     if order.method == "xxhash64":

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from plumbline import AggregateSpec, Comparison
 from plumbline.operators.exact import exact
 from plumbline.operators.profile import column_profile, dataset_listing, text_cells
+from plumbline.plans.ingest import import_dataset
 from plumbline.plans.progressive import progressive_trace
 from plumbline.session import scratch_path
 from plumbline.sources import delimited, layout, records, sqlite, xml
@@ -393,3 +394,28 @@ def typed_table(spark, sf):
     layout.write_typed(table(spark, sf, "orders"), path)
     stored = spark.read.parquet(path)
     return stored.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders"))
+
+
+def _imported(spark, sf):
+    path = _written(spark, table(spark, sf, "customer"), "csv", header=True, escape='"')
+    return import_dataset(
+        delimited.read_csv(spark, path, "customers"), scratch_path(spark, "import")
+    )
+
+
+@query(
+    "file_import",
+    """SELECT c_mktsegment, count(*) AS customers,
+              CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance,
+              min(c_custkey) AS first_key, max(c_custkey) AS last_key
+       FROM customer GROUP BY c_mktsegment""",
+)
+def file_import(spark, sf):
+    stored = layout.read_sample_layout(spark, _imported(spark, sf).layout_path)
+    balance = F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double")
+    return stored.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("customers"),
+        balance.alias("balance"),
+        F.min("c_custkey").alias("first_key"),
+        F.max("c_custkey").alias("last_key"),
+    )

@@ -151,3 +151,24 @@ def value_mentions_many(spark, sf):
 )
 def intent_counts(spark, sf):
     return textmatch.intent_counts(table(spark, sf, "documents"), "text")
+
+
+_LANGUAGES = ("de", "en", "la")
+
+
+@query(
+    "boolean_mentions",
+    f"""WITH words AS (SELECT doc_id, {_tokens("text")} AS t FROM documents),
+      said AS (SELECT doc_id, t, CASE
+                 WHEN list_has_any(t, ['true', 'yes', 'y', '1']) THEN TRUE
+                 WHEN list_has_any(t, ['false', 'no', 'n', '0']) THEN FALSE END AS value FROM words)
+      SELECT doc_id, field, value FROM said
+      JOIN (VALUES ('de', ['de', 'false', 'true']), ('en', ['en', 'false', 'true']),
+                   ('la', ['la', 'false'])) f(field, known)
+        ON list_has_any(t, known) WHERE value IS NOT NULL""",
+)
+def boolean_mentions(spark, sf):
+    documents = table(spark, sf, "documents")
+    flags = documents.select(*[(F.col("lang") == name).alias(name) for name in _LANGUAGES])
+    fields = textmatch.described_fields(column_profile(text_cells(flags)), "documents")
+    return textmatch.boolean_mentions(documents, "text", ["doc_id"], fields)

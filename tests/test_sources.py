@@ -13,7 +13,10 @@ from plumbline.operators.exact import exact
 from plumbline.operators.method import choose_method
 from plumbline.operators.profile import column_profile, declared_type, text_cells
 from plumbline.operators.sketch import distinct_trace, grouped_distinct_trace
-from plumbline.sources import delimited, records, sqlite, xml
+from plumbline.plans.ingest import import_file
+from plumbline.plans.progressive import progressive
+from plumbline.sources import delimited, layout, records, sqlite, xml
+from plumbline.sources.files import read_file
 from plumbline.sources.rows import register
 
 
@@ -246,3 +249,25 @@ def test_cells_of_typed_columns(spark):
         '{"a":["x"],"z":1}', None, "1.50",
     )
     assert df.select(cell_text(F.col("e"), T.TimestampNTZType())).first()[0].endswith(".000006")
+
+
+def test_import_of_repeated_rows_samples_them_apart(spark, file_in, tmp_path):
+    # two kinds of rows only: a sample by content would draw one kind first
+    path = file_in("Two Kinds.csv", "kind,amount\n" + "a,1\nb,3\n" * 3000)
+    imported = import_file(spark, path, str(tmp_path / "out"))
+    assert [d.name for d in imported] == ["two_kinds"]
+    assert imported[0].listing.first()["row_count"] == 6000
+    stored = layout.read_sample_layout(spark, imported[0].layout_path)
+    assert stored.count() == 6000
+    kinds_drawn = layout.up_to(stored, 1).groupBy("kind").count().collect()
+    assert sum(r["count"] for r in kinds_drawn) == 512
+    assert all(190 < r["count"] < 322 for r in kinds_drawn)
+    last = list(progressive(stored, AggregateSpec("avg", "amount"), 0.05))[-1]
+    assert last.target_met and abs(last.estimates[0]["estimate"] - 2.0) < 0.2
+
+
+def test_files_by_suffix(spark, file_in):
+    assert [d.name for d in read_file(spark, file_in("My Rows.TSV", "a\tb\n1\t2\n"))] == ["my_rows"]
+    assert read_file(spark, file_in("r.json", "[1]"), "n")[0].text.columns == ["value"]
+    with pytest.raises(ValueError, match="parquet"):
+        read_file(spark, "x.parquet")
