@@ -49,7 +49,7 @@ def main() -> None:
     path = scratch_path(spark, "bench-layout")
     layout.write_sample_layout(lineitem, path, order)
     layout_seconds = time.perf_counter() - began
-    stored = layout.read_sample_layout(spark, path)
+    stored = layout.open_sample_layout(spark, path)
 
     def run_to_target(spec: AggregateSpec):
         return lambda: list(progressive(stored, spec, 0.05))

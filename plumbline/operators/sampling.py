@@ -255,7 +255,7 @@ def step_moments(df: DataFrame, spec: AggregateSpec, order: SampleOrder) -> Data
     )
     if not groups:
         # an empty table still has one step, of no rows
-        nothing = df.sparkSession.range(1).selectExpr(
+        nothing = df.sparkSession.range(0, 1, 1, 1).selectExpr(
             "1 as step", *[f"0L as {c}" for c in ("total_rows", *SUM_COLUMNS)]
         )
         lines = lines.unionByName(nothing)

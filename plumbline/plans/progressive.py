@@ -12,11 +12,11 @@ from plumbline.functions.display import group_label
 from plumbline.operators.adaptive import with_estimates
 from plumbline.operators.method import MOST_GROUPS
 from plumbline.operators.sampling import SUM_COLUMNS, first_sums, value_columns
-from plumbline.sources.layout import STEP, manifest
+from plumbline.sources.layout import STEP, SampleLayout
 from plumbline.spec import AggregateSpec
 
-#: the first job reads the steps up to about this many rows, each later job one more step
-FIRST_READ_ROWS = 8_192
+#: the first job reads the steps of up to 2,048 rows, the second up to 16,384, later ones a step
+SHARED_READ_ROWS = (2_048, 16_384)
 
 
 @dataclass(frozen=True)
@@ -39,15 +39,15 @@ class StepResult:
     stopped_reason: str | None
 
 
-def _group_sizes(layout: DataFrame, spec: AggregateSpec, rows: int) -> dict[str | None, int]:
+def _group_sizes(layout: SampleLayout, spec: AggregateSpec) -> dict[str | None, int]:
     """Filtered rows of every group, from the filter and group columns only.
 
     Nothing is read for the whole of a table without filters.
     """
     if spec.group_by is None:
-        return {None: spec.filtered(layout).count() if spec.where else rows}
+        return {None: spec.filtered(layout.frame).count() if spec.where else layout.rows}
     label = group_label(F.col(spec.group_by)).alias("label")
-    counted = spec.projected(layout).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    counted = spec.projected(layout.frame).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     # one more than allowed is enough to refuse
     sizes = {r["label"]: r["n"] for r in counted.limit(MOST_GROUPS + 1).collect()}
     if len(sizes) > MOST_GROUPS:
@@ -55,58 +55,79 @@ def _group_sizes(layout: DataFrame, spec: AggregateSpec, rows: int) -> dict[str
     return sizes
 
 
-def _sums_by_step(layout: DataFrame, spec: AggregateSpec, steps: list[int]) -> list[Row]:
-    """Sums of each of the steps (and groups): at most 65 steps of 16 groups."""
-    drawn = spec.projected(layout.where(F.col(STEP).isin(steps)), STEP)
-    by = ["label"] if spec.group_by else []
-    label = [group_label(F.col(spec.group_by)).alias("label")] if by else []
-    values = drawn.select(STEP, *label, *[F.expr(v) for v in value_columns(spec)])
-    return values.groupBy(STEP, *by).agg(*first_sums()).collect()
-
-
-def _chunks(steps: dict[int, Row]) -> list[list[int]]:
-    """Steps by the job that reads them; the folder beyond the largest sample is left out."""
-    drawn = sorted(steps)[:-1] if len(steps) > 1 else sorted(steps)
-    first, rows = [], 0
-    for step in drawn:
-        rows += steps[step]["rows"]
-        if first and rows > FIRST_READ_ROWS:
-            break
-        first.append(step)
-    return [c for c in [first, *[[s] for s in drawn[len(first) :]]] if c]
-
-
-def _running(
-    sums: list[Row], steps: list[int], sizes: dict, totals: dict, labelled: bool
-) -> list[tuple]:
-    """Sums of the growing sample after each of the steps, added up per group."""
-    found = {(r[STEP], r["label"] if labelled else None): r for r in sums}
-    lines = []
-    for step in steps:
-        for at, label in enumerate(sizes):
-            new = found.get((step, label))
-            if new is not None:
-                totals[label] = [a + (new[c] or 0) for a, c in zip(totals[label], SUM_COLUMNS)]
-            lines.append((step, at, *totals[label], sizes[label]))
-    return lines
+def _chunks(layout: SampleLayout) -> list[list[int]]:
+    """Steps by the job that reads them: small steps share a job, large ones have their own."""
+    chunks: list[list[int]] = []
+    rows, limits = 0, list(SHARED_READ_ROWS)
+    for step in layout.sampled:
+        rows += layout.steps[step]["rows"]
+        fresh = not chunks or not limits or rows > limits[0]
+        while limits and rows > limits[0]:
+            limits.pop(0)
+        if fresh:
+            chunks.append([])
+        chunks[-1].append(step)
+    return chunks
+
+
+def _sum_types(spec: AggregateSpec) -> dict[str, str]:
+    whole, scale = "bigint", spec.scale
+    kinds = ("double", "double") if scale is None else (
+        f"decimal(38,{scale})", f"decimal(38,{2 * scale})",
+    )
+    return dict(zip(SUM_COLUMNS, (whole, *kinds, whole)))
 
 
 def _estimates(
-    layout: DataFrame, lines: list[tuple], spec: AggregateSpec, confidence: float
+    layout: SampleLayout,
+    spec: AggregateSpec,
+    chunk: list[int],
+    sizes: dict,
+    before: dict,
+    confidence: float,
 ) -> list[Row]:
-    """The estimator columns over a few rows of sums."""
-    names = ("step", "at", *SUM_COLUMNS, "population_rows")
-    literals = ", ".join(
-        "struct(" + ", ".join(f"double('{float(v)!r}') as {n}" for n, v in zip(names, line)) + ")"
-        for line in lines
+    """Estimates and running sums after each step of the chunk, in one job.
+
+    ``before`` has the sums of the steps read earlier. They join the new sums as one line per
+    step and group, at most 65 x 16, so that no combination is missing.
+    """
+    frame, labels, types = layout.frame, list(sizes), _sum_types(spec)
+    drawn = spec.projected(frame.where(F.col(STEP).isin(chunk)), STEP)
+    if spec.group_by:
+        label = group_label(F.col(spec.group_by))
+        at = (F.array_position(F.lit(labels), label) - 1).cast("int").alias("at")
+    else:
+        at = F.lit(0).alias("at")
+    values = drawn.select(F.col(STEP).alias("step"), at, *[F.expr(v) for v in value_columns(spec)])
+    new = values.groupBy("step", "at").agg(*first_sums())
+    new = new.selectExpr(
+        "step", "at", *[f"cast({c} as {t}) as {c}" for c, t in types.items()], "0L as population_rows"
+    )
+    lines = []
+    for step in chunk:
+        for place, label in enumerate(labels):
+            sums = before[label] if step == chunk[0] else [0] * len(types)
+            cells = [f"cast('{v}' as {t}) as {c}" for v, (c, t) in zip(sums, types.items())]
+            lines.append(
+                f"struct({step} as step, {place} as at, {', '.join(cells)}, "
+                f"{sizes[label]}L as population_rows)"
+            )
+    known = frame.sparkSession.range(0, 1, 1, 1).selectExpr(f"inline(array({', '.join(lines)}))")
+    running = "over (partition by at order by step) as"
+    summed = (
+        new.unionByName(known)
+        .groupBy("step", "at")
+        .agg(*[F.expr(f"sum({c}) as {c}") for c in (*SUM_COLUMNS, "population_rows")])
+        .selectExpr("step", "at", *[f"sum({c}) {running} {c}" for c in SUM_COLUMNS], "population_rows")
+        .selectExpr("*", "sum_x as sum_xx", "sum_y as sum_xy")
+    )
+    return sorted(
+        with_estimates(summed, spec, confidence).collect(), key=lambda r: (r["step"], r["at"])
     )
-    sums = layout.sparkSession.range(1).selectExpr(f"inline(array({literals}))")
-    sums = sums.selectExpr("*", "sum_x as sum_xx", "sum_y as sum_xy")
-    return with_estimates(sums, spec, confidence).orderBy("step", "at").collect()
 
 
 def progressive(
-    layout: DataFrame,
+    layout: SampleLayout,
     spec: AggregateSpec,
     target_error: float = 0.05,
     confidence: float = 0.95,
@@ -119,52 +140,48 @@ def progressive(
     """
     if not spec.is_approximable_total:
         raise ValueError("only sum and avg are sampled; counts are answered exactly")
-    steps = {row[STEP]: row for row in manifest(layout).collect()}
-    sizes = _group_sizes(layout, spec, sum(r["rows"] for r in steps.values()))
-    totals = {label: [0] * len(SUM_COLUMNS) for label in sizes}
-    labels = list(sizes)
-    chunks = _chunks(steps)
-    last_step = chunks[-1][-1] if chunks else None
-    opened: list[int] = []
-    iteration = 0
-    for chunk in chunks if sizes else []:
-        opened += chunk
-        sums = _sums_by_step(layout, spec, chunk)
-        lines = _running(sums, chunk, sizes, totals, spec.group_by is not None)
-        found = _estimates(layout, lines, spec, confidence)
+    sizes = _group_sizes(layout, spec)
+    labels, total = list(sizes), sum(sizes.values())
+    sums = {label: [0] * len(SUM_COLUMNS) for label in sizes}
+    opened: list[Row] = []
+    for chunk in _chunks(layout) if sizes else []:
+        opened += [layout.steps[step] for step in chunk]
+        lines = _estimates(layout, spec, chunk, sizes, sums, confidence)
         for step in chunk:
-            iteration += 1
             estimates = tuple(
                 Row(
-                    group_value=labels[int(e["at"])],
+                    group_value=labels[e["at"]],
                     estimate=e["estimate"],
                     relative_error=e["relative_error"],
                     ci_low=e["ci_low"],
                     ci_high=e["ci_high"],
-                    sample_rows=int(e["sample_rows"]),
-                    population_rows=int(e["population_rows"]),
+                    sample_rows=e["sample_rows"],
+                    population_rows=e["population_rows"],
                 )
-                for e in found
+                for e in lines
                 if e["step"] == step
             )
             worst = max(e["relative_error"] for e in estimates)
             met = worst <= target_error
-            last = met or step == last_step
+            last = met or step == layout.sampled[-1]
             yield StepResult(
-                iteration=iteration,
+                iteration=layout.sampled.index(step) + 1,
                 estimates=estimates,
                 overall_error=worst,
                 sample_rows=sum(e["sample_rows"] for e in estimates),
-                total_rows=sum(sizes.values()),
-                files_read=sum(steps[s]["files"] for s in opened),
-                bytes_read=sum(steps[s]["bytes"] for s in opened),
-                bytes_total=sum(r["bytes"] for r in steps.values()),
+                total_rows=total,
+                files_read=sum(s["files"] for s in opened),
+                bytes_read=sum(s["bytes"] for s in opened),
+                bytes_total=sum(s["bytes"] for s in layout.steps.values()),
                 target_met=met,
                 is_final=last,
                 stopped_reason=("target_reached" if met else "sample_cap") if last else None,
             )
             if last:
                 return
+        sums = {
+            labels[e["at"]]: [e[c] for c in SUM_COLUMNS] for e in lines if e["step"] == chunk[-1]
+        }
 
 
 _TRACE = (
@@ -176,7 +193,7 @@ _TRACE = (
 
 
 def progressive_trace(
-    layout: DataFrame,
+    layout: SampleLayout,
     spec: AggregateSpec,
     target_error: float = 0.05,
     confidence: float = 0.95,
@@ -192,5 +209,5 @@ def progressive_trace(
         for r in progressive(layout, spec, target_error, confidence)
         for e in r.estimates
     ]
-    trace = layout.sparkSession.createDataFrame(rows, _TRACE)
+    trace = layout.frame.sparkSession.createDataFrame(rows, _TRACE)
     return trace if spec.group_by else trace.drop("group_value", "scanned_rows", "overall_error")

@@ -8,7 +8,9 @@ largest sample. Folder sizes follow the ladder: the first one has 512 rows, what
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.order import SampleOrder
@@ -63,6 +65,30 @@ def write_sample_layout(
     placed.withColumnRenamed("step", STEP).drop("priority").write.partitionBy(STEP).parquet(path)
 
 
+@dataclass(frozen=True)
+class SampleLayout:
+    """A stored layout and what is known about its steps: rows, files and bytes of each."""
+
+    frame: DataFrame
+    steps: dict[int, Row]
+
+    @property
+    def rows(self) -> int:
+        return sum(s["rows"] for s in self.steps.values())
+
+    @property
+    def sampled(self) -> list[int]:
+        """The steps, without the folder of the rows beyond the largest sample."""
+        steps = sorted(self.steps)
+        return steps[:-1] if len(steps) > 1 else steps
+
+
+def open_sample_layout(spark: SparkSession, path: str) -> SampleLayout:
+    """Reads file footers once; runs over the layout then start without doing so."""
+    frame = read_sample_layout(spark, path)
+    return SampleLayout(frame, {r[STEP]: r for r in manifest(frame).collect()})
+
+
 def read_sample_layout(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -308,7 +308,7 @@ def _layout(spark, sf):
     df, order = lineitem(spark, sf)
     path = scratch_path(spark, "layout")
     layout.write_sample_layout(df, path, order)
-    return layout.read_sample_layout(spark, path)
+    return layout.open_sample_layout(spark, path)
 
 
 @query(
@@ -318,7 +318,7 @@ def _layout(spark, sf):
         UNION ALL SELECT max(it) + 1, max(n) - max(c) FROM ladder""",
 )
 def layout_manifest(spark, sf):
-    return layout.manifest(_layout(spark, sf)).select("sample_step", "rows")
+    return layout.manifest(_layout(spark, sf).frame).select("sample_step", "rows")
 
 
 @query(
@@ -331,7 +331,7 @@ def layout_manifest(spark, sf):
         WHERE rk <= (SELECT size FROM ladder WHERE it = 4) GROUP BY l_returnflag""",
 )
 def layout_prefix(spark, sf):
-    prefix = layout.up_to(_layout(spark, sf), 4)
+    prefix = layout.up_to(_layout(spark, sf).frame, 4)
     total = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
     return prefix.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("rows"), total.alias("total")

@@ -200,17 +200,18 @@ def test_group_missing_from_the_sample_compares_as_zero(spark):
 def test_layout_reads_only_what_it_needs(spark, orders, tmp_path):
     path = str(tmp_path / "layout")
     layout.write_sample_layout(orders, path, ORDER.for_rows(15000))
-    stored = layout.read_sample_layout(spark, path)
-    assert stored.count() == 15000
+    opened = layout.open_sample_layout(spark, path)
+    stored = opened.frame
+    assert stored.count() == opened.rows == 15000
     assert stored.drop(layout.STEP).exceptAll(orders).count() == 0
     spec = AggregateSpec("avg", "o_totalprice", scale=2)
-    last = list(progressive(stored, spec, 0.05))[-1]
+    last = list(progressive(opened, spec, 0.05))[-1]
     assert last.target_met and last.bytes_read < last.bytes_total / 4
     plan = layout.up_to(stored, 2)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(sample_step" in plan
     # the same steps and estimates as the trace that scans the whole table
     trace = adaptive.adaptive_trace(orders, spec, ORDER, 0.01).orderBy("iteration").collect()
-    steps = progressive_trace(stored, spec, 0.01).orderBy("iteration").collect()
+    steps = progressive_trace(opened, spec, 0.01).orderBy("iteration").collect()
     assert [r["sample_rows"] for r in steps] == [r["sample_rows"] for r in trace]
     assert [r["estimate"] for r in steps] == pytest.approx([r["estimate"] for r in trace])
 
@@ -220,7 +221,7 @@ def test_layout_refuses_many_groups(spark, orders, tmp_path):
     layout.write_sample_layout(orders, path, ORDER)
     spec = AggregateSpec("sum", "o_totalprice", group_by="o_custkey")
     with pytest.raises(ValueError, match="groups"):
-        next(progressive(layout.read_sample_layout(spark, path), spec))
+        next(progressive(layout.open_sample_layout(spark, path), spec))
 
 
 def test_one_step_run_has_no_progress_event(spark, orders, tmp_path):

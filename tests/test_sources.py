@@ -257,12 +257,13 @@ def test_import_of_repeated_rows_samples_them_apart(spark, file_in, tmp_path):
     imported = import_file(spark, path, str(tmp_path / "out"))
     assert [d.name for d in imported] == ["two_kinds"]
     assert imported[0].listing.first()["row_count"] == 6000
-    stored = layout.read_sample_layout(spark, imported[0].layout_path)
+    opened = layout.open_sample_layout(spark, imported[0].layout_path)
+    stored = opened.frame
     assert stored.count() == 6000
     kinds_drawn = layout.up_to(stored, 1).groupBy("kind").count().collect()
     assert sum(r["count"] for r in kinds_drawn) == 512
     assert all(190 < r["count"] < 322 for r in kinds_drawn)
-    last = list(progressive(stored, AggregateSpec("avg", "amount"), 0.05))[-1]
+    last = list(progressive(opened, AggregateSpec("avg", "amount"), 0.05))[-1]
     assert last.target_met and abs(last.estimates[0]["estimate"] - 2.0) < 0.2
 
 
