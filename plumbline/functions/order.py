@@ -22,7 +22,9 @@ FEWEST_BITS, MOST_BITS = 8, 20
 class SampleOrder:
     """Columns that identify a row, and the hash that shuffles them.
 
-    ``xxhash64`` is the fast choice. ``md5`` gives the same order in any other SQL engine.
+    The keys should identify rows, since rows of one key are drawn together; a table without a
+    key gets one from ``sources.layout.with_row_place``. ``xxhash64`` is the fast choice. ``md5``
+    gives the same order in any other SQL engine.
     ``ties`` orders rows whose hashes are equal (columns that tell apart rows of equal keys).
     The table is counted in ``2**bucket_bits`` hash ranges, at most 2**20 whatever its size.
     """
@@ -64,5 +66,5 @@ class SampleOrder:
             return F.shiftright(priority, 64 - self.bucket_bits)
         return F.substring(priority, 1, self.bucket_bits // 4)
 
-    def ranking(self, priority: str = "priority") -> list[Column]:
+    def ranking(self, priority: str) -> list[Column]:
         return [F.col(priority), *[F.col(t) for t in self.ties]]

@@ -27,6 +27,9 @@ CAP_FRACTION = 0.4
 _LARGEST_TABLE = 1 << 60
 
 SUM_COLUMNS = ("sample_rows", "sum_y", "sum_yy", "sum_x")
+#: columns that sampling adds to the rows of a table
+STEP, PRIORITY = "sample_step", "sample_priority"
+BUCKET, STRATUM = "sample_bucket", "sample_stratum"
 
 
 def growth_steps() -> list[int]:
@@ -80,10 +83,10 @@ def ladder(population: DataFrame) -> DataFrame:
     ).selectExpr("pos + 1 as iteration", "sample_rows", "population_rows")
 
 
-def value_columns(spec: AggregateSpec) -> list[str]:
+def value_columns(spec: AggregateSpec, column: str | None = None) -> list[str]:
     """y and x of the estimators: NULL counts as 0, and has no weight in a mean."""
     kind = "double" if spec.scale is None else f"decimal(18,{spec.scale})"
-    column = f"`{spec.column}`"
+    column = f"`{column or spec.column}`"
     weight = "1L" if spec.agg == "sum" else f"if({column} is null, 0L, 1L)"
     return [f"coalesce(cast({column} as {kind}), cast(0 as {kind})) as y", f"{weight} as x"]
 
@@ -131,28 +134,14 @@ def _bucket_marks(
 
 
 def _join_marks(rows: DataFrame, marks: DataFrame, strata: list[str]) -> DataFrame:
+    """Rows with the marks of their bucket under ``_``-names."""
+    named = marks.toDF(*[f"_{c}" for c in marks.columns])
     if not strata:
         # at most 2**20 rows of a few bytes, whatever the table size
-        return rows.join(F.broadcast(marks), "bucket")
-    keys = [*strata, "bucket"]
-    renamed = marks.select(
-        *[F.col(k).alias(f"_{k}") for k in keys], "rows_before", "total_rows", "step"
-    )
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return rows.join(renamed, on).drop(*[f"_{k}" for k in keys])
-
-
-def _ranked_step(
-    rows: DataFrame, order: SampleOrder, steps: Steps, strata: list[str], past_cap: bool
-) -> DataFrame:
-    """``step`` of the rows of cut buckets, from their rank inside the bucket."""
-    inside = Window.partitionBy(*strata, "bucket").orderBy(*order.ranking())
-    ranked = (
-        rows.withColumn("_rank", F.col("rows_before") + F.row_number().over(inside))
-        .withColumn("step", F.expr(f"{steps.before('_rank', 'total_rows')} + 1"))
-        .drop("_rank")
-    )
-    return ranked if past_cap else ranked.where(f"step <= {steps.count('total_rows')}")
+        return rows.join(F.broadcast(named), rows[BUCKET] == named["_bucket"])
+    same_stratum = [rows[c].eqNullSafe(named[f"_{c}"]) for c in strata]
+    on = reduce(lambda a, b: a & b, same_stratum, rows[BUCKET] == named["_bucket"])
+    return rows.join(named, on)
 
 
 def sample_rows(
@@ -162,37 +151,52 @@ def sample_rows(
     strata: str | None = None,
     past_cap: bool = False,
 ) -> DataFrame:
-    """Rows of the random prefix with the ``step`` at which each is drawn.
+    """Rows of the random prefix, with ``sample_step`` and ``sample_priority``.
 
-    ``sizes`` are cumulative sample sizes, per stratum if ``strata`` is given; by default the
-    ladder of the table. ``past_cap`` adds all other rows as one more step. Reads the key columns
-    once to count buckets, then the wanted rows.
+    The step is that at which a growing sample draws the row. ``sizes`` are cumulative sample
+    sizes, per stratum if ``strata`` is given; by default the ladder of the table. ``past_cap``
+    adds all other rows as one more step. Reads the key columns once to count buckets, then the
+    wanted rows.
     """
-    groups = ["_stratum"] if strata else []
-    prioritised = df.withColumn("priority", order.priority())
-    prioritised = prioritised.withColumn("bucket", order.bucket(F.col("priority")))
+    taken = {PRIORITY, BUCKET, STRATUM, STEP} & set(df.columns)
+    if taken:
+        raise ValueError(f"rename {sorted(taken)}: the sample needs these names")
+    groups = [STRATUM] if strata else []
+    rows = df.withColumn(PRIORITY, order.priority())
+    rows = rows.withColumn(BUCKET, order.bucket(F.col(PRIORITY)))
     if strata:
-        prioritised = prioritised.withColumn("_stratum", F.col(strata))
-    per_bucket = prioritised.groupBy(*groups, "bucket").agg(F.count(F.lit(1)).alias("sample_rows"))
+        rows = rows.withColumn(STRATUM, F.col(strata))
+    per_bucket = rows.groupBy(*groups, F.col(BUCKET).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("sample_rows")
+    )
     steps = Steps(tuple(sorted(set(sizes or ()))))
     marks = _bucket_marks(per_bucket, steps, groups, past_cap)
     if strata:
         # as many lines as strata meet buckets: written, so that the join knows how many
         marks = stored(marks, "marks")
-    joined = _join_marks(prioritised, marks, groups)
-    whole = joined.where(F.col("step").isNotNull())
-    cut = _ranked_step(joined.where(F.col("step").isNull()), order, steps, groups, past_cap)
-    return whole.unionByName(cut).select(*df.columns, "priority", "step")
+    joined = _join_marks(rows, marks, groups)
+    whole = joined.where("_step is not null").withColumn(STEP, F.col("_step"))
+    # rows of cut buckets are ranked, each bucket by its own task
+    inside = Window.partitionBy(*groups, BUCKET).orderBy(*order.ranking(PRIORITY))
+    cut = (
+        joined.where("_step is null")
+        .withColumn("_rank", F.col("_rows_before") + F.row_number().over(inside))
+        .withColumn(STEP, F.expr(f"{steps.before('_rank', '_total_rows')} + 1"))
+    )
+    if not past_cap:
+        cut = cut.where(f"{STEP} <= {steps.count('_total_rows')}")
+    wanted = [*df.columns, PRIORITY, STEP]
+    return whole.select(*wanted).unionByName(cut.select(*wanted))
 
 
 def draw(df: DataFrame, order: SampleOrder, size: int) -> DataFrame:
     """A simple random sample of exactly ``size`` rows (all rows if there are fewer)."""
-    return sample_rows(df, order, [size]).drop("priority", "step")
+    return sample_rows(df, order, [size]).drop(PRIORITY, STEP)
 
 
 def draw_per_stratum(df: DataFrame, order: SampleOrder, strata: str, size: int) -> DataFrame:
     """``size`` random rows of every stratum, NULL being a stratum too."""
-    return sample_rows(df, order, [size], strata).drop("priority", "step")
+    return sample_rows(df, order, [size], strata).drop(PRIORITY, STEP)
 
 
 def step_moments(df: DataFrame, spec: AggregateSpec, order: SampleOrder) -> DataFrame:
@@ -208,18 +212,23 @@ def step_moments(df: DataFrame, spec: AggregateSpec, order: SampleOrder) -> Data
     if not spec.is_approximable_total:
         raise ValueError("only sum and avg are sampled; counts are answered exactly")
     groups = ["group_value"] if spec.group_by else []
-    keyed = spec.projected(df, *order.keys).withColumn("priority", order.priority())
+    # from here on no column has a name of the table's own
+    keyed = spec.projected(df, *order.keys).select(
+        *[F.col(spec.group_by).alias(g) for g in groups],
+        F.col(spec.column).alias("value"),
+        order.priority().alias("priority"),
+    )
     bucket = order.bucket(F.col("priority")).alias("bucket")
     per_bucket = keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias("sample_rows"))
     steps = Steps()
     marks = _bucket_marks(per_bucket, steps, [], past_cap=bool(groups))
-    group = [f"`{spec.group_by}` as group_value"] if groups else []
     # values are worked out after the join, which drops the rows past the cap
     rows = (
         keyed.select("*", bucket)
         .join(F.broadcast(marks), "bucket")
         .selectExpr(
-            *group, "bucket", "priority", "rows_before", "total_rows", "step", *value_columns(spec)
+            *[*groups, "bucket", "priority", "rows_before", "total_rows", "step"],
+            *value_columns(spec, "value"),
         )
     )
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.display import group_label
 from plumbline.operators.adaptive import with_estimates
 from plumbline.operators.method import MOST_GROUPS
-from plumbline.operators.sampling import SUM_COLUMNS, first_sums, value_columns
-from plumbline.sources.layout import STEP, SampleLayout
+from plumbline.operators.sampling import STEP, SUM_COLUMNS, first_sums, value_columns
+from plumbline.sources.layout import SampleLayout
 from plumbline.spec import AggregateSpec
 
 #: the first job reads the steps of up to 2,048 rows, the second up to 16,384, later ones a step

@@ -14,9 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.order import SampleOrder
-from plumbline.operators.sampling import sample_rows
-
-STEP = "sample_step"
+from plumbline.operators.sampling import PRIORITY, STEP, sample_rows
 
 _ROW_PLACE = ("row_file", "row_index")
 #: the random order of a table without a key of its own, after ``with_row_place``
@@ -61,8 +59,8 @@ def write_sample_layout(
     spark = df.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = sample_rows(df, order, past_cap=True)
-    placed = rows.repartitionById(slices, _slice(F.col("priority"), order, slices))
-    placed.withColumnRenamed("step", STEP).drop("priority").write.partitionBy(STEP).parquet(path)
+    placed = rows.repartitionById(slices, _slice(F.col(PRIORITY), order, slices))
+    placed.drop(PRIORITY).write.partitionBy(STEP).parquet(path)
 
 
 @dataclass(frozen=True)

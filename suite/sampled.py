@@ -68,7 +68,8 @@ def random_prefix(spark, sf):
 )
 def random_prefix_steps(spark, sf):
     df, order = orders(spark, sf)
-    return sampling.sample_rows(df.select("o_orderkey"), order).select("o_orderkey", "step")
+    rows = sampling.sample_rows(df.select("o_orderkey"), order)
+    return rows.select("o_orderkey", F.col(sampling.STEP).alias("step"))
 
 
 def _moment_columns(grouped: bool) -> str:

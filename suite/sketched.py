@@ -111,10 +111,13 @@ def hll_merge(spark, sf):
     return _six_digits(sketch.cardinality(sketch.merge(daily), P))
 
 
+_MONTHS = """(SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_custkey
+              FROM orders)"""
+
+
 @query(
     "hll_merge_monthly",
-    f"""WITH {sql.hll_registers("(SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_custkey FROM orders)",
-                                "o_custkey", P, by="month")}
+    f"""WITH {sql.hll_registers(_MONTHS, "o_custkey", P, by="month")}
         SELECT month, {sql.hll_estimate(_HARMONIC, "count(*)", P)} AS estimate
         FROM regs GROUP BY month""",
 )

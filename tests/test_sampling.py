@@ -186,7 +186,7 @@ def test_strata_quota_with_a_null_stratum(spark):
 def test_rows_past_the_cap_are_one_more_step(spark):
     df = table(spark, awkward_rows("plain"))
     steps = sampling.sample_rows(df, SampleOrder(("k",), bucket_bits=8), past_cap=True)
-    counts = {r["step"]: r["count"] for r in steps.groupBy("step").count().collect()}
+    counts = {r["sample_step"]: r["count"] for r in steps.groupBy("sample_step").count().collect()}
     sizes = _ladder(4000)
     expected = [b - a for a, b in zip([0, *sizes], [*sizes, 4000])]
     assert [counts[i] for i in range(1, len(expected) + 1)] == expected
@@ -221,3 +221,18 @@ def test_buckets_suit_the_table():
     assert order.for_rows(10**13).bucket_bits == 20
     with pytest.raises(ValueError):
         SampleOrder(("k",), bucket_bits=9)
+
+
+def test_columns_of_any_name(spark):
+    """A table may use the names that the operators use inside."""
+    names = ["priority", "bucket", "step", "total_rows", "rows_before", "x", "y"]
+    df = spark.range(3000).select("id", *[(F.col("id") % 7).cast("double").alias(n) for n in names])
+    order = SampleOrder(("id",), ties=("step",), bucket_bits=8)
+    for name in names:
+        spec = AggregateSpec("sum", name, group_by="bucket" if name != "bucket" else "step")
+        lines = sampling.step_moments(df, spec, order).where("iteration = 1").collect()
+        assert sum(r["sample_rows"] for r in lines) == 512 and len(lines) == 7
+    drawn = sampling.draw(df, order, 100)
+    assert drawn.columns == df.columns and drawn.intersect(df).count() == 100
+    with pytest.raises(ValueError, match="sample_step"):
+        sampling.draw(df.withColumnRenamed("x", "sample_step"), order, 1)
