@@ -49,9 +49,12 @@ def _number_text(value: Column) -> Column:
     return F.when(whole, value.cast("decimal(16,0)").cast("string")).otherwise(value.cast("string"))
 
 
-def variant_text(value: Column) -> Column:
-    """A JSON value as a text cell: strings bare, nested values as JSON with sorted keys."""
-    kind = F.schema_of_variant(value)
+def variant_text(value: Column, kind: Column | None = None) -> Column:
+    """A JSON value as a text cell: strings bare, nested values as JSON with sorted keys.
+
+    ``kind`` is its ``schema_of_variant``, if that is at hand.
+    """
+    kind = F.schema_of_variant(value) if kind is None else kind
     return (
         F.when(kind == "VOID", F.lit(None).cast("string"))
         .when(kind == "DOUBLE", _number_text(F.try_variant_get(value, "$", "double")))

@@ -40,24 +40,34 @@ def document_records(documents: DataFrame, column: str) -> DataFrame:
     A list gives its items; an object the items of its first member that is a list, or itself;
     a bare value gives one record. Each document is taken apart by the task that holds it.
     """
-    text = F.col(column)
-    value = F.parse_json(text)
-    # members in document order: a variant would sort them
-    members = F.map_entries(F.from_json(text, _OBJECT))
-    lists = F.filter(members, lambda m: _is_array(m["value"]))
-    member = F.when(_is_object(value), F.try_element_at(lists, F.lit(1))["key"])
-    raw_members = F.from_json(text, "map<string,string>")
-    record_list = F.when(_is_array(value), text).when(
-        member.isNotNull(), F.try_element_at(raw_members, member)
+    # one column at a time: what a later one uses twice is then worked out once
+    listed = (
+        documents.select(F.col(column).alias("text"), F.parse_json(column).alias("document"))
+        .select("text", F.schema_of_variant("document").alias("kind"))
+        # members in document order: a variant would sort them
+        .withColumn(
+            "members",
+            F.when(F.col("kind").startswith("OBJECT"), F.map_entries(F.from_json("text", _OBJECT))),
+        )
+        .withColumn(
+            "member",
+            F.try_element_at(F.filter("members", lambda m: _is_array(m["value"])), F.lit(1))["key"],
+        )
+        .withColumn(
+            "list",
+            F.when(F.col("kind").startswith("ARRAY"), F.col("text")).when(
+                F.col("member").isNotNull(),
+                F.try_element_at(F.from_json("text", "map<string,string>"), F.col("member")),
+            ),
+        )
     )
-    listed = documents.select(text.alias("text"), record_list.alias("list"))
     # items as JSON text, which keeps the order of their keys, beside what kind they are
     items = F.arrays_zip(
         F.from_json("list", "array<string>").alias("text"),
         F.from_json("list", "array<variant>").alias("value"),
     )
     itself = F.array(F.struct("text", F.parse_json("text").alias("value")))
-    item = listed.select(
+    item = listed.select("text", "list").select(
         F.explode(F.when(F.col("list").isNull(), itself).otherwise(items)).alias("item")
     )
     return item.select(
@@ -83,12 +93,15 @@ def records_dataset(records: DataFrame, name: str = "dataset") -> Dataset:
     keys = record_keys(records)
     if not keys:
         raise ValueError("no tabular records found")
-    value = F.col("record")
-    cells = [
-        variant_text(F.try_element_at(value, F.lit(key))).alias(column)
-        for key, column in zip(keys, column_names(keys))
-    ]
-    return dataset(slug(name), records.select(*cells))
+    names = column_names(keys)
+    values = records.select(
+        *[F.try_element_at("record", F.lit(key)).alias(column) for key, column in zip(keys, names)]
+    )
+    kinds = F.struct(*[F.schema_of_variant(c).alias(c) for c in names])
+    cells = values.select("*", kinds.alias("_kinds")).select(
+        *[variant_text(F.col(c), F.col("_kinds")[c]).alias(c) for c in names]
+    )
+    return dataset(slug(name), cells)
 
 
 def read_json(spark: SparkSession, path: str, name: str = "dataset") -> Dataset:
