@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import tokens
+from plumbline.llm import mixing, tokens, urls
 from plumbline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,91 @@ def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokens.write_tokens(_table(spark, sf_dir, "documents"), path, tokens.word_tokenizer())
     return tokens.read_documents(spark, path)
+
+
+@_query("op7_pivotal_mix")
+def pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: host, path and verdict of the rules that ``pages`` are judged by
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+_URL_SQL = """
+WITH RECURSIVE rules(rule_host, rule_path, decided) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), raw AS (
+  SELECT page_id, url, html,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), cut AS (
+  SELECT page_id, html, split_part(url, '://', 1) AS scheme, row_number() OVER () AS n,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(rest, '^[^?#]*(\\?[^#]*)?', 1) AS query
+  FROM raw
+), tags AS (
+  SELECT n, scheme, host, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag
+  FROM cut WHERE host <> ''
+), aims AS (
+  SELECT n, scheme, host, path, CASE
+      WHEN regexp_matches(tag, '(?is)^<link\\b.*\\brel\\s*=\\s*["'']?\\s*canonical\\b')
+        THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?\\s*([^"''>\\s]+)', 1)
+      WHEN regexp_matches(tag, '(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b')
+        THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*''?\\s*([^"''>\\s]+)', 1) END AS aim
+  FROM tags
+), full_aims AS (
+  SELECT n, CASE WHEN contains(aim, '://') THEN aim
+      WHEN starts_with(aim, '//') THEN scheme || ':' || aim
+      WHEN starts_with(aim, '/') THEN scheme || '://' || host || aim
+      ELSE scheme || '://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || aim
+      END AS target
+  FROM aims WHERE aim <> ''
+), ends AS (
+  SELECT n, substr(target, instr(target, '://') + 3) AS rest FROM full_aims
+), links AS (
+  SELECT c.host || c.path || c.query AS a,
+         translate(regexp_extract(e.rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz')
+           || regexp_extract(e.rest, '^[^/?#]*([^?#]*)', 1)
+           || regexp_extract(e.rest, '^[^?#]*(\\?[^#]*)?', 1) AS b
+  FROM ends e JOIN cut c USING (n)
+), both_ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
+), fits AS (
+  SELECT host, path, arg_max(rule_host || rule_path,
+           length(rule_host || rule_path) * 1000 + length(rule_host)) AS rule,
+         arg_max(decided, length(rule_host || rule_path) * 1000 + length(rule_host)) AS decided
+  FROM (SELECT DISTINCT host, path FROM cut
+        UNION SELECT regexp_extract(b, '^[^/?]*'), regexp_extract(b, '^[^/?]*([^?]*)', 1) FROM links)
+  JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path
+), alias AS (
+  SELECT r.a, bool_or(f.decided = 'allow') AS allows, bool_or(f.decided = 'block') AS blocks
+  FROM reach r JOIN fits f ON f.host = regexp_extract(r.b, '^[^/?]*')
+    AND f.path = regexp_extract(r.b, '^[^/?]*([^?]*)', 1)
+  GROUP BY r.a
+)
+SELECT c.page_id, coalesce(c.host, '') AS host, coalesce(c.path, '') AS path, f.rule,
+       coalesce(f.decided, CASE WHEN s.blocks AND NOT s.allows THEN 'block' ELSE 'allow' END) AS verdict
+FROM cut c
+LEFT JOIN fits f ON f.host = c.host AND f.path = c.path
+LEFT JOIN alias s ON s.a = c.host || c.path || c.query
+"""
+
+
+@_query("op4_redirect_filter", _URL_SQL)
+def redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judged(_table(spark, sf_dir, "pages"), rules)
