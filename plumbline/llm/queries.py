@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, tokens, urls
+from plumbline.llm import mixing, pii, pii_labels, tokens, urls
 from plumbline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pii.train(pii_labels.labelled_table(spark))
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"), model)
+
+
 @_query("op6_token_blocks")
 def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
