@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import stored
 
-__all__ = ["joined_by", "stored", "text_slices", "word_bounds", "word_hashes"]
+__all__ = ["joined_by", "stored", "text_slices", "word_bounds", "word_hashes", "words_of"]
 
 #: rows of a side that may be broadcast; longer sides are joined by shuffle, with the same result
 BROADCAST_ROWS = 1_000_000
@@ -88,3 +88,16 @@ def text_slices(texts: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[in
         last = min(max(last, first + 1), count)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of joined texts, cut where a text ends, and the text of each."""
+    starts, ends = word_bounds(data)
+    cuts = offsets[1:-1]
+    if len(starts) and len(cuts):
+        holds = np.maximum(np.searchsorted(starts, cuts, "right") - 1, 0)
+        at = np.unique(cuts[(cuts > starts[holds]) & (cuts < ends[holds])])
+    else:
+        at = np.empty(0, starts.dtype)
+    starts, ends = np.sort(np.concatenate([starts, at])), np.sort(np.concatenate([ends, at]))
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, pii, pii_labels, tokens, toxicity, urls
+from plumbline.llm import licences, mixing, near_vectors, pii, pii_labels, tokens, toxicity, urls
 from plumbline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,14 @@ def redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query("op9_licence_paragraphs")
+def licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(licences.notices_table(spark), docs))
+
+
+@_query("op10_tiled_vectors")
+def tiled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))

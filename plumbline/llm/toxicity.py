@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_slices, word_bounds, word_hashes
+from plumbline.llm.common import text_slices, word_bounds, word_hashes, words_of
 
 #: labelled documents that training reads at most, per label
 MOST_TOXIC, MOST_CLEAN = 1_500, 3_000
@@ -361,7 +361,7 @@ class _Scorer:
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         tops = np.full(len(offsets) - 1, self.detector.base)
         raw = data.tobytes()
-        starts, ends, owner = _words_of(data, offsets)
+        starts, ends, owner = words_of(data, offsets)
         if len(starts):
             scores = self._known(raw, starts, ends, word_hashes(data, starts, ends))
             np.maximum.at(tops, owner, scores)
@@ -374,19 +374,6 @@ class _Scorer:
         return tops
 
 
-def _words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of joined texts, cut where a text ends, and the text of each."""
-    starts, ends = word_bounds(data)
-    cuts = offsets[1:-1]
-    if len(starts) and len(cuts):
-        holds = np.maximum(np.searchsorted(starts, cuts, "right") - 1, 0)
-        at = np.unique(cuts[(cuts > starts[holds]) & (cuts < ends[holds])])
-    else:
-        at = np.empty(0, starts.dtype)
-    starts, ends = np.sort(np.concatenate([starts, at])), np.sort(np.concatenate([ends, at]))
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
-
-
 def scored(docs: DataFrame, detector: Detector, least: float = 0.3) -> DataFrame:
     """Per row: ``doc_id, held_out, score, predicted``.
 
