@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import licences, mixing, near_vectors, pii, pii_labels, tokens, toxicity, urls
+from plumbline.llm import licences, mixing, near_vectors, ngram_join, pii, pii_labels, tokens, toxicity, urls
 from plumbline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"), model)
 
 
+@_query("op3_fragment_join")
+def fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_sets(_table(spark, sf_dir, "documents"))
+
+
 @_query("op6_token_blocks")
 def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
