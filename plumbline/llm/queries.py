@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import licences, mixing, near_vectors, ngram_join, pii, pii_labels, tokens, toxicity, urls
+from plumbline.llm import decontaminate, licences, mixing, near_vectors, ngram_join, pii, pii_labels, tokens, toxicity, urls
 from plumbline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,38 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"), model)
 
 
+_LEAK_SQL = r"""
+WITH words AS (
+  SELECT doc_id AS id, false AS item,
+         list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT item_id, true,
+         list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')
+  FROM benchmark WHERE text IS NOT NULL
+), shingles AS (
+  SELECT DISTINCT id, item, unnest(CASE WHEN len(w) >= 5
+      THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      ELSE [array_to_string(w, ' ')] END) AS s
+  FROM words WHERE len(w) > 0
+), sizes AS (
+  SELECT id, count(*) AS n_item FROM shingles WHERE item GROUP BY id
+), shared AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
+  FROM shingles i JOIN shingles d ON i.s = d.s WHERE i.item AND NOT d.item
+  GROUP BY d.id, i.id
+)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM shared JOIN sizes ON sizes.id = item_id WHERE 100 * n_shared >= 75 * n_item
+"""
+
+
+@_query("op2_contained_items", _LEAK_SQL)
+def contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.contained_items(docs, items)
+
+
 @_query("op3_fragment_join")
 def fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_sets(_table(spark, sf_dir, "documents"))
@@ -150,3 +182,8 @@ def licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_tiled_vectors")
 def tiled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
