@@ -1,6 +1,86 @@
-"""The corpus pipeline: documents through five stages, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read again."""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import decontaminate, mixing, ngram_join, tokens, toxicity
+from plumbline.llm.common import BROADCAST_ROWS
+from plumbline.session import scratch_path, stored
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for those whose ``doc_id`` is among ``ids(dropped)``."""
+    ids = stored(ids, "dropped")
+    few = ids.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["dropped"]), "left_anti")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the string-kernel machine rejects go; others stay as they are."""
+    detector = toxicity.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    scores = toxicity.scored(docs, detector)
+    return _without(docs, scores.where("predicted = 1").select(F.col("doc_id").alias("dropped")).distinct())
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays: that with the smallest ``doc_id``.
+
+    Documents without shingles and those without an id are in no group and stay. Of rows that
+    repeat an id and its text one stays.
+    """
+    groups = stored(ngram_join.similar_sets(docs), "groups")
+    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped"))
+    kept = _without(docs, copies.distinct())
+    ids = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    again = stored(ids.select(F.col("doc_id").alias("again")), "again")
+    if not again.count():
+        return kept
+    twice = kept.join(again, kept["doc_id"] == again["again"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return _without(kept, again.select(F.col("again").alias("dropped"))).unionByName(twice)
+
+
+def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    return mixing.mix(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left; a row per document, read back from them."""
+    path = scratch_path(spark, "tokens")
+    tokens.write_tokens(docs, path, tokens.word_tokenizer())
+    return tokens.read_documents(spark, path)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", test_items),
+    ("mixing sources to target weights", mixed),
+    ("token-ID / binary output", token_files),
+]
+
+#: the stages rest on a trained model, hashes and a tokenizer, which SQL does not have
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over the whole of ``documents``."""
+    docs = _table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, f"stage-{k}")
+    return docs
