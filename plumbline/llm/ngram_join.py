@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import _mixed, joined_by, text_slices, word_hashes, words_of
 from plumbline.llm.components import components
+from plumbline.llm.meeting import shared_rows
 from plumbline.session import stored
 
 WORDS = 5
@@ -145,7 +146,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
 
 
-_ROW = np.dtype([("gram", "<u4"), ("cls", "<i8"), ("n", "<u4")])
+_FIELDS = [("cls", "<i8"), ("n", "<u4")]
 
 
 def _prefix(values: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -161,108 +162,25 @@ def _prefix(values: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarra
 
 
 def _shared_rows(docs: DataFrame, frequent, parts: int, percent: int) -> DataFrame:
-    """``gram, cls, n`` of every prefix n-gram that two or more classes hold.
-
-    A task sends one row per n-gram to the fragment of the n-gram. Classes that already share it
-    within the task are known to belong here; they go to fragments by turns, so that an n-gram
-    that a third of all classes hold reaches its own fragment once per task.
-    """
-    spread = np.uint64(parts)
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = frequent.value
-        held, size, seen = [], 0, set()
-
-        def flushed():
-            grams, cls, n = (np.concatenate(x) for x in zip(*held))
-            by = np.argsort(grams, kind="stable")
-            grams, cls, n = grams[by], cls[by], n[by]
-            fragment = ((grams >> np.uint64(32)) * spread) >> np.uint64(32)
-            rows = np.empty(len(grams), _ROW)
-            rows["gram"], rows["cls"], rows["n"] = grams & np.uint64(0xFFFFFFFF), cls, n
-            new = np.concatenate(([True], grams[1:] != grams[:-1]))
-            many = np.zeros(len(grams), bool)
-            many[:-1] |= ~new[1:]
-            many |= ~new
-            target, known, blobs = [], [], []
-            at = np.flatnonzero(new)
-            cuts = np.flatnonzero(np.diff(fragment[at])) + 1
-            for own in np.split(at, cuts):
-                target.append(int(fragment[own[0]]))
-                known.append(False)
-                blobs.append(rows[own].tobytes())
-            both = np.flatnonzero(many)
-            for k, own in enumerate(np.array_split(both, max(1, len(both) // 50_000))):
-                if len(own):  # the fragment goes along, as the row holds but half of the hash
-                    for f in np.unique(fragment[own]):
-                        target.append(int((int(f) * 31 + k * 7 + len(seen)) % parts))
-                        known.append(True)
-                        blobs.append(int(f).to_bytes(4, "little") + rows[own[fragment[own] == f]].tobytes())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(target, pa.int32()), pa.array(known), pa.array(blobs, pa.binary())],
-                names=["part", "known", "rows"],
-            )
-
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(1)):
-                values, ends = sets_of(data, offsets)
-                keys = set_keys(values, ends).view(np.int64)
-                begin = 0
-                for key, end in zip(keys.tolist(), ends.tolist()):
-                    if end > begin and key not in seen:
-                        seen.add(key)
-                        own = _prefix(values[begin:end], order, percent)
-                        held.append((own, np.full(len(own), key), np.full(len(own), end - begin)))
-                        size += len(own)
-                    begin = end
-                if size >= _FLUSH // 2:
-                    yield flushed()
-                    held, size = [], 0
-        if size:
-            yield flushed()
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, []
-
-        def out(fragment, rows):
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array((rows["gram"].astype(np.int64) << 31) + fragment),
-                    pa.array(rows["cls"].astype(np.int64)),
-                    pa.array(rows["n"].astype(np.int64)),
-                ],
-                names=["gram", "cls", "n"],
-            )
-
-        def joined():
-            rows = np.concatenate(held)
-            rows = rows[np.argsort(rows["gram"], kind="stable")]
-            same = rows["gram"][1:] == rows["gram"][:-1]
-            keep = np.zeros(len(rows), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            return out(part, rows[keep])
-
-        for batch in batches:
-            for p, known, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "known", "rows"))):
-                if known:
-                    yield out(int.from_bytes(blob[:4], "little"), np.frombuffer(blob, _ROW, offset=4))
-                    continue
-                if p != part:
-                    if held:
-                        yield joined()
-                    part, held = p, []
-                held.append(np.frombuffer(blob, _ROW))
-        if held:
-            yield joined()
-
-    return (
-        docs.mapInArrow(sent, "part int, known boolean, rows binary")
-        .repartition(parts, "part")
-        .sortWithinPartitions("known", "part")
-        .mapInArrow(met, "gram long, cls long, n long")
-        .distinct()
-    )
+    """``gram, cls, n`` of every prefix n-gram that two or more classes hold."""
+    seen: set[int] = set()  # of the task, once it is there
+
+    def emit(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in text_slices(batch.column(1)):
+            values, ends = sets_of(data, offsets)
+            begin, parts_of = 0, []
+            for cls, end in zip(set_keys(values, ends).view(np.int64).tolist(), ends.tolist()):
+                if end > begin and cls not in seen:
+                    seen.add(cls)
+                    own = _prefix(values[begin:end], frequent.value, percent)
+                    rows = np.empty(len(own), [("key", "<u8"), *_FIELDS])
+                    rows["key"], rows["cls"], rows["n"] = own, cls, end - begin
+                    parts_of.append(rows)
+                begin = end
+            if parts_of:
+                yield np.concatenate(parts_of)
+
+    return shared_rows(docs, emit, _FIELDS, parts).withColumnRenamed("key", "gram").distinct()
 
 
 def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:

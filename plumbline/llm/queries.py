@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, licences, mixing, near_vectors, ngram_join, pii, pii_labels, tokens, toxicity, urls
+from plumbline.llm import decontaminate, licences, mixing, near_vectors, ngram_join, pii, pii_labels, repeats, tokens, toxicity, urls
 from plumbline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,11 @@ def fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_sets(_table(spark, sf_dir, "documents"))
 
 
+@_query("op5_repeated_strings")
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_table(spark, sf_dir, "documents"))
+
+
 @_query("op6_token_blocks")
 def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
