@@ -1,4 +1,8 @@
-"""Which field, which values and which aggregate a text speaks of, for whole tables of texts."""
+"""Which field, which values and which aggregate a text speaks of, for whole tables of texts.
+
+Fields are matched inside each row, against the words of a schema; nothing is shuffled and no job
+runs while a frame is built.
+"""
 
 from __future__ import annotations
 
@@ -20,11 +24,8 @@ FALSE_TOKENS = ("false", "no", "n", "0")
 GROUP_MARK = " by "
 GROUP_WEIGHT = 3
 
-#: largest field or value list that is sent to every task; longer ones are shuffled
-LARGEST_BROADCAST = 10_000
-LARGEST_INLINE = 500
 #: a value is looked up by its first letters, as many of these as it has
-_ANCHOR_LENGTHS = (1, 2, 3, 4, 8, 16)
+_ANCHOR_LENGTHS = (1, 2, 4)
 
 
 def tokens(text: Column) -> Column:
@@ -32,12 +33,6 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
 
 
-def _local_copy(df: DataFrame, most: int) -> DataFrame | None:
-    """The frame as a local one if it has at most ``most`` rows, so it is computed just once."""
-    rows = df.limit(most + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else None
-
-
 def described_fields(profile: DataFrame, table: str) -> DataFrame:
     """Fields of a column profile with the text that describes them."""
     words = F.concat_ws(" ", "column", F.array_join("examples", " "))
@@ -50,45 +45,47 @@ def described_fields(profile: DataFrame, table: str) -> DataFrame:
     )
 
 
-def _field_tokens(fields: DataFrame, default_first: bool = False) -> DataFrame:
-    """``candidate`` and ``token`` of every field, broadcast if the list is short.
+def _dictionary(fields: DataFrame, words: str = "description") -> tuple[Column, Column]:
+    """Two scalar subqueries: all candidates, and the candidates of each token.
 
-    With ``default_first`` the first field also has the empty token.
+    They hold the words that describe the columns of a schema: their size is that of the schema,
+    not of any table.
     """
-    wanted = fields.select("field", "position", "description")
-    local = _local_copy(wanted, LARGEST_BROADCAST)
-    described = wanted if local is None else local
     candidate = F.struct(F.negative("position").alias("rank"), "field")
-    listed = described.select(
-        candidate.alias("candidate"), F.explode(tokens(F.col("description"))).alias("token")
-    )
-    if default_first:
-        first = described.agg(F.max(candidate).alias("candidate"))
-        listed = listed.unionByName(first.select("candidate", F.lit("").alias("token")))
-    return listed if local is None else F.broadcast(listed)
+    everyone = fields.agg(F.collect_set(candidate).alias("all")).scalar()
+    listed = fields.select(candidate.alias("candidate"), F.explode(tokens(F.col(words))).alias("token"))
+    by_token = listed.groupBy("token").agg(F.collect_set("candidate").alias("candidates"))
+    entries = F.collect_list(F.struct("token", "candidates"))
+    return everyone, by_token.agg(F.map_from_entries(entries).alias("known")).scalar()
+
+
+def _meetings(words: Column, known: Column) -> Column:
+    """The candidates that each word speaks for, one after another."""
+    none = F.array().cast("array<struct<rank:int,field:string>>")
+    return F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), none)))
 
 
-def _best(scored: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Highest score per text, the earliest field winning a tie."""
-    totals = scored.groupBy(*ids, "candidate").agg(F.sum("weight").alias("score"))
-    return totals.groupBy(*ids).agg(F.max(F.struct("score", "candidate")).alias("best"))
+def _best(everyone: Column, met: Column) -> Column:
+    """Highest score, the earliest field winning a tie."""
+
+    def scored(candidate: Column) -> Column:
+        score = F.size(F.filter(met, lambda m: m == candidate))
+        return F.struct(score.cast("long").alias("score"), candidate.alias("candidate"))
+
+    return F.array_max(F.transform(everyone, scored))
 
 
 def best_field(texts: DataFrame, text: str, ids: Sequence[str], fields: DataFrame) -> DataFrame:
-    """Per text the field that shares most tokens with it: ``field`` and ``score``.
+    """Per row the field that shares most tokens with its text: ``field`` and ``score``.
 
-    ``fields`` has ``field``, ``position`` and ``description``. A text without any shared token
-    gets the first field, with score 0. Texts are exploded to tokens, most of which the join
-    drops at once; only (text, field) counts are shuffled.
+    ``fields`` has ``field``, ``position`` and ``description``. A text without any shared token,
+    also a null one, gets the first field, with score 0. Each text is scored inside its row.
     """
-    # every text also holds the empty token, which scores nothing for the first field
-    known = _field_tokens(fields, default_first=True)
-    words = texts.select(
-        *ids, F.explode(F.array_append(tokens(F.col(text)), F.lit(""))).alias("token")
-    )
-    weight = F.when(F.col("token") == "", 0).otherwise(1)
-    scored = words.join(known, "token").withColumn("weight", weight)
-    return _best(scored, ids).select(
+    everyone, known = _dictionary(fields)
+    words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
+    found = texts.select(*ids, words.alias("_words"), everyone.alias("_all"), known.alias("_known"))
+    met = found.select(*ids, "_all", _meetings(F.col("_words"), F.col("_known")).alias("_met"))
+    return met.select(*ids, _best(F.col("_all"), F.col("_met")).alias("best")).select(
         *ids, F.col("best.candidate.field").alias("field"), F.col("best.score").alias("score")
     )
 
@@ -100,116 +97,79 @@ def best_group_field(
 
     Texts without the mark, or without any shared token, have no row.
     """
+    everyone, known = _dictionary(fields)
     lowered = F.lower(F.col(text))
-    marked = texts.where(lowered.contains(GROUP_MARK)).select(
-        *ids,
-        tokens(lowered).alias("_all"),
-        tokens(F.substring_index(lowered, GROUP_MARK, -1)).alias("_after"),
-    )
-
-    def weighed(words: str, weight: int) -> Column:
-        return F.transform(words, lambda t: F.struct(t.alias("token"), F.lit(weight).alias("weight")))
-
-    words = marked.select(
-        *ids, F.inline(F.concat(weighed("_all", 1), weighed("_after", GROUP_WEIGHT)))
+    after = tokens(F.substring_index(lowered, GROUP_MARK, -1))
+    words = F.concat(tokens(lowered), *[after] * GROUP_WEIGHT)
+    found = texts.where(lowered.contains(GROUP_MARK)).select(
+        *ids, words.alias("_words"), everyone.alias("_all"), known.alias("_known")
     )
-    scored = words.join(_field_tokens(fields), "token")
-    return _best(scored, ids).select(
-        *ids, F.col("best.candidate.field").alias("field"), F.col("best.score").alias("score")
+    met = found.select(*ids, "_all", _meetings(F.col("_words"), F.col("_known")).alias("_met"))
+    return (
+        met.select(*ids, _best(F.col("_all"), F.col("_met")).alias("best"))
+        .where("best.score > 0")
+        .select(*ids, F.col("best.candidate.field").alias("field"), F.col("best.score").alias("score"))
     )
 
 
 def boolean_mentions(
     texts: DataFrame, text: str, ids: Sequence[str], fields: DataFrame
 ) -> DataFrame:
-    """Per text and boolean field that it shares a token with: ``value``, if the text says which.
+    """Per row and boolean field whose name shares a token with the text: ``value``, if it says which.
 
-    A word for true anywhere in the text wins over one for false; a text with neither has no row.
+    Example values do not count as names. A word for true anywhere in the text wins over one for
+    false; a text with neither has no row.
     """
-    said = texts.select(*ids, tokens(F.col(text)).alias("_tokens")).withColumn(
-        "value",
-        F.when(F.arrays_overlap("_tokens", F.array(*map(F.lit, TRUE_TOKENS))), True).when(
-            F.arrays_overlap("_tokens", F.array(*map(F.lit, FALSE_TOKENS))), False
-        ),
+    _, known = _dictionary(fields.where(F.col("type") == "BOOLEAN"), "field")
+    said = F.when(F.arrays_overlap("_words", F.array(*map(F.lit, TRUE_TOKENS))), True).when(
+        F.arrays_overlap("_words", F.array(*map(F.lit, FALSE_TOKENS))), False
     )
-    words = said.where(F.col("value").isNotNull()).select(
-        *ids, "value", F.explode("_tokens").alias("token")
+    found = (
+        texts.select(*ids, tokens(F.col(text)).alias("_words"))
+        .withColumn("value", said)
+        .where(F.col("value").isNotNull())
+        .select(*ids, "value", "_words", known.alias("_known"))
     )
-    met = words.join(_field_tokens(fields.where(F.col("type") == "BOOLEAN")), "token")
-    return met.groupBy(*ids, F.col("candidate.field").alias("field")).agg(
-        F.first("value").alias("value")
+    met = F.array_distinct(_meetings(F.col("_words"), F.col("_known")))
+    return found.select(*ids, "value", F.explode(met).alias("_met")).select(
+        *ids, F.col("_met.field").alias("field"), "value"
     )
 
 
 def value_mentions(
     texts: DataFrame, text: str, ids: Sequence[str], values: DataFrame
 ) -> DataFrame:
-    """Per text and field the first of the field's values that the text contains, in any case.
+    """Per row and field the first of the field's values that the text contains, in any case.
 
-    ``values`` has ``field``, ``place`` (order within the field) and ``value``. A short list
-    becomes one expression per field, without any join. A longer one is joined by the first
-    letters of each value, and each meeting is then checked in full.
+    ``values`` has ``field``, ``place`` (order within the field) and ``value``; lists of any length
+    take the same path. Values are joined by their first letters, and each meeting is checked in
+    full. Rows are told apart by a number of their own, so that null and repeated ids keep every
+    text; ``texts`` must give its rows in the same order when read again, as tables do.
     """
-    known = values.where(F.col("value") != "").select("field", "place", "value")
-    local = _local_copy(known, LARGEST_INLINE)
-    if local is not None:
-        return _mentions_inline(texts, text, ids, local)
-    return _mentions_joined(texts, text, ids, known)
-
-
-def _mentions_inline(
-    texts: DataFrame, text: str, ids: Sequence[str], known: DataFrame
-) -> DataFrame:
-    by_field: dict[str, list[str]] = {}
-    for row in known.orderBy("field", "place").collect():
-        by_field.setdefault(row["field"], []).append(row["value"])
-    lowered = texts.select(*ids, F.lower(F.col(text)).alias("_text"))
-    found = [
-        F.struct(
-            F.lit(field).alias("field"),
-            F.coalesce(
-                *[F.when(F.col("_text").contains(v.lower()), F.lit(v)) for v in field_values]
-            ).alias("value"),
-        )
-        for field, field_values in by_field.items()
-    ]
-    if not found:
-        return lowered.select(*ids, F.lit("").alias("field"), F.lit("").alias("value")).limit(0)
-    return lowered.select(*ids, F.inline(F.array(*found))).where(F.col("value").isNotNull())
-
-
-def _mentions_joined(
-    texts: DataFrame, text: str, ids: Sequence[str], known: DataFrame
-) -> DataFrame:
     length = F.length("_value")
     anchor = F.greatest(*[F.when(length >= n, n) for n in _ANCHOR_LENGTHS])
-    anchored = known.withColumn("_value", F.lower("value")).withColumn(
-        "gram", F.substring(F.col("_value"), F.lit(1), anchor)
+    anchored = (
+        values.where(F.col("value") != "")
+        .select("field", "place", "value", F.lower("value").alias("_value"))
+        .withColumn("gram", F.substring(F.col("_value"), F.lit(1), anchor))
     )
-    lengths = [r[0] for r in anchored.select(F.length("gram")).distinct().collect()]
-    lowered = texts.select(*ids, F.lower(F.col(text)).alias("_text"))
+    numbered = texts.select(
+        *ids, F.lower(F.col(text)).alias("_text"), F.monotonically_increasing_id().alias("_row")
+    ).where(F.col("_text").isNotNull())
     # a look-ahead finds overlapping pieces in one pass over the text
-    pieces = reduce(
-        F.array_union,
-        [
-            F.array_distinct(
-                F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-            )
-            for n in lengths
-        ],
-    )
-    # only ids travel with the pieces; each text then meets the few values that it may contain
-    candidates = (
-        lowered.select(*ids, F.explode(pieces).alias("gram"))
+    pieces = [
+        F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        for n in _ANCHOR_LENGTHS
+    ]
+    meetings = (
+        numbered.select("_row", F.explode(F.concat(*pieces)).alias("gram"))
         .join(anchored, "gram")
-        .groupBy(*ids)
-        .agg(F.collect_list(F.struct("field", "place", "value", "_value")).alias("_known"))
-    )
-    hits = lowered.join(candidates, list(ids)).select(
-        *ids, F.inline(F.filter("_known", lambda k: F.col("_text").contains(k["_value"])))
+        .select("_row", "field", "place", "value", "_value")
     )
     return (
-        hits.groupBy(*ids, "field")
+        numbered.join(meetings, "_row")
+        .where(F.col("_text").contains(F.col("_value")))
+        .groupBy("_row", *ids, "field")
         .agg(F.min(F.struct("place", "value")).alias("first"))
         .select(*ids, "field", F.col("first.value").alias("value"))
     )

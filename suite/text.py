@@ -153,7 +153,30 @@ def intent_counts(spark, sf):
     return textmatch.intent_counts(table(spark, sf, "documents"), "text")
 
 
-_LANGUAGES = ("de", "en", "la")
+@query(
+    "value_mentions_long",
+    """WITH known AS (
+         SELECT 'name' AS field, c_custkey AS place, c_name AS value FROM customer
+         UNION ALL SELECT 'part', p_partkey, p_name FROM part
+         UNION ALL SELECT 'word', w, CAST(w AS VARCHAR) FROM range(1000, 12000) r(w)),
+       said AS (SELECT turn, role, text FROM conversations UNION ALL
+                SELECT o_orderkey % 3, NULL, o_orderpriority || o_orderkey FROM orders)
+       SELECT turn, role, field, value FROM (
+         SELECT s.n, s.turn, s.role, field, arg_min(value, place) AS value
+         FROM (SELECT *, row_number() OVER () AS n FROM said) s
+         JOIN known ON contains(lower(text), lower(value)) GROUP BY ALL)""",
+)
+def value_mentions_long(spark, sf):
+    """More than ten thousand values, and texts whose ids repeat or are null."""
+    customers = table(spark, sf, "customer").selectExpr("'name' AS field", "c_custkey AS place", "c_name AS value")
+    parts = table(spark, sf, "part").selectExpr("'part' AS field", "p_partkey AS place", "p_name AS value")
+    numbers = spark.range(1000, 12000).selectExpr("'word' AS field", "id AS place", "CAST(id AS string) AS value")
+    said = table(spark, sf, "conversations").select("turn", "role", "text")
+    orders = table(spark, sf, "orders").selectExpr(
+        "o_orderkey % 3 AS turn", "CAST(NULL AS string) AS role", "concat(o_orderpriority, o_orderkey) AS text"
+    )
+    values = customers.unionByName(parts).unionByName(numbers)
+    return textmatch.value_mentions(said.unionByName(orders), "text", ["turn", "role"], values)
 
 
 @query(
@@ -163,12 +186,13 @@ _LANGUAGES = ("de", "en", "la")
                  WHEN list_has_any(t, ['true', 'yes', 'y', '1']) THEN TRUE
                  WHEN list_has_any(t, ['false', 'no', 'n', '0']) THEN FALSE END AS value FROM words)
       SELECT doc_id, field, value FROM said
-      JOIN (VALUES ('de', ['de', 'false', 'true']), ('en', ['en', 'false', 'true']),
-                   ('la', ['la', 'false'])) f(field, known)
-        ON list_has_any(t, known) WHERE value IS NOT NULL""",
+      JOIN (SELECT DISTINCT lang AS field FROM documents) f ON list_contains(t, field)
+      WHERE value IS NOT NULL""",
 )
 def boolean_mentions(spark, sf):
+    """One boolean field per language of the documents."""
     documents = table(spark, sf, "documents")
-    flags = documents.select(*[(F.col("lang") == name).alias(name) for name in _LANGUAGES])
-    fields = textmatch.described_fields(column_profile(text_cells(flags)), "documents")
+    fields = documents.select(F.col("lang").alias("field")).distinct().select(
+        "field", F.lit("BOOLEAN").alias("type"), F.hash("field").alias("position")
+    )
     return textmatch.boolean_mentions(documents, "text", ["doc_id"], fields)

@@ -35,9 +35,7 @@ def texts(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
 
 
-@pytest.mark.parametrize("broadcast", [10_000, 0])
-def test_best_field(texts, fields, monkeypatch, broadcast):
-    monkeypatch.setattr(textmatch, "LARGEST_BROADCAST", broadcast)
+def test_best_field(texts, fields):
     found = textmatch.best_field(texts, "text", ["id"], fields).collect()
     expected = {}
     for i, text in enumerate(TEXTS):
@@ -59,9 +57,33 @@ def test_best_group_field(texts, fields):
     assert {r["id"]: (r["field"], r["score"]) for r in found} == expected
 
 
-@pytest.mark.parametrize("inline", [500, 0])
-def test_value_mentions(spark, texts, monkeypatch, inline):
-    monkeypatch.setattr(textmatch, "LARGEST_INLINE", inline)
+def test_null_and_repeated_ids_keep_every_text(spark, fields):
+    rows = [(1, "red car"), (None, "red boat"), (1, "blue boat"), (1, "blue boat"), (None, None)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    values = spark.createDataFrame(
+        [("c", 0, "red"), ("c", 1, "blue"), ("t", 0, "boat"), *(("x", k, f"none{k}") for k in range(600))],
+        "field string, place int, value string",
+    )
+    found = sorted(map(str, map(tuple, textmatch.value_mentions(texts, "text", ["id"], values).collect())))
+    assert found == sorted(map(str, [
+        (1, "c", "red"), (None, "c", "red"), (None, "t", "boat"),
+        (1, "c", "blue"), (1, "t", "boat"), (1, "c", "blue"), (1, "t", "boat"),
+    ]))
+    assert [r["field"] for r in textmatch.best_field(texts, "text", ["id"], fields).collect()] == ["region"] * 5
+
+
+def test_examples_do_not_name_a_boolean(spark):
+    fields = spark.createDataFrame(
+        [("is_late", 0, "BOOLEAN", "is_late false true"), ("paid", 1, "BOOLEAN", "paid false true"),
+         ("late_fee", 2, "DOUBLE", "late_fee 1.5")],
+        "field string, position int, type string, description string",
+    )
+    texts = spark.createDataFrame([(1, "is this true"), (2, "late: no"), (3, "paid"), (4, None)], "id long, text string")
+    found = textmatch.boolean_mentions(texts, "text", ["id"], fields).collect()
+    assert sorted(map(tuple, found)) == [(1, "is_late", True), (2, "is_late", False)]
+
+
+def test_value_mentions(spark, texts):
     listed = [
         ("region", 0, "South"), ("region", 1, "NORTH"), ("status", 0, "deliver"),
         ("status", 1, "status"), ("short", 0, "o"), ("blank", 0, ""), ("pattern", 0, "a.b"),
