@@ -50,17 +50,19 @@ def compare_scalar(
 def _grouped_deltas(
     approx: DataFrame, exact: DataFrame, spec: AggregateSpec, integral: bool
 ) -> DataFrame:
+    # groups meet by value, so that no value and the text NULL stay apart; labels come after
     approx_side = approx.select(
-        display.group_label(F.col("group_value")).alias("group_value"),
+        F.col("group_value").cast("string").alias("_met"),
         display.rounded(F.col("estimate"), spec, integral).alias("approx_estimate"),
     )
     truth = F.coalesce(F.col(spec.name).cast("double"), F.lit(0.0))
     exact_side = exact.select(
-        display.group_label(F.col(spec.group_by)).alias("group_value"),
+        F.col(spec.group_by).cast("string").alias("_group"),
         display.rounded(truth, spec, integral).alias("exact_value"),
     )
     return (
-        exact_side.join(approx_side, "group_value", "left")
+        exact_side.join(approx_side, F.col("_group").eqNullSafe(F.col("_met")), "left")
+        .withColumn("group_value", display.group_label(F.col("_group")))
         .withColumn("approx_estimate", F.coalesce("approx_estimate", F.lit(0.0)))
         .withColumn("_delta", F.abs(F.col("exact_value") - F.col("approx_estimate")))
         .withColumn("_delta_pct", _delta_pct(F.col("_delta"), F.col("exact_value")))

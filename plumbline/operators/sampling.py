@@ -84,11 +84,23 @@ def ladder(population: DataFrame) -> DataFrame:
 
 
 def value_columns(spec: AggregateSpec, column: str | None = None) -> list[str]:
-    """y and x of the estimators: NULL counts as 0, and has no weight in a mean."""
-    kind = "double" if spec.scale is None else f"decimal(18,{spec.scale})"
+    """y and x of the estimators: NULL counts as 0, and has no weight in a mean.
+
+    With a scale, a value that the scale would change is an error, as are NaN and infinities.
+    """
     column = f"`{column or spec.column}`"
     weight = "1L" if spec.agg == "sum" else f"if({column} is null, 0L, 1L)"
-    return [f"coalesce(cast({column} as {kind}), cast(0 as {kind})) as y", f"{weight} as x"]
+    if spec.scale is None:
+        return [f"coalesce(cast({column} as double), 0D) as y", f"{weight} as x"]
+    kind = f"decimal(18,{spec.scale})"
+    exact = f"try_cast({column} as {kind})"
+    told = f"concat('not a number of {spec.scale} decimal places: ', {column})"
+    value = (
+        f"case when {column} is null then cast(0 as {kind}) "
+        f"when cast({exact} as double) = cast({column} as double) then {exact} "
+        f"else cast(raise_error({told}) as {kind}) end"
+    )
+    return [f"{value} as y", f"{weight} as x"]
 
 
 def first_sums() -> list[Column]:

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from plumbline.functions.display import group_label
 from plumbline.operators.adaptive import with_estimates
 from plumbline.operators.method import MOST_GROUPS
 from plumbline.operators.sampling import STEP, SUM_COLUMNS, first_sums, value_columns
@@ -23,6 +22,8 @@ SHARED_READ_ROWS = (2_048, 16_384)
 class StepResult:
     """Where a run stands after a step; ``estimates`` has one row per group, or just one.
 
+    Groups are named by their value as text, and None where there is none.
+
     Files and bytes are those of all steps that the jobs so far have opened.
     """
 
@@ -46,7 +47,7 @@ def _group_sizes(layout: SampleLayout, spec: AggregateSpec) -> dict[str | None,
     """
     if spec.group_by is None:
         return {None: spec.filtered(layout.frame).count() if spec.where else layout.rows}
-    label = group_label(F.col(spec.group_by)).alias("label")
+    label = F.col(spec.group_by).cast("string").alias("label")
     counted = spec.projected(layout.frame).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     # one more than allowed is enough to refuse
     sizes = {r["label"]: r["n"] for r in counted.limit(MOST_GROUPS + 1).collect()}
@@ -94,8 +95,10 @@ def _estimates(
     frame, labels, types = layout.frame, list(sizes), _sum_types(spec)
     drawn = spec.projected(frame.where(F.col(STEP).isin(chunk)), STEP)
     if spec.group_by:
-        label = group_label(F.col(spec.group_by))
-        at = (F.array_position(F.lit(labels), label) - 1).cast("int").alias("at")
+        label = F.col(spec.group_by).cast("string")
+        known = F.array_position(F.array(*map(F.lit, labels)).cast("array<string>"), label) - 1
+        absent = labels.index(None) if None in labels else -1
+        at = F.when(label.isNull(), absent).otherwise(known).cast("int").alias("at")
     else:
         at = F.lit(0).alias("at")
     values = drawn.select(F.col(STEP).alias("step"), at, *[F.expr(v) for v in value_columns(spec)])

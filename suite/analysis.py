@@ -323,3 +323,24 @@ def history_table(spark, sf):
         runlog.append_run(spark, path, f"run-{i}", f"{rows}", name, name, created_at=when)
     history = runlog.newest_first(runlog.read_history(spark, path))
     return history.select("session_id", F.col("prompt").cast("long").alias("rows"))
+
+
+@query(
+    "compare_null_and_text_null",
+    """WITH told AS (
+         SELECT CASE l_returnflag WHEN 'A' THEN NULL WHEN 'N' THEN 'NULL' ELSE 'other' END AS g,
+                l_quantity AS v, l_linenumber AS n FROM lineitem)
+       SELECT coalesce(g, 'NULL') AS group_value,
+              coalesce(2 * sum(v) FILTER (n % 2 = 0), 0) AS approx_estimate, sum(v) AS exact_value
+       FROM told GROUP BY g""",
+)
+def compare_null_and_text_null(spark, sf):
+    """No value and the text NULL are two groups, on either side of a comparison."""
+    told = F.when(F.col("l_returnflag") == "N", "NULL").when(F.col("l_returnflag") != "A", "other")
+    df = table(spark, sf, "lineitem").withColumn("g", told)
+    spec = AggregateSpec("sum", "l_quantity", group_by="g", alias="total", scale=2)
+    half = exact.exact(df.where("l_linenumber % 2 = 0"), spec)
+    approx = half.select(F.col("g").alias("group_value"), (2 * F.col("total")).alias("estimate"))
+    return compare.compare_grouped(approx, exact.exact(df, spec), spec).select(
+        "group_value", "approx_estimate", "exact_value"
+    )

@@ -296,3 +296,27 @@ def method_choice(spark, sf):
         one = choose_method(table(spark, sf, name), spec).select(F.lit(case).alias("question"), "*")
         chosen = one if chosen is None else chosen.unionByName(one)
     return chosen
+
+
+@query(
+    "sum_with_nan",
+    """SELECT l_returnflag, l_linestatus, sum(v) AS total FROM (
+         SELECT l_returnflag, l_linestatus,
+                CASE WHEN l_returnflag = 'A' AND l_linenumber = 7 THEN 'NaN'::DOUBLE
+                     WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN NULL
+                     WHEN l_linestatus = 'O' AND l_linenumber = 3 THEN 'Infinity'::DOUBLE
+                     ELSE l_quantity END AS v
+         FROM lineitem) GROUP BY l_returnflag, l_linestatus""",
+)
+def sum_with_nan(spark, sf):
+    """Sums with a scale over values that have NaN, infinities and NULL among them."""
+    value = (
+        F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 7), float("nan"))
+        .when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), None)
+        .when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 3), float("inf"))
+        .otherwise(F.col("l_quantity"))
+    )
+    df = table(spark, sf, "lineitem").withColumn("v", value)
+    df = df.withColumn("g", F.concat("l_returnflag", "l_linestatus"))
+    found = ex.exact(df, AggregateSpec("sum", "v", group_by="g", alias="total", scale=2))
+    return found.selectExpr("substr(g, 1, 1) AS l_returnflag", "substr(g, 2, 1) AS l_linestatus", "total")
