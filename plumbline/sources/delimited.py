@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from plumbline.functions.names import column_names, slug
 from plumbline.sources.rows import Dataset, dataset
@@ -41,8 +44,14 @@ def read_delimited(
     """Rows as text cells: short rows padded, long rows cut, blank rows dropped.
 
     ``multi_line`` says whether quoted cells contain line breaks; by default the files are
-    searched for them. Such a file cannot be split, so each is then read by one task.
+    searched for them. Such a file cannot be split, so each is then read by one task, as is one
+    in an encoding of two or four bytes a sign.
+
+    All files of a folder must have the same header: a file with other names, or with them in
+    another order, is an error. Only headers with blank or repeated names are not compared.
     """
+    if re.match(r"utf-?(16|32)|ucs", encoding, re.IGNORECASE):
+        multi_line = True
     if multi_line is None:
         multi_line = has_cells_over_lines(spark, path)
     reader = _reader(spark, separator, encoding, multi_line)
@@ -51,15 +60,17 @@ def read_delimited(
         raise ValueError("the file is empty")
     if not any((cell or "").strip() for cell in header):
         raise ValueError("the file needs a header row")
-    names = column_names(header)
+    names, written = column_names(header), [cell or "" for cell in header]
+    comparable = all(w.strip() for w in written) and len({w.lower() for w in written}) == len(written)
+    schema = StructType([StructField(n, StringType()) for n in (written if comparable else names)])
     text = (
         _reader(spark, separator, encoding, multi_line)
         .option("header", True)
-        .option("enforceSchema", True)
-        .schema(", ".join(f"`{n}` string" for n in names))
+        .option("enforceSchema", not comparable)
+        .schema(schema)
         .csv(path)
     )
-    return dataset(slug(name), text)
+    return dataset(slug(name), text.toDF(*names))
 
 
 def read_csv(spark: SparkSession, path: str, name: str = "dataset", **options) -> Dataset:

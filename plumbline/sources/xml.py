@@ -60,28 +60,31 @@ def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def record_tags(spark: SparkSession, path: str) -> list[str]:
-    """Tags of the record elements.
+    """Tags of the record elements of all files.
 
-    All children of the root if one of its tags repeats; else the children of the first element
-    in document order that repeats a tag; else the root itself. Whole files are looked at, each
-    by one task; only tags come back to the driver.
+    Of each file all children of the root if one of its tags repeats; else the children of the
+    first element in document order that repeats a tag; else the root itself. Whole files are
+    looked at, each by one task; only distinct tags come back to the driver.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    outline = files.mapInPandas(_outlines, _OUTLINE)
-    per_parent = outline.groupBy("file", "parent", "parent_tag").agg(
-        (F.max("copies") > 1).alias("repeats"),
-        F.array_sort(F.collect_list(F.struct("place", "tag"))).alias("tags"),
+    per_parent = (
+        files.mapInPandas(_outlines, _OUTLINE)
+        .groupBy("file", "parent", "parent_tag")
+        .agg(
+            ((F.max("copies") > 1) & F.col("parent_tag").isNotNull()).alias("repeats"),
+            F.collect_list(F.struct("place", "tag")).alias("tags"),
+        )
     )
-    first_file = per_parent.agg(F.min("file")).scalar()
-    lines = per_parent.where(F.col("file") == first_file).collect()
-    chosen = min(
-        (line for line in lines if line["repeats"] and line["parent_tag"] is not None),
-        key=lambda line: line["parent"],
-        default=None,
+    # the first repeating parent, else the line that holds the root
+    order = F.struct(~F.col("repeats"), F.col("parent_tag").isNotNull(), "parent")
+    chosen = per_parent.groupBy("file").agg(F.min_by("tags", order).alias("tags"))
+    tags = (
+        chosen.select(F.explode("tags").alias("t"))
+        .groupBy("t.tag")
+        .agg(F.min("t.place").alias("place"))
+        .orderBy("place", "tag")
     )
-    if chosen is None:
-        chosen = next(line for line in lines if line["parent_tag"] is None)
-    return [tag["tag"] for tag in chosen["tags"]]
+    return [row["tag"] for row in tags.collect()]
 
 
 def _records(spark: SparkSession, path: str, tag: str) -> DataFrame:

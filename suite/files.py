@@ -261,6 +261,37 @@ def xml_source(spark, sf):
     return xml.read_xml(spark, path).stored(scratch_path(spark, "cells")).typed()
 
 
+@query(
+    "csv_many_files",
+    """SELECT n_nationkey AS key, n_name AS name FROM nation
+       UNION ALL SELECT c_custkey, c_name FROM customer""",
+)
+def csv_many_files(spark, sf):
+    """All rows of two tables, written as many files of one folder."""
+    path = scratch_path(spark, "csv")
+    for name, key, label in (("nation", "n_nationkey", "n_name"), ("customer", "c_custkey", "c_name")):
+        part = table(spark, sf, name).select(F.col(key).alias("Key"), F.col(label).alias("Name"))
+        part.repartition(3).write.mode("append").csv(path, header=True)
+    return delimited.read_csv(spark, path).typed()
+
+
+@query(
+    "xml_many_files",
+    """SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, NULL AS segment FROM supplier
+       UNION ALL SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer""",
+)
+def xml_many_files(spark, sf):
+    """All rows of two tables, whose files name their records differently."""
+    path = scratch_path(spark, "xml")
+    tables = {"supplier": ("s_suppkey", "s_name", "s_acctbal"),
+              "customer": ("c_custkey", "c_name", "c_acctbal", "c_mktsegment")}
+    for name, columns in tables.items():
+        names = ("id", "name", "balance", "segment")
+        part = table(spark, sf, name).select(*[F.col(c).cast("string").alias(n) for c, n in zip(columns, names)])
+        part.repartition(2).write.mode("append").format("xml").options(rowTag=name, rootTag="rows").save(path)
+    return xml.read_xml(spark, path).stored(scratch_path(spark, "cells")).typed()
+
+
 def _write_sqlite(folder: str):
     """Writes each partition of a frame as a SQLite file of its own.
 

@@ -175,6 +175,27 @@ def test_json_lines_are_records(spark, file_in):
     assert {r["b"] for r in lines.typed().collect()} == {1, 2}
 
 
+def test_csv_files_with_other_headers_are_an_error(spark, tmp_path):
+    for name, text in (("a.csv", "a,b\n1,x\n"), ("b.csv", "b,a\ny,2\n")):
+        (tmp_path / name).write_text(text)
+    with pytest.raises(Exception, match="header"):
+        delimited.read_csv(spark, str(tmp_path)).text.collect()
+
+
+def test_csv_of_two_bytes_a_sign(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_bytes("a,b\n1,ä\n2,ß\n".encode("utf-16"))
+    got = delimited.read_csv(spark, str(path), encoding="UTF-16").text.collect()
+    assert [tuple(r) for r in got] == [("1", "ä"), ("2", "ß")]
+
+
+def test_xml_files_may_name_their_records_differently(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<r><row><k>1</k></row><row><k>2</k></row></r>")
+    (tmp_path / "b.xml").write_text("<r><item><k>3</k></item><item><k>4</k></item></r>")
+    got = xml.read_xml(spark, str(tmp_path)).text.collect()
+    assert sorted(r["k"] for r in got) == ["1", "2", "3", "4"]
+
+
 def test_xml(spark, file_in):
     text = (
         "<rows><row><segment>consumer</segment><revenue>12.0</revenue></row>"
