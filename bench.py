@@ -1,8 +1,7 @@
 """Exact against approximate on one machine; prints one JSON line.
 
 Seconds are medians of warm runs, from building the frame to its last row on the driver. The
-sample layout and the sketches of a day are written before, as an import would do, and timed
-apart. ``BENCH_SF_DIR``, ``BENCH_CPUS`` and ``BENCH_RUNS`` choose the data, the cores and the runs.
+sample layout is written before, as an import would do, and timed apart. ``BENCH_SF_DIR``, ``BENCH_CPUS`` and ``BENCH_RUNS`` choose the data, the cores and the runs.
 """
 
 from __future__ import annotations

@@ -13,10 +13,17 @@ MOST_GROUPS = 16
 FEWEST_ROWS = 5_000
 
 
-def choose_method(df: DataFrame, spec: AggregateSpec) -> DataFrame:
+def choose_method(
+    df: DataFrame,
+    spec: AggregateSpec,
+    most_groups: int = MOST_GROUPS,
+    fewest_rows: int = FEWEST_ROWS,
+) -> DataFrame:
     """One row: ``method``, ``reason``, ``group_count``, ``filtered_rows``.
 
-    Methods: ``adaptive_sampling``, ``stratified_sampling``, ``hyperloglog``, ``exact``.
+    Methods: ``adaptive_sampling``, ``stratified_sampling``, ``hyperloglog``, ``exact``. More than
+    ``most_groups`` groups, or sums and means over fewer than ``fewest_rows`` filtered rows, are
+    answered exactly.
     """
     if spec.group_by is None:
         method, reason = (
@@ -38,10 +45,10 @@ def choose_method(df: DataFrame, spec: AggregateSpec) -> DataFrame:
     obstacles = [
         (F.lit(spec.agg == "count" and not spec.distinct), "grouped counts are answered exactly"),
         (F.col("group_count") == 0, "no rows pass the filters"),
-        (F.col("group_count") > MOST_GROUPS, f"more than {MOST_GROUPS} groups"),
+        (F.col("group_count") > most_groups, f"more than {most_groups} groups"),
         (
-            F.lit(not spec.distinct) & (F.col("filtered_rows") < FEWEST_ROWS),
-            f"fewer than {FEWEST_ROWS} filtered rows",
+            F.lit(not spec.distinct) & (F.col("filtered_rows") < fewest_rows),
+            f"fewer than {fewest_rows} filtered rows",
         ),
     ]
     obstacle = F.coalesce(*[F.when(holds, F.lit(text)) for holds, text in obstacles])

@@ -124,7 +124,7 @@ def window_samples(
         stream.groupBy(F.window(time, length).alias("window"), _slot(order, slots).alias("slot"))
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            F.min_by(F.struct(F.col(value).alias("v")), order.priority()).alias("drawn"),
+            F.min_by(F.struct(F.col(value).alias("v")), F.struct(order.priority(), *order.ties)).alias("drawn"),
         )
         .select(*_bounds(), "slot", "rows", F.col("drawn.v").alias("value"))
     )
