@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from plumbline.llm.common import lean
+
 #: rows a task gathers before it sends them on
-FLUSH_ROWS = 2_000_000
+FLUSH_ROWS = 1_000_000
 _SPREAD_ROWS = 50_000
 
 
@@ -43,6 +45,7 @@ def shared_rows(
         def flushed():
             nonlocal turn
             rows = np.concatenate(held)
+            held.clear()
             rows = rows[np.argsort(rows["key"], kind="stable")]
             key = rows["key"]
             fragment = (((key >> np.uint64(32)) * spread) >> np.uint64(32)).astype(np.int64)
@@ -80,7 +83,7 @@ def shared_rows(
                 size += len(rows)
                 if size >= FLUSH_ROWS:
                     yield flushed()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flushed()
 
@@ -117,8 +120,8 @@ def shared_rows(
             yield joined()
 
     return (
-        docs.mapInArrow(sent, "part int, known boolean, rows binary")
+        docs.mapInArrow(lean(sent), "part int, known boolean, rows binary")
         .repartition(parts, "part")
         .sortWithinPartitions("known", "part")
-        .mapInArrow(met, ", ".join(["key long", *(f"{n} long" for n in names)]))
+        .mapInArrow(lean(met), ", ".join(["key long", *(f"{n} long" for n in names)]))
     )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import _BYTE, _mixed, text_slices
+from plumbline.llm.common import _BYTE, _mixed, lean, text_slices
 from plumbline.llm.meeting import shared_rows
 from plumbline.session import stored
 
@@ -273,12 +273,12 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 )
 
     windows = docs.join(open_, "row").select("text", "cuts").mapInArrow(
-        cut, "key long, piece long, many long, low long, high long, bytes binary"
+        lean(cut), "key long, piece long, many long, low long, high long, bytes binary"
     )
     apart = (
         windows.repartition(parts, "key")
         .sortWithinPartitions("key")
-        .mapInArrow(_expanded(length), "key long, piece long, spans array<int>")
+        .mapInArrow(lean(_expanded(length)), "key long, piece long, spans array<int>")
     )
     whole = pieces.where("many > 1").select(
         "key", "piece",
@@ -349,5 +349,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fal
         keyed.join(spans, "row", "left")
         .join(times, "row", "left")
         .select("doc_id", "text", "spans", "times")
-        .mapInArrow(kept, schema + (", kept binary" if keep_text else ""))
+        .mapInArrow(lean(kept), schema + (", kept binary" if keep_text else ""))
     )

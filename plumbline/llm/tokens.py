@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import lean
+
 BLOCK = 256
 _MAGIC = b"PFR1"
 _HEAD = 7
@@ -271,7 +273,7 @@ def write_tokens(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange(parts, "doc_id")
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-        .mapInArrow(_chunks(tokenizer_path, end_id, percentile), _CHUNKS)
+        .mapInArrow(lean(_chunks(tokenizer_path, end_id, percentile)), _CHUNKS)
         .write.parquet(path)
     )
 
@@ -309,7 +311,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         )
     )
     found = files.mapInArrow(
-        _documents, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long"
+        lean(_documents), "doc_id long, shard int, start long, n_tokens long, ids_crc32 long"
     )
     return found.join(before, "shard").select(
         "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
