@@ -15,7 +15,6 @@ probability on documents of the training sample.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_slices, word_bounds, word_hashes, words_of
+from plumbline.llm.common import lean, text_slices, word_bounds, word_hashes, words_of
 
 #: labelled documents that training reads at most, per label
 MOST_TOXIC, MOST_CLEAN = 1_500, 3_000
@@ -33,7 +32,7 @@ MOST_TOXIC, MOST_CLEAN = 1_500, 3_000
 _SIGNS_OF, _SPAN = 4, 6
 _LONG, _STRIDE = 32, 24
 _KINDS = 32
-_MOST_CACHED = 1 << 21
+_MOST_CACHED = 1 << 20
 
 # Signs often written for letters.
 _LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -109,11 +108,11 @@ def _grouped(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for length, (places, own) in by_length.items():
         if not length:
             continue
-        for at in range(0, len(own), 10_000):
-            some = own[at : at + 10_000]
+        for at in range(0, len(own), 4_000):
+            some = own[at : at + 4_000]
             signs = np.full((len(some), length + 2), _EDGE, np.int32)
             signs[:, 1:-1] = _SIGNS[np.frombuffer(b"".join(some), np.uint8).reshape(-1, length)]
-            yield np.array(places[at : at + 10_000]), signs
+            yield np.array(places[at : at + 4_000]), signs
 
 
 class Detector:
@@ -168,8 +167,8 @@ class Landmarks:
     def kernel(self, words: list[bytes]) -> np.ndarray:
         """Kernel of each word with each landmark."""
         out = np.zeros((len(words), self.matrix.shape[1]), np.float32)
-        for first in range(0, len(words), 1_000):
-            rows, codes, values = self._listed(words[first : first + 1_000])
+        for first in range(0, len(words), 250):
+            rows, codes, values = self._listed(words[first : first + 250])
             at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
             shared = np.flatnonzero(self.codes[at] == codes)
             shared = shared[np.argsort(rows[shared], kind="stable")]
@@ -187,15 +186,21 @@ class Landmarks:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 30):
-    """Weights and shift that minimise the squared hinge loss, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w)) * penalty
-    ridge[-1, -1] = 1e-6
+    """Weights and shift that minimise the squared hinge loss, by Newton steps over blocks of rows."""
+    size = x.shape[1] + 1
+    w = np.zeros(size)
     for _ in range(rounds):
-        inside = y * (x @ w) < 1.0
-        own = x[inside] * weight[inside, None]
-        new = np.linalg.solve(own.T @ x[inside] + ridge, own.T @ y[inside])
+        bend, slope = np.eye(size) * penalty, np.zeros(size)
+        bend[-1, -1] = 1e-6
+        for at in range(0, len(x), 2_000):
+            rows = np.ones((min(2_000, len(x) - at), size))
+            rows[:, :-1] = x[at : at + 2_000]
+            label, each = y[at : at + 2_000], weight[at : at + 2_000]
+            inside = label * (rows @ w) < 1.0
+            own = rows[inside]
+            bend += (own * each[inside, None]).T @ own
+            slope += own.T @ (each[inside] * label[inside])
+        new = np.linalg.solve(bend, slope)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -230,72 +235,68 @@ def fit(
     if len(set(labels)) < 2:
         sure = 20.0 if len(labels) and label[0] else -20.0
         return Detector(nothing, 0.0, (0.0, sure), decay)
-    bags: list[list[bytes]] = []
+    known: dict[bytes, int] = {}
+    bags: list[np.ndarray] = []
     for t in texts:
         data = (t or "").encode()
         starts, ends = word_bounds(np.frombuffer(data, np.uint8))
         bag = {data[a:b].lower().strip(b".,;:!?\"'()") for a, b in zip(starts, ends)}
-        bags.append(sorted(bag | {w.lower() for w in spelled_words(data, starts, ends)}))
-    toxic, clean = Counter(), Counter()
+        bag.update(w.lower() for w in spelled_words(data, starts, ends))
+        bags.append(np.array([known.setdefault(w, len(known)) for w in sorted(bag)], np.int32))
+    words = list(known)
+    del known
+    toxic, clean = (np.zeros(len(words), np.int64) for _ in range(2))
     for bag, y in zip(bags, labels):
-        (toxic if y else clean).update(bag)
-    odds = _marking(toxic, clean, float(label.mean()))
-    if not odds:  # too few documents to tell: words of toxic documents alone
-        odds = {w: 1.0 for w in toxic if not clean[w] and len(w) >= 3} or {b"": 1.0}
+        (toxic if y else clean)[bag] += 1
+    long_enough = np.array([len(w) >= 3 for w in words])
+    gain = np.where(long_enough, _marking(toxic, clean, float(label.mean())), 0.0)
+    if not gain.any():  # too few documents to tell: words of toxic documents alone
+        gain = (long_enough & (toxic > 0) & (clean == 0)).astype(float)
     rng = np.random.default_rng(seed)
-    first = sorted(odds, key=lambda w: (-odds[w], w))
-    negatives = sorted(w for w in clean if len(w) >= 3 and w not in odds)
-    common = sorted(negatives, key=lambda w: (-clean[w], w))[:6_000]
-    rare = [negatives[i] for i in rng.permutation(len(negatives))[:10_000]]
-    negatives = list(dict.fromkeys([*common, *rare])) or [b""]
-    positives = set(first)
-    hard: list[bytes] = []
-    known = sorted({w for bag in bags for w in bag})
+    first = [int(k) for k in np.argsort(-gain, kind="stable") if gain[k] > 0]
+    negative = np.flatnonzero(long_enough & (clean > 0) & (gain == 0))
+    common = negative[np.argsort(-clean[negative], kind="stable")][:6_000]
+    rare = rng.permutation(negative)[:10_000]
+    negatives = list(dict.fromkeys([*common.tolist(), *rare.tolist()]))
+    if not first or not negatives:
+        return Detector(nothing, 0.0, (0.0, float(np.log(label.mean() / (1 - label.mean())))), decay)
+    positives, hard = set(first), []
     for turn in range(rounds):
-        chosen = first[: landmarks // 2]
-        others = hard[: landmarks // 3] + negatives
-        marks = list(dict.fromkeys([*chosen, *others]))[:landmarks]
-        space = Landmarks(marks, decay)
-        values, vectors = np.linalg.eigh(space.matrix.T.astype(float) @ space.matrix)
+        others = [*hard[: landmarks // 3], *negatives]
+        marks = list(dict.fromkeys([*first[: landmarks // 2], *others]))[:landmarks]
+        space = Landmarks([words[k] for k in marks], decay)
+        values, vectors = np.linalg.eigh((space.matrix.T @ space.matrix).astype(float))
         keep = values > 1e-4 * values.max()
-        root = vectors[:, keep] / np.sqrt(values[keep])
+        root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
         pos, neg = sorted(positives), sorted({*negatives, *hard} - positives)
-        x = space.kernel([*pos, *neg]) @ root
+        x = space.kernel([words[k] for k in [*pos, *neg]]) @ root
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-        often = np.sqrt([*(toxic[w] + 1.0 for w in pos), *(clean[w] + 1.0 for w in neg)])
+        often = np.sqrt(np.concatenate([toxic[pos], clean[neg]]) + 1.0)
         often[: len(pos)] *= 500 / often[: len(pos)].sum()
         often[len(pos) :] *= 2000 / often[len(pos) :].sum()
         w, shift = _svm(x, y, often, penalty)
-        detector = Detector(space.expanded(root @ w), float(shift), (1.0, 0.0), decay)
-        tops = _tops(detector, bags, known)
+        detector = Detector(space.expanded((root @ w).astype(np.float32)), float(shift), (1.0, 0.0), decay)
+        del space, x
+        scores = detector.words(words)
+        top = np.array([bag[scores[bag].argmax()] if len(bag) else -1 for bag in bags])
+        tops = np.where(top >= 0, scores[top], detector.base)
         if turn + 1 < rounds:
-            tops_clean = sorted(((s, w) for (s, w), l in zip(tops, labels) if not l), reverse=True)
-            line = tops_clean[len(tops_clean) // 50][0]
-            positives |= {w for (s, w), l in zip(tops, labels) if l and s > max(line, 0.0) and not clean[w]}
-            hard = list(dict.fromkeys([*(w for _, w in tops_clean[:600]), *hard]))
-    scores = np.array([s for s, _ in tops])
-    detector.scale = _logistic(scores, label)
+            by_score = [k for k in np.argsort(-tops, kind="stable") if not labels[k] and top[k] >= 0]
+            line = max(tops[by_score[len(by_score) // 50]], 0.0) if by_score else 0.0
+            positives |= {int(top[k]) for k in np.flatnonzero((label == 1) & (tops > line)) if not clean[top[k]]}
+            hard = list(dict.fromkeys([*(int(top[k]) for k in by_score[:600]), *hard]))
+    detector.scale = _logistic(tops, label)
     return detector
 
 
-def _marking(toxic: Counter, clean: Counter, share: float) -> dict[bytes, float]:
-    """Words found in toxic documents more often than chance explains, over all words tried."""
-    odds = {}
-    line = np.log(len(toxic) + 1) + 3.0
-    for w, n in toxic.items():
-        part = n / (n + clean[w])
-        if len(w) >= 3 and part > max(0.8, share):
-            rest = clean[w] * np.log((1 - part) / (1 - share)) if clean[w] else 0.0
-            gain = n * np.log(part / share) + rest
-            if gain > line:
-                odds[w] = gain
-    return odds
-
-
-def _tops(detector: Detector, bags: list[list[bytes]], known: list[bytes]) -> list[tuple[float, bytes]]:
-    """The highest score of each bag and its word."""
-    score = dict(zip(known, detector.words(known)))
-    return [max(((score[w], w) for w in bag), default=(detector.base, b"")) for bag in bags]
+def _marking(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Gain of words found in toxic documents more often than chance explains, over all words; else 0."""
+    both = np.maximum(toxic + clean, 1)
+    part = toxic / both
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = toxic * np.log(part / share) + np.where(clean > 0, clean * np.log((1 - part) / (1 - share)), 0.0)
+    wanted = (part > max(0.8, share)) & (gain > np.log((toxic > 0).sum() + 1) + 3.0)
+    return np.where(wanted, gain, 0.0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -395,7 +396,7 @@ def scored(docs: DataFrame, detector: Detector, least: float = 0.3) -> DataFrame
 
     return (
         docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text")
-        .mapInArrow(run, "doc_id long, score double")
+        .mapInArrow(lean(run), "doc_id long, score double")
         .select(
             "doc_id",
             held_out(F.col("doc_id")).alias("held_out"),
