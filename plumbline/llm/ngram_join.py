@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import _mixed, joined_by, text_slices, word_hashes, words_of
+from plumbline.llm.common import _mixed, joined_by, lean, text_slices, word_hashes, words_of
 from plumbline.llm.components import components
 from plumbline.llm.meeting import shared_rows
 from plumbline.session import stored
@@ -103,7 +103,7 @@ def set_table(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_shingles", "cls"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, cls long")
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -117,13 +117,12 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         held, size = [], 0
 
         def flushed():
-            values = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-            counts = np.diff(np.concatenate((at, [len(values)])))
-            often = counts > 2
-            return pa.RecordBatch.from_arrays(
-                [_signed(values[at[often]]), pa.array(counts[often])], names=["gram", "n"]
-            )
+            values = np.concatenate(held)
+            held.clear()
+            values.sort()
+            often = np.unique(values[2:][values[2:] == values[:-2]])
+            counts = np.searchsorted(values, often, "right") - np.searchsorted(values, often)
+            return pa.RecordBatch.from_arrays([_signed(often), pa.array(counts)], names=["gram", "n"])
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(1)):
@@ -132,12 +131,12 @@ def _frequent(docs: DataFrame) -> np.ndarray:
                 size += len(values)
                 if size >= _FLUSH:
                     yield flushed()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flushed()
 
     counts = stored(
-        docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams"
+        docs.mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams"
     )
     least = 8
     while counts.where(F.col("n") >= least).count() > MOST_FREQUENT:
@@ -183,8 +182,11 @@ def _shared_rows(docs: DataFrame, frequent, parts: int, percent: int) -> DataFra
     return shared_rows(docs, emit, _FIELDS, parts).withColumnRenamed("key", "gram").distinct()
 
 
-def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, n_a, n_b, shared`` of each pair of classes: partial overlaps by fragment, summed."""
+def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame, fragments: range) -> DataFrame:
+    """``a, b, shared, seen_a, seen_b`` of each pair of classes, summed over some fragments.
+
+    ``shared`` is the overlap in them, ``seen_a`` and ``seen_b`` are how much of either set they hold.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     of_class = table.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     ids = stored(of_class.join(wanted, "cls").select("doc_id", F.col("cls").alias("own")), "wanted")
@@ -199,7 +201,7 @@ def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
                     if key == batch.column(1)[first + k].as_py():
                         own = values[begin:end]
                         edges = np.searchsorted(own >> np.uint64(62), np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                        for f in range(FRAGMENTS):
+                        for f in fragments:
                             rows[0].append(key)
                             rows[1].append(f)
                             rows[2].append(own[edges[f] : edges[f + 1]].tobytes())
@@ -210,7 +212,7 @@ def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
                 )
 
     texts = joined_by(docs, ids, "doc_id", ids.count()).select("text", "own")
-    parts = texts.mapInArrow(cut, "cls long, fragment int, part binary").dropDuplicates(["cls", "fragment"])
+    parts = texts.mapInArrow(lean(cut), "cls long, fragment int, part binary").dropDuplicates(["cls", "fragment"])
     per_leader = pairs.groupBy("a").agg(F.ceil(F.count("*") / _MEMBERS).alias("salts"))
     members = (
         pairs.join(per_leader, "a")
@@ -227,7 +229,7 @@ def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, np.uint64)
         for batch in batches:
-            a, b, shared = [], [], []
+            a, b, shared, seen_a, seen_b = [], [], [], [], []
             columns = (batch.column(c).to_pylist() for c in ("a", "b", "part"))
             for leader, member, blob in zip(*columns):
                 values = np.frombuffer(blob, "<u8")
@@ -236,13 +238,16 @@ def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
                     continue
                 a.append(leader)
                 b.append(member)
+                seen_a.append(len(own))
+                seen_b.append(len(values))
                 if len(own) and len(values):
                     at = np.minimum(np.searchsorted(own, values), len(own) - 1)
                     shared.append(int((own[at] == values).sum()))
                 else:
                     shared.append(0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (a, b, shared)], names=["a", "b", "shared"]
+                [pa.array(x, pa.int64()) for x in (a, b, shared, seen_a, seen_b)],
+                names=["a", "b", "shared", "seen_a", "seen_b"],
             )
 
     spark = docs.sparkSession
@@ -251,15 +256,26 @@ def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "salt", "fragment")
         .sortWithinPartitions("a", "salt", "fragment", F.asc_nulls_first("b"))
         .select("a", "b", "part")
-        .mapInArrow(counted, "a long, b long, shared long")
+        .mapInArrow(lean(counted), "a long, b long, shared long, seen_a long, seen_b long")
     )
-    return partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    return partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("shared", "seen_a", "seen_b")])
 
 
 def _linked(docs: DataFrame, table: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    found = _overlaps(docs, table, pairs.select("a", "b"))
-    union = F.col("n_a") + F.col("n_b") - F.col("shared")
-    return pairs.join(found, ["a", "b"]).where(100 * F.col("shared") >= percent * union).select("a", "b")
+    """The pairs that link. Overlaps of the first fragment come first: a pair that could not link if
+    all that it has in the other fragments were shared needs no more."""
+    at_most = F.col("shared") + F.least(F.col("n_a") - F.col("seen_a"), F.col("n_b") - F.col("seen_b"))
+    first = _overlaps(docs, table, pairs.select("a", "b"), range(1))
+    open_ = stored(
+        pairs.join(first, ["a", "b"])
+        .where(100 * at_most >= percent * (F.col("n_a") + F.col("n_b") - at_most))
+        .select("a", "b", "n_a", "n_b", F.col("shared").alias("before")),
+        "open-pairs",
+    )
+    others = _overlaps(docs, table, open_.select("a", "b"), range(1, FRAGMENTS))
+    shared = F.col("before") + F.col("shared")
+    union = F.col("n_a") + F.col("n_b") - shared
+    return open_.join(others, ["a", "b"]).where(100 * shared >= percent * union).select("a", "b")
 
 
 def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -313,7 +329,7 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"),
         "more-pairs",
     )
-    links = links.unionByName(_linked(docs, table, more, percent))
+    links = links.unionByName(stored(_linked(docs, table, more, percent), "more-links"))
     groups = stored(components(links), "groups")
     per_class = (
         table.where("cls IS NOT NULL")
