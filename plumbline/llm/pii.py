@@ -2,10 +2,9 @@
 
 The field labels the words of a text with B, I or O for each kind, from the shapes of a word and
 its neighbours. It is trained on a small labelled table by gradient ascent on the likelihood
-(forward and backward sums over all paths), and decoded by Viterbi for many windows at once.
-Features depend on letters only by their shape, so a word without a digit, ``@`` or ``+`` and
-without such a neighbour within two words has the same features as any other, which the model
-must label O; windows therefore reach two words beyond the words that carry such a character.
+(forward and backward sums over all paths), and every word of every text is scored. A stretch of
+words whose scores cannot lift any label above O, whatever the labels around it, is O on the best
+path; only what is left is decoded by Viterbi, which gives the best path of the whole text.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +27,15 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: rows of the labelled table that training reads at most
 MOST_LABELLED = 5_000
 _REACH = 2
+#: features of a word on its own, before those of its neighbours
+_OWN = 6
+#: words that are scored at once, and words whose kind a task remembers
+_BLOCK, _REMEMBERED = 1 << 16, 1 << 20
 
 _SIGNAL = np.zeros(256, bool)
-_SIGNAL[[*b"0123456789@+"]] = True
+_SIGNAL[[*b"0123456789@"]] = True
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_CARRIES = re.compile(r"[0-9@+]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -133,9 +136,13 @@ def _length(digits: int) -> str:
     return str(digits) if digits <= 4 else "5-7" if digits < 8 else "8-12" if digits < 13 else "13+"
 
 
+def _plain(shaped: str) -> str:
+    return re.sub("[0-9].*?(?=[^0-9+-]|$)", "9", shaped)
+
+
 def _features(words: list[str]) -> list[list[str]]:
     shapes = ["^"] * _REACH + [shape(w) for w in words] + ["$"] * _REACH
-    plain = [re.sub("[0-9].*?(?=[^0-9+-]|$)", "9", s) for s in shapes]
+    plain = [_plain(s) for s in shapes]
     found = []
     for k, w in enumerate(words, _REACH):
         core = words[k - _REACH].strip(".,;:!?\"'")
@@ -267,21 +274,150 @@ class ChainField:
                     for i in some
                 ]
                 scores, _ = self._padded(ids)
-                value = scores[:, 0] + self.first
-                back = np.zeros((len(some), length, len(LABELS)), np.int64)
-                for t in range(1, length):
-                    step = value[:, :, None] + self.moves
-                    back[:, t] = step.argmax(axis=1)
-                    value = step.max(axis=1) + scores[:, t]
-                label = value.argmax(axis=1)
-                paths = np.empty((len(some), length), np.int64)
-                for t in range(length - 1, -1, -1):
-                    paths[:, t] = label
-                    label = back[np.arange(len(some)), t, label]
-                for i, path in zip(some, paths):
+                for i, path in zip(some, self.paths(scores, self.first, 0.0)):
                     best[i] = path
         return best
 
+    def paths(self, scores: np.ndarray, first: np.ndarray, last: np.ndarray | float) -> np.ndarray:
+        """The best path for each ``(sequence, place, label)``; ``first`` and ``last`` add at the ends."""
+        count, length = scores.shape[:2]
+        value = scores[:, 0] + first
+        back = np.zeros((count, length, len(LABELS)), np.int8)
+        for t in range(1, length):
+            step = value[:, :, None] + self.moves
+            back[:, t] = step.argmax(axis=1)
+            value = step.max(axis=1) + scores[:, t]
+        label = (value + last).argmax(axis=1)
+        paths = np.empty((count, length), np.int64)
+        for t in range(length - 1, -1, -1):
+            paths[:, t] = label
+            label = back[np.arange(count), t, label]
+        return paths
+
+
+class _Kinds(dict):
+    """Words to the number of their kind: words of a kind are equal in all that the field knows."""
+
+    def __init__(self, model: ChainField):
+        self.model, self.none = model, len(model.known)
+        joint = [(f[2:].split(f" {side}="), side, i) for f, i in model.known.items() for side in "np"
+                 if f.startswith("s=") and f" {side}=" in f]
+        self.plains = {p: i for i, p in enumerate(sorted({p for both, _, _ in joint for p in both}))}
+        self.wide = len(self.plains) + 1
+        self.joint = {}
+        for side in "np":
+            own = sorted((self.plains[a] * self.wide + self.plains[b], i) for (a, b), s, i in joint if s == side)
+            self.joint[side] = np.array(own, np.int64).reshape(-1, 2)
+        self.weights = np.vstack([model.weights, np.zeros(len(LABELS))])
+        self.numbers: dict[tuple, int] = {}
+        self.own: list[np.ndarray] = []
+        self.tables: list[np.ndarray] = []
+        self.start, self.end = self._numbered((), "^"), self._numbered((), "$")
+
+    def _numbered(self, own: tuple[int, ...], shaped: str) -> int:
+        known, plain = self.model.known, _plain(shaped)
+        around = (f"p={shaped}", f"n={shaped}", f"pp={plain}", f"nn={plain}")
+        kind = (own, *(known.get(f, self.none) for f in around), self.plains.get(plain, self.wide - 1))
+        number = self.numbers.setdefault(kind, len(self.numbers))
+        if number == len(self.own):
+            self.own.append(self.weights[list(own)].sum(axis=0))
+        return number
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        known = self.model.known
+        own = tuple(known[f] for f in _features([word])[0][:_OWN] if f in known)
+        self[word] = number = self._numbered(own, shape(word))
+        return number
+
+    def of(self, text: str) -> np.ndarray:
+        """Kinds of the words of a text, between those that stand for its start and its end."""
+        words = map(re.Match.group, _WORD.finditer(text))
+        kinds = np.fromiter(map(self.__getitem__, words), np.int32)
+        return np.concatenate(([self.start] * _REACH, kinds, [self.end] * _REACH)).astype(np.int32)
+
+    def scores(self, kinds: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """``(place, label)`` of some places of ``kinds``."""
+        if not self.tables or len(self.tables[0]) < len(self.own):
+            around = np.array([k[1:] for k in self.numbers], np.int64)
+            self.tables = [np.array(self.own), *(self.weights[around[:, i]] for i in range(4)), around[:, 4]]
+        own, p, n, pp, nn, plain = self.tables
+        found = own[kinds[at]]
+        for table, step in ((p, -1), (n, 1), (pp, -2), (nn, 2)):
+            found += table[kinds[at + step]]
+        for side, step in (("n", 1), ("p", -1)):
+            joint = self.joint[side]
+            if len(joint):
+                code = plain[kinds[at]] * self.wide + plain[kinds[at + step]]
+                row = np.minimum(np.searchsorted(joint[:, 0], code), len(joint) - 1)
+                found += self.weights[np.where(joint[row, 0] == code, joint[row, 1], self.none)]
+        return found
+
+
+class _Reader:
+    """Finds the words of whole texts that the best path labels with a kind."""
+
+    def __init__(self, model: ChainField):
+        self.model = model
+        if not model.known:
+            return
+        self.kinds = _Kinds(model)
+        stays = model.moves[0, 0]
+        #: the most that a label other than O can add by the move to it, and by the move back to O
+        self.enter = np.maximum(model.first - model.first[0], model.moves.max(axis=0) - stays)[1:]
+        self.leave = max(0.0, float(model.moves[1:, 0].max() - stays))
+
+    def labelled(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """``text, first word, labels`` of stretches of words outside of which all are O."""
+        if not self.model.known:
+            return
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            held.append((i, self.kinds.of(text)))
+            size += len(held[-1][1])
+            if size >= _BLOCK:
+                yield from self._block(held)
+                held, size = [], 0
+        if held:
+            yield from self._block(held)
+
+    def _block(self, held: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray]]:
+        flat = np.concatenate([k for _, k in held])
+        ends = np.cumsum([len(k) for _, k in held])
+        gain = np.empty(len(flat))
+        for a in range(_REACH, len(flat) - _REACH, _BLOCK):
+            b = min(a + _BLOCK, len(flat) - _REACH)
+            scores = self.kinds.scores(flat, np.arange(a, b))
+            gain[a:b] = (scores[:, 1:] - scores[:, :1] + self.enter).max(axis=1)
+        runs: dict[tuple, list[tuple[int, int, int]]] = defaultdict(list)
+        for (i, kinds), end in zip(held, ends.tolist()):
+            first, last = end - len(kinds) + _REACH, end - _REACH
+            own = gain[first:last]
+            if not len(own) or own.max() + self.leave < -1e-6:
+                continue
+            # the most that any stretch of words around each word can gain
+            sums = np.concatenate(([0.0], np.cumsum(own)))
+            most = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])
+            open_ = np.flatnonzero(most + self.leave >= -1e-6)
+            for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
+                if len(run):
+                    a, b = int(run[0]), int(run[-1])
+                    runs[b - a + 1, a == 0, b == len(own) - 1].append((i, a, first + a))
+        for (length, starts, ends_), some in runs.items():
+            for k in range(0, len(some), 4096):
+                part = some[k : k + 4096]
+                at = np.array([place for _, _, place in part])[:, None] + np.arange(length)
+                paths = self.model.paths(
+                    self.kinds.scores(flat, at.ravel()).reshape(len(part), length, len(LABELS)),
+                    self.model.first if starts else self.model.moves[0],
+                    0.0 if ends_ else self.model.moves[:, 0],
+                )
+                for (i, a, _), path in zip(part, paths):
+                    if path.any():
+                        yield i, a, path
+
 
 def labelled_words(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[str], list[int]]:
     """The words of a labelled text, and the label of each."""
@@ -303,23 +439,6 @@ def train(labelled: DataFrame, most_rows: int = MOST_LABELLED) -> ChainField:
     return ChainField().fit([labelled_words(r.text, [tuple(s) for s in r.spans or ()]) for r in rows])
 
 
-def _windows(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words, as spans, that hold every word near one with a digit, ``@`` or ``+``."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    near = sorted(
-        {j for i, (a, b) in enumerate(words) if _CARRIES.search(text, a, b)
-         for j in range(max(0, i - _REACH), min(len(words), i + _REACH + 1))}
-    )
-    runs: list[list[tuple[int, int]]] = []
-    last = None
-    for j in near:
-        if last is None or j != last + 1:
-            runs.append([])
-        runs[-1].append(words[j])
-        last = j
-    return runs
-
-
 def _plausible(kind: str, value: str) -> bool:
     """Numbers that the rules rejected by their digits stay rejected."""
     digits = re.sub("[^0-9]", "", value)
@@ -333,13 +452,27 @@ def _plausible(kind: str, value: str) -> bool:
 
 
 def added_spans(
-    model: ChainField, texts: list[str], base: list[dict[str, list[tuple[int, int]]]]
+    model: ChainField,
+    texts: list[str],
+    base: list[dict[str, list[tuple[int, int]]]],
+    reader: _Reader | None = None,
 ) -> list[dict[str, list[tuple[int, int]]]]:
-    """Spans that the field finds in each text and that touch none of ``base``."""
-    runs = [(i, run) for i, text in enumerate(texts) for run in _windows(text)]
-    paths = model.decode([[texts[i][a:b] for a, b in run] for i, run in runs])
+    """Spans that the field finds in each text and that touch none of ``base``.
+
+    ``reader`` may be one that has read other texts with the same ``model``.
+    """
+    by_text: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+    for i, first, path in (reader or _Reader(model)).labelled(texts):
+        by_text[i].append((first, path))
+    runs = []
+    for i, parts in by_text.items():
+        words, at = _WORD.finditer(texts[i]), 0
+        for first, path in sorted(parts, key=lambda x: x[0]):
+            run = [m.span() for m in islice(words, first - at, first - at + len(path))]
+            runs.append((i, run, path))
+            at = first + len(path)
     found: list[dict[str, list[tuple[int, int]]]] = [defaultdict(list) for _ in texts]
-    for (i, run), path in zip(runs, paths):
+    for i, run, path in runs:
         t = 0
         while t < len(run):
             if path[t] == 0:
@@ -375,19 +508,23 @@ def find_personal_data(docs: DataFrame, model: ChainField) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(model)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             carries = np.zeros(len(ids), bool)
             for first, last, data, offsets in text_slices(texts):
                 seen = np.concatenate(([0], np.cumsum(_SIGNAL[data])))
                 carries[first:last] = seen[offsets[1:]] > seen[offsets[:-1]]
-            some = [texts[int(i)].as_py() for i in np.flatnonzero(carries)]
-            base = [base_spans(t) for t in some]
-            more = added_spans(model, some, base)
+            some = [t or "" for t in texts.to_pylist()]
+            # no rule finds anything in a text without a digit or ``@``
+            base = [base_spans(t) if c else {k: [] for k in KINDS} for t, c in zip(some, carries)]
+            more = added_spans(model, some, base, reader)
             counts = np.zeros((len(KINDS), len(ids)), np.int64)
             hashes = [hashlib.sha256(b"").hexdigest()] * len(ids)
             spans = [""] * len(ids)
-            for i, b, m in zip(np.flatnonzero(carries), base, more):
+            for i, (b, m) in enumerate(zip(base, more)):
+                if not carries[i] and not m:
+                    continue
                 counts[:, i] = [len(b[k]) for k in KINDS]
                 hashes[i] = hashlib.sha256(listed(b).encode()).hexdigest()
                 spans[i] = listed({k: b[k] + m.get(k, []) for k in KINDS})

@@ -77,6 +77,41 @@ def test_field_on_unseen_sentences(field):
     assert not any(any(f.values()) for f in pii.added_spans(field, clean, [pii.base_spans(t) for t in clean]))
 
 
+OBFUSCATED = [
+    "please mail bob(at)example.org about it",
+    "write to carol[at]example.com for the files",
+    "we hope that dora(at)mail.example.net reads this",
+]
+
+
+def test_field_reads_words_without_digits(spark, field):
+    base = [pii.base_spans(t) for t in OBFUSCATED]
+    found = pii.added_spans(field, OBFUSCATED, base)
+    assert [[t[a:b] for a, b in f["email"]] for t, f in zip(OBFUSCATED, found)] == [
+        ["bob(at)example.org"], ["carol[at]example.com"], ["dora(at)mail.example.net"],
+    ]
+    rows = [(k, t, "a") for k, t in enumerate(OBFUSCATED)]
+    rows.append((3, "plain words (quietly), e.g. here; and a well-known [one] don't\n" * 3000 + OBFUSCATED[0], "a"))
+    got = {r.doc_id: r for r in pii.find_personal_data(frame(spark, rows), field).collect()}
+    assert [got[k].spans for k in range(3)] == ["email:12:30", "email:9:29", "email:13:37"]
+    at = len(rows[3][1]) - len(OBFUSCATED[0])
+    assert got[3].spans == f"email:{at + 12}:{at + 30}"
+    assert all(r.n_email == 0 and r.base_sha256 == got[0].base_sha256 for r in got.values())
+
+
+def test_whole_texts_are_decoded_as_by_viterbi(field):
+    rng = random.Random(5)
+    bits = ["a", "word,", "The", "bob(at)x.org", "c[at]d.com", "(555)", "010-4477", "192.0.2.9:80", "e.g.", "(see)", "2019",
+            "+1", "555.010.3344", "dead::beef", "don't", "30", "5550", "x" * 70, "^", "$", "é", "3.50", "[x]", "::"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    paths = [np.zeros(len(t.split()), int) for t in texts]
+    for i, first, path in pii._Reader(field).labelled(texts):
+        paths[i][first : first + len(path)] = path
+    want = field.decode([t.split() for t in texts])
+    assert [p.tolist() for p in paths] == [p.tolist() for p in want]
+    assert sum(p.any() for p in want) > 100
+
+
 def test_viterbi_finds_the_best_path(field):
     words = "call +1 (555) 010-4477 or 1.2.3.4 now".split()
     ids = [[field.known[f] for f in fs if f in field.known] for fs in pii._features(words)]
