@@ -16,40 +16,60 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for those whose ``doc_id`` is among ``ids(dropped)``."""
-    ids = stored(ids, "dropped")
-    few = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["dropped"]), "left_anti")
+def _sized(small: DataFrame) -> DataFrame:
+    """A stored side of a join, broadcast if it is short."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the string-kernel machine rejects go; others stay as they are."""
+    """Rows whose text the string-kernel machine rejects go; others stay as they are."""
     detector = toxicity.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    scores = toxicity.scored(docs, detector)
-    return _without(docs, scores.where("predicted = 1").select(F.col("doc_id").alias("dropped")).distinct())
+    return toxicity.clean(docs, detector)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: that with the smallest ``doc_id``.
+    """One row of each group of linked texts stays: that with the smallest ``doc_id``, null last.
 
-    Documents without shingles and those without an id are in no group and stay. Of rows that
-    repeat an id and its text one stays.
+    Texts are grouped by what they hold, so rows without an id are in groups too, and texts that
+    share an id are told apart; of texts with the same smallest id one stays. Documents without
+    shingles are in no group and stay, but of rows that repeat an id and its text one stays.
     """
-    groups = stored(ngram_join.similar_sets(docs), "groups")
-    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped"))
-    kept = _without(docs, copies.distinct())
-    ids = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    again = stored(ids.select(F.col("doc_id").alias("again")), "again")
-    if not again.count():
+    mark = F.xxhash64("text")
+    linked = ngram_join.similar_sets(docs.select(mark.alias("doc_id"), "text")).where("n_shingles > 0")
+    groups = stored(linked.select(F.col("doc_id").alias("mark"), "component_id").distinct(), "groups")
+    ids = docs.select("doc_id", mark.alias("mark"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    texts = stored(ids.groupBy("mark").agg(first, F.count("*").alias("n")).join(groups, "mark"), "texts")
+    best = (
+        texts.groupBy("component_id")
+        .agg(F.min(F.struct("first", "mark")).alias("best"), F.sum("n").alias("n_rows"))
+        .where("n_rows > 1")
+        .select("component_id", F.col("best.first.doc_id").alias("_id"), F.col("best.mark").alias("_own"))
+    )
+    of_text = texts.join(_sized(stored(best, "best")), "component_id").select(F.col("mark").alias("_mark"), "_own", "_id")
+    kept = (
+        docs.join(_sized(stored(of_text, "copies")), mark == F.col("_mark"), "left")
+        .where(F.col("_mark").isNull() | ((F.col("_mark") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id"))))
+        .select(*docs.columns)
+    )
+    again = (
+        ids.groupBy("doc_id", "mark").count().where("count > 1")
+        .join(groups, "mark", "left")
+        .where("doc_id IS NOT NULL OR component_id IS NOT NULL")
+        .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    )
+    again = stored(again, "again")
+    if again.isEmpty():
         return kept
-    twice = kept.join(again, kept["doc_id"] == again["again"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return _without(kept, again.select(F.col("again").alias("dropped"))).unionByName(twice)
+    again = _sized(again)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark"))
+    twice = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same, "left_anti").unionByName(twice)
 
 
 def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+    """Rows whose text holds a benchmark item go."""
+    return decontaminate.clean_rows(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

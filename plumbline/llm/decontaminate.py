@@ -133,7 +133,7 @@ def contained_items(
 
 
 def clean(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with the columns they came with."""
+    """The rows of ``docs`` whose id has no text that holds an item, with the columns they came with."""
     leaks = stored(contained_items(docs, items, **parameters).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     few = leaks.count() <= BROADCAST_ROWS
     return docs.join(
@@ -141,3 +141,13 @@ def clean(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
         docs["doc_id"].cast("long").eqNullSafe(F.col("_leak")),
         "left_anti",
     )
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no item, whatever their ids, with the columns they came with."""
+    mark = F.xxhash64("text")
+    texts = docs.select(mark.alias("doc_id"), "text")
+    leaks = contained_items(texts, items, **parameters).select(F.col("doc_id").alias("_leak")).distinct()
+    leaks = stored(leaks, "leaks")
+    few = leaks.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(leaks) if few else leaks, mark == F.col("_leak"), "left_anti")

@@ -192,13 +192,15 @@ def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame, fragments: ra
     ids = stored(of_class.join(wanted, "cls").select("doc_id", F.col("cls").alias("own")), "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for first, _, data, offsets in text_slices(batch.column(0)):
                 values, ends = sets_of(data, offsets)
                 keys = set_keys(values, ends).view(np.int64)
                 begin, rows = 0, ([], [], [])
                 for k, (key, end) in enumerate(zip(keys.tolist(), ends.tolist())):
-                    if key == batch.column(1)[first + k].as_py():
+                    if key == batch.column(1)[first + k].as_py() and key not in seen:
+                        seen.add(key)
                         own = values[begin:end]
                         edges = np.searchsorted(own >> np.uint64(62), np.arange(FRAGMENTS + 1, dtype=np.uint64))
                         for f in fragments:

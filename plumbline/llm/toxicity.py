@@ -375,6 +375,25 @@ class _Scorer:
         return tops
 
 
+def clean(docs: DataFrame, detector: Detector, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose own text is not predicted toxic (see ``scored``), with their columns."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(detector)
+        for batch in batches:
+            yield batch.filter(pa.array(_chances(scorer, batch.column(place)) < least))
+
+    return docs.mapInArrow(lean(run), docs.schema)
+
+
+def _chances(scorer: _Scorer, texts: pa.Array) -> np.ndarray:
+    tops = np.empty(len(texts))
+    for first, last, data, offsets in text_slices(texts):
+        tops[first:last] = scorer.texts(data, offsets)
+    return scorer.detector.probability(tops)
+
+
 def scored(docs: DataFrame, detector: Detector, least: float = 0.3) -> DataFrame:
     """Per row: ``doc_id, held_out, score, predicted``.
 
@@ -387,12 +406,8 @@ def scored(docs: DataFrame, detector: Detector, least: float = 0.3) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(detector)
         for batch in batches:
-            tops = np.empty(batch.num_rows)
-            for first, last, data, offsets in text_slices(batch.column(1)):
-                tops[first:last] = scorer.texts(data, offsets)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(detector.probability(tops))], names=["doc_id", "score"]
-            )
+            chances = _chances(scorer, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chances)], names=["doc_id", "score"])
 
     return (
         docs.selectExpr("CAST(doc_id AS long) AS doc_id", "CAST(text AS string) AS text")

@@ -114,3 +114,30 @@ def test_stages_on_odd_rows(spark, sf, stages):
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, odd.limit(0), sf).collect() == []
+
+
+def test_stages_decide_on_rows(spark, sf, stages):
+    """Null and repeated ids: a toxic, leaked or copied row goes alone."""
+    schema = stages[0].schema
+    rows = lambda some: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in some], schema)
+    left = lambda stage, some: sorted(((r.doc_id, r.text) for r in stage(spark, rows(some), sf).collect()), key=str)
+    by_key = lambda some: sorted(some, key=str)
+
+    scores = toxicity.scored(stages[0], toxicity.train(stages[0], spark.read.parquet(f"{sf}/labels.parquet")))
+    bad = scores.where("predicted = 1").join(stages[0], "doc_id").first().text
+    good = [r.text for r in stages[1].where("n_chars > 0").limit(3).collect()]
+    clean = [(None, good[0]), (7, good[1]), (None, None), (8, good[2]), (8, good[2])]
+    assert left(corpus_pipeline.toxic, [(None, bad), (7, bad), *clean]) == by_key(clean)
+
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text)
+    clean = [(None, "w " * 30), (7, "x y z"), (None, None), (8, "")]
+    assert left(corpus_pipeline.test_items, [(None, item), (7, item), (9, "a b " + item), *clean]) == by_key(clean)
+
+    base = " ".join(f"w{k}" for k in range(60))
+    near, other = base + " end", " ".join(f"v{k}" for k in range(60))
+    some = [(None, base), (None, near), (None, base), (None, other), (None, "u1 u2"), (None, None), (None, None)]
+    want = [(None, other), (None, "u1 u2"), (None, None), (None, None)]
+    got = left(corpus_pipeline.near_copies, some)
+    assert got in (by_key([*want, (None, base)]), by_key([*want, (None, near)]))
+    some = [(5, base), (6, near), (6, other), (7, base), (None, near), (5, "t1 t2 t3"), (5, base), (9, other + " end")]
+    assert left(corpus_pipeline.near_copies, some) == by_key([(5, base), (6, other), (5, "t1 t2 t3")])
