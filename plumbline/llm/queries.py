@@ -8,7 +8,10 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, licences, mixing, near_vectors, ngram_join, pii, pii_labels, repeats, tokens, toxicity, urls
+from plumbline.llm import (
+    decontaminate, licences, mixing, near_vectors, ngram_join, pii, pii_labels, quality, ranked, repeats, tokens, toxicity,
+    urls,
+)
 from plumbline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,6 +192,50 @@ def tiled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+@_query("op11_quadratic_quality")
+def quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.described(_table(spark, sf_dir, "documents"))
+    return quality.scored(stats, quality.train(stats, _table(spark, sf_dir, "labels")))
+
+
+_SEARCH_SQL = r"""
+WITH terms AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents WHERE text IS NOT NULL
+), docs AS (
+  SELECT row, doc_id, w AS words, len(w)::BIGINT AS n FROM terms WHERE len(w) > 0
+), totals AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS length FROM docs
+), postings AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(words) AS term FROM docs) GROUP BY row, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM postings, totals GROUP BY term, n_docs
+), asked AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), scores AS (
+  SELECT item_id, d.row, any_value(doc_id) AS doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // length))))::BIGINT AS score
+  FROM asked JOIN postings p USING (term) JOIN weights USING (term) JOIN docs d ON d.row = p.row, totals
+  GROUP BY item_id, d.row
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
+
+@_query("op13_stratified_search", _SEARCH_SQL)
+def stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
