@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    decontaminate, licences, mixing, near_vectors, ngram_join, pii, pii_labels, quality, ranked, repeats, tokens, toxicity,
+    alignment, decontaminate, licences, mixing, near_vectors, ngram_join, pii, pii_labels, quality, ranked, repeats, tokens, toxicity,
     urls,
 )
 from plumbline.session import scratch_path
@@ -231,6 +231,12 @@ SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
 """
 
 
+@_query("op12_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return alignment.aligned(docs, alignment.byte_tokenizer(), alignment.piece_tokenizer())
+
+
 @_query("op13_stratified_search", _SEARCH_SQL)
 def stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
