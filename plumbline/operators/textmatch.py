@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import mentions
+from plumbline.operators.profile import NUMERIC_TYPES
+
 # What a token is, and the words that name an aggregate.
 TOKEN = "[a-z0-9]+"
 INTENT_WORDS = {
@@ -24,9 +27,6 @@ FALSE_TOKENS = ("false", "no", "n", "0")
 GROUP_MARK = " by "
 GROUP_WEIGHT = 3
 
-#: a value is looked up by its first letters, as many of these as it has
-_ANCHOR_LENGTHS = (1, 2, 4)
-
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case tokens of a text."""
@@ -42,37 +42,41 @@ def described_fields(profile: DataFrame, table: str) -> DataFrame:
         "type",
         "position",
         words.alias("description"),
+        "examples",
     )
 
 
-def _dictionary(fields: DataFrame, words: str = "description") -> tuple[Column, Column]:
-    """Two scalar subqueries: all candidates, and the candidates of each token.
+def _field_index(fields: DataFrame) -> Column:
+    """All fields of a schema as one array, each with the set of tokens that describe it.
 
-    They hold the words that describe the columns of a schema: their size is that of the schema,
-    not of any table.
+    A scalar subquery whose size is that of the schema, not of any table.
     """
-    candidate = F.struct(F.negative("position").alias("rank"), "field")
-    everyone = fields.agg(F.collect_set(candidate).alias("all")).scalar()
-    listed = fields.select(candidate.alias("candidate"), F.explode(tokens(F.col(words))).alias("token"))
-    by_token = listed.groupBy("token").agg(F.collect_set("candidate").alias("candidates"))
-    entries = F.collect_list(F.struct("token", "candidates"))
-    return everyone, by_token.agg(F.map_from_entries(entries).alias("known")).scalar()
-
+    one = F.struct(
+        F.negative("position").alias("rank"), "field", tokens(F.col("description")).alias("tokens")
+    )
+    return fields.agg(F.collect_list(one).alias("index")).scalar()
 
-def _meetings(words: Column, known: Column) -> Column:
-    """The candidates that each word speaks for, one after another."""
-    none = F.array().cast("array<struct<rank:int,field:string>>")
-    return F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), none)))
 
+def _best(index: Column, words: Column, after: Column | None = None) -> Column:
+    """Highest score, the earliest field winning a tie; ``after`` are words that count once more each time.
 
-def _best(everyone: Column, met: Column) -> Column:
-    """Highest score, the earliest field winning a tie."""
+    Words that describe no field are dropped first, in one hashed pass; the few that are left are
+    intersected with the tokens of each field.
+    """
+    known = F.flatten(F.transform(index, lambda f: f["tokens"]))
 
-    def scored(candidate: Column) -> Column:
-        score = F.size(F.filter(met, lambda m: m == candidate))
-        return F.struct(score.cast("long").alias("score"), candidate.alias("candidate"))
+    def scored(f: Column, few: Column) -> Column:
+        score = F.size(F.array_intersect(few["words"], f["tokens"])).cast("long")
+        if after is not None:
+            score = score + GROUP_WEIGHT * F.size(F.array_intersect(few["after"], f["tokens"]))
+        return F.struct(score.alias("score"), f["rank"].alias("rank"), f["field"].alias("field"))
 
-    return F.array_max(F.transform(everyone, scored))
+    kept = [F.array_intersect(words, known).alias("words")]
+    if after is not None:
+        kept.append(F.array_intersect(after, known).alias("after"))
+    # a list of one line binds what is used for every field
+    scores = F.transform(F.array(F.struct(*kept)), lambda few: F.transform(index, lambda f: scored(f, few)))
+    return F.array_max(F.flatten(scores))
 
 
 def best_field(texts: DataFrame, text: str, ids: Sequence[str], fields: DataFrame) -> DataFrame:
@@ -81,12 +85,10 @@ def best_field(texts: DataFrame, text: str, ids: Sequence[str], fields: DataFram
     ``fields`` has ``field``, ``position`` and ``description``. A text without any shared token,
     also a null one, gets the first field, with score 0. Each text is scored inside its row.
     """
-    everyone, known = _dictionary(fields)
     words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
-    found = texts.select(*ids, words.alias("_words"), everyone.alias("_all"), known.alias("_known"))
-    met = found.select(*ids, "_all", _meetings(F.col("_words"), F.col("_known")).alias("_met"))
-    return met.select(*ids, _best(F.col("_all"), F.col("_met")).alias("best")).select(
-        *ids, F.col("best.candidate.field").alias("field"), F.col("best.score").alias("score")
+    found = texts.select(*ids, words.alias("_words"), _field_index(fields).alias("_index"))
+    return found.select(*ids, _best(F.col("_index"), F.col("_words")).alias("_best")).select(
+        *ids, F.col("_best.field").alias("field"), F.col("_best.score").alias("score")
     )
 
 
@@ -97,18 +99,24 @@ def best_group_field(
 
     Texts without the mark, or without any shared token, have no row.
     """
-    everyone, known = _dictionary(fields)
     lowered = F.lower(F.col(text))
-    after = tokens(F.substring_index(lowered, GROUP_MARK, -1))
-    words = F.concat(tokens(lowered), *[after] * GROUP_WEIGHT)
     found = texts.where(lowered.contains(GROUP_MARK)).select(
-        *ids, words.alias("_words"), everyone.alias("_all"), known.alias("_known")
+        *ids,
+        tokens(lowered).alias("_words"),
+        tokens(F.substring_index(lowered, GROUP_MARK, -1)).alias("_after"),
+        _field_index(fields).alias("_index"),
     )
-    met = found.select(*ids, "_all", _meetings(F.col("_words"), F.col("_known")).alias("_met"))
     return (
-        met.select(*ids, _best(F.col("_all"), F.col("_met")).alias("best"))
-        .where("best.score > 0")
-        .select(*ids, F.col("best.candidate.field").alias("field"), F.col("best.score").alias("score"))
+        found.select(*ids, _best(F.col("_index"), F.col("_words"), F.col("_after")).alias("_best"))
+        .where("_best.score > 0")
+        .select(*ids, F.col("_best.field").alias("field"), F.col("_best.score").alias("score"))
+    )
+
+
+def _said(words: Column) -> Column:
+    """True or false, if the words say so; a word for true wins."""
+    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, TRUE_TOKENS))), True).when(
+        F.arrays_overlap(words, F.array(*map(F.lit, FALSE_TOKENS))), False
     )
 
 
@@ -120,58 +128,112 @@ def boolean_mentions(
     Example values do not count as names. A word for true anywhere in the text wins over one for
     false; a text with neither has no row.
     """
-    _, known = _dictionary(fields.where(F.col("type") == "BOOLEAN"), "field")
-    said = F.when(F.arrays_overlap("_words", F.array(*map(F.lit, TRUE_TOKENS))), True).when(
-        F.arrays_overlap("_words", F.array(*map(F.lit, FALSE_TOKENS))), False
+    named = fields.where(F.col("type") == "BOOLEAN").select(
+        "field", "position", F.col("field").alias("description")
     )
     found = (
         texts.select(*ids, tokens(F.col(text)).alias("_words"))
-        .withColumn("value", said)
+        .withColumn("value", _said(F.col("_words")))
         .where(F.col("value").isNotNull())
-        .select(*ids, "value", "_words", known.alias("_known"))
+        .select(*ids, "value", "_words", _field_index(named).alias("_index"))
     )
-    met = F.array_distinct(_meetings(F.col("_words"), F.col("_known")))
+    met = F.filter("_index", lambda f: F.arrays_overlap(f["tokens"], "_words"))
     return found.select(*ids, "value", F.explode(met).alias("_met")).select(
         *ids, F.col("_met.field").alias("field"), "value"
     )
 
 
+def typed_questions(
+    texts: DataFrame, text: str, ids: Sequence[str], fields: DataFrame
+) -> DataFrame:
+    """Per row the question that its text asks of a table, fields being taken by type.
+
+    ``fields`` has ``field``, ``position``, ``type``, ``description`` and ``examples``. Result:
+    ``agg`` (see ``intent``), ``field`` (of a sum or mean the best numeric one, of a distinct count the
+    best of all, else null), ``group_field`` (the best one that is not numeric, in a text with a
+    " by " that names one) and ``filters``, an array of ``field`` and ``value`` in field order: of
+    a boolean field named in the text what the text says, of other fields that are not numeric the first
+    example that the text contains. Without a numeric field a sum or mean becomes a count. A null
+    text counts as an empty one.
+    """
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    numeric = F.col("type").isin(*NUMERIC_TYPES)
+    described = F.struct(
+        "position", "field", "type", tokens(F.col("field")).alias("names"),
+        F.transform(F.col("examples"), lambda e: F.struct(F.lower(e).alias("lowered"), e.alias("value"))).alias("examples"),
+    )
+    rows = texts.select(
+        *ids,
+        lowered.alias("_text"),
+        tokens(lowered).alias("_words"),
+        tokens(F.substring_index(lowered, GROUP_MARK, -1)).alias("_after"),
+        intent(lowered).alias("_agg"),
+        _field_index(fields).alias("_all"),
+        _field_index(fields.where(numeric)).alias("_numeric"),
+        _field_index(fields.where(~numeric)).alias("_other"),
+        fields.where(~numeric).agg(F.array_sort(F.collect_list(described)).alias("x")).scalar().alias("_described"),
+    )
+
+    def filtered(f: Column) -> Column:
+        held = F.filter(f["examples"], lambda e: (e["lowered"] != "") & F.contains("_text", e["lowered"]))
+        first = F.get(held, F.lit(0))["value"]
+        example = F.when(f["type"] == "BOOLEAN", F.lower(first).isin(*TRUE_TOKENS).cast("string")).otherwise(first)
+        named = (f["type"] == "BOOLEAN") & F.arrays_overlap(f["names"], "_words")
+        value = F.coalesce(F.when(named, _said(F.col("_words")).cast("string")), example)
+        return F.struct(f["field"].alias("field"), value.alias("value"))
+
+    found = rows.select(
+        *ids,
+        "_agg",
+        _best(F.col("_all"), F.col("_words")).alias("_any"),
+        _best(F.col("_numeric"), F.col("_words")).alias("_number"),
+        F.when(F.contains("_text", F.lit(GROUP_MARK)), _best(F.col("_other"), F.col("_words"), F.col("_after"))).alias("_group"),
+        F.filter(F.transform("_described", filtered), lambda v: v["value"].isNotNull()).alias("filters"),
+    )
+    wants = F.col("_agg").isin("sum", "avg")
+    return found.select(
+        *ids,
+        F.when(wants & F.col("_number").isNull(), "count").otherwise(F.col("_agg")).alias("agg"),
+        F.when(wants, F.col("_number.field")).when(F.col("_agg") == "distinct", F.col("_any.field")).alias("field"),
+        F.when(F.col("_group.score") > 0, F.col("_group.field")).alias("group_field"),
+        "filters",
+    )
+
+
 def value_mentions(
     texts: DataFrame, text: str, ids: Sequence[str], values: DataFrame
 ) -> DataFrame:
     """Per row and field the first of the field's values that the text contains, in any case.
 
-    ``values`` has ``field``, ``place`` (order within the field) and ``value``; lists of any length
-    take the same path. Values are joined by their first letters, and each meeting is checked in
-    full. Rows are told apart by a number of their own, so that null and repeated ids keep every
-    text; ``texts`` must give its rows in the same order when read again, as tables do.
+    ``values`` has ``field``, ``place`` (order within the field) and ``value``; lists of any length take
+    one path. A text is read once per block of values (``operators.mentions``): windows of the text are
+    looked up by hash, so the work grows with the texts and what they hold, not with texts times values.
+    Matches are folded inside the row; nothing is shuffled, and null and repeated ids keep every text.
     """
-    length = F.length("_value")
-    anchor = F.greatest(*[F.when(length >= n, n) for n in _ANCHOR_LENGTHS])
-    anchored = (
-        values.where(F.col("value") != "")
+    listed = (
+        values.where("value <> ''")
         .select("field", "place", "value", F.lower("value").alias("_value"))
-        .withColumn("gram", F.substring(F.col("_value"), F.lit(1), anchor))
+        .orderBy("field", F.asc_nulls_first("place"), "value")
     )
-    numbered = texts.select(
-        *ids, F.lower(F.col(text)).alias("_text"), F.monotonically_increasing_id().alias("_row")
-    ).where(F.col("_text").isNotNull())
-    # a look-ahead finds overlapping pieces in one pass over the text
-    pieces = [
-        F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-        for n in _ANCHOR_LENGTHS
-    ]
-    meetings = (
-        numbered.select("_row", F.explode(F.concat(*pieces)).alias("gram"))
-        .join(anchored, "gram")
-        .select("_row", "field", "place", "value", "_value")
-    )
-    return (
-        numbered.join(meetings, "_row")
-        .where(F.col("_text").contains(F.col("_value")))
-        .groupBy("_row", *ids, "field")
-        .agg(F.min(F.struct("place", "value")).alias("first"))
-        .select(*ids, "field", F.col("first.value").alias("value"))
+    rows = texts.select(*ids, F.lower(F.col(text)).alias("_text")).where(F.col("_text").isNotNull())
+    blocks = mentions.value_blocks(listed)
+    found = rows
+    for k, block in enumerate(blocks):
+        found = mentions.with_matches(found, f"_found{k}", block, "_text")
+    if not blocks:
+        return texts.sparkSession.createDataFrame(
+            [], texts.select(*ids).schema.add("field", "string").add("value", "string")
+        )
+    all_ = F.concat(*[F.col(f"_found{k}") for k in range(len(blocks))]) if len(blocks) > 1 else F.col("_found0")
+    met = found.where(F.size(all_) > 0).select(*ids, all_.alias("_all"))
+    if len(blocks) > 1:  # a field whose values fill several blocks keeps its first one
+        of_field = F.transform(
+            F.array_distinct(F.transform("_all", lambda m: m["field"])),
+            lambda name: F.array_min(F.filter("_all", lambda m: m["field"] == name)),
+        )
+        met = met.select(*ids, of_field.alias("_all"))
+    return met.select(*ids, F.explode("_all").alias("_m")).select(
+        *ids, F.col("_m.field").alias("field"), F.col("_m.value").alias("value")
     )
 
 

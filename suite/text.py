@@ -196,3 +196,62 @@ def boolean_mentions(spark, sf):
         "field", F.lit("BOOLEAN").alias("type"), F.hash("field").alias("position")
     )
     return textmatch.boolean_mentions(documents, "text", ["doc_id"], fields)
+
+
+_TYPED_FIELDS = """described AS (
+    SELECT * FROM (VALUES ('user_id', 1, 'INTEGER'), ('event_type', 3, 'TEXT'), ('value', 4, 'DOUBLE')) t(field, position, type)),
+  seen AS (
+    SELECT 'user_id' AS field, CAST(user_id AS VARCHAR) AS v FROM events
+    UNION SELECT 'event_type', event_type FROM events UNION SELECT 'value', CAST(value AS VARCHAR) FROM events),
+  examples AS (
+    SELECT field, list(v ORDER BY v) AS examples FROM (
+      SELECT *, row_number() OVER (PARTITION BY field ORDER BY v) AS nth FROM seen WHERE trim(v) <> '') WHERE nth <= 2 GROUP BY field),
+  fields AS (
+    SELECT field, position, type, examples, list_distinct(regexp_extract_all(
+      lower(field || ' ' || array_to_string(examples, ' ')), '[a-z0-9]+')) AS tokens FROM described JOIN examples USING (field))"""
+
+
+@query(
+    "typed_questions",
+    f"""WITH {_TYPED_FIELDS},
+  asked AS (
+    SELECT conv_id, turn, t, {_tokens("t")} AS words, {_tokens("string_split(t, ' by ')[-1]")} AS after,
+      CASE WHEN regexp_matches(t, 'unique|distinct|dedup') THEN 'distinct' WHEN regexp_matches(t, 'average|avg|mean') THEN 'avg'
+           WHEN regexp_matches(t, 'total|sum') THEN 'sum' ELSE 'count' END AS agg
+    FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations
+          UNION ALL SELECT event_id, 0, lower(event_type || ' total value by event type ' || event_id) FROM events
+          UNION ALL SELECT event_id, 1, 'average by value ' || value FROM events
+          UNION ALL SELECT event_id, 2, 'distinct user id ' || user_id FROM events)),
+  scored AS (
+    SELECT a.*, f.field, f.type, f.position, len(list_intersect(words, tokens)) AS score,
+      len(list_intersect(words, tokens)) + 3 * len(list_intersect(after, tokens)) AS group_score
+    FROM asked a CROSS JOIN fields f),
+  best AS (
+    SELECT conv_id, turn, t, agg,
+      arg_max(field, score * 100 - position) AS any_field,
+      arg_max(field, score * 100 - position) FILTER (type <> 'TEXT') AS number_field,
+      arg_max(field, group_score * 100 - position) FILTER (type = 'TEXT') AS other_field,
+      max(group_score) FILTER (type = 'TEXT') AS other_score
+    FROM scored GROUP BY ALL)
+  SELECT conv_id, turn, agg,
+    CASE WHEN agg IN ('sum', 'avg') THEN number_field WHEN agg = 'distinct' THEN any_field END AS field,
+    CASE WHEN contains(t, ' by ') AND other_score > 0 THEN other_field END AS group_field,
+    coalesce((SELECT 'event_type=' || list_filter(examples, lambda e: contains(t, lower(e)))[1] FROM fields
+              WHERE type = 'TEXT'), '') AS filters
+  FROM best""",
+)
+def typed_questions(spark, sf):
+    """Questions to the events table: what is summed must be a number, what is grouped by must not."""
+    events = table(spark, sf, "events")
+    fields = textmatch.described_fields(
+        column_profile(text_cells(events.select("event_id", "user_id", "ts", "event_type", "value"))), "events"
+    ).where(F.col("field").isin("user_id", "event_type", "value"))
+    said = (
+        table(spark, sf, "conversations").select("conv_id", "turn", "text")
+        .unionByName(events.selectExpr("event_id AS conv_id", "0 AS turn", "concat(event_type, ' total value by event type ', event_id) AS text"))
+        .unionByName(events.selectExpr("event_id AS conv_id", "1 AS turn", "concat('average by value ', value) AS text"))
+        .unionByName(events.selectExpr("event_id AS conv_id", "2 AS turn", "concat('distinct user id ', user_id) AS text"))
+    )
+    asked = textmatch.typed_questions(said, "text", ["conv_id", "turn"], fields)
+    shown = F.array_join(F.transform("filters", lambda f: F.concat_ws("=", f["field"], f["value"])), ";")
+    return asked.select("conv_id", "turn", "agg", "field", "group_field", shown.alias("filters"))

@@ -1,23 +1,25 @@
 """Text matching against plain Python."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 
-from plumbline.operators import textmatch
+from plumbline.operators import mentions, textmatch
 
 FIELDS = [
-    ("region", 0, "region North South"),
-    ("total_amount", 1, "total_amount order total 12"),
-    ("status", 2, "status delivered paid"),
+    ("harbour", 0, "harbour Bergen Turku"),
+    ("load_tons", 1, "load_tons cargo load 40"),
+    ("state", 2, "state moored sailing"),
 ]
 TEXTS = [
-    "Total amount by region please",
-    "how many delivered orders in the north",
+    "Load tons by harbour, please",
+    "how many moored ships in Bergen",
     "nothing fits",
     "",
-    "orders by status by region",
-    "status status status north",
+    "ships by state by harbour",
+    "state state state bergen",
 ]
 
 
@@ -69,7 +71,7 @@ def test_null_and_repeated_ids_keep_every_text(spark, fields):
         (1, "c", "red"), (None, "c", "red"), (None, "t", "boat"),
         (1, "c", "blue"), (1, "t", "boat"), (1, "c", "blue"), (1, "t", "boat"),
     ]))
-    assert [r["field"] for r in textmatch.best_field(texts, "text", ["id"], fields).collect()] == ["region"] * 5
+    assert [r["field"] for r in textmatch.best_field(texts, "text", ["id"], fields).collect()] == ["harbour"] * 5
 
 
 def test_examples_do_not_name_a_boolean(spark):
@@ -85,8 +87,8 @@ def test_examples_do_not_name_a_boolean(spark):
 
 def test_value_mentions(spark, texts):
     listed = [
-        ("region", 0, "South"), ("region", 1, "NORTH"), ("status", 0, "deliver"),
-        ("status", 1, "status"), ("short", 0, "o"), ("blank", 0, ""), ("pattern", 0, "a.b"),
+        ("harbour", 0, "Turku"), ("harbour", 1, "BERGEN"), ("state", 0, "moor"),
+        ("state", 1, "state"), ("short", 0, "o"), ("blank", 0, ""), ("pattern", 0, "a.b"),
     ]
     values = spark.createDataFrame(listed, "field string, place int, value string")
     found = textmatch.value_mentions(texts, "text", ["id"], values).collect()
@@ -111,3 +113,73 @@ def test_intents(spark):
     assert {r["text"]: r["intent"] for r in got} == cases
     counts = {r["intent"]: r["texts"] for r in textmatch.intent_counts(df, "text").collect()}
     assert counts == {"distinct": 1, "avg": 1, "sum": 1, "count": 2}
+
+
+def plain_mentions(texts, listed):
+    out = []
+    for i, text in texts:
+        firsts = {}
+        for field, place, value in sorted(listed):
+            if value and text is not None and value.lower() in text.lower():
+                firsts.setdefault(field, value)
+        out += [(i, field, value) for field, value in firsts.items()]
+    return sorted(map(str, out))
+
+
+def test_value_mentions_of_every_length(spark, monkeypatch):
+    rng = random.Random(8)
+    bits = ["ab", "a", "B", "é", "É", "#", " ", "0", "世", "Straße"]
+    texts = [(k if k % 7 else None, "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))) for k in range(300)]
+    texts += [(1, None), (2, ""), (3, "ab" * 5000)]
+    pick = lambda: "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+    listed = [(f"f{rng.randint(0, 4)}", rng.randint(0, 99), pick()) for _ in range(400)]
+    listed += [("long", k, t[a : a + n]) for k in range(40) for _, t in [texts[k]] for a, n in [(k % 9, 16 + k)] if t[a : a + n]]
+    df = spark.createDataFrame(texts, "id long, text string")
+    values = spark.createDataFrame(listed, "field string, place int, value string")
+    want = plain_mentions(texts, listed)
+    found = textmatch.value_mentions(df, "text", ["id"], values)
+    assert sorted(map(str, map(tuple, found.collect()))) == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(mentions, "BLOCK_BYTES", 500)
+    blocks = textmatch.value_mentions(df, "text", ["id"], values).collect()
+    assert sorted(map(str, map(tuple, blocks))) == want
+
+
+def test_values_with_a_common_beginning_meet_no_text_for_nothing():
+    index = mentions.ValueIndex([f"customer#{k:09d}".encode() for k in range(2000)])
+    texts = [b"the customer asked for a customer", b"customer#", b"see customer#000000077 and customer#00000007"] * 100
+    offsets = np.cumsum([0, *map(len, texts)])
+    pairs_of, value, looked = index.candidates(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert looked == 100
+    assert set(value) == {77} and list(pairs_of) == list(range(2, 300, 3))
+
+
+def test_no_values(spark, texts):
+    values = spark.createDataFrame([("a", 0, ""), ("b", 0, None)], "field string, place int, value string")
+    found = textmatch.value_mentions(texts, "text", ["id"], values)
+    assert found.columns == ["id", "field", "value"] and found.count() == 0
+
+
+def test_typed_questions(spark):
+    fields = spark.createDataFrame(
+        [("price", 0, "DOUBLE", "price 9.5", ["9.5"]), ("weight", 1, "INTEGER", "weight 3", ["3"]),
+         ("city", 2, "TEXT", "city Lima Oslo", ["Lima", "Oslo"]), ("is_gift", 3, "BOOLEAN", "is_gift no yes", ["no", "yes"]),
+         ("day", 4, "DATE", "day 2024-02-01", ["2024-02-01"])],
+        "field string, position int, type string, description string, examples array<string>",
+    )
+    asked = {
+        "Total weight by city": ("sum", "weight", "city", []),
+        "average of Oslo and lima by day": ("avg", "price", "day", [("city", "Lima")]),
+        "unique city": ("distinct", "city", None, []),
+        "how many were a gift: true on 2024-02-01": ("count", None, None, [("is_gift", "true"), ("day", "2024-02-01")]),
+        "sum without gift, 0": ("sum", "price", None, [("is_gift", "false")]),
+        "is it yes": ("count", None, None, [("is_gift", "true")]),
+        "rows by no": ("count", None, "is_gift", [("is_gift", "false")]),
+        None: ("count", None, None, []),
+    }
+    df = spark.createDataFrame([(t,) for t in asked], "text string")
+    got = textmatch.typed_questions(df, "text", ["text"], fields).collect()
+    assert {r["text"]: (r["agg"], r["field"], r["group_field"], [tuple(f) for f in r["filters"]]) for r in got} == asked
+    words = fields.where("type IN ('TEXT', 'DATE')")
+    got = textmatch.typed_questions(df, "text", ["text"], words).collect()
+    assert {r["text"]: r["agg"] for r in got}["Total weight by city"] == "count"
