@@ -31,8 +31,8 @@ from plumbline.llm.common import _mixed, lean, stored
 SHARDS = 256
 #: bytes of texts whose pairs are asked for together, and of those aligned at a time
 RUN_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
-#: words a task remembers the alignment of, before it forgets all
-MOST_UNITS = 150_000
+#: words a worker remembers the alignment of; beyond, it keeps those it meets most often
+MOST_UNITS = 500_000
 #: pairs asked for per branch of a shard, and branches summed in one step of the tree
 BRANCH_PAIRS, FAN_IN = 4_000_000, 16
 _WIDE_GROUP = 4096
@@ -41,7 +41,7 @@ _WIDE_GROUP = 4096
 _W = r"\s\u180e\u200b\ufeff"
 #: a word with the blanks before it; it ends before a blank (U+0020) that follows another sign than white space
 _UNIT = re.compile(rf"[{_W}]*[^{_W}]+(?:(?! )[{_W}]+[^{_W}]*)*(?:[{_W}]+\Z)?|[{_W}]+\Z")
-_PLAIN = re.compile(rf" [^{_W}]+")
+_OPEN = re.compile(rf"[{_W}]\Z")
 
 
 def byte_tokenizer() -> str:
@@ -83,7 +83,8 @@ _NO_PAIRS = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 class Aligner:
     """Both tokenizers and the alignment of words seen so far."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, digests: bool = True):
+        self.digests = digests
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -100,16 +101,36 @@ class Aligner:
             raise ValueError("words cannot be aligned one by one: a piece goes on after a blank")
         self.size_a = np.array([len(x) for x in self.bytes_a])
         self.size_b = np.array([len(x) for x in self.bytes_b])
-        self.forget()
+        # how an id is written inside a group, and at the end of its side of the group
+        self.said_a, self.said_b = (
+            np.array([[f"{k}{sign}" for k in range(len(of))] for sign in signs], object)
+            for of, signs in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))
+        )
+        self.digits = np.array([len(str(k)) + 1 for k in range(max(len(self.bytes_a), len(self.bytes_b)))])
+        self._start()
 
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode()
 
-    def forget(self) -> None:
+    def _start(self) -> None:
         self.known: dict[str, int] = {}
         self.units = Units(np.zeros((0, 4), np.int64), np.zeros(0, bool), [], np.zeros(0, np.int64), *_NO_PAIRS)
-        self.first = np.zeros(0, np.int64)
+        self.first = self.uses = np.zeros(0, np.int64)
+
+    def _trim(self) -> None:
+        """Keeps the half of the words that were met most often, none that was met once."""
+        least = max(2, int(np.partition(self.uses, len(self.uses) // 2)[len(self.uses) // 2]) + 1)
+        kept = np.flatnonzero(self.uses >= least)
+        words = list(self.known)
+        at, _ = self.pairs_of(kept)
+        u = self.units
+        self.known = {words[k]: i for i, k in enumerate(kept.tolist())}
+        self.units = Units(
+            u.counts[kept], u.whole[kept], [u.digests[k] for k in kept.tolist()], u.sizes[kept], u.pairs[at], u.weights[at]
+        )
+        self.first = np.cumsum(self.units.sizes) - self.units.sizes
+        self.uses = self.uses[kept] // 2
 
     def _ids(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         found = self.a.encode_batch_fast(texts, add_special_tokens=False)
@@ -130,12 +151,7 @@ class Aligner:
         links = per_a * per_b
         total = lambda values: np.bincount(unit, values, len(ends)).astype(np.int64)
         counts = np.stack([total(per_a), total(per_b), total(np.ones(len(both))), total(links)], axis=1)
-        said_a, said_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        cut_a, cut_b = ([0, *np.cumsum(n).tolist()] for n in (per_a, per_b))
-        said = [
-            ",".join(said_a[cut_a[g] : cut_a[g + 1]]) + "|" + ",".join(said_b[cut_b[g] : cut_b[g + 1]]) for g in range(len(both))
-        ]
-        cut = [0, *np.cumsum(np.bincount(unit, minlength=len(ends))).tolist()]
+        digests = self._digests(ends, a, b, in_a, in_b, per_a, per_b, unit) if self.digests else [""] * len(ends)
         weight_a, weight_b = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
         if len(links) and links.max() > _WIDE_GROUP:  # long runs of one sign: equal ids of a group count as one
             key, weight_a = np.unique(in_a * len(self.bytes_a) + a, return_counts=True)
@@ -150,10 +166,21 @@ class Aligner:
         pairs = (np.repeat(a, each).astype(np.uint64) << np.uint64(32)) | b[at_b].astype(np.uint64)
         sizes = np.bincount(unit[np.repeat(in_a, each)], minlength=len(ends))
         return Units(
-            counts, np.ones(len(ends), bool), [";".join(said[cut[k] : cut[k + 1]]) for k in range(len(ends))],
-            sizes, pairs, np.repeat(weight_a, each) * weight_b[at_b],
+            counts, np.ones(len(ends), bool), digests, sizes, pairs, np.repeat(weight_a, each) * weight_b[at_b],
         )
 
+    def _digests(self, ends, a, b, in_a, in_b, per_a, per_b, unit) -> list[str]:
+        """The groups of each word as text: ids of A, a bar, ids of B; semicolons between groups."""
+        start_a, start_b = np.cumsum(per_a) - per_a, np.cumsum(per_b) - per_b
+        last_a, last_b = ((np.diff(g, append=-1) != 0).astype(np.int64) for g in (in_a, in_b))
+        parts = np.empty(len(a) + len(b), object)
+        parts[np.arange(len(a)) + start_b[in_a]] = self.said_a[last_a, a]
+        parts[np.arange(len(b)) + start_a[in_b] + per_a[in_b]] = self.said_b[last_b, b]
+        text = "".join(parts.tolist())
+        size = np.bincount(unit[in_a], self.digits[a], len(ends)) + np.bincount(unit[in_b], self.digits[b], len(ends))
+        cut = [0, *np.cumsum(size).astype(np.int64).tolist()]
+        return [text[x : y - 1] for x, y in zip(cut, cut[1:])]
+
     def _one_by_one(self, words: list[str]) -> Iterator[Units]:
         for word, (a, b) in zip(words, self._ids(words)):
             data = word.encode()
@@ -163,11 +190,12 @@ class Aligner:
                 yield Units(np.zeros((1, 4), np.int64), np.zeros(1, bool), [""], np.zeros(1, np.int64), *_NO_PAIRS)
 
     def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        others = [w for w in words if not _PLAIN.fullmatch(w)]
+        # words that end in white space could go on; all others are cut off by the blank of the next one
+        closed = [w for w in words if not _OPEN.search(w)]
+        open_ = [w for w in words if _OPEN.search(w)] if len(closed) < len(words) else []
         order, found = [], []
-        for at in range(0, len(plain), 8192):
-            some = plain[at : at + 8192]
+        for at in range(0, len(closed), 8192):
+            some = closed[at : at + 8192]
             joined = "".join(some)
             a, b = next(self._ids([joined]))
             data = joined.encode()
@@ -176,28 +204,34 @@ class Aligner:
                 found.append(self._linked(np.cumsum([len(w.encode()) for w in some]), a, b))
             else:
                 found.extend(self._one_by_one(some))
-        order += others
-        found.extend(self._one_by_one(others))
+        order += open_
+        found.extend(self._one_by_one(open_))
         self.known.update(zip(order, range(len(self.known), len(self.known) + len(order))))
         all_ = [self.units, *found]
+        digests = self.units.digests
+        for u in found:
+            digests += u.digests
         self.units = Units(
             *(np.concatenate([getattr(u, f) for u in all_]) for f in ("counts", "whole")),
-            [d for u in all_ for d in u.digests],
+            digests,
             *(np.concatenate([getattr(u, f) for u in all_]) for f in ("sizes", "pairs", "weights")),
         )
         self.first = np.cumsum(self.units.sizes) - self.units.sizes
+        self.uses = np.append(self.uses, np.zeros(len(order), np.int64))
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts as places in ``units``, and how many each text has."""
         each = [_UNIT.findall(" " + t) if t else [] for t in texts]
         flat = [w for ws in each for w in ws]
         new = set(flat).difference(self.known)
-        if len(self.known) + len(new) > MOST_UNITS:
-            self.forget()
-            new = set(flat)
+        if len(self.known) + len(new) > MOST_UNITS and self.known:
+            self._trim()
+            new = set(flat).difference(self.known)
         if new:
-            self.learn(sorted(new))
-        return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)), np.array([len(ws) for ws in each], np.int64)
+            self.learn(list(new))
+        places = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        self.uses += np.bincount(places, minlength=len(self.known))
+        return places, np.array([len(ws) for ws in each], np.int64)
 
     def pairs_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``pairs`` of all links of the given words, and how many places each word has."""
@@ -206,14 +240,15 @@ class Aligner:
         return np.repeat(self.first[units] - done + each, each) + np.arange(int(done[-1]) if len(done) else 0), each
 
 
-_aligners: dict[tuple[str, str], Aligner] = {}
+_aligners: dict[tuple[str, str, bool], Aligner] = {}
 
 
-def _aligner(paths: tuple[str, str]) -> Aligner:
-    """One aligner per Python worker."""
-    if paths not in _aligners:
-        _aligners[paths] = Aligner(*paths)
-    return _aligners[paths]
+def _aligner(paths: tuple[str, str], digests: bool) -> Aligner:
+    """One aligner per Python worker and pass: words learnt in one task serve the next ones."""
+    if (*paths, digests) not in _aligners:
+        _aligners.clear()
+        _aligners[*paths, digests] = Aligner(*paths, digests)
+    return _aligners[*paths, digests]
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -330,7 +365,7 @@ def _asked(paths: tuple[str, str]):
     """Distinct pairs of each run with the number of its documents that hold them, dealt to shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(paths)
+        aligner = _aligner(paths, False)
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         now = None
@@ -503,7 +538,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _looked_up(paths: tuple[str, str], best: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(paths)
+        aligner = _aligner(paths, True)
         now, keys, counts = None, [], []
         for number, batch in _by_run(batches):
             if number != now:
@@ -590,7 +625,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             .mapInArrow(lean(_added), summed)
         )
     counts = stored(functions.join(vectors.select("shard", "vector"), "shard"), "alignment-counts")
-    best = np.zeros(len(_aligner(paths).bytes_a), np.int64)
+    best = np.zeros(Aligner(*paths).a.get_vocab_size(with_added_tokens=True), np.int64)
     highest = counts.select("keys", "vector").mapInArrow(lean(_highest), "a long, best long")
     for r in highest.groupBy("a").agg(F.max("best").alias("best")).collect():  # at most one line per id of A
         best[r["a"]] = r["best"]
