@@ -294,7 +294,9 @@ def index(docs: DataFrame, items: Items) -> tuple[DataFrame, np.ndarray]:
     held = found.where("kind = 0 AND size(terms) > 0").selectExpr(
         f"50 + (50 * n * {n_docs}) div {length} AS m", "doc_id", "salt", "terms", "tfs"
     )
-    blocks = held.repartitionByRange(parts, "m", "salt").sortWithinPartitions("m").mapInArrow(lean(_blocks), _BLOCKS)
+    # strata go to partitions in hashed order, so that those of long documents do not meet in one
+    dealt = held.repartitionByRange(parts, F.xxhash64("m"), "m", "salt").sortWithinPartitions("m")
+    blocks = dealt.mapInArrow(lean(_blocks), _BLOCKS)
     return stored(blocks, "ranked-index"), weights
 
 
