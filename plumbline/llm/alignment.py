@@ -32,7 +32,7 @@ SHARDS = 256
 #: bytes of texts whose pairs are asked for together, and of those aligned at a time
 RUN_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 #: words a worker remembers the alignment of; beyond, it keeps those it meets most often
-MOST_UNITS = 500_000
+MOST_UNITS = 350_000
 #: pairs asked for per branch of a shard, and branches summed in one step of the tree
 BRANCH_PAIRS, FAN_IN = 4_000_000, 16
 _WIDE_GROUP = 4096
@@ -83,8 +83,7 @@ _NO_PAIRS = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 class Aligner:
     """Both tokenizers and the alignment of words seen so far."""
 
-    def __init__(self, path_a: str, path_b: str, digests: bool = True):
-        self.digests = digests
+    def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -151,7 +150,7 @@ class Aligner:
         links = per_a * per_b
         total = lambda values: np.bincount(unit, values, len(ends)).astype(np.int64)
         counts = np.stack([total(per_a), total(per_b), total(np.ones(len(both))), total(links)], axis=1)
-        digests = self._digests(ends, a, b, in_a, in_b, per_a, per_b, unit) if self.digests else [""] * len(ends)
+        digests = self._digests(ends, a, b, in_a, in_b, per_a, per_b, unit)
         weight_a, weight_b = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
         if len(links) and links.max() > _WIDE_GROUP:  # long runs of one sign: equal ids of a group count as one
             key, weight_a = np.unique(in_a * len(self.bytes_a) + a, return_counts=True)
@@ -240,15 +239,15 @@ class Aligner:
         return np.repeat(self.first[units] - done + each, each) + np.arange(int(done[-1]) if len(done) else 0), each
 
 
-_aligners: dict[tuple[str, str, bool], Aligner] = {}
+_aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def _aligner(paths: tuple[str, str], digests: bool) -> Aligner:
-    """One aligner per Python worker and pass: words learnt in one task serve the next ones."""
-    if (*paths, digests) not in _aligners:
+def _aligner(paths: tuple[str, str]) -> Aligner:
+    """One aligner per Python worker: words learnt in one task serve the next ones, of either pass."""
+    if paths not in _aligners:
         _aligners.clear()
-        _aligners[*paths, digests] = Aligner(*paths, digests)
-    return _aligners[*paths, digests]
+        _aligners[paths] = Aligner(*paths)
+    return _aligners[paths]
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -365,7 +364,7 @@ def _asked(paths: tuple[str, str]):
     """Distinct pairs of each run with the number of its documents that hold them, dealt to shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(paths, False)
+        aligner = _aligner(paths)
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         now = None
@@ -538,7 +537,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _looked_up(paths: tuple[str, str], best: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(paths, True)
+        aligner = _aligner(paths)
         now, keys, counts = None, [], []
         for number, batch in _by_run(batches):
             if number != now:
