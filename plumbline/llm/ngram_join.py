@@ -1,15 +1,17 @@
 """Jaccard self-join of word n-gram sets by vertical partitioning.
 
 All n-grams stand in one global order: by a hash, the frequent ones last. Two sets that are
-similar enough share one of the first n-grams of each (its prefix), so only sets that meet in a
-prefix are compared. The order is cut into fragments: the prefixes of all sets meet fragment by
-fragment, and for each candidate pair the overlap is counted in every fragment on its own and
-summed per pair.
+similar enough share one of the first n-grams of each (its prefix), the smaller one even among fewer
+of its first (its lead), and the places of the first n-gram they share leave room for the
+overlap they need. Only such pairs are compared. The order is cut into fragments: the prefixes of all sets
+meet fragment by fragment, and for each pair the overlap is counted in every fragment on its own
+and summed per pair.
 
 Sets that are equal form a class and are compared once. Classes that share an n-gram are not
-paired with one another: each is compared with one leader, components are formed, and only
-classes that still lie in different components are paired after that. No link that joins two
-components is left out, and a group of thousands of near copies costs one comparison each.
+paired with one another: each is compared with one leader, then with a few neighbours in a random order of
+those that still lie in different components, and only what is apart after that is paired in full. No
+link that joins two components is left out, and a group of thousands of near copies costs a few
+comparisons each.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import _mixed, joined_by, lean, text_slices, word_hashes, words_of
+from plumbline.llm.common import BROADCAST_ROWS, _mixed, lean, text_slices, word_hashes, words_of
 from plumbline.llm.components import components
 from plumbline.llm.meeting import shared_rows
 from plumbline.session import stored
@@ -36,7 +38,11 @@ MOST_FREQUENT = 1_000_000
 #: n-grams a task gathers before it sends them on
 _FLUSH = 4_000_000
 #: prefix rows that a fragment is meant to hold, and members per leader and task
-_FRAGMENT_ROWS, _MEMBERS = 1_000_000, 2_000
+_FRAGMENT_ROWS, _MEMBERS = 1_000_000, 500
+#: neighbours that a class is compared with per n-gram in each round, before all that is still apart is paired
+NEIGHBOURS = (2, 4, 8)
+#: classes of an n-gram that are put in one random order
+_BLOCK = 4_000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                      0xFF51AFD7ED558CCD], np.uint64)
@@ -88,7 +94,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, cls`` per row; ``cls`` is null for empty sets."""
+    """``doc_id, n_shingles, cls, mark`` per row; ``cls`` is null for empty sets, ``mark`` a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,11 +105,12 @@ def set_table(docs: DataFrame) -> DataFrame:
                 keys.append(set_keys(values, ends))
             keys = np.concatenate(keys)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(sizes)), pa.array(keys.view(np.int64), mask=keys == 0)],
-                names=["doc_id", "n_shingles", "cls"],
+                [batch.column(0), pa.array(np.concatenate(sizes)), pa.array(keys.view(np.int64), mask=keys == 0), batch.column(2)],
+                names=["doc_id", "n_shingles", "cls", "mark"],
             )
 
-    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, cls long")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return marked.mapInArrow(lean(run), "doc_id long, n_shingles long, cls long, mark long")
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -145,7 +152,8 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
 
 
-_FIELDS = [("cls", "<i8"), ("n", "<u4")]
+_FIELDS = [("cls", "<i8"), ("n", "<u4"), ("pos", "<u2")]
+_LAST_PLACE = 0xFFFF
 
 
 def _prefix(values: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -161,7 +169,10 @@ def _prefix(values: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarra
 
 
 def _shared_rows(docs: DataFrame, frequent, parts: int, percent: int) -> DataFrame:
-    """``gram, cls, n`` of every prefix n-gram that two or more classes hold."""
+    """``gram, cls, n, pos`` of every prefix n-gram that two or more classes hold, ``pos`` from 0.
+
+    Places beyond 65,535 are given as that: a smaller place only lets more pairs through.
+    """
     seen: set[int] = set()  # of the task, once it is there
 
     def emit(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -174,6 +185,7 @@ def _shared_rows(docs: DataFrame, frequent, parts: int, percent: int) -> DataFra
                     own = _prefix(values[begin:end], frequent.value, percent)
                     rows = np.empty(len(own), [("key", "<u8"), *_FIELDS])
                     rows["key"], rows["cls"], rows["n"] = own, cls, end - begin
+                    rows["pos"] = np.minimum(np.arange(len(own)), _LAST_PLACE)
                     parts_of.append(rows)
                 begin = end
             if parts_of:
@@ -182,14 +194,21 @@ def _shared_rows(docs: DataFrame, frequent, parts: int, percent: int) -> DataFra
     return shared_rows(docs, emit, _FIELDS, parts).withColumnRenamed("key", "gram").distinct()
 
 
-def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame, fragments: range) -> DataFrame:
-    """``a, b, shared, seen_a, seen_b`` of each pair of classes, summed over some fragments.
-
-    ``shared`` is the overlap in them, ``seen_a`` and ``seen_b`` are how much of either set they hold.
-    """
+def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, shared`` of each pair of classes, the overlaps of all fragments summed."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    of_class = table.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    ids = stored(of_class.join(wanted, "cls").select("doc_id", F.col("cls").alias("own")), "wanted")
+    of_class = table.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("mark", "doc_id")).alias("row"))
+    ids = stored(
+        of_class.join(wanted, "cls").select(
+            F.col("row.mark").alias("mark"), F.col("row.doc_id").alias("id"), F.col("cls").alias("own")
+        ),
+        "wanted",
+    )
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    marked = docs.withColumn("own_mark", F.xxhash64("text"))
+    texts = marked.join(
+        small, (marked["own_mark"] == small["mark"]) & marked["doc_id"].eqNullSafe(small["id"])
+    ).select("text", "own")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -203,7 +222,7 @@ def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame, fragments: ra
                         seen.add(key)
                         own = values[begin:end]
                         edges = np.searchsorted(own >> np.uint64(62), np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                        for f in fragments:
+                        for f in range(FRAGMENTS):
                             rows[0].append(key)
                             rows[1].append(f)
                             rows[2].append(own[edges[f] : edges[f + 1]].tobytes())
@@ -213,8 +232,8 @@ def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame, fragments: ra
                     names=["cls", "fragment", "part"],
                 )
 
-    texts = joined_by(docs, ids, "doc_id", ids.count()).select("text", "own")
-    parts = texts.mapInArrow(lean(cut), "cls long, fragment int, part binary").dropDuplicates(["cls", "fragment"])
+    # rows that repeat an id and its text give a part again; it stands beside the first and is passed over
+    parts = stored(texts.mapInArrow(lean(cut), "cls long, fragment int, part binary"), "parts")
     per_leader = pairs.groupBy("a").agg(F.ceil(F.count("*") / _MEMBERS).alias("salts"))
     members = (
         pairs.join(per_leader, "a")
@@ -229,27 +248,27 @@ def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame, fragments: ra
     )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.empty(0, np.uint64)
+        own, last = np.empty(0, np.uint64), None
         for batch in batches:
-            a, b, shared, seen_a, seen_b = [], [], [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("a", "b", "part"))
-            for leader, member, blob in zip(*columns):
+            a, b, shared = [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("a", "salt", "fragment", "b", "part"))
+            for leader, salt, fragment, member, blob in zip(*columns):
+                if last == (leader, salt, fragment, member):
+                    continue
+                last = leader, salt, fragment, member
                 values = np.frombuffer(blob, "<u8")
                 if member is None:
                     own = values
                     continue
                 a.append(leader)
                 b.append(member)
-                seen_a.append(len(own))
-                seen_b.append(len(values))
                 if len(own) and len(values):
                     at = np.minimum(np.searchsorted(own, values), len(own) - 1)
                     shared.append(int((own[at] == values).sum()))
                 else:
                     shared.append(0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (a, b, shared, seen_a, seen_b)],
-                names=["a", "b", "shared", "seen_a", "seen_b"],
+                [pa.array(x, pa.int64()) for x in (a, b, shared)], names=["a", "b", "shared"]
             )
 
     spark = docs.sparkSession
@@ -257,27 +276,71 @@ def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame, fragments: ra
         members.unionByName(leaders)
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "salt", "fragment")
         .sortWithinPartitions("a", "salt", "fragment", F.asc_nulls_first("b"))
-        .select("a", "b", "part")
-        .mapInArrow(lean(counted), "a long, b long, shared long, seen_a long, seen_b long")
+        .mapInArrow(lean(counted), "a long, b long, shared long")
     )
-    return partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("shared", "seen_a", "seen_b")])
+    return partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
 def _linked(docs: DataFrame, table: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link. Overlaps of the first fragment come first: a pair that could not link if
-    all that it has in the other fragments were shared needs no more."""
-    at_most = F.col("shared") + F.least(F.col("n_a") - F.col("seen_a"), F.col("n_b") - F.col("seen_b"))
-    first = _overlaps(docs, table, pairs.select("a", "b"), range(1))
-    open_ = stored(
-        pairs.join(first, ["a", "b"])
-        .where(100 * at_most >= percent * (F.col("n_a") + F.col("n_b") - at_most))
-        .select("a", "b", "n_a", "n_b", F.col("shared").alias("before")),
-        "open-pairs",
+    """The pairs that link, stored."""
+    union = F.col("n_a") + F.col("n_b") - F.col("shared")
+    found = pairs.join(_overlaps(docs, table, pairs.select("a", "b")), ["a", "b"])
+    return stored(found.where(100 * F.col("shared") >= percent * union).select("a", "b"), "links")
+
+
+class _Candidates:
+    """Which rows of an n-gram make a pair worth comparing. ``a`` is the smaller set."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        #: places among which the smaller set of a similar pair shares an n-gram
+        self.lead = F.expr(f"pos < n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
+
+    def pairs(self, met: DataFrame, a: str, b: str) -> DataFrame:
+        """``a, b, n_a, n_b`` of the structs ``a`` and ``b`` (``n, cls, pos``) that can still link."""
+        x, y = F.col(a), F.col(b)
+        reach = F.least(x["n"] - x["pos"], y["n"] - y["pos"]) * (100 + self.percent)
+        return (
+            met.where(F.struct(x["n"], x["cls"]) < F.struct(y["n"], y["cls"]))
+            .where(100 * x["n"] >= self.percent * y["n"])
+            .where(reach >= self.percent * (x["n"] + y["n"]))
+            .select(x["cls"].alias("a"), y["cls"].alias("b"), x["n"].alias("n_a"), y["n"].alias("n_b"))
+            .distinct()
+        )
+
+
+def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of n-grams whose classes lie in several components: ``gram, row, lead, component, m``, stored."""
+    placed = rows.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn(
+        "component", F.coalesce("component", "cls")
+    )
+    split = placed.groupBy("gram").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")
+    )
+    return stored(
+        placed.join(split.where("low < high").select("gram", "m"), "gram").select(
+            "gram", F.struct("n", "cls", "pos").alias("row"), "lead", "component", "m"
+        ),
+        "apart",
     )
-    others = _overlaps(docs, table, open_.select("a", "b"), range(1, FRAGMENTS))
-    shared = F.col("before") + F.col("shared")
-    union = F.col("n_a") + F.col("n_b") - shared
-    return open_.join(others, ["a", "b"]).where(100 * shared >= percent * union).select("a", "b")
+
+
+def _neighbours(apart: DataFrame, width: int, turn: int) -> DataFrame:
+    """Rows of an n-gram beside the next few in a random order, if in another component: ``x, y``."""
+    block = F.pmod(F.xxhash64("row.cls", F.lit(-turn)), F.ceil(F.col("m") / _BLOCK))
+    me = F.struct("row", "lead", "component")
+    window = Window.partitionBy("gram", "block").orderBy(F.xxhash64("row.cls", F.lit(turn)), "row.cls")
+    met = (
+        apart.withColumn("block", block)
+        .select("lead", "component", "row", F.collect_list(me).over(window.rowsBetween(1, width)).alias("others"))
+        .select("lead", "component", "row", F.explode("others").alias("other"))
+        .where(F.col("component") != F.col("other.component"))
+    )
+    return met.select("row", "lead", "other").where(
+        F.when(F.struct("row.n", "row.cls") < F.struct("other.row.n", "other.row.cls"), F.col("lead")).otherwise(
+            F.col("other.lead")
+        )
+    ).select(F.least("row", "other.row").alias("x"), F.greatest("row", "other.row").alias("y"))
 
 
 def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -298,40 +361,26 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     frequent = spark.sparkContext.broadcast(_frequent(docs))
     prefix_rows = total * (100 - percent) // 100
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prefix_rows // _FRAGMENT_ROWS))
-    rows = stored(_shared_rows(docs, frequent, parts, percent), "prefixes")
-    leader = rows.groupBy("gram").agg(F.min(F.struct("n", "cls")).alias("lead"))
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    pairs = stored(
-        rows.join(leader, "gram")
-        .select(F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"))
-        .where(F.col("a") != F.col("b"))
-        .where(fits)
-        .distinct(),
-        "pairs",
-    )
-    links = stored(_linked(docs, table, pairs, percent), "links")
-    groups = stored(components(links), "groups")
-    grouped = rows.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn(
-        "component", F.coalesce("component", "cls")
-    )
-    split = grouped.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    apart = stored(
-        grouped.join(split.where("low < high").select("gram"), "gram").select("gram", "cls", "n", "component"),
-        "apart",
-    )
-    x = apart.select("gram", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    y = apart.select("gram", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    more = stored(
-        x.join(y, "gram")
-        .where(F.col("of_a") < F.col("of_b"))
-        .where(fits)
-        .select("a", "b", "n_a", "n_b")
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-        .join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"),
-        "more-pairs",
-    )
-    links = links.unionByName(stored(_linked(docs, table, more, percent), "more-links"))
+    candidates = _Candidates(percent)
+    rows = stored(_shared_rows(docs, frequent, parts, percent).withColumn("lead", candidates.lead), "prefixes")
+    leader = rows.where("lead").groupBy("gram").agg(F.min(F.struct("n", "cls", "pos")).alias("x"))
+    met = rows.join(leader, "gram").select("x", F.struct("n", "cls", "pos").alias("y"))
+    compared = stored(candidates.pairs(met, "x", "y"), "pairs")
+    links = _linked(docs, table, compared, percent)
+    for turn, width in enumerate([*NEIGHBOURS, None]):
+        groups = stored(components(links), "groups")
+        apart = _apart(rows, groups)
+        if width is None:
+            x = apart.where("lead").select("gram", F.col("row").alias("x"), F.col("component").alias("of_x"))
+            y = apart.select("gram", F.col("row").alias("y"), F.col("component").alias("of_y"))
+            met = x.join(y, "gram").where("of_x != of_y")
+        else:
+            met = _neighbours(apart, width, turn + 1)
+        pairs = stored(candidates.pairs(met, "x", "y").join(compared, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        links = links.unionByName(_linked(docs, table, pairs, percent))
+        compared = compared.unionByName(pairs)
     groups = stored(components(links), "groups")
     per_class = (
         table.where("cls IS NOT NULL")

@@ -70,6 +70,61 @@ def test_join_edge_cases(spark):
     assert ngram_join.similar_sets(docs.limit(0)).collect() == []
 
 
+def near_group(seed, count, edits, size=120):
+    """Copies of one text, each with some words of its own."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(3000)}" for _ in range(size)]
+    rows = []
+    for k in range(count):
+        own = list(base)
+        for e in range(edits):
+            own[rng.randrange(size)] = f"own{k}x{e}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("edits", [1, 2, 4])
+def test_join_of_many_near_copies(spark, edits):
+    rows = near_group(edits, 150, edits)
+    docs = spark.createDataFrame([(i, t, "x", 1, None) for i, t in rows], DOCS).repartition(5)
+    sets = {i: shingles(t) for i, t in rows}
+    links = [
+        (a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    ]
+    root = reachable(sets, links)
+    got = ngram_join.similar_sets(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(root.items())
+
+
+def test_related_texts_below_the_line_are_not_all_paired(spark, monkeypatch):
+    made = []
+    real = ngram_join._linked
+
+    def counted(docs, table, pairs, percent):
+        made.append(pairs.count())
+        return real(docs, table, pairs, percent)
+
+    monkeypatch.setattr(ngram_join, "_linked", counted)
+    rows = near_group(3, 500, 4)
+    docs = spark.createDataFrame([(i, t, "x", 1, None) for i, t in rows], DOCS)
+    ngram_join.similar_sets(docs).collect()
+    assert sum(made) < 10_000  # of 124,750 pairs
+
+
+def test_join_through_rows_without_an_id(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(100)]
+    other = words[:95] + [f"v{k}" for k in range(5)]
+    far = [f"u{k}" for k in range(5)] + other[5:]
+    sets = [shingles(" ".join(w)) for w in (words, other, far)]
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.75
+    assert alike(sets[0], sets[1]) and alike(sets[1], sets[2]) and not alike(sets[0], sets[2])
+    rows = [(1, " ".join(words)), (None, " ".join(other)), (3, " ".join(far)), (4, " ".join(rng.sample(words, 50)))]
+    docs = spark.createDataFrame([(i, t, "x", 1, None) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.similar_sets(docs).collect()), key=str)
+    assert got == [(1, 1), (3, 1), (4, 4), (None, 1)]
+
+
 def removed(rows, length):
     texts = [(t or "").encode() for _, t in rows]
     seen = {}
