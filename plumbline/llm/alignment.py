@@ -14,6 +14,7 @@ bounded by its bytes. Nothing is broadcast but the highest count of each id of t
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -42,6 +43,12 @@ _W = r"\s\u180e\u200b\ufeff"
 #: a word with the blanks before it; it ends before a blank (U+0020) that follows another sign than white space
 _UNIT = re.compile(rf"[{_W}]*[^{_W}]+(?:(?! )[{_W}]+[^{_W}]*)*(?:[{_W}]+\Z)?|[{_W}]+\Z")
 _OPEN = re.compile(rf"[{_W}]\Z")
+_PLAIN_WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f "
+_OTHER_WHITE = re.compile(r"[^\S\t-\r\x1c-\x1f ]|[\u180e\u200b\ufeff]")
+#: signs of texts that the faster library encodes; beyond them libraries may differ in what a letter is
+_BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
+# Fixed value: how byte-level vocabularies cut texts before merging.
+_PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def byte_tokenizer() -> str:
@@ -80,8 +87,19 @@ class Units:
 _NO_PAIRS = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
+def cut(text: str) -> list[str]:
+    """The words of ``" " + text`` (see ``_UNIT``), each without the blank it begins with."""
+    simple = text[0] != " " and text[-1] not in _PLAIN_WHITE and not any(f"{w} " in text for w in _PLAIN_WHITE)
+    if simple and (text.isascii() or not _OTHER_WHITE.search(text)):
+        return text.split(" ")
+    return [w[1:] for w in _UNIT.findall(" " + text)]
+
+
 class Aligner:
-    """Both tokenizers and the alignment of words seen so far."""
+    """Both tokenizers and the alignment of words seen so far.
+
+    Words are kept without their first blank.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,6 +116,7 @@ class Aligner:
         self.bytes_b = [self._piece(k) for k in range(self.b.get_piece_size())]
         if any(" " in p.decode("utf-8", "replace").lstrip(" ") for p in self.bytes_b):
             raise ValueError("words cannot be aligned one by one: a piece goes on after a blank")
+        self.merges_a = self._by_rank(path_a)
         self.size_a = np.array([len(x) for x in self.bytes_a])
         self.size_b = np.array([len(x) for x in self.bytes_b])
         # how an id is written inside a group, and at the end of its side of the group
@@ -108,6 +127,29 @@ class Aligner:
         self.digits = np.array([len(str(k)) + 1 for k in range(max(len(self.bytes_a), len(self.bytes_b)))])
         self._start()
 
+    def _by_rank(self, path: str):
+        """A faster encoder of A, if its merges are in the order of their ids and cut nothing else off."""
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        model, cutter = described["model"], described["pre_tokenizer"]
+        vocabulary = model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = [vocabulary.get(a + b, -1) for a, b in pairs]
+        plain = described["normalizer"] is None and not model.get("ignore_merges") and cutter == {
+            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True,
+        }
+        if not plain or ids != list(range(256, 256 + len(ids))) or len(vocabulary) - len(ids) not in (256, 257):
+            return None
+        import tiktoken
+
+        ranks = {self.bytes_a[k]: k for k in range(256 + len(ids))}
+        return tiktoken.Encoding("a", pat_str=_PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+
+    def _joined(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if self.merges_a is None or _BEYOND_LATIN.search(text):
+            return next(self._ids([text]))
+        return np.array(self.merges_a.encode_ordinary(text), np.int64), np.array(self.b.encode(text[1:]), np.int64)
+
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode()
@@ -181,8 +223,9 @@ class Aligner:
         return [text[x : y - 1] for x, y in zip(cut, cut[1:])]
 
     def _one_by_one(self, words: list[str]) -> Iterator[Units]:
-        for word, (a, b) in zip(words, self._ids(words)):
-            data = word.encode()
+        units = [f" {w}" for w in words]
+        for unit, (a, b) in zip(units, self._ids(units)):
+            data = unit.encode()
             if self._comes_back(data, a, b):
                 yield self._linked(np.array([len(data)]), a, b)
             else:
@@ -190,17 +233,17 @@ class Aligner:
 
     def learn(self, words: list[str]) -> None:
         # words that end in white space could go on; all others are cut off by the blank of the next one
-        closed = [w for w in words if not _OPEN.search(w)]
-        open_ = [w for w in words if _OPEN.search(w)] if len(closed) < len(words) else []
+        open_ = [w for w in words if not w or _OPEN.search(w)]
+        closed = words if not open_ else [w for w in words if w and not _OPEN.search(w)]
         order, found = [], []
         for at in range(0, len(closed), 8192):
             some = closed[at : at + 8192]
-            joined = "".join(some)
-            a, b = next(self._ids([joined]))
+            joined = " " + " ".join(some)
+            a, b = self._joined(joined)
             data = joined.encode()
             order += some
             if self._comes_back(data, a, b):
-                found.append(self._linked(np.cumsum([len(w.encode()) for w in some]), a, b))
+                found.append(self._linked(np.cumsum([len(w.encode()) + 1 for w in some]), a, b))
             else:
                 found.extend(self._one_by_one(some))
         order += open_
@@ -220,7 +263,7 @@ class Aligner:
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts as places in ``units``, and how many each text has."""
-        each = [_UNIT.findall(" " + t) if t else [] for t in texts]
+        each = [cut(t) if t else [] for t in texts]
         flat = [w for ws in each for w in ws]
         new = set(flat).difference(self.known)
         if len(self.known) + len(new) > MOST_UNITS and self.known:

@@ -113,3 +113,24 @@ def test_perfect_hash():
     with pytest.raises(ValueError):
         shard = {"sizes": own.sizes, "bits": own.packed(), "keys": keys.astype("<u8").tobytes()}
         alignment._Shard(shard).places(np.array([5], np.uint64))
+
+
+def test_words_are_cut_alike_by_either_way():
+    rng = random.Random(3)
+    bits = ["a", "b", " ", " ", "\n", "\t", "\x1c", "\xa0", "​", "é", ".", "\r"]
+    for _ in range(5000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        assert alignment.cut(text) == [w[1:] for w in alignment._UNIT.findall(" " + text)], repr(text)
+        assert "".join(" " + w for w in alignment.cut(text)) == " " + text
+
+
+def test_frequent_words_are_kept(monkeypatch, plain):
+    monkeypatch.setattr(alignment, "MOST_UNITS", 50)
+    aligner = alignment.Aligner(alignment.byte_tokenizer(), alignment.piece_tokenizer())
+    rng = random.Random(1)
+    for _ in range(30):
+        text = " ".join(rng.choice(["often", "seen"]) if rng.random() < 0.7 else f"rare{rng.random()}" for _ in range(40))
+        units, each = aligner.words([text])
+        said = ";".join(aligner.units.digests[u] for u in units)
+        assert hashlib.sha256(said.encode()).hexdigest() == plain([(1, text)])[0][-1]
+    assert {"often", "seen"} <= set(aligner.known) and len(aligner.known) < 120
