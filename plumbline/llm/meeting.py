@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 
 from plumbline.llm.common import lean
 
-#: rows a task gathers before it sends them on
-FLUSH_ROWS = 1_000_000
+#: bytes of rows that a task gathers before it sends them on
+FLUSH_BYTES = 16 << 20
 _SPREAD_ROWS = 50_000
 
 
@@ -46,13 +46,14 @@ def shared_rows(
             nonlocal turn
             rows = np.concatenate(held)
             held.clear()
-            rows = rows[np.argsort(rows["key"], kind="stable")]
-            key = rows["key"]
+            order = np.argsort(rows["key"], kind="stable")
+            key = rows["key"][order]
             fragment = (((key >> np.uint64(32)) * spread) >> np.uint64(32)).astype(np.int64)
             out = np.empty(len(rows), packed)
             out["key"] = key & np.uint64(0xFFFFFFFF)
             for name in names:
-                out[name] = rows[name]
+                out[name] = rows[name][order]
+            del rows, order
             new = np.concatenate(([True], key[1:] != key[:-1]))
             known = ~new
             known[:-1] |= ~new[1:]
@@ -80,8 +81,8 @@ def shared_rows(
         for batch in batches:
             for rows in emit(batch):
                 held.append(rows)
-                size += len(rows)
-                if size >= FLUSH_ROWS:
+                size += rows.nbytes
+                if size >= FLUSH_BYTES:
                     yield flushed()
                     size = 0
         if size:
@@ -98,12 +99,13 @@ def shared_rows(
 
         def joined():
             rows = np.concatenate(held)
-            rows = rows[np.argsort(rows["key"], kind="stable")]
-            same = rows["key"][1:] == rows["key"][:-1]
+            held.clear()
+            order = np.argsort(rows["key"], kind="stable")
+            key = rows["key"][order]
             keep = np.zeros(len(rows), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            return out(part, rows[keep])
+            keep[1:] = key[1:] == key[:-1]
+            keep[:-1] |= keep[1:]
+            return out(part, rows[order[keep]])
 
         for batch in batches:
             for known, blob in zip(batch.column("known").to_pylist(), batch.column("rows").to_pylist()):

@@ -29,7 +29,7 @@ from plumbline.session import stored
 
 LENGTH = 200
 _ANCHOR = 64
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
