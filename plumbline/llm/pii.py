@@ -67,7 +67,7 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
             continue
         parts = [(run.start() + m.start(), run.start() + m.end()) for m in re.finditer("[0-9]+", run.group())]
         for k in range(0, len(parts) - 3, 4):
-            if all(b - a < 400 and int(text[a:b]) <= 255 for a, b in parts[k : k + 4]):
+            if all(len(n := text[a:b].lstrip("0")) <= 3 and int(n or 0) <= 255 for a, b in parts[k : k + 4]):
                 yield parts[k][0], parts[k + 3][1]
 
 

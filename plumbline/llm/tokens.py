@@ -34,8 +34,8 @@ _HEAD = 7
 CHUNK_IDS = 1 << 17
 #: share of a block's differences that must fit into the packed width
 PERCENTILE = 0.9
-#: words a task remembers the ids of, before it forgets all
-MOST_WORDS = 1 << 20
+#: words a worker remembers the ids of; beyond, it keeps those it meets most often
+MOST_WORDS = 400_000
 
 _CHUNKS = (
     "shard int, chunk int, start long, total long, doc_ids array<long>, lengths array<long>, "
@@ -163,6 +163,20 @@ class _Encoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int32)
+
+    def _trim(self) -> None:
+        """Keeps the half of the words that were met most often, none that was met once."""
+        middle = len(self.uses) // 2
+        least = max(2, int(np.partition(self.uses, middle)[middle]) + 1)
+        kept = np.flatnonzero(self.uses >= least)
+        at = dict(zip(kept.tolist(), range(len(kept))))
+        self.known = {w: at[k] for w, k in self.known.items() if k in at}
+        each = np.diff(self.bounds)[kept]
+        done = np.cumsum(each)
+        self.flat = self.flat[np.repeat(self.bounds[kept] - done + each, each) + np.arange(done[-1] if len(done) else 0)]
+        self.bounds = np.append(0, done).astype(np.int64)
+        self.uses = self.uses[kept] // 2
 
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if w.isalpha()]
@@ -186,6 +200,7 @@ class _Encoder:
             self.known.update(zip(own, range(first, first + len(own))))
             self.bounds = np.concatenate([self.bounds, cuts + len(self.flat)])
             self.flat = np.concatenate([self.flat, ids])
+        self.uses = np.append(self.uses, np.zeros(len(self.bounds) - 1 - len(self.uses), np.int32))
 
     def _words(self, text: str) -> list[str]:
         if self.folds:
@@ -199,7 +214,7 @@ class _Encoder:
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and how many each text has."""
         if len(self.known) > MOST_WORDS:
-            self._forget()
+            self._trim()
         words, ends = [], []
         for t in texts:
             words += self._words(t)
@@ -208,6 +223,7 @@ class _Encoder:
         if new:
             self._learn(list(new))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses += np.bincount(at, minlength=len(self.uses)).astype(np.int32)
         first, each = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         done = np.cumsum(each)
         ids = self.flat[np.repeat(first - done + each, each) + np.arange(int(done[-1]) if len(done) else 0)]

@@ -27,12 +27,15 @@ from plumbline.llm.common import lean, text_slices, word_bounds, word_hashes, wo
 
 #: labelled documents that training reads at most, per label
 MOST_TOXIC, MOST_CLEAN = 1_500, 3_000
+#: words of clean documents that training compares with: the most common, random others, and, from each round, the
+#: highest of the highest clean documents
+MOST_COMMON, MOST_RARE, MOST_HARD = 6_000, 10_000, 600
 
 #: signs of a subsequence, and the signs it may span
 _SIGNS_OF, _SPAN = 4, 6
 _LONG, _STRIDE = 32, 24
 _KINDS = 32
-_MOST_CACHED = 1 << 20
+_MOST_CACHED = 1 << 19
 
 # Signs often written for letters.
 _LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -92,6 +95,12 @@ class Words:
         return np.sqrt(np.maximum(np.add.reduceat(sums, rows), 1e-12))
 
 
+def _windows(word: bytes) -> list[bytes]:
+    """The signs of a word that stand for letters; overlapping windows of them if they are many."""
+    w = word.translate(None, _SKIPPED)
+    return [w] if len(w) <= _LONG else [w[a : a + _LONG] for a in range(0, len(w) - _LONG + _STRIDE, _STRIDE)]
+
+
 def _grouped(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(places, signs)`` of the words of each length, with a mark at either edge.
 
@@ -99,9 +108,7 @@ def _grouped(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """
     by_length: dict[int, tuple[list[int], list[bytes]]] = {}
     for i, w in enumerate(words):
-        w = w.translate(None, _SKIPPED)
-        pieces = [w] if len(w) <= _LONG else [w[a : a + _LONG] for a in range(0, len(w) - _LONG + _STRIDE, _STRIDE)]
-        for p in pieces:
+        for p in _windows(w):
             places, own = by_length.setdefault(len(p), ([], []))
             places.append(i)
             own.append(p)
@@ -157,7 +164,7 @@ class Landmarks:
 
     def _listed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows, codes, values = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.float32)]
-        for places, signs in _grouped([w[:_LONG] for w in words]):
+        for places, signs in _grouped(words):
             found = Words(signs, self.decay)
             rows.append(np.repeat(places, found.codes.shape[1]))
             codes.append(found.codes.ravel())
@@ -242,6 +249,8 @@ def fit(
         starts, ends = word_bounds(np.frombuffer(data, np.uint8))
         bag = {data[a:b].lower().strip(b".,;:!?\"'()") for a, b in zip(starts, ends)}
         bag.update(w.lower() for w in spelled_words(data, starts, ends))
+        # long words train window by window, as they are scored
+        bag = {piece for w in bag for piece in (_windows(w) if len(w) > _LONG else [w])}
         bags.append(np.array([known.setdefault(w, len(known)) for w in sorted(bag)], np.int32))
     words = list(known)
     del known
@@ -255,8 +264,8 @@ def fit(
     rng = np.random.default_rng(seed)
     first = [int(k) for k in np.argsort(-gain, kind="stable") if gain[k] > 0]
     negative = np.flatnonzero(long_enough & (clean > 0) & (gain == 0))
-    common = negative[np.argsort(-clean[negative], kind="stable")][:6_000]
-    rare = rng.permutation(negative)[:10_000]
+    common = negative[np.argsort(-clean[negative], kind="stable")][:MOST_COMMON]
+    rare = rng.permutation(negative)[:MOST_RARE]
     negatives = list(dict.fromkeys([*common.tolist(), *rare.tolist()]))
     if not first or not negatives:
         return Detector(nothing, 0.0, (0.0, float(np.log(label.mean() / (1 - label.mean())))), decay)
@@ -284,7 +293,7 @@ def fit(
             by_score = [k for k in np.argsort(-tops, kind="stable") if not labels[k] and top[k] >= 0]
             line = max(tops[by_score[len(by_score) // 50]], 0.0) if by_score else 0.0
             positives |= {int(top[k]) for k in np.flatnonzero((label == 1) & (tops > line)) if not clean[top[k]]}
-            hard = list(dict.fromkeys([*(int(top[k]) for k in by_score[:600]), *hard]))
+            hard = list(dict.fromkeys([*(int(top[k]) for k in by_score[:MOST_HARD]), *hard]))
     detector.scale = _logistic(tops, label)
     return detector
 
@@ -326,9 +335,9 @@ def train(
     sample = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # its rows are bounded by the two parameters
-        .select("doc_id", "text", "toxic")
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("text").alias("text"))
         .toPandas()
-        .drop_duplicates("doc_id")
         .sort_values("doc_id")
     )
     return fit([t or "" for t in sample.text], [int(x) for x in sample.toxic], **parameters)

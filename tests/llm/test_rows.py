@@ -48,6 +48,12 @@ def test_rules_match_the_patterns():
         assert pii.base_spans(text) == by_pattern(text), text
 
 
+def test_leading_zeros_do_not_matter():
+    zeros = "0" * 500
+    assert pii.base_spans(f"{zeros}12.1.2.3")["ip"] == [(0, 508)]
+    assert pii.base_spans(f"{zeros}.1.2.3 {zeros}256.1.2.3")["ip"] == [(0, 506)]
+
+
 def test_rules_take_linear_time():
     for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1" * 100_000):
         pii.base_spans(text)
@@ -387,3 +393,24 @@ def test_rounding_keeps_expected_copies(spark):
         want = wanted({x: 60 for x in "abc"})["abc"[s]] / 60
         assert abs(np.mean(own) - want) < 0.06
     assert pa.array(list(total.values())).null_count == 0
+
+
+def test_token_words_met_often_are_kept(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MOST_WORDS", 40)
+    rng = random.Random(1)
+    encoder, plain = tokens._Encoder(tokens.word_tokenizer()), Tokenizer.from_file(tokens.word_tokenizer())
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["often", "Seen"]) if rng.random() < 0.7 else f"rare{rng.random()}" for _ in range(20))]
+        ids, each = encoder.ids(texts)
+        assert ids.tolist() == plain.encode(texts[0], add_special_tokens=False).ids and each.tolist() == [len(ids)]
+    assert {"often", "seen"} <= set(encoder.known) and len(encoder.known) < 80
+
+
+def test_long_words_train_by_their_windows():
+    long = "xk" * 30 + "jerkface" + "qz" * 40
+    texts = [f"you {long} there {k}" for k in range(30)] + [f"a plain text about {k} hills and rivers" for k in range(60)]
+    found = toxicity.fit(texts, [1] * 30 + [0] * 60, landmarks=64)
+    tops = found.words([b"jerkface", long.encode(), b"rivers"])
+    assert tops[1] > tops[2]
