@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.session import stored
 
-__all__ = ["joined_by", "lean", "stored", "text_slices", "word_bounds", "word_hashes", "words_of"]
+__all__ = ["joined_by", "lean", "stored", "text_slices", "unused", "word_bounds", "word_hashes", "words_of"]
 
 #: rows of a side that may be broadcast; longer sides are joined by shuffle, with the same result
 BROADCAST_ROWS = 1_000_000
@@ -61,6 +61,14 @@ def joined_by(left: DataFrame, small: DataFrame, on: str, rows: int, how: str =
     return left.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """A column name beside those of a frame, which may hold any; case does not tell names apart."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name = f"_{name}"
+    return name
+
+
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` in UTF-8 bytes."""
     inside = np.empty(len(data) + 2, np.int8)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_ROWS, joined_by
+from plumbline.llm.common import BROADCAST_ROWS, joined_by, unused
 from plumbline.session import stored
 
 WORDS = 5
@@ -29,21 +29,23 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
 
 
-def _shingles(text: Column, shape) -> Column:
+def _shingles(text: Column, shape, short: tuple[int, ...] = ()) -> Column:
     """``shape`` of every run of five words; of the whole sequence if it is shorter.
 
-    The words are bound to a lambda, so that they are split once and not once per shingle.
+    Runs of as many words as ``short`` lists (fewer than five) come after them. The words are bound to a lambda, so that they are split once and not once per shingle.
     """
 
+    none = F.array().cast("array<bigint>" if shape is _hash else "array<string>")
+
+    def of_size(w: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: shape(F.slice(w, i, n)))
+
     def runs(w: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.size(w) - (WORDS - 1)), lambda i: shape(F.slice(w, i, WORDS)))
-        return (
-            F.when(F.size(w) >= WORDS, many)
-            .when(F.size(w) > 0, F.array(shape(w)))
-            .otherwise(F.array().cast(many_type))
-        )
+        whole = F.when(F.size(w) >= WORDS, of_size(w, WORDS)).when(F.size(w) > 0, F.array(shape(w))).otherwise(none)
+        if not short:
+            return whole
+        return F.concat(whole, *[F.when(F.size(w) >= n, of_size(w, n)).otherwise(none) for n in short])
 
-    many_type = "array<bigint>" if shape is _hash else "array<string>"
     return F.get(F.transform(F.array(words_of(text)), runs), F.lit(0))
 
 
@@ -66,9 +68,9 @@ def contained_items(
     """``doc_id, item_id, n_shared, n_item, containment`` of each item and document that holds it.
 
     Shingles are distinct runs of five words (see ``words_of``); a document holds an item if at
-    least ``percent`` of the item's shingles are among its own. A text with fewer words has its
-    whole sequence as one shingle, so a shorter item is found only in a document that is no more
-    than it.
+    least ``percent`` of the item's shingles are among its own. An item with fewer words has its
+    whole sequence as one shingle, which is looked for among the runs of as many words of every
+    document.
 
     Null and empty texts hold nothing and are held by nothing. Repeated rows, of documents or
     items, give each pair of ids once; texts that share an id are told apart and the best
@@ -83,6 +85,8 @@ def contained_items(
         .select(F.xxhash64("item_id", "own").alias("item"), "item_id", "own", F.size("own").alias("n_item")),
         "items",
     )
+    words = F.size(F.split(F.get("own", F.lit(0)), " "))
+    short = tuple(r[0] for r in sized.select(words.alias("n")).where(f"n < {WORDS}").distinct().orderBy("n").collect())
     # partitions by size: an item's sketch is as long as the largest size of its partition needs
     largest = F.pow(F.lit(2), F.ceil(F.log2("n_item"))).cast("long")
     sketch = F.slice(
@@ -98,7 +102,7 @@ def contained_items(
         "sketches",
     )
     mark = F.xxhash64("text").alias("mark")
-    shingles = docs.select("doc_id", mark, F.explode(_shingles(F.col("text"), _hash)).alias("shingle"))
+    shingles = docs.select("doc_id", mark, F.explode(_shingles(F.col("text"), _hash, short)).alias("shingle"))
     found = stored(
         joined_by(shingles, sketches, "shingle", sketches.count())
         .groupBy("doc_id", "mark", "item")
@@ -114,7 +118,7 @@ def contained_items(
             F.broadcast(texts) if few else texts,
             F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.xxhash64("text") == F.col("of_mark")),
         )
-        .select("of_doc", "of_mark", F.array_distinct(_shingles(F.col("text"), _text)).alias("shingles"))
+        .select("of_doc", "of_mark", F.array_distinct(_shingles(F.col("text"), _text, short)).alias("shingles"))
         .dropDuplicates(["of_doc", "of_mark"])
     )
     pairs = found.join(
@@ -132,22 +136,12 @@ def contained_items(
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` whose id has no text that holds an item, with the columns they came with."""
-    leaks = stored(contained_items(docs, items, **parameters).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    few = leaks.count() <= BROADCAST_ROWS
-    return docs.join(
-        F.broadcast(leaks) if few else leaks,
-        docs["doc_id"].cast("long").eqNullSafe(F.col("_leak")),
-        "left_anti",
-    )
-
-
 def clean_rows(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` whose own text holds no item, whatever their ids, with the columns they came with."""
     mark = F.xxhash64("text")
     texts = docs.select(mark.alias("doc_id"), "text")
-    leaks = contained_items(texts, items, **parameters).select(F.col("doc_id").alias("_leak")).distinct()
+    own = unused("leak", docs.columns)
+    leaks = contained_items(texts, items, **parameters).select(F.col("doc_id").alias(own)).distinct()
     leaks = stored(leaks, "leaks")
     few = leaks.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(leaks) if few else leaks, mark == F.col("_leak"), "left_anti")
+    return docs.join(F.broadcast(leaks) if few else leaks, mark == F.col(own), "left_anti")

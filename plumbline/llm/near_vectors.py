@@ -11,6 +11,7 @@ Pairs that are left get their cosine from the vectors as given, in double precis
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -204,30 +205,47 @@ def near_vectors(table: DataFrame, least: float = 0.95, tile: int = TILE) -> Dat
     lead to, itself included, ``kept`` says that it is the row's own. All pairs are decided.
 
     A vector that is null, empty, zero, or holds null or non-finite components links with nothing,
-    and so does one whose length is not the table's longest, or whose ``vec_id`` is null. Equal
-    vectors are compared once and counted as often as they occur; repeated rows link with each
+    and so does one whose ``vec_id`` is null. Vectors of equal length are compared, each length on its
+    own. Equal vectors are compared once and counted as often as they occur; repeated rows link with each
     other. An empty table gives no rows; other columns are ignored.
     """
-    spark = table.sparkSession
     rows = table.select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.col("embedding").cast("array<double>").alias("vector"),
     )
-    size = rows.agg(F.max(F.size("vector"))).first()[0] or 0
     sound = (
         F.col("vec_id").isNotNull()
-        & (F.size("vector") == size)
+        & (F.size("vector") > 0)
         & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
         & F.exists("vector", lambda v: v != 0)
     )
     marked = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     marks = [F.when(F.col("sound"), F.xxhash64(F.lit(s), "vector")).alias(f"mark{s}") for s in (1, 2)]
-    if size <= 0 or not marked.where("sound").limit(1).count():
+    valid = marked.where("sound").select("vec_id", "vector", *marks)
+    lengths = [r[0] for r in valid.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]
+    if not lengths:
         return rows.select(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
             F.col("vec_id").isNotNull().alias("kept"),
         )
-    valid = marked.where("sound").select("vec_id", "vector", *marks)
+    per_rep = reduce(
+        DataFrame.unionByName, [_of_length(valid.where(F.size("vector") == n), n, least, tile) for n in lengths]
+    )
+    return (
+        marked.select("vec_id", *marks)
+        .join(per_rep, ["mark1", "mark2"], "left")
+        .select(
+            "vec_id",
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            F.coalesce("component_id", "vec_id").alias("component_id"),
+        )
+        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    )
+
+
+def _of_length(valid: DataFrame, size: int, least: float, tile: int) -> DataFrame:
+    """``mark1, mark2, n_links, component_id`` of each distinct vector, all of them ``size`` long."""
+    spark = valid.sparkSession
     reps = stored(
         valid.groupBy("mark1", "mark2").agg(
             F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.first("vector").alias("vector")
@@ -265,7 +283,7 @@ def near_vectors(table: DataFrame, least: float = 0.95, tile: int = TILE) -> Dat
     )
     groups = components(compared, "rep", "other")
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_rep = (
+    return (
         reps.select("mark1", "mark2", "rep", "many")
         .join(links, "rep", "left")
         .join(groups.withColumnRenamed("id", "rep"), "rep", "left")
@@ -275,13 +293,3 @@ def near_vectors(table: DataFrame, least: float = 0.95, tile: int = TILE) -> Dat
             F.coalesce("component", "rep").alias("component_id"),
         )
     )
-    return (
-        marked.select("vec_id", *marks)
-        .join(per_rep, ["mark1", "mark2"], "left")
-        .select(
-            "vec_id",
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component_id", "vec_id").alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-    )

@@ -52,6 +52,10 @@ WITH words AS (
       THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
       ELSE [array_to_string(w, ' ')] END) AS s
   FROM words WHERE len(w) > 0
+  UNION
+  SELECT id, item, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))
+  FROM words JOIN (SELECT DISTINCT len(w) AS n FROM words WHERE item AND len(w) BETWEEN 1 AND 4) ON len(w) >= n
+  WHERE NOT item
 ), sizes AS (
   SELECT id, count(*) AS n_item FROM shingles WHERE item GROUP BY id
 ), shared AS (

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, near_vectors, ngram_join, repeats
 
@@ -114,8 +115,8 @@ def test_related_texts_below_the_line_are_not_all_paired(spark, monkeypatch):
 def test_join_through_rows_without_an_id(spark):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(100)]
-    other = words[:95] + [f"v{k}" for k in range(5)]
-    far = [f"u{k}" for k in range(5)] + other[5:]
+    other = words[:88] + [f"v{k}" for k in range(12)]
+    far = [f"u{k}" for k in range(12)] + other[12:]
     sets = [shingles(" ".join(w)) for w in (words, other, far)]
     alike = lambda a, b: len(a & b) / len(a | b) >= 0.75
     assert alike(sets[0], sets[1]) and alike(sets[1], sets[2]) and not alike(sets[0], sets[2])
@@ -242,14 +243,38 @@ def test_leaks_in_long_documents(spark):
     df = spark.createDataFrame([(i, t, "", 0, "") for i, t in docs], DOCS)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_shared, r.n_item) for r in decontaminate.contained_items(df, bench).collect()}
-    assert got == {(10, 1): (9, 9), (12, 1): (8, 9), (13, 2): (1, 1), (16, 5): (1, 1), (None, 1): (9, 9)}
-    left = decontaminate.clean(df, bench)
+    assert got == {
+        (10, 1): (9, 9), (12, 1): (8, 9), (13, 2): (1, 1), (16, 5): (1, 1), (17, 5): (1, 1), (None, 1): (9, 9),
+    }
+    left = decontaminate.clean_rows(df, bench)
     assert left.columns == df.columns
-    assert sorted(r.doc_id for r in left.collect()) == [11, 14, 15, 17]
+    assert sorted(r.doc_id for r in left.collect()) == [10, 11, 14, 15]
+    named = df.withColumn("leak", F.lit(1)).withColumn("_leak", F.lit(2))
+    assert decontaminate.clean_rows(named, bench).columns == named.columns
     assert decontaminate.contained_items(df.limit(0), bench).collect() == []
     assert decontaminate.contained_items(df, bench.limit(0)).collect() == []
 
 
+def test_items_of_few_words_are_found_inside_documents(spark):
+    rng = random.Random(11)
+    words = ["p", "q", "r", "s", "t"]
+    pick = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, pick(rng.randint(1, 7))) for k in range(30)]
+    docs = [(k, pick(rng.randint(0, 14))) for k in range(60)]
+    runs = lambda t, n: {tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)}
+    want = set()
+    for i, t in items:
+        n = min(len(t.split()), 5)
+        for d, x in docs:
+            held = runs(t, n) & runs(x, n)
+            if 100 * len(held) >= 75 * len(runs(t, n)):
+                want.add((d, i, len(held), len(runs(t, n))))
+    df = spark.createDataFrame([(i, t, "", 0, "") for i, t in docs], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contained_items(df, bench).collect()
+    assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got} == want and len(want) > 50
+
+
 def test_leaks_lose_nothing_at_the_threshold(spark):
     rng = random.Random(9)
     items = [(k, " ".join(f"i{k}x{j}" for j in range(rng.randint(5, 70)))) for k in range(60)]
@@ -268,3 +293,12 @@ def test_leaks_lose_nothing_at_the_threshold(spark):
                 want.add((i, k))
     got = {(r.doc_id, r.item_id) for r in decontaminate.contained_items(df, bench).collect()}
     assert got == want
+
+
+def test_vectors_of_several_lengths_are_compared(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [3.0, 0.0, 0.1]),
+            (6, [None] * 5), (7, [0.0] * 4), (8, []), (9, [5.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(table).collect()}
+    want = {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (1, 4, True), 5: (1, 4, False)}
+    assert got == want | {k: (0, k, True) for k in (6, 7, 8, 9)}

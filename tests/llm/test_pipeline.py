@@ -141,3 +141,13 @@ def test_stages_decide_on_rows(spark, sf, stages):
     assert got in (by_key([*want, (None, base)]), by_key([*want, (None, near)]))
     some = [(5, base), (6, near), (6, other), (7, base), (None, near), (5, "t1 t2 t3"), (5, base), (9, other + " end")]
     assert left(corpus_pipeline.near_copies, some) == by_key([(5, base), (6, other), (5, "t1 t2 t3")])
+
+
+def test_names_that_stages_use_themselves(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    for name in ("mark", "_mark", "best_mark", "best_id", "_id", "_own", "leak", "_leak", "size", "item"):
+        docs = docs.withColumn(name, docs["doc_id"])
+    docs = stored(docs.unionByName(docs.limit(5)), "odd")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        left = stage(spark, docs, sf)
+        assert left.columns == docs.columns and left.count() > 0
