@@ -61,10 +61,10 @@ class SampleOrder:
         return F.md5(F.concat_ws("|", *texts, *[s.cast("string") for s in salt]))
 
     def bucket(self, priority: Column) -> Column:
-        """Top bits of the hash; sorts like the hash itself."""
+        """Number of the hash range, from 0; sorts like the hash itself."""
         if self.method == "xxhash64":
-            return F.shiftright(priority, 64 - self.bucket_bits)
-        return F.substring(priority, 1, self.bucket_bits // 4)
+            return (F.shiftright(priority, 64 - self.bucket_bits) + (1 << (self.bucket_bits - 1))).cast("int")
+        return F.conv(F.substring(priority, 1, self.bucket_bits // 4), 16, 10).cast("int")
 
     def ranking(self, priority: str) -> list[Column]:
         return [F.col(priority), *[F.col(t) for t in self.ties]]

@@ -3,19 +3,18 @@
 A row's place in the random order is its rank by hash. Nothing here ranks all rows: rows are
 counted per hash range ("bucket", at most a million of them), running counts over the buckets tell
 for every bucket whether it lies wholly inside one sample step, and only the few buckets that a
-step boundary cuts through are ranked row by row, one bucket per task.
+step boundary cuts through are ranked row by row, one bucket per task. What becomes of a bucket is
+read from a list, so the rows of a table are joined with nothing.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.order import SampleOrder
-from plumbline.session import stored
 from plumbline.spec import AggregateSpec
 
 # First batch 512 rows, growth by 1.75, cap at 40 % of the rows but at least 2,048.
@@ -119,86 +118,102 @@ def _exprs(*texts: str) -> list[Column]:
     return [F.expr(t) for t in texts]
 
 
-def _bucket_marks(
-    per_bucket: DataFrame, steps: Steps, strata: list[str], past_cap: bool = False
-) -> DataFrame:
-    """Per bucket: rows before it, rows in all, and the step it belongs to.
+def _bucket_table(rows: DataFrame, order: SampleOrder, steps: Steps, past_cap: bool = False) -> Column:
+    """What becomes of the rows of each bucket, as a scalar subquery.
 
-    ``step`` is NULL for a bucket that a step boundary cuts through. Buckets past the last step
-    are left out, or given the number after it if ``past_cap``.
+    ``codes`` has a number per bucket: the step its rows belong to, minus k for the k-th bucket
+    that a step boundary cuts through, 0 for rows past the last step (or, if ``past_cap``, the number
+    after it). ``cut_before`` has the rows before each cut bucket; ``last`` is the last step and
+    ``total_rows`` all rows.
+    ``rows`` has the column ``bucket``. The result is 2**bucket_bits whole numbers, 4 MB at most.
     """
-    stratum = f"partition by {', '.join(strata)}" if strata else ""
-    counted = per_bucket.selectExpr(
-        *strata,
-        "bucket",
-        f"sum(sample_rows) over ({stratum} order by bucket) as rows_through",
-        "rows_through - sample_rows as rows_before",
-        f"sum(sample_rows) over ({stratum}) as total_rows",
+    every = rows.sparkSession.range(0, 1 << order.bucket_bits, 1, 1)
+    counted = (
+        rows.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("sample_rows"))
+        .unionByName(every.selectExpr("cast(id as int) as bucket", "0L as sample_rows"))
+        .groupBy("bucket")
+        .agg(F.sum("sample_rows").alias("sample_rows"))
+        .selectExpr(
+            "bucket",
+            "sum(sample_rows) over (order by bucket) as rows_through",
+            "rows_through - sample_rows as rows_before",
+            "sum(sample_rows) over () as total_rows",
+        )
     )
     # sizes are whole numbers, so "size <= r" is "size < r + 1"
     begun = steps.before("rows_before + 1", "total_rows")
     ended = steps.before("rows_through", "total_rows")
-    placed = counted.selectExpr("*", f"{begun} as begun", f"{ended} as ended")
-    kept = placed if past_cap else placed.where(f"begun < {steps.count('total_rows')}")
-    return kept.selectExpr(
-        *strata, "bucket", "rows_before", "total_rows", "if(begun = ended, begun + 1, null) as step"
+    placed = counted.selectExpr(
+        "*", f"{begun} as begun", f"{ended} as ended", f"{steps.count('total_rows')} as last"
     )
+    wanted = "true" if past_cap else "begun < last"
+    coded = placed.selectExpr(
+        "bucket",
+        "rows_before",
+        "total_rows",
+        "last",
+        "begun < ended as cut",
+        "case when begun < ended then -cast(sum(if(begun < ended, 1, 0)) over (order by bucket) as int) "
+        f"when {wanted} then begun + 1 else 0 end as code",
+    )
+    listed = coded.selectExpr(
+        "transform(array_sort(collect_list(struct(bucket, code))), c -> c.code) as codes",
+        "transform(array_sort(collect_list(if(cut, struct(bucket, rows_before), null))), c -> c.rows_before) "
+        "as cut_before",
+        "max(total_rows) as total_rows",
+        "max(last) as last",
+    )
+    return listed.select(F.struct("*").alias("buckets")).scalar()
 
 
-def _join_marks(rows: DataFrame, marks: DataFrame, strata: list[str]) -> DataFrame:
-    """Rows with the marks of their bucket under ``_``-names."""
-    named = marks.toDF(*[f"_{c}" for c in marks.columns])
-    if not strata:
-        # at most 2**20 rows of a few bytes, whatever the table size
-        return rows.join(F.broadcast(named), rows[BUCKET] == named["_bucket"])
-    same_stratum = [rows[c].eqNullSafe(named[f"_{c}"]) for c in strata]
-    on = reduce(lambda a, b: a & b, same_stratum, rows[BUCKET] == named["_bucket"])
-    return rows.join(named, on)
-
-
-def sample_rows(
-    df: DataFrame,
-    order: SampleOrder,
-    sizes: list[int] | None = None,
-    strata: str | None = None,
-    past_cap: bool = False,
-) -> DataFrame:
-    """Rows of the random prefix, with ``sample_step`` and ``sample_priority``.
+def placed_rows(
+    df: DataFrame, order: SampleOrder, sizes: list[int] | None = None, past_cap: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``sample_rows`` in three parts.
 
-    The step is that at which a growing sample draws the row. ``sizes`` are cumulative sample
-    sizes, per stratum if ``strata`` is given; by default the ladder of the table. ``past_cap``
-    adds all other rows as one more step. Reads the key columns once to count buckets, then the
-    wanted rows.
+    Those of buckets that lie in one step, those past the last step (if ``past_cap``), and those of
+    buckets that a boundary cuts through. The first two are filters of the table; the last are ranked.
     """
-    taken = {PRIORITY, BUCKET, STRATUM, STEP} & set(df.columns)
+    taken = {PRIORITY, BUCKET, STEP} & set(df.columns)
     if taken:
         raise ValueError(f"rename {sorted(taken)}: the sample needs these names")
-    groups = [STRATUM] if strata else []
     rows = df.withColumn(PRIORITY, order.priority())
-    rows = rows.withColumn(BUCKET, order.bucket(F.col(PRIORITY)))
-    if strata:
-        rows = rows.withColumn(STRATUM, F.col(strata))
-    per_bucket = rows.groupBy(*groups, F.col(BUCKET).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("sample_rows")
-    )
+    bucket = order.bucket(F.col(PRIORITY))
     steps = Steps(tuple(sorted(set(sizes or ()))))
-    marks = _bucket_marks(per_bucket, steps, groups, past_cap)
-    if strata:
-        # as many lines as strata meet buckets: written, so that the join knows how many
-        marks = stored(marks, "marks")
-    joined = _join_marks(rows, marks, groups)
-    whole = joined.where("_step is not null").withColumn(STEP, F.col("_step"))
+    table = _bucket_table(rows.select(bucket.alias("bucket")), order, steps, past_cap)
+    wanted = [*df.columns, PRIORITY, STEP]
+    coded = rows.withColumn(STEP, table["codes"][bucket])
+    within = coded.where((F.col(STEP) > 0) & (F.col(STEP) <= table["last"]))
+    past = coded.where(F.col(STEP) > table["last"])
     # rows of cut buckets are ranked, each bucket by its own task
-    inside = Window.partitionBy(*groups, BUCKET).orderBy(*order.ranking(PRIORITY))
+    rank, total = f"{STEP}_rank", f"{STEP}_total"
+    inside = Window.partitionBy(STEP).orderBy(*order.ranking(PRIORITY))
     cut = (
-        joined.where("_step is null")
-        .withColumn("_rank", F.col("_rows_before") + F.row_number().over(inside))
-        .withColumn(STEP, F.expr(f"{steps.before('_rank', '_total_rows')} + 1"))
+        coded.where(F.col(STEP) < 0)
+        .withColumn(rank, F.row_number().over(inside))
+        .withColumn(rank, F.col(rank) + table["cut_before"][-F.col(STEP) - 1])
+        .withColumn(total, table["total_rows"])
+        .withColumn(STEP, F.expr(f"{steps.before(rank, total)} + 1"))
     )
     if not past_cap:
-        cut = cut.where(f"{STEP} <= {steps.count('_total_rows')}")
-    wanted = [*df.columns, PRIORITY, STEP]
-    return whole.select(*wanted).unionByName(cut.select(*wanted))
+        cut = cut.where(f"{STEP} <= {steps.count(total)}")
+    return within.select(*wanted), past.select(*wanted), cut.select(*wanted)
+
+
+def sample_rows(
+    df: DataFrame, order: SampleOrder, sizes: list[int] | None = None, past_cap: bool = False
+) -> DataFrame:
+    """Rows of the random prefix, with ``sample_step`` and ``sample_priority``.
+
+    The step is that at which a growing sample draws the row. ``sizes`` are cumulative sample
+    sizes; by default the ladder of the table. ``past_cap`` adds all other rows as one more step.
+    Reads the key columns once to count buckets, then the wanted rows; only rows of buckets that
+    a step boundary cuts through, at most one bucket per boundary, are shuffled.
+    """
+    within, past, cut = placed_rows(df, order, sizes, past_cap)
+    sampled = within.unionByName(cut)
+    return sampled.unionByName(past) if past_cap else sampled
 
 
 def draw(df: DataFrame, order: SampleOrder, size: int) -> DataFrame:
@@ -207,8 +222,22 @@ def draw(df: DataFrame, order: SampleOrder, size: int) -> DataFrame:
 
 
 def draw_per_stratum(df: DataFrame, order: SampleOrder, strata: str, size: int) -> DataFrame:
-    """``size`` random rows of every stratum, NULL being a stratum too."""
-    return sample_rows(df, order, [size], strata).drop(PRIORITY, STEP)
+    """``size`` random rows of every stratum, NULL being a stratum too.
+
+    One scan: each task keeps at most ``size`` rows of a stratum before they are shuffled, so no
+    stratum is sorted whole.
+    """
+    rank = f"{STRATUM}_rank"
+    taken = {PRIORITY, rank} & set(df.columns)
+    if taken:
+        raise ValueError(f"rename {sorted(taken)}: the sample needs these names")
+    inside = Window.partitionBy(strata).orderBy(*order.ranking(PRIORITY))
+    return (
+        df.withColumn(PRIORITY, order.priority())
+        .withColumn(rank, F.row_number().over(inside))
+        .where(F.col(rank) <= size)
+        .drop(PRIORITY, rank)
+    )
 
 
 def step_moments(df: DataFrame, spec: AggregateSpec, order: SampleOrder) -> DataFrame:
@@ -219,7 +248,8 @@ def step_moments(df: DataFrame, spec: AggregateSpec, order: SampleOrder) -> Data
     has a row at every step.
 
     Two scans: one of the key columns to count buckets, one that folds the sample. The second
-    shuffles one partial sum per step, group and task, and the rows of the cut buckets only.
+    joins nothing; it shuffles one partial sum per step, group and task, and the rows of the
+    cut buckets only.
     """
     if not spec.is_approximable_total:
         raise ValueError("only sum and avg are sampled; counts are answered exactly")
@@ -231,34 +261,26 @@ def step_moments(df: DataFrame, spec: AggregateSpec, order: SampleOrder) -> Data
         order.priority().alias("priority"),
     )
     bucket = order.bucket(F.col("priority")).alias("bucket")
-    per_bucket = keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias("sample_rows"))
     steps = Steps()
-    marks = _bucket_marks(per_bucket, steps, [], past_cap=bool(groups))
-    # values are worked out after the join, which drops the rows past the cap
+    table = _bucket_table(keyed.select(bucket), order, steps, past_cap=bool(groups))
+    # values are worked out after the filter, which drops the rows past the cap
     rows = (
-        keyed.select("*", bucket)
-        .join(F.broadcast(marks), "bucket")
-        .selectExpr(
-            *[*groups, "bucket", "priority", "rows_before", "total_rows", "step"],
-            *value_columns(spec, "value"),
-        )
+        keyed.select(*groups, "value", "priority", table["codes"][bucket].alias("code"))
+        .where("code != 0")
+        .selectExpr(*groups, "code", "if(code > 0, null, priority) as priority", *value_columns(spec, "value"))
     )
 
     # Rows of a cut bucket keep their place in the order, all others only their step. Equal rows
     # fold into one line with a count, so a repeated row makes no large group.
-    place = ("bucket", "rows_before", "priority", "y", "x")
-    folded = rows.groupBy(
-        *groups,
-        "step",
-        "total_rows",
-        *_exprs(*[f"if(step is null, {c}, null) as cut_{c}" for c in place]),
-    ).agg(*first_sums())
-    apart = ", ".join(["cut_bucket", "step", *[f"if(step is null, null, {g})" for g in groups]])
+    cut = [f"if(code > 0, null, {c}) as cut_{c}" for c in ("y", "x")]
+    folded = rows.groupBy(*groups, "code", F.col("priority").alias("cut_priority"), *_exprs(*cut)).agg(*first_sums())
+    apart = ", ".join(["code", *[f"if(code > 0, {g}, null)" for g in groups]])
     along = ", ".join(["cut_priority", "cut_y", "cut_x", *groups])
-    placed = folded.selectExpr(
+    placed = folded.select("*", table["total_rows"].alias("total_rows"), table["cut_before"].alias("cut_before")).selectExpr(
         "*",
-        "cut_rows_before + sum(sample_rows) over (partition by " + apart + " order by " + along
-        + " rows between unbounded preceding and current row) as ends",
+        "if(code > 0, code, null) as step",
+        "if(code > 0, null, cut_before[-code - 1] + sum(sample_rows) over (partition by " + apart + " order by " + along
+        + " rows between unbounded preceding and current row)) as ends",
     )
     shared = placed.selectExpr("*", f"explode({_shares(steps)}) as share")
     lines = (

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.order import SampleOrder
-from plumbline.operators.sampling import PRIORITY, STEP, sample_rows
+from plumbline.operators.sampling import PRIORITY, STEP, placed_rows
 
 _ROW_PLACE = ("row_file", "row_index")
 #: the random order of a table without a key of its own, after ``with_row_place``
@@ -54,13 +54,14 @@ def write_sample_layout(
 
     A hash is spread evenly, so slices are equally large whatever the data, and a task writes to
     the few folders that its slice meets. ``slices`` should make files of a good size; it
-    defaults to the shuffle partitions of the session.
+    defaults to the shuffle partitions of the session. The rows beyond the largest sample, at least 60 %
+    of a large table, need no order: every task writes its own, without a shuffle.
     """
     spark = df.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = sample_rows(df, order, past_cap=True)
-    placed = rows.repartitionById(slices, _slice(F.col(PRIORITY), order, slices))
-    placed.drop(PRIORITY).write.partitionBy(STEP).parquet(path)
+    within, past, cut = placed_rows(df, order, past_cap=True)
+    drawn = within.unionByName(cut).repartitionById(slices, _slice(F.col(PRIORITY), order, slices))
+    drawn.unionByName(past).drop(PRIORITY).write.partitionBy(STEP).parquet(path)
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plumbline import AggregateSpec, Comparison
 from plumbline.functions import display
 from plumbline.functions.order import SampleOrder
-from plumbline.operators import adaptive, compare, exact
+from plumbline.operators import adaptive, compare, exact, sampling
 from plumbline.operators.method import choose_method
 from plumbline.plans.answer import answer, timed
 from plumbline.plans.progressive import progressive, progressive_trace
@@ -293,6 +293,25 @@ def test_plans_push_filters_and_prune_columns(orders):
     assert "EqualTo(o_orderstatus,F)" in plan
     assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double>" in plan
     sampled = adaptive.adaptive_trace(orders, spec, ORDER)
+    sampled.collect()
     plan = sampled._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 2 and "o_orderpriority" not in plan
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    final = plan.split("== Initial Plan ==")[0]
+    # one scan counts the buckets, one folds the rows; they are joined with nothing
+    assert final.count("FileScan") == 1 and "ReusedSubquery" in plan and "o_orderpriority" not in plan
+    assert "Join" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_quota_per_stratum_keeps_few_rows_before_the_shuffle(orders):
+    drawn = sampling.draw_per_stratum(orders, ORDER, "o_orderpriority", 20)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    assert "row_number(), 20, Partial" in plan and "row_number(), 20, Final" in plan
+
+
+def test_layout_shuffles_sampled_rows_only(spark, orders, tmp_path):
+    within, past, cut = sampling.placed_rows(orders, ORDER.for_rows(15000), past_cap=True)
+    assert within.count() + cut.count() < 0.6 * 15000 < past.count() + cut.count()
+    assert "Exchange" not in past._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    layout.write_sample_layout(orders, str(tmp_path / "l"), ORDER.for_rows(15000))
+    steps = layout.open_sample_layout(spark, str(tmp_path / "l"))
+    assert [steps.steps[k]["rows"] for k in steps.sampled] == [512, 512, 768, 1344, 2352, 512]
