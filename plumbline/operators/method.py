@@ -25,23 +25,34 @@ def choose_method(
     ``most_groups`` groups, or sums and means over fewer than ``fewest_rows`` filtered rows, are
     answered exactly.
     """
+    if spec.group_by is None:
+        sizes = population(df, spec).select(
+            F.lit(0).cast("long").alias("group_count"), F.col("population_rows").alias("filtered_rows")
+        )
+    else:
+        sizes = strata_profile(df, spec).agg(
+            F.count(F.lit(1)).alias("group_count"),
+            F.coalesce(F.sum("population_rows"), F.lit(0)).alias("filtered_rows"),
+        )
+    return verdict(sizes, spec, most_groups, fewest_rows)
+
+
+def verdict(
+    sizes: DataFrame,
+    spec: AggregateSpec,
+    most_groups: int = MOST_GROUPS,
+    fewest_rows: int = FEWEST_ROWS,
+) -> DataFrame:
+    """``choose_method`` for known sizes: a row of ``group_count`` and ``filtered_rows``."""
     if spec.group_by is None:
         method, reason = (
             ("hyperloglog", "distinct counts use registers")
             if spec.distinct
             else ("adaptive_sampling", "no groups")
         )
-        return population(df, spec).select(
-            F.lit(method).alias("method"),
-            F.lit(reason).alias("reason"),
-            F.lit(0).cast("long").alias("group_count"),
-            F.col("population_rows").alias("filtered_rows"),
+        return sizes.select(
+            F.lit(method).alias("method"), F.lit(reason).alias("reason"), "group_count", "filtered_rows"
         )
-
-    sizes = strata_profile(df, spec).agg(
-        F.count(F.lit(1)).alias("group_count"),
-        F.coalesce(F.sum("population_rows"), F.lit(0)).alias("filtered_rows"),
-    )
     obstacles = [
         (F.lit(spec.agg == "count" and not spec.distinct), "grouped counts are answered exactly"),
         (F.col("group_count") == 0, "no rows pass the filters"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.adaptive import with_estimates
 from plumbline.operators.method import MOST_GROUPS
 from plumbline.operators.sampling import STEP, SUM_COLUMNS, first_sums, value_columns
+from plumbline.plans.scans import Scanned, collected
 from plumbline.sources.layout import SampleLayout
 from plumbline.spec import AggregateSpec
 
@@ -24,7 +26,8 @@ class StepResult:
 
     Groups are named by their value as text, and None where there is none.
 
-    Files and bytes are those of all steps that the jobs so far have opened.
+    Files and bytes are those that all jobs so far have opened, that for the group sizes included, as
+    their executed plans report them.
     """
 
     iteration: int
@@ -38,22 +41,24 @@ class StepResult:
     target_met: bool
     is_final: bool
     stopped_reason: str | None
+    elapsed_ms: float
 
 
-def _group_sizes(layout: SampleLayout, spec: AggregateSpec) -> dict[str | None, int]:
-    """Filtered rows of every group, from the filter and group columns only.
+def group_sizes(layout: SampleLayout, spec: AggregateSpec) -> tuple[dict[str | None, int], Scanned]:
+    """Filtered rows of every group, and what was opened to count them.
 
-    Nothing is read for the whole of a table without filters.
+    They come from the statistics of the layout where it has them; else the filter and group columns of
+    all steps are read.
     """
-    if spec.group_by is None:
-        return {None: spec.filtered(layout.frame).count() if spec.where else layout.rows}
-    label = F.col(spec.group_by).cast("string").alias("label")
-    counted = spec.projected(layout.frame).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    known = layout.sizes(spec)
+    if known is not None:
+        return known, Scanned()
+    label = F.col(spec.group_by).cast("string") if spec.group_by else F.lit(None).cast("string")
+    counted = spec.filtered(layout.frame).groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
     # one more than allowed is enough to refuse
-    sizes = {r["label"]: r["n"] for r in counted.limit(MOST_GROUPS + 1).collect()}
-    if len(sizes) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups: answer exactly instead")
-    return sizes
+    lines, opened = collected(counted.limit(MOST_GROUPS + 1))
+    sizes = {r["label"]: r["n"] for r in lines}
+    return sizes if spec.group_by or sizes else {None: 0}, opened
 
 
 def _chunks(layout: SampleLayout) -> list[list[int]]:
@@ -86,8 +91,8 @@ def _estimates(
     sizes: dict,
     before: dict,
     confidence: float,
-) -> list[Row]:
-    """Estimates and running sums after each step of the chunk, in one job.
+) -> tuple[list[Row], Scanned]:
+    """Estimates and running sums after each step of the chunk, in one job, and what it opened.
 
     ``before`` has the sums of the steps read earlier. They join the new sums as one line per
     step and group, at most 65 x 16, so that no combination is missing.
@@ -124,9 +129,8 @@ def _estimates(
         .selectExpr("step", "at", *[f"sum({c}) {running} {c}" for c in SUM_COLUMNS], "population_rows")
         .selectExpr("*", "sum_x as sum_xx", "sum_y as sum_xy")
     )
-    return sorted(
-        with_estimates(summed, spec, confidence).collect(), key=lambda r: (r["step"], r["at"])
-    )
+    rows, opened = collected(with_estimates(summed, spec, confidence))
+    return sorted(rows, key=lambda r: (r["step"], r["at"])), opened
 
 
 def progressive(
@@ -134,22 +138,29 @@ def progressive(
     spec: AggregateSpec,
     target_error: float = 0.05,
     confidence: float = 0.95,
+    sizes: dict[str | None, int] | None = None,
+    opened: Scanned = Scanned(),
+    began: float | None = None,
 ) -> Iterator[StepResult]:
     """Reads more steps of the layout until the error target is met.
 
     Yields after every step, so a caller can show progress or leave early. The steps are those
     of the layout: with filters a step has fewer rows, still a simple random sample of the
-    filtered table. Only sums of at most 16 groups come to the driver.
+    filtered table. Only sums of at most 16 groups come to the driver. ``sizes`` are the group sizes of
+    ``group_sizes``, if the caller has them, ``opened`` what was opened for them and ``began`` when.
     """
     if not spec.is_approximable_total:
         raise ValueError("only sum and avg are sampled; counts are answered exactly")
-    sizes = _group_sizes(layout, spec)
+    began = time.perf_counter() if began is None else began
+    if sizes is None:
+        sizes, opened = group_sizes(layout, spec)
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups: answer exactly instead")
     labels, total = list(sizes), sum(sizes.values())
     sums = {label: [0] * len(SUM_COLUMNS) for label in sizes}
-    opened: list[Row] = []
     for chunk in _chunks(layout) if sizes else []:
-        opened += [layout.steps[step] for step in chunk]
-        lines = _estimates(layout, spec, chunk, sizes, sums, confidence)
+        lines, scanned = _estimates(layout, spec, chunk, sizes, sums, confidence)
+        opened += scanned
         for step in chunk:
             estimates = tuple(
                 Row(
@@ -173,12 +184,13 @@ def progressive(
                 overall_error=worst,
                 sample_rows=sum(e["sample_rows"] for e in estimates),
                 total_rows=total,
-                files_read=sum(s["files"] for s in opened),
-                bytes_read=sum(s["bytes"] for s in opened),
+                files_read=opened.files,
+                bytes_read=opened.bytes,
                 bytes_total=sum(s["bytes"] for s in layout.steps.values()),
                 target_met=met,
                 is_final=last,
                 stopped_reason=("target_reached" if met else "sample_cap") if last else None,
+                elapsed_ms=(time.perf_counter() - began) * 1000,
             )
             if last:
                 return
@@ -191,7 +203,7 @@ _TRACE = (
     "iteration int, group_value string, estimate double, relative_error double, ci_low double, "
     "ci_high double, sample_rows long, population_rows long, overall_error double, "
     "scanned_rows long, total_rows long, files_read long, bytes_read long, bytes_total long, "
-    "target_met boolean, is_final boolean, stopped_reason string"
+    "target_met boolean, is_final boolean, stopped_reason string, elapsed_ms double"
 )
 
 
@@ -202,14 +214,19 @@ def progressive_trace(
     confidence: float = 0.95,
 ) -> DataFrame:
     """The whole run as a frame: one row per step (and group)."""
+    return as_trace(layout, spec, list(progressive(layout, spec, target_error, confidence)))
+
+
+def as_trace(layout: SampleLayout, spec: AggregateSpec, results: list[StepResult]) -> DataFrame:
+    """The steps of a run as a frame."""
     rows = [
         (
             r.iteration, e["group_value"], e["estimate"], e["relative_error"],
             e["ci_low"], e["ci_high"], e["sample_rows"], e["population_rows"], r.overall_error,
             r.sample_rows, r.total_rows, r.files_read, r.bytes_read, r.bytes_total, r.target_met,
-            r.is_final, r.stopped_reason,
+            r.is_final, r.stopped_reason, r.elapsed_ms,
         )
-        for r in progressive(layout, spec, target_error, confidence)
+        for r in results
         for e in r.estimates
     ]
     trace = layout.frame.sparkSession.createDataFrame(rows, _TRACE)

@@ -4,6 +4,9 @@ The sample layout keeps every row once, in folders by the step of the random ord
 growing sample would draw it. The first k folders are a simple random sample of the table, so
 an approximate answer reads just those folders; the last folder holds the rows beyond the
 largest sample. Folder sizes follow the ladder: the first one has 512 rows, whatever the table.
+
+Beside the folders stands a statistics table: rows of every step, and rows of every value of the
+columns that questions group or filter by. Sizes of groups and of filtered tables come from it.
 """
 
 from __future__ import annotations
@@ -15,12 +18,19 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.order import SampleOrder
 from plumbline.operators.sampling import PRIORITY, STEP, placed_rows
+from plumbline.spec import AggregateSpec
 
 _ROW_PLACE = ("row_file", "row_index")
 #: the random order of a table without a key of its own, after ``with_row_place``
 ROW_PLACE_ORDER = SampleOrder(_ROW_PLACE)
 
 
+#: the statistics table, inside the layout; Spark passes over names that begin so
+_STATISTICS = "_statistics"
+#: a column with more values is left out of the statistics
+MOST_VALUES = 1_000
+
+
 def write_typed(df: DataFrame, path: str) -> None:
     """The table as Parquet."""
     df.write.parquet(path)
@@ -64,12 +74,66 @@ def write_sample_layout(
     drawn.unionByName(past).drop(PRIORITY).write.partitionBy(STEP).parquet(path)
 
 
+def write_statistics(spark: SparkSession, path: str, columns: tuple[str, ...]) -> None:
+    """Counts the rows of every step and value of ``columns``, in one scan of these columns.
+
+    Columns with more than ``MOST_VALUES`` values are left out. Values are kept as text.
+    """
+    frame = spark.read.parquet(path)
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    )
+    counted = (
+        frame.select(STEP, F.explode(cells).alias("cell"))
+        .groupBy(STEP, "cell.column", "cell.value")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    few = counted.groupBy("column").agg((F.count_distinct("value") <= MOST_VALUES).alias("few"))
+    # a column with many values has as many lines as it has values: they are not broadcast, the verdicts are
+    kept = counted.join(F.broadcast(few.where("few")), "column").select(STEP, "column", "value", "rows")
+    kept.coalesce(1).write.mode("overwrite").parquet(f"{path}/{_STATISTICS}")
+
+
+def _read_statistics(spark: SparkSession, path: str) -> DataFrame | None:
+    """The statistics table, or None where none was written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_STATISTICS}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    schema = f"{STEP} int, column string, value string, rows long"
+    return spark.read.schema(schema).parquet(f"{path}/{_STATISTICS}")
+
+
 @dataclass(frozen=True)
 class SampleLayout:
-    """A stored layout and what is known about its steps: rows, files and bytes of each."""
+    """A stored layout and what is known about its steps: rows, files and bytes of each.
+
+    ``statistics`` has the rows per step and value of ``counted`` columns.
+    """
 
     frame: DataFrame
     steps: dict[int, Row]
+    statistics: DataFrame | None = None
+    counted: frozenset[str] = frozenset()
+
+    def sizes(self, spec: AggregateSpec) -> dict[str | None, int] | None:
+        """Filtered rows of every group as text (of None without a group), if the statistics hold them.
+
+        They do when the filters and the group read one counted column, or none.
+        """
+        wanted = {c.column for c in spec.where} | ({spec.group_by} if spec.group_by else set())
+        if not wanted:
+            return {None: self.rows}
+        if len(wanted) > 1 or not wanted <= self.counted:
+            return None
+        (column,) = wanted
+        kind = self.frame.schema[column].dataType
+        values = self.statistics.where(F.col("column") == column).select(
+            F.col("value").cast(kind).alias(column), "value", "rows"
+        )
+        found = spec.filtered(values).groupBy("value").agg(F.sum("rows").alias("n")).collect()
+        if spec.group_by is None:
+            return {None: sum(r["n"] for r in found)}
+        return {r["value"]: r["n"] for r in found}
 
     @property
     def rows(self) -> int:
@@ -83,9 +147,12 @@ class SampleLayout:
 
 
 def open_sample_layout(spark: SparkSession, path: str) -> SampleLayout:
-    """Reads file footers once; runs over the layout then start without doing so."""
+    """Reads file footers and statistics once; runs over the layout then start without doing so."""
     frame = read_sample_layout(spark, path)
-    return SampleLayout(frame, {r[STEP]: r for r in manifest(frame).collect()})
+    steps = {r[STEP]: r for r in manifest(frame).collect()}
+    statistics = _read_statistics(spark, path)
+    counted = statistics.select("column").distinct().collect() if statistics is not None else []
+    return SampleLayout(frame, steps, statistics, frozenset(r["column"] for r in counted))
 
 
 def read_sample_layout(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ _PER_GROUP = (
     "group_value estimate display_value relative_error ci_low ci_high sample_rows population_rows"
 ).split()
 _HISTORY = (
-    "session_id string, prompt string, dataset_id string, dataset_label string, "
+    "prompt string, dataset_id string, dataset_label string, "
     "live_mode boolean, error_tolerance double, confidence_level double, created_at timestamp"
 )
 
@@ -75,14 +76,15 @@ def event_log(
     )
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Appends the events as JSON lines."""
-    events.write.mode("append").json(path)
+def write_events(events: DataFrame, path: str, session_id: str) -> None:
+    """Writes the events of a run as JSON lines; a run that is told again replaces what it told before."""
+    events.drop("session_id").write.mode("overwrite").json(f"{path}/session_id={quote(session_id, safe='')}")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    schema = "session_id string, sequence int, type string, sent_at timestamp, payload string"
-    return spark.read.schema(schema).json(path)
+    schema = "sequence int, type string, sent_at timestamp, payload string, session_id string"
+    told = spark.read.schema(schema).json(path)
+    return told.select("session_id", "sequence", "type", "sent_at", "payload")
 
 
 def append_run(
@@ -97,10 +99,9 @@ def append_run(
     confidence_level: float = 0.95,
     created_at: datetime | None = None,
 ) -> None:
-    """Adds one run to the history table."""
+    """Adds one run to the history table; a run that is added again replaces its line."""
     created = created_at or datetime.now(timezone.utc)
     row = (
-        session_id,
         prompt,
         dataset_id,
         dataset_label,
@@ -109,11 +110,13 @@ def append_run(
         confidence_level,
         created,
     )
-    spark.createDataFrame([row], _HISTORY).coalesce(1).write.mode("append").parquet(path)
+    place = f"{path}/session_id={quote(session_id, safe='')}"
+    spark.createDataFrame([row], _HISTORY).coalesce(1).write.mode("overwrite").parquet(place)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_HISTORY).parquet(path)
+    lines = spark.read.schema(f"{_HISTORY}, session_id string").parquet(path)
+    return lines.select("session_id", *[c for c in lines.columns if c != "session_id"])
 
 
 def newest_first(history: DataFrame, when: str = "created_at", *ties: str) -> DataFrame:

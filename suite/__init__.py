@@ -6,7 +6,7 @@ import importlib
 
 from suite.registry import ORACLES, QUERIES
 
-for _part in ("exact", "sampled", "sketched", "analysis", "files", "text", "live"):
+for _part in ("exact", "sampled", "sketched", "analysis", "files", "runs", "text", "live"):
     importlib.import_module(f"suite.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -234,7 +234,7 @@ def event_log(spark, sf):
         compared,
     )
     path = scratch_path(spark, "events")
-    runlog.write_events(events, path)
+    runlog.write_events(events, path, "run-1")
     return runlog.read_events(spark, path).select(
         "sequence",
         "type",

@@ -10,6 +10,7 @@ from plumbline.operators import adaptive, compare, exact, sampling
 from plumbline.operators.method import choose_method
 from plumbline.plans.answer import answer, timed
 from plumbline.plans.progressive import progressive, progressive_trace
+from plumbline.plans.run import record, run
 from plumbline.sources import layout, runlog
 
 ORDER = SampleOrder(("o_orderkey",))
@@ -216,6 +217,56 @@ def test_layout_reads_only_what_it_needs(spark, orders, tmp_path):
     assert [r["estimate"] for r in steps] == pytest.approx([r["estimate"] for r in trace])
 
 
+def test_runs_report_what_they_open(spark, orders, tmp_path):
+    path = str(tmp_path / "layout")
+    layout.write_sample_layout(orders, path, ORDER.for_rows(15000))
+    bare = layout.open_sample_layout(spark, path)
+    layout.write_statistics(spark, path, ("o_orderpriority", "o_custkey", "o_orderstatus"))
+    counted = layout.open_sample_layout(spark, path)
+    assert counted.counted == {"o_orderpriority", "o_orderstatus"}  # customers are more than a thousand
+    assert counted.frame.columns == bare.frame.columns
+    plain = AggregateSpec("sum", "o_totalprice", scale=2)
+    filtered = AggregateSpec("sum", "o_totalprice", (Comparison("o_orderstatus", "=", "F"),), scale=2)
+    grouped = AggregateSpec("sum", "o_totalprice", group_by="o_orderpriority", scale=2)
+    first = {s: next(progressive(bare, s, 0.5)) for s in (plain, filtered, grouped)}
+    few = {s: next(progressive(counted, s, 0.5)) for s in (plain, filtered, grouped)}
+    whole = sum(s["bytes"] for s in bare.steps.values())
+    files = sum(s["files"] for s in bare.steps.values())
+    assert first[filtered].bytes_read == first[grouped].bytes_read == whole + first[plain].bytes_read
+    assert first[filtered].files_read == files + first[plain].files_read
+    for spec in first:
+        assert (few[spec].files_read, few[spec].bytes_read) == (first[plain].files_read, first[plain].bytes_read)
+        assert few[spec].estimates == first[spec].estimates
+        assert few[spec].bytes_read < 0.5 * whole and few[spec].elapsed_ms > 0
+
+
+def test_runs_of_every_method(spark, orders, tmp_path):
+    path = str(tmp_path / "layout")
+    layout.write_sample_layout(orders, path, ORDER.for_rows(15000))
+    stored = layout.open_sample_layout(spark, path)
+    specs = {
+        "adaptive_sampling": AggregateSpec("avg", "o_totalprice", scale=2),
+        "stratified_sampling": AggregateSpec("sum", "o_totalprice", group_by="o_orderpriority", scale=2),
+        "hyperloglog": AggregateSpec("count", "o_custkey", distinct=True),
+        "exact": AggregateSpec("count", group_by="o_orderpriority"),
+    }
+    for method, spec in specs.items():
+        done = run(stored, spec, 0.05)
+        assert done.method == method
+        record(done, str(tmp_path / "runs"), f"a/{method}", "what?", "orders", "Orders")
+        if method == "exact":
+            assert done.trace is None and done.exact.count() == 5
+            continue
+        lines = done.comparison.collect()
+        assert all(r["speedup"] == round(done.exact_ms / done.approx_ms, 2) for r in lines)
+        assert all(r["delta_pct"] < 0.2 for r in lines) and done.exact_ms > 0
+    told = runlog.read_events(spark, str(tmp_path / "runs" / "events")).groupBy("session_id", "type").count().collect()
+    kinds = {(r["session_id"], r["type"]): r["count"] for r in told}
+    assert kinds[("a/exact", "exact_result")] == 1 and ("a/exact", "approx_final") not in kinds
+    assert kinds[("a/adaptive_sampling", "approx_final")] == 1
+    assert runlog.read_history(spark, str(tmp_path / "runs" / "history")).count() == 4
+
+
 def test_layout_refuses_many_groups(spark, orders, tmp_path):
     path = str(tmp_path / "layout")
     layout.write_sample_layout(orders, path, ORDER)
@@ -234,7 +285,7 @@ def test_one_step_run_has_no_progress_event(spark, orders, tmp_path):
         "s", question, verdict, adaptive.with_progress(trace, spec), compared
     )
     path = str(tmp_path / "events")
-    runlog.write_events(events, path)
+    runlog.write_events(events, path, "s")
     stored = runlog.read_events(spark, path).orderBy("sequence").collect()
     assert [r["type"] for r in stored] == [
         "sql_generated", "plan_ready", "approx_final", "exact_result",
