@@ -27,14 +27,16 @@ def shared_rows(
     emit: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
     fields: list[tuple[str, str]],
     parts: int,
+    useful: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """``key`` and ``fields`` of the rows from ``emit`` whose key has two or more rows.
 
     ``emit`` gives structured arrays with a ``key`` (64 bits) and ``fields``, each a name and a
     numpy type, for a batch of ``docs``. A key comes out as 32 of its bits and its fragment: rows
-    of different keys may, rarely, come out under one. A row may come out twice.
+    of different keys may, rarely, come out under one. A row may come out twice. ``useful`` says of
+    arrays of first and second rows which pairs are worth having, for keys that have two rows in all.
     """
-    packed = np.dtype([("key", "<u4"), *fields])
+    packed = np.dtype([("key", "<u4"), *fields, ("more", "?")])
     names = [name for name, _ in fields]
     spread = np.uint64(parts)
 
@@ -57,6 +59,7 @@ def shared_rows(
             new = np.concatenate(([True], key[1:] != key[:-1]))
             known = ~new
             known[:-1] |= ~new[1:]
+            out["more"] = known
             target, sure, blobs = [], [], []
 
             def add(places: np.ndarray, is_known: bool):
@@ -105,7 +108,17 @@ def shared_rows(
             keep = np.zeros(len(rows), bool)
             keep[1:] = key[1:] == key[:-1]
             keep[:-1] |= keep[1:]
-            return out(part, rows[order[keep]])
+            rows = rows[order[keep]]
+            if useful is not None and len(rows):
+                key = rows["key"]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                two = first[np.diff(np.append(first, len(rows))) == 2]
+                two = two[~rows["more"][two] & ~rows["more"][two + 1]]
+                vain = two[~useful(rows[two], rows[two + 1])]
+                stay = np.ones(len(rows), bool)
+                stay[vain] = stay[vain + 1] = False
+                rows = rows[stay]
+            return out(part, rows)
 
         for batch in batches:
             for known, blob in zip(batch.column("known").to_pylist(), batch.column("rows").to_pylist()):

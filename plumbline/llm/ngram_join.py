@@ -191,7 +191,16 @@ def _shared_rows(docs: DataFrame, frequent, parts: int, percent: int) -> DataFra
             if parts_of:
                 yield np.concatenate(parts_of)
 
-    return shared_rows(docs, emit, _FIELDS, parts).withColumnRenamed("key", "gram").distinct()
+    def useful(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether two sets that alone hold an n-gram can link (see ``_Candidates``)."""
+        n, other, pos, at = (r[f].astype(np.int64) for f in ("n", "pos") for r in (x, y))
+        swap = (other < n) | ((other == n) & (y["cls"] < x["cls"]))
+        small, large = np.where(swap, other, n), np.where(swap, n, other)
+        lead = np.where(swap, at, pos) < small - -(-2 * percent * small // (100 + percent)) + 1
+        reach = np.minimum(n - pos, other - at) * (100 + percent) >= percent * (n + other)
+        return (x["cls"] != y["cls"]) & lead & reach & (100 * small >= percent * large)
+
+    return shared_rows(docs, emit, _FIELDS, parts, useful).withColumnRenamed("key", "gram").distinct()
 
 
 def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -310,7 +319,7 @@ class _Candidates:
 
 
 def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of n-grams whose classes lie in several components: ``gram, row, lead, component, m``, stored."""
+    """Rows of n-grams whose classes lie in several components: ``gram, cls, n, pos, lead, component, m``, stored."""
     placed = rows.join(groups.withColumnRenamed("id", "cls"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls")
     )
@@ -319,7 +328,7 @@ def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
     )
     return stored(
         placed.join(split.where("low < high").select("gram", "m"), "gram").select(
-            "gram", F.struct("n", "cls", "pos").alias("row"), "lead", "component", "m"
+            "gram", "cls", "n", "pos", "lead", "component", "m"
         ),
         "apart",
     )
@@ -327,11 +336,11 @@ def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _neighbours(apart: DataFrame, width: int, turn: int) -> DataFrame:
     """Rows of an n-gram beside the next few in a random order, if in another component: ``x, y``."""
-    block = F.pmod(F.xxhash64("row.cls", F.lit(-turn)), F.ceil(F.col("m") / _BLOCK))
+    block = F.pmod(F.xxhash64("cls", F.lit(-turn)), F.ceil(F.col("m") / _BLOCK))
     me = F.struct("row", "lead", "component")
     window = Window.partitionBy("gram", "block").orderBy(F.xxhash64("row.cls", F.lit(turn)), "row.cls")
     met = (
-        apart.withColumn("block", block)
+        apart.select("gram", F.struct("n", "cls", "pos").alias("row"), "lead", "component", block.alias("block"))
         .select("lead", "component", "row", F.collect_list(me).over(window.rowsBetween(1, width)).alias("others"))
         .select("lead", "component", "row", F.explode("others").alias("other"))
         .where(F.col("component") != F.col("other.component"))
@@ -363,16 +372,22 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prefix_rows // _FRAGMENT_ROWS))
     candidates = _Candidates(percent)
     rows = stored(_shared_rows(docs, frequent, parts, percent).withColumn("lead", candidates.lead), "prefixes")
-    leader = rows.where("lead").groupBy("gram").agg(F.min(F.struct("n", "cls", "pos")).alias("x"))
-    met = rows.join(leader, "gram").select("x", F.struct("n", "cls", "pos").alias("y"))
-    compared = stored(candidates.pairs(met, "x", "y"), "pairs")
+    row = F.struct("n", "cls", "pos")
+    leader = rows.groupBy("gram").agg(
+        F.min(F.when(F.col("lead"), row)).alias("x"), F.min("cls").alias("low"), F.max("cls").alias("high")
+    )
+    # n-grams of one class, or that no smaller set can lead with, make no pair
+    rows = stored(rows.join(leader.where("x IS NOT NULL AND low < high").select("gram", "x"), "gram"), "met")
+    compared = stored(candidates.pairs(rows.select("x", row.alias("y")), "x", "y"), "pairs")
+    rows = rows.drop("x")
     links = _linked(docs, table, compared, percent)
     for turn, width in enumerate([*NEIGHBOURS, None]):
         groups = stored(components(links), "groups")
-        apart = _apart(rows, groups)
+        # components only grow, so what is apart later is apart now
+        rows = apart = _apart(rows.select("gram", "cls", "n", "pos", "lead"), groups)
         if width is None:
-            x = apart.where("lead").select("gram", F.col("row").alias("x"), F.col("component").alias("of_x"))
-            y = apart.select("gram", F.col("row").alias("y"), F.col("component").alias("of_y"))
+            x = apart.where("lead").select("gram", row.alias("x"), F.col("component").alias("of_x"))
+            y = apart.select("gram", row.alias("y"), F.col("component").alias("of_y"))
             met = x.join(y, "gram").where("of_x != of_y")
         else:
             met = _neighbours(apart, width, turn + 1)
