@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import display
@@ -77,11 +77,40 @@ def adaptive_trace(
     )
 
 
+def footer_rows(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows of Parquet files as one row ``row_count``, pushed down to the footers: no data is read.
+
+    The plan belongs to a session of its own, which reads Parquet through the source that aggregates are
+    pushed to, so that other queries are planned as before.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return session.read.parquet(*paths).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def count_trace_of(rows: DataFrame) -> DataFrame:
+    """The trace of a ``COUNT(*)`` that is known: one step without rows or error. ``rows`` is ``row_count``."""
+    count = F.col("row_count")
+    return rows.select(
+        F.lit(1).alias("iteration"),
+        count.cast("double").alias("estimate"),
+        F.lit(0.0).alias("relative_error"),
+        count.cast("double").alias("ci_low"),
+        count.cast("double").alias("ci_high"),
+        F.lit(0).cast("long").alias("sample_rows"),
+        count.alias("total_rows"),
+        F.lit(True).alias("target_met"),
+        F.lit(True).alias("is_final"),
+        F.lit("target_reached").alias("stopped_reason"),
+    )
+
+
 def exact_count_trace(df: DataFrame, spec: AggregateSpec) -> DataFrame:
     """A count as a one-step trace without error.
 
-    ``COUNT(*)`` of an unfiltered table comes from file footers and uses no rows; any other
-    count reads what it counts.
+    ``COUNT(*)`` of an unfiltered table uses no column and no rows; any other count reads what it
+    counts. For a table of Parquet files ``footer_rows`` answers from the footers alone.
     """
     from_metadata = spec.column is None and not spec.where
     counted = spec.filtered(df).agg(aggregate_column(spec).cast("double").alias("estimate"))

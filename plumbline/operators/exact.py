@@ -6,31 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.display import group_label
+from plumbline.functions.numbers import exact_total
 from plumbline.spec import AggregateSpec
 
 
-def _total(spec: AggregateSpec) -> Column:
-    """Sum as a double. With a scale finite values are added as decimals of that scale.
-
-    A scale that would change a value is an error; NaN and infinities add up as doubles do.
-    """
-    value = F.col(spec.column).cast("double")
-    if spec.scale is None:
-        return F.sum(value)
-    exact = F.col(spec.column).cast(f"decimal(30,{spec.scale})")
-    wild = F.isnan(value) | (F.abs(value) == float("inf"))
-    told = F.concat(F.lit(f"{spec.column} has more than {spec.scale} decimal places: "), F.col(spec.column))
-    kept = F.when(~wild, F.when(exact.cast("double") == value, exact).otherwise(F.raise_error(told)))
-    return F.coalesce(F.sum(F.when(wild, value)), F.sum(kept).cast("double"))
-
-
 def aggregate_column(spec: AggregateSpec) -> Column:
     """The aggregate; a sum or mean of nothing is 0."""
     if spec.agg == "count":
         if spec.distinct:
             return F.countDistinct(spec.column)
         return F.count(F.lit(1) if spec.column is None else F.col(spec.column))
-    total = _total(spec)
+    total = exact_total(spec.column, spec.scale)
     if spec.agg == "sum":
         return F.coalesce(total, F.lit(0.0))
     # from sum and count, so that a decimal mean keeps every digit

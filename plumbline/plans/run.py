@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.adaptive import exact_count_trace, final_answer, with_progress
+from plumbline.operators.adaptive import count_trace_of, exact_count_trace, final_answer, with_progress
 from plumbline.operators.compare import compare_grouped, compare_scalar, speedup
 from plumbline.operators.exact import exact, ordered
 from plumbline.operators.method import MOST_GROUPS, verdict
@@ -65,6 +65,8 @@ def run(
     if line["method"] == "hyperloglog":
         build = grouped_distinct_trace if spec.group_by else distinct_trace
         trace = _kept(build(table, spec, target_error))
+    elif spec.agg == "count" and spec.column is None and not spec.where:
+        trace = count_trace_of(spark.createDataFrame([(layout.rows,)], "row_count long"))
     elif spec.agg == "count":
         trace = _kept(exact_count_trace(table, spec))
     else:

@@ -6,15 +6,19 @@ batch frame and give the same answer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from plumbline.functions import registers as hll
+from plumbline.functions.numbers import exact_total
 from plumbline.functions.order import SampleOrder
 from plumbline.operators.adaptive import with_estimates
 from plumbline.spec import AggregateSpec
 
+_BATCH, _NEWEST = "update_batch", "update_newest"
+
 
 def _slot(order: SampleOrder, slots: int) -> Column:
     """Slot of a row, from a hash of its keys that does not depend on the priority."""
@@ -70,10 +74,9 @@ def _totals(
 ) -> DataFrame:
     sums = [F.count(F.lit(1)).alias("rows")]
     if value is not None:
-        number = F.col(value).cast(f"decimal(18,{scale})")
         sums += [
-            F.sum(number).cast("double").alias("total"),
-            (F.sum(number).cast("double") / F.nullif(F.count(value), F.lit(0))).alias("mean"),
+            exact_total(value, scale).alias("total"),
+            (exact_total(value, scale) / F.nullif(F.count(value), F.lit(0))).alias("mean"),
         ]
     return stream.groupBy(window.alias("window"), *by).agg(*sums).select(*_bounds(), *by, "rows", *(
         ["total", "mean"] if value is not None else []
@@ -174,19 +177,30 @@ def start_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def start_complete(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Replaces the Parquet table by the whole summary after every batch.
+def start_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes what every batch changes under its number, with all data that is there now.
 
-    A batch that is run again after a failure writes the same table again.
+    The watermark drops the state of closed windows, which keep the last line written for them. A batch that
+    is run again after a failure replaces its own lines; readers (``read_updates``) never find the
+    table gone.
     """
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{_BATCH}={number}")
 
     return (
-        stream.writeStream.foreachBatch(replace)
-        .outputMode("complete")
+        stream.writeStream.foreachBatch(write)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_updates(spark: SparkSession, path: str, schema: StructType, keys: tuple[str, ...]) -> DataFrame:
+    """The newest line of every key of a table that ``start_updates`` writes."""
+    lines = spark.read.schema(StructType([*schema.fields]).add(_BATCH, "long")).parquet(path)
+    newest = Window.partitionBy(*keys).orderBy(F.desc(_BATCH))
+    return (
+        lines.withColumn(_NEWEST, F.row_number().over(newest)).where(F.col(_NEWEST) == 1).drop(_NEWEST, _BATCH)
+    )

@@ -109,12 +109,13 @@ def _profile_sql(name: str, types: dict[str, str]) -> str:
             "c_custkey": "INTEGER",
             "c_name": "TEXT",
             "c_nationkey": "INTEGER",
+            "c_acctbal": "DOUBLE",
             "c_mktsegment": "TEXT",
         },
     ),
 )
 def profile_query(spark, sf):
-    cells = text_cells(table(spark, sf, "customer").drop("c_acctbal"))
+    cells = text_cells(table(spark, sf, "customer"))
     return column_profile(cells).select(
         "position",
         "column",
@@ -125,15 +126,18 @@ def profile_query(spark, sf):
     )
 
 
-@query(
-    "column_examples",
-    """SELECT 'event_type' AS "column", v AS example FROM
-         (SELECT DISTINCT event_type AS v FROM events ORDER BY v LIMIT 2)
-       UNION ALL SELECT 'props', v FROM
-         (SELECT DISTINCT props AS v FROM events ORDER BY v LIMIT 2)""",
-)
+def _examples_sql(name: str, columns: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", v AS example FROM
+              (SELECT DISTINCT {f"rtrim(rtrim(strftime({c}, '%Y-%m-%dT%H:%M:%S.%f'), '0'), '.')" if c == "ts" else f"CAST({c} AS VARCHAR)"} AS v
+               FROM {name} ORDER BY v LIMIT 2)"""
+        for c in columns
+    )
+
+
+@query("column_examples", _examples_sql("events", ("event_id", "ts", "user_id", "event_type", "value", "props")))
 def column_examples(spark, sf):
-    profile = column_profile(table(spark, sf, "events").select("event_type", "props"))
+    profile = column_profile(text_cells(table(spark, sf, "events")))
     return profile.select("column", F.explode("examples").alias("example"))
 
 

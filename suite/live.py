@@ -15,23 +15,25 @@ P = precision_for(0.05)
 SLOTS = 64
 
 
-def _stream(spark, sf, files: int | None = 4, per_batch: int | None = 1):
-    """The events as a stream of several files, in small batches."""
-    source = f"{sf}/events.parquet"
-    if files:
-        source = scratch_path(spark, "events")
-        table(spark, sf, "events").repartition(files, "event_id").write.parquet(source)
-    reader = spark.readStream.schema(table(spark, sf, "events").schema)
-    if per_batch:
-        reader = reader.option("maxFilesPerTrigger", per_batch)
+def _stream(spark, sf, batches: int = 4):
+    """The events as a stream of files that follow each other in time, one per batch."""
+    events, source = table(spark, sf, "events"), scratch_path(spark, "events")
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    part = F.least(F.floor((seconds - first) * batches / (last - first + 1)), F.lit(batches - 1))
+    for k in range(batches):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(source)
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
     return reader.parquet(source)
 
 
-def _finished(spark, stream, complete: bool = True):
-    """Runs the stream over all data that is there, and reads what it wrote."""
+def _finished(spark, stream, keys: tuple[str, ...] | None = None):
+    """Runs the stream over all data that is there, and reads what it wrote; closed windows only without keys."""
     path, checkpoint = scratch_path(spark, "live"), scratch_path(spark, "live-checkpoint")
-    start = live.start_complete if complete else live.start_append
+    start = live.start_updates if keys else live.start_append
     start(stream, path, checkpoint).awaitTermination()
+    if keys:
+        return live.read_updates(spark, path, stream.schema, keys)
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -53,7 +55,7 @@ _SLOT = f"""SELECT *, CAST('0x' || substr(md5(concat_ws('|', 'slot', event_id)),
 )
 def slot_reservoir(spark, sf):
     rows = _stream(spark, sf).select("event_id", "user_id", "event_type", "value")
-    return _finished(spark, live.slot_reservoir(rows, EVENTS_ORDER, SLOTS))
+    return _finished(spark, live.slot_reservoir(rows, EVENTS_ORDER, SLOTS), ("slot",))
 
 
 _DAY = "date_trunc('day', ts)"
@@ -69,7 +71,7 @@ _DAY = "date_trunc('day', ts)"
 def window_counts(spark, sf):
     timed = live.event_time(_stream(spark, sf), "ts", "1 hour")
     totals = live.window_totals(timed, "ts", "1 day", ("event_type",), "value")
-    return _zoneless(_finished(spark, totals))
+    return _zoneless(_finished(spark, totals, ("window_start", "event_type")))
 
 
 @query(
@@ -79,9 +81,8 @@ def window_counts(spark, sf):
         WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 )
 def window_counts_closed(spark, sf):
-    # one batch: files of a small batch would make rows of the others late
-    timed = live.event_time(_stream(spark, sf, 4, None), "ts", "1 hour")
-    return _zoneless(_finished(spark, live.window_totals(timed, "ts", "1 day"), complete=False))
+    timed = live.event_time(_stream(spark, sf), "ts", "1 hour")
+    return _zoneless(_finished(spark, live.window_totals(timed, "ts", "1 day")))
 
 
 @query(
@@ -93,7 +94,8 @@ def window_counts_closed(spark, sf):
 )
 def window_counts_sliding(spark, sf):
     timed = live.event_time(_stream(spark, sf), "ts", "1 hour")
-    return _zoneless(_finished(spark, live.window_totals(timed, "ts", "1 day", slide="12 hours")))
+    totals = live.window_totals(timed, "ts", "1 day", slide="12 hours")
+    return _zoneless(_finished(spark, totals, ("window_start",)))
 
 
 @query(
@@ -107,9 +109,9 @@ def window_counts_sliding(spark, sf):
        HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
 )
 def session_counts(spark, sf):
-    timed = live.event_time(_stream(spark, sf, 4, None), "ts", "1 hour")
+    timed = live.event_time(_stream(spark, sf), "ts", "1 hour")
     sessions = live.session_totals(timed, "ts", "6 hours", ("user_id",))
-    return _zoneless(_finished(spark, sessions, complete=False))
+    return _zoneless(_finished(spark, sessions))
 
 
 _HARMONIC = "CAST(coalesce(sum(pow(CAST(2 AS DOUBLE), -rnk)), 0) AS DOUBLE)"
@@ -123,18 +125,27 @@ _HARMONIC = "CAST(coalesce(sum(pow(CAST(2 AS DOUBLE), -rnk)), 0) AS DOUBLE)"
 )
 def window_distinct(spark, sf):
     timed = live.event_time(_stream(spark, sf), "ts", "1 hour")
-    stored = _zoneless(
-        _finished(spark, live.window_registers(timed, "ts", "1 day", "user_id", P, "md5"))
-    )
+    registers = live.window_registers(timed, "ts", "1 day", "user_id", P, "md5")
+    stored = _zoneless(_finished(spark, registers, ("window_start", "register_index")))
     counted = sketch.cardinality(stored, P, ("window_start",))
     return counted.withColumn("estimate", F.round("estimate", 6))
 
 
-@query("window_sketches")
+@query(
+    "window_sketches",
+    f"""SELECT {_DAY} AS window_start, TRUE AS near FROM events GROUP BY 1
+        HAVING window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
 def window_sketches(spark, sf):
-    timed = live.event_time(_stream(spark, sf, 4, None), "ts", "1 hour")
+    """Closed windows, each estimate being within three standard errors of the truth (half a user at least)."""
+    timed = live.event_time(_stream(spark, sf), "ts", "1 hour")
     sketches = live.window_sketches(timed, "ts", "1 day", "user_id")
-    return _zoneless(_finished(spark, sketches, complete=False)).drop("sketch")
+    found = _zoneless(_finished(spark, sketches))
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    truth = table(spark, sf, "events").groupBy(day.alias("window_start")).agg(F.count_distinct("user_id").alias("users"))
+    off = F.abs(F.col("estimate") - F.col("users"))
+    near = off <= F.greatest(F.lit(0.5), 3 * 1.04 / 2**6 * F.col("users"))  # 2**12 registers
+    return found.join(truth, "window_start").select("window_start", near.alias("near"))
 
 
 @query(
@@ -155,5 +166,5 @@ def window_sketches(spark, sf):
 def live_estimates(spark, sf):
     timed = live.event_time(_stream(spark, sf), "ts", "1 hour")
     samples = live.window_samples(timed, "ts", "1 day", "value", EVENTS_ORDER, SLOTS)
-    estimates = live.window_estimates(_finished(spark, samples))
+    estimates = live.window_estimates(_finished(spark, samples, ("window_start", "slot")))
     return _zoneless(estimates).drop("window_end")

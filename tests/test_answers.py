@@ -352,6 +352,15 @@ def test_plans_push_filters_and_prune_columns(orders):
     assert "Join" not in plan and "CartesianProduct" not in plan
 
 
+def test_counts_come_from_footers(spark, sf):
+    rows = adaptive.footer_rows(spark, f"{sf}/orders.parquet")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan and "PushedGroupBy: []" in plan
+    assert adaptive.count_trace_of(rows).first()["total_rows"] == spark.read.parquet(f"{sf}/orders.parquet").count()
+    # other queries are planned as before
+    assert "FileScan" in spark.read.parquet(f"{sf}/orders.parquet")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_quota_per_stratum_keeps_few_rows_before_the_shuffle(orders):
     drawn = sampling.draw_per_stratum(orders, ORDER, "o_orderpriority", 20)
     plan = drawn._jdf.queryExecution().executedPlan().toString()
