@@ -77,6 +77,13 @@ def document_records(documents: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _member(key: str) -> Column:
+    """The value of a key of ``record``; of a key that the record repeats, the last one."""
+    keys = F.map_keys("record")
+    last = F.try_element_at(F.filter(F.map_entries("record"), lambda m: m["key"] == key), F.lit(-1))["value"]
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.try_element_at("record", F.lit(key))).otherwise(last)
+
+
 def record_keys(records: DataFrame) -> list[str]:
     """All keys of the records, in the order in which they first turn up. Schema metadata."""
     seen = (
@@ -95,7 +102,7 @@ def records_dataset(records: DataFrame, name: str = "dataset") -> Dataset:
         raise ValueError("no tabular records found")
     names = column_names(keys)
     values = records.select(
-        *[F.try_element_at("record", F.lit(key)).alias(column) for key, column in zip(keys, names)]
+        *[_member(key).alias(column) for key, column in zip(keys, names)]
     )
     kinds = F.struct(*[F.schema_of_variant(c).alias(c) for c in names])
     cells = values.select("*", kinds.alias("_kinds")).select(
@@ -104,13 +111,23 @@ def records_dataset(records: DataFrame, name: str = "dataset") -> Dataset:
     return dataset(slug(name), cells)
 
 
+def _repeated_keys_allowed(spark: SparkSession) -> None:
+    """An object may repeat a key, as JSON allows; the session then keeps the last value."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def read_json(spark: SparkSession, path: str, name: str = "dataset") -> Dataset:
-    """Files that are one JSON document each."""
+    """Files that are one JSON document each. Of a repeated key the last value counts."""
+    _repeated_keys_allowed(spark)
     documents = spark.read.text(path, wholetext=True)
     return records_dataset(document_records(documents, "value"), name)
 
 
 def read_json_lines(spark: SparkSession, path: str, name: str = "dataset") -> Dataset:
-    """Files with one JSON record per line; splittable, so the form for large data."""
+    """Files with one JSON record per line; splittable, so the form for large data.
+
+    Of a repeated key the last value counts.
+    """
+    _repeated_keys_allowed(spark)
     lines = spark.read.text(path).where(F.trim("value") != "")
     return records_dataset(lines.select(_record(F.col("value")).alias("record")), name)

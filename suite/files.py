@@ -91,6 +91,20 @@ def csv_sum(spark, sf):
     return exact(orders, AggregateSpec("sum", "total_price", scale=2))
 
 
+@query(
+    "json_repeated_keys",
+    """SELECT o_orderkey AS key, o_orderstatus AS status FROM orders""",
+)
+def json_repeated_keys(spark, sf):
+    """Objects that say their status twice: the last one counts."""
+    line = F.format_string(
+        '{"key":%d,"status":"%s","status":"%s"}', "o_orderkey", F.lower("o_orderpriority"), F.col("o_orderstatus")
+    )
+    path = scratch_path(spark, "repeated")
+    table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    return records.read_json_lines(spark, path).typed()
+
+
 def _profile_sql(name: str, types: dict[str, str]) -> str:
     parts = [
         f"""SELECT {i} AS position, '{column}' AS "column", '{kind}' AS type,

@@ -52,15 +52,15 @@ def test_merge_equals_one_pass(spark, sf):
 
 def test_groups(spark):
     df = spark.createDataFrame(
-        [(1001, "active"), (1002, "active"), (1001, "inactive"), (1003, "active"), (1004, "inactive"),
-         (None, "gone")],
-        "customer_id long, status string",
+        [(31, "calm"), (57, "calm"), (31, "calm"), (31, "rough"), (88, "rough"), (90, "rough"), (57, "fog"), (None, "gone")],
+        "buoy long, sea string",
     )
-    spec = AggregateSpec("count", "customer_id", group_by="status", distinct=True)
+    spec = AggregateSpec("count", "buoy", group_by="sea", distinct=True)
     lines = {r["group_value"]: r for r in sketch.grouped_distinct_trace(df, spec).collect()}
     assert {g: round(r["estimate"]) for g, r in lines.items()} == {
-        "active": 3,
-        "inactive": 2,
+        "calm": 2,
+        "rough": 3,
+        "fog": 1,
         "gone": 0,
     }
     assert lines["gone"]["population_rows"] == 1

@@ -34,13 +34,13 @@ def test_names():
 
 
 def test_csv(spark, file_in):
-    path = file_in("sales.csv", "order total,status\n10.5,paid\n18.0,paid\n4.5,refunded\n")
-    sales = delimited.read_csv(spark, path, "Sales 2025")
-    assert sales.name == "sales_2025"
-    assert kinds(sales) == {"order_total": "DOUBLE", "status": "TEXT"}
-    assert exact(sales.typed(), AggregateSpec("sum", "order_total")).first()[0] == 33.0
-    register({sales.name: sales.typed()})
-    assert spark.sql("select count(*) from sales_2025").first()[0] == 3
+    path = file_in("sales.csv", "hull length,paint\n7.25,red\n3.5,red\n9.0,teal\n6.25,white\n")
+    boats = delimited.read_csv(spark, path, "Boats 1987")
+    assert boats.name == "boats_1987"
+    assert kinds(boats) == {"hull_length": "DOUBLE", "paint": "TEXT"}
+    assert exact(boats.typed(), AggregateSpec("sum", "hull_length")).first()[0] == 26.0
+    register({boats.name: boats.typed()})
+    assert spark.sql("select count(*) from boats_1987").first()[0] == 4
 
 
 def test_csv_rows_are_padded_cut_and_dropped(spark, file_in):
@@ -64,19 +64,19 @@ def test_csv_needs_a_header(spark, file_in, text):
 
 
 def test_csv_distinct_routes_to_the_sketch(spark, file_in):
-    text = "customer_id,status\n1001,active\n1002,active\n1001,inactive\n1003,active\n1004,inactive\n"
-    customers = delimited.read_csv(spark, file_in("c.csv", text)).typed()
-    spec = AggregateSpec("count", "customer_id", distinct=True)
-    assert choose_method(customers, spec).first()["method"] == "hyperloglog"
-    assert round(distinct_trace(customers, spec).first()["estimate"]) == 4
-    grouped = AggregateSpec("count", "customer_id", distinct=True, group_by="status")
-    lines = grouped_distinct_trace(customers, grouped).collect()
-    assert {r["group_value"]: round(r["estimate"]) for r in lines} == {"active": 3, "inactive": 2}
+    text = "buoy,sea\n31,calm\n57,calm\n31,calm\n31,rough\n88,rough\n90,rough\n57,fog\n"
+    buoys = delimited.read_csv(spark, file_in("c.csv", text)).typed()
+    spec = AggregateSpec("count", "buoy", distinct=True)
+    assert choose_method(buoys, spec).first()["method"] == "hyperloglog"
+    assert round(distinct_trace(buoys, spec).first()["estimate"]) == 4
+    grouped = AggregateSpec("count", "buoy", distinct=True, group_by="sea")
+    lines = grouped_distinct_trace(buoys, grouped).collect()
+    assert {r["group_value"]: round(r["estimate"]) for r in lines} == {"calm": 2, "rough": 3, "fog": 1}
 
 
 def test_tsv(spark, file_in):
-    cities = delimited.read_tsv(spark, file_in("cities.tsv", "city\tcount\nDelhi\t3\nMumbai\t5\n"))
-    assert kinds(cities) == {"city": "TEXT", "count": "INTEGER"}
+    cities = delimited.read_tsv(spark, file_in("cities.tsv", "quay\tcount\nTurku\t12\nOslo\t7\nBergen\t40\n"))
+    assert kinds(cities) == {"quay": "TEXT", "count": "INTEGER"}
     assert cities.typed().schema["count"].dataType == T.LongType()
 
 
@@ -142,10 +142,10 @@ def test_listing_of_capabilities(spark, file_in):
 
 
 def test_json_list(spark, file_in):
-    path = file_in("s.json", '[{"region":"North","sales":12.5},{"region":"South","sales":18.0}]')
+    path = file_in("s.json", '[{"quay":"Oslo","depth":4.25},{"quay":"Turku","depth":11.0}]')
     sales = records.read_json(spark, path)
-    assert kinds(sales) == {"region": "TEXT", "sales": "DOUBLE"}
-    assert {tuple(r) for r in sales.typed().collect()} == {("North", 12.5), ("South", 18.0)}
+    assert kinds(sales) == {"quay": "TEXT", "depth": "DOUBLE"}
+    assert {tuple(r) for r in sales.typed().collect()} == {("Oslo", 4.25), ("Turku", 11.0)}
 
 
 def test_json_shapes(spark, file_in):
@@ -168,6 +168,13 @@ def test_json_shapes(spark, file_in):
         records.read_json(spark, file_in("x.json", "[]"))
 
 
+def test_json_keys_that_repeat(spark, file_in):
+    lines = records.read_json_lines(spark, file_in("k.json", '{"a":1,"b":2,"a":3}\n{"b":5,"a":4}\n')).text
+    assert sorted(map(tuple, lines.collect())) == [("3", "2"), ("4", "5")] and lines.columns == ["a", "b"]
+    listed = records.read_json(spark, file_in("d.json", '[{"a":1,"b":{"x":1,"x":2},"a":[7]},{"a":null,"a":"z"}]')).text
+    assert [tuple(r) for r in listed.collect()] == [("[7]", '{"x":2}'), ("z", None)]
+
+
 def test_json_lines_are_records(spark, file_in):
     path = file_in("l.json", '{"b":1,"list":[1,2]}\n\n{"a":null,"b":2}\n')
     lines = records.read_json_lines(spark, path)
@@ -198,14 +205,14 @@ def test_xml_files_may_name_their_records_differently(spark, tmp_path):
 
 def test_xml(spark, file_in):
     text = (
-        "<rows><row><segment>consumer</segment><revenue>12.0</revenue></row>"
-        "<row><segment>enterprise</segment><revenue>25.5</revenue></row></rows>"
+        "<ships><ship><flag>blue</flag><tons>31.0</tons></ship>"
+        "<ship><flag>white</flag><tons>8.75</tons></ship></ships>"
     )
     path = file_in("r.xml", text)
     rows = xml.read_xml(spark, path)
-    assert xml.record_tags(spark, path) == ["row"]
-    assert kinds(rows) == {"segment": "TEXT", "revenue": "DOUBLE"}
-    assert xml.read_xml(spark, path, tags=["row"]).text.count() == 2
+    assert xml.record_tags(spark, path) == ["ship"]
+    assert kinds(rows) == {"flag": "TEXT", "tons": "DOUBLE"}
+    assert xml.read_xml(spark, path, tags=["ship"]).text.count() == 2
 
 
 def test_xml_shapes(spark, file_in):
