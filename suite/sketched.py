@@ -128,7 +128,22 @@ def hll_merge_monthly(spark, sf):
     return _six_digits(sketch.cardinality(sketch.merge(monthly, ("month",)), P, ("month",)))
 
 
-@query("builtin_sketch_merge")
+@query(
+    "builtin_sketch_merge",
+    """SELECT 'all' AS of, count(DISTINCT user_id) AS users, TRUE AS near FROM events
+       UNION ALL SELECT event_type, count(DISTINCT user_id), TRUE FROM events GROUP BY event_type""",
+)
 def builtin_sketch_merge(spark, sf):
+    """Daily sketches merged for all events and per kind: within three standard errors of 2**12 registers."""
     df = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    return sketch.builtin_distinct(sketch.builtin_sketches(df, "user_id", ("day",)))
+    sketches = sketch.builtin_sketches(df, "user_id", ("day", "event_type"))
+    users = F.count_distinct("user_id").alias("users")
+    merged = sketch.builtin_distinct(sketches).select(F.lit("all").alias("of"), "estimate").unionByName(
+        sketch.builtin_distinct(sketches, ("event_type",)).select(F.col("event_type").alias("of"), "estimate")
+    )
+    truth = df.agg(users).select(F.lit("all").alias("of"), "users").unionByName(
+        df.groupBy("event_type").agg(users).select(F.col("event_type").alias("of"), "users")
+    )
+    off = F.abs(F.col("estimate") - F.col("users"))
+    near = off <= F.greatest(F.lit(0.5), 3 * 1.04 / 2**6 * F.col("users"))
+    return merged.join(truth, "of").select("of", "users", near.alias("near"))
