@@ -143,7 +143,7 @@ def profile_query(spark, sf):
 def _examples_sql(name: str, columns: tuple[str, ...]) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", v AS example FROM
-              (SELECT DISTINCT {f"rtrim(rtrim(strftime({c}, '%Y-%m-%dT%H:%M:%S.%f'), '0'), '.')" if c == "ts" else f"CAST({c} AS VARCHAR)"} AS v
+              (SELECT DISTINCT {f"replace(strftime({c}, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '')" if c == "ts" else f"CAST({c} AS VARCHAR)"} AS v
                FROM {name} ORDER BY v LIMIT 2)"""
         for c in columns
     )
