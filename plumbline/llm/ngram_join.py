@@ -39,8 +39,8 @@ MOST_FREQUENT = 1_000_000
 _FLUSH = 4_000_000
 #: prefix rows that a fragment is meant to hold, and members per leader and task
 _FRAGMENT_ROWS, _MEMBERS = 1_000_000, 500
-#: neighbours that a class is compared with per n-gram in each round, before all that is still apart is paired
-NEIGHBOURS = (2, 4, 8)
+#: neighbours that a class is compared with in each round, before all that is still apart is paired
+NEIGHBOURS = (4, 8, 8)
 #: classes of an n-gram that are put in one random order
 _BLOCK = 4_000
 
@@ -335,12 +335,19 @@ def _apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _neighbours(apart: DataFrame, width: int, turn: int) -> DataFrame:
-    """Rows of an n-gram beside the next few in a random order, if in another component: ``x, y``."""
+    """Pairs ``x, y`` of rows in different components, at most ``width`` per class.
+
+    Each class takes the one of its n-grams that comes first in a random order of all, as texts that
+    are alike mostly do, and stands beside the next few classes there, in a random order again.
+    """
     block = F.pmod(F.xxhash64("cls", F.lit(-turn)), F.ceil(F.col("m") / _BLOCK))
     me = F.struct("row", "lead", "component")
     window = Window.partitionBy("gram", "block").orderBy(F.xxhash64("row.cls", F.lit(turn)), "row.cls")
     met = (
-        apart.select("gram", F.struct("n", "cls", "pos").alias("row"), "lead", "component", block.alias("block"))
+        apart.groupBy("cls")
+        .agg(F.min_by(F.struct("gram", "n", "pos", "lead", "component", "m"), F.xxhash64("gram", F.lit(turn))).alias("own"))
+        .select("cls", "own.*")
+        .select("gram", F.struct("n", "cls", "pos").alias("row"), "lead", "component", block.alias("block"))
         .select("lead", "component", "row", F.collect_list(me).over(window.rowsBetween(1, width)).alias("others"))
         .select("lead", "component", "row", F.explode("others").alias("other"))
         .where(F.col("component") != F.col("other.component"))
