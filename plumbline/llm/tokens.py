@@ -35,7 +35,7 @@ CHUNK_IDS = 1 << 17
 #: share of a block's differences that must fit into the packed width
 PERCENTILE = 0.9
 #: words a worker remembers the ids of; beyond, it keeps those it meets most often
-MOST_WORDS = 400_000
+MOST_WORDS = 800_000
 
 _CHUNKS = (
     "shard int, chunk int, start long, total long, doc_ids array<long>, lengths array<long>, "
