@@ -25,8 +25,11 @@ def stripped(cell: Column) -> Column:
     return F.nullif(F.trim(cell, F.lit(_SPACE)), F.lit(""))
 
 
-def cell_text(column: Column, data_type: T.DataType) -> Column:
-    """A typed value as a text cell; NULL stays NULL (an empty cell)."""
+def cell_text(column: Column, data_type: T.DataType, fractions: bool = False) -> Column:
+    """A typed value as a text cell; NULL stays NULL (an empty cell).
+
+    Doubles that are whole numbers lose their empty fraction, unless ``fractions``.
+    """
     if isinstance(data_type, T.BinaryType):
         return F.lower(F.hex(column))
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
@@ -35,7 +38,7 @@ def cell_text(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.VariantType):
         return variant_text(column)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return _number_text(column.cast("double"))
+        return (double_text if fractions else _number_text)(column.cast("double"))
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         whole = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
         micros = F.date_format(column, "SSSSSS")
@@ -46,7 +49,24 @@ def cell_text(column: Column, data_type: T.DataType) -> Column:
 def _number_text(value: Column) -> Column:
     """A double as text; a whole number without its empty fraction."""
     whole = (F.floor(value).cast("double") == value) & (F.abs(value) < 1e15)
-    return F.when(whole, value.cast("decimal(16,0)").cast("string")).otherwise(value.cast("string"))
+    return F.when(whole, value.cast("decimal(16,0)").cast("string")).otherwise(double_text(value))
+
+
+def double_text(value: Column) -> Column:
+    """A double as Python and SQL write it: ``0.0``, ``-0.0``, ``12345678.5``, ``1e+16``, ``nan``."""
+    text, size = value.cast("string"), F.abs(value)
+    # 20 places hold all 17 digits of what is not below 0.0001
+    places = F.regexp_replace(value.try_cast("decimal(38,20)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    digits = F.concat(F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    short = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    return (
+        F.when(F.isnan(value), "nan")
+        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        .when(~F.contains(text, F.lit("E")), text)
+        .when((size >= 1e-4) & (size < 1e16), places)
+        .otherwise(F.concat(short, F.lit("e"), F.when(power < 0, "-").otherwise("+"), digits))
+    )
 
 
 def variant_text(value: Column, kind: Column | None = None) -> Column:

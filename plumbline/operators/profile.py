@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import cells
 
@@ -28,9 +29,22 @@ def declared_type(declaration: str | None) -> str:
     )
 
 
-def text_cells(df: DataFrame) -> DataFrame:
-    """All columns as text cells."""
-    return df.select(*[cells.cell_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+_FRACTIONS = "fractions"
+
+
+def text_cells(df: DataFrame, fractions: bool = False) -> DataFrame:
+    """All columns as text cells.
+
+    With ``fractions`` doubles that are whole numbers read ``12.0``, as in SQL, and their columns are
+    marked, so that such a cell still counts as a whole number; without, they read ``12``.
+    """
+    marks = [fractions and isinstance(f.dataType, (T.FloatType, T.DoubleType)) for f in df.schema]
+    return df.select(
+        *[
+            cells.cell_text(F.col(f"`{f.name}`"), f.dataType, fractions).alias(f.name, metadata={_FRACTIONS: True} if mark else {})
+            for f, mark in zip(df.schema, marks)
+        ]
+    )
 
 
 # what a cell can look like, one bit each; whole numbers of three sorts
@@ -73,8 +87,10 @@ def column_profile(
     flags = []
     for i in range(len(texts)):
         text, least = F.col(f"c{i}"), F.col(f"least.c{i}")
+        marked = df.schema[i].metadata.get(_FRACTIONS)
+        look = _looks(F.regexp_replace(text, r"^(-?[0-9]{1,15})\.0$", "$1") if marked else text)
         flags += [
-            F.coalesce(F.bit_or(_looks(text)), F.lit(0)).alias(f"seen{i}"),
+            F.coalesce(F.bit_or(look), F.lit(0)).alias(f"seen{i}"),
             F.count(text).alias(f"filled{i}"),
             F.min(text).alias(f"first{i}"),
             F.min(F.when(text > least, text)).alias(f"second{i}"),
@@ -119,8 +135,8 @@ class ColumnType:
         if self.type == "BOOLEAN":
             return cells.to_boolean(text)
         if self.type == "INTEGER":
-            # numbers of up to 38 digits keep them all
-            return text.try_cast("bigint" if self.fits_long else "decimal(38,0)")
+            # numbers of up to 38 digits keep them all; a marked column's end in ".0"
+            return F.regexp_replace(text, r"\.0$", "").try_cast("bigint" if self.fits_long else "decimal(38,0)")
         if self.type == "DOUBLE":
             return cells.to_double(text)
         if self.type == "DATE":

@@ -151,7 +151,7 @@ def _examples_sql(name: str, columns: tuple[str, ...]) -> str:
 
 @query("column_examples", _examples_sql("events", ("event_id", "ts", "user_id", "event_type", "value", "props")))
 def column_examples(spark, sf):
-    profile = column_profile(text_cells(table(spark, sf, "events")))
+    profile = column_profile(text_cells(table(spark, sf, "events"), fractions=True))
     return profile.select("column", F.explode("examples").alias("example"))
 
 

@@ -244,7 +244,7 @@ def typed_questions(spark, sf):
     """Questions to the events table: what is summed must be a number, what is grouped by must not."""
     events = table(spark, sf, "events")
     fields = textmatch.described_fields(
-        column_profile(text_cells(events.select("event_id", "user_id", "ts", "event_type", "value"))), "events"
+        column_profile(text_cells(events.select("event_id", "user_id", "ts", "event_type", "value"), fractions=True)), "events"
     ).where(F.col("field").isin("user_id", "event_type", "value"))
     said = (
         table(spark, sf, "conversations").select("conv_id", "turn", "text")

@@ -11,7 +11,7 @@ from plumbline.functions.cells import cell_text
 from plumbline.functions.names import column_names, slug
 from plumbline.operators.exact import exact
 from plumbline.operators.method import choose_method
-from plumbline.operators.profile import column_profile, declared_type, text_cells
+from plumbline.operators.profile import column_profile, column_types, declared_type, text_cells, typed
 from plumbline.operators.sketch import distinct_trace, grouped_distinct_trace
 from plumbline.plans.ingest import import_file
 from plumbline.plans.progressive import progressive
@@ -279,6 +279,19 @@ def test_cells_of_typed_columns(spark):
     assert df.select(cell_text(F.col("e"), T.TimestampNTZType())).first()[0].endswith(".000006")
 
 
+def test_doubles_in_full(spark):
+    numbers = [0.0, -0.0, 12.0, -1.0, 0.05, 0.00012345678901234567, 0.0009, 9.5e-05, 12345678.5, 1e7, 123456789012345.6, 1e15,
+               9007199254740993.0, 1e16, 1.5e300, -2.5e-10, float("inf"), float("-inf"), float("nan")]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    assert [r["x"] for r in text_cells(df, fractions=True).collect()] == [repr(x) for x in numbers]
+    assert text_cells(df.where("x = 12345678.5")).first()["x"] == "12345678.5"
+    whole = text_cells(spark.createDataFrame([(0.0, 1.0, 1e15), (-0.0, 2.5, 1.0), (7.0, 3.0, 2.0)], "a double, b double, c double"), fractions=True)
+    lines = {r["column"]: r for r in column_profile(whole).collect()}
+    assert {name: line["type"] for name, line in lines.items()} == {"a": "INTEGER", "b": "DOUBLE", "c": "DOUBLE"}
+    assert lines["a"]["examples"] == ["-0.0", "0.0"]
+    assert sorted(r["a"] for r in typed(whole, column_types(column_profile(whole))).collect()) == [0, 0, 7]
+
+
 def test_import_of_repeated_rows_samples_them_apart(spark, file_in, tmp_path):
     # two kinds of rows only: a sample by content would draw one kind first
     path = file_in("Two Kinds.csv", "kind,amount\n" + "a,1\nb,3\n" * 3000)
