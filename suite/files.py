@@ -129,7 +129,7 @@ def _profile_sql(name: str, types: dict[str, str]) -> str:
     ),
 )
 def profile_query(spark, sf):
-    cells = text_cells(table(spark, sf, "customer"))
+    cells = text_cells(table(spark, sf, "customer"), fractions=True)
     return column_profile(cells).select(
         "position",
         "column",
