@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, StructType
 #: bytes of values that are looked for in one pass over the texts; longer lists take further passes
 BLOCK_BYTES = 32 << 20
 #: bytes of texts that are searched at a time; a longer text is searched whole
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _FILTER_BITS = 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

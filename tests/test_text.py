@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.operators import mentions, textmatch
@@ -145,6 +147,17 @@ def test_value_mentions_of_every_length(spark, monkeypatch):
     assert sorted(map(str, map(tuple, blocks))) == want
 
 
+def test_searching_texts_takes_little_memory():
+    index = mentions.ValueIndex([w.encode() for w in ["a", "or", "the", "harbour", "of", "ship"] + [f"word{k}" for k in range(3000)]])
+    texts = pa.array([f"the ship of harbour {k} or word{k % 4000}, a word" * 9 for k in range(10_000)])
+    tracemalloc.start()
+    for _, _, data, offsets in mentions._slices(texts):
+        index.matches(data, offsets, np.zeros(3006, np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
 def test_values_with_a_common_beginning_meet_no_text_for_nothing():
     index = mentions.ValueIndex([f"customer#{k:09d}".encode() for k in range(2000)])
     texts = [b"the customer asked for a customer", b"customer#", b"see customer#000000077 and customer#00000007"] * 100
