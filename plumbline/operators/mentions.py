@@ -4,11 +4,12 @@ A value of ``n`` bytes is known by its first and its last ``w`` bytes, ``w`` bei
 of two up to ``n``: together they cover it. Windows of a text get their hashes from running sums, so each
 power of two costs one pass over the text, whatever the number of values. A place whose window begins
 a value is looked up once per length of the values that begin so; hits are compared byte by byte.
+A list too long for a task is known there by marks of one bit each, and joined with what bears them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-#: bytes of values that are looked for in one pass over the texts; longer lists take further passes
-BLOCK_BYTES = 32 << 20
+#: bytes of values that every task may hold; longer lists stay apart and meet the texts by shuffle
+BLOCK_BYTES = 4 << 20
 #: bytes of texts that are searched at a time; a longer text is searched whole
 SLICE_BYTES = 1 << 18
 _FILTER_BITS = 20
+#: bits of the marks of a longer list. Any number gives the same result; fewer let more words through
+_MARK_BITS = 26
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -64,7 +67,7 @@ class _Sums:
 
 def _both(first: np.ndarray, last: np.ndarray, size: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _mixed(first * _ODD + last + size.astype(np.uint64))
+        return _mixed(first * _ODD + last + np.asarray(size).astype(np.uint64))
 
 
 class _Width:
@@ -118,7 +121,7 @@ class ValueIndex:
         self.members = np.array([k for own in listed.values() for k in own], np.int64)
         self.member_ends = np.cumsum([len(own) for own in listed.values()], dtype=np.int64)
         sums = _Sums(self.data)
-        width = 1 << (np.frexp(sizes)[1] - 1).astype(np.int64)
+        width = _width_of(sizes)
         self.widths = []
         for w in np.unique(width):
             own = np.flatnonzero(width == w)
@@ -168,15 +171,129 @@ class ValueIndex:
         return text[new], value[new]
 
 
-def value_blocks(listed: DataFrame) -> list[pa.Table]:
-    """The listed values (``field, place, value, _value``) in order, in blocks of about ``BLOCK_BYTES``.
+def short_list(listed: DataFrame) -> pa.Table | None:
+    """The listed values (``field, place, value, _value``) in order, if every task may hold them."""
+    size = listed.select(F.sum(F.octet_length("_value") + F.octet_length("value"))).first()[0] or 0
+    return listed.toArrow() if size <= BLOCK_BYTES else None
+
+
+def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _marks(first: np.ndarray, last: np.ndarray, width: int, size: np.ndarray) -> Iterator[np.ndarray]:
+    """What marks a value: that any begins so, that one of its size does, and itself."""
+    yield _both(first, np.uint64(0), np.uint64(width))
+    yield _both(first, np.uint64(1), size)
+    yield _both(first, last, size)
+
+
+def _width_of(sizes: np.ndarray) -> np.ndarray:
+    return 1 << (np.frexp(sizes)[1] - 1).astype(np.int64)
+
+
+def value_marks(listed: DataFrame) -> np.ndarray:
+    """Bits of the marks of all values, gathered in Spark: of one size, however many values there are."""
+    total = _MARK_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in _slices(batch.column(0)):
+                sums, sizes, bits = _Sums(data), np.diff(offsets), []
+                width = _width_of(sizes)
+                for w in np.unique(width):
+                    own = np.flatnonzero(width == w)
+                    first = sums.windows(offsets[own], int(w), 0)
+                    last = sums.windows(offsets[own] + sizes[own] - w, int(w), 0)
+                    bits += [_bit(m, total) for m in _marks(first, last, int(w), sizes[own])]
+                bits = np.unique(np.concatenate(bits))
+                word, at = np.unique(bits >> 6, return_index=True)
+                held = np.bitwise_or.reduceat(np.uint64(1) << (bits & 63).astype(np.uint64), at)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(held.view(np.int64))], names=["word", "bits"])
+
+    found = listed.select("_value").mapInArrow(run, "word long, bits long")
+    words = found.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    marks = np.zeros(1 << (total - 6), np.uint64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return marks
+
+
+def _new(data: np.ndarray, owner: np.ndarray, at: np.ndarray, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places without repeats of a word in its text, and their words as rows of bytes."""
+    order = np.lexsort((keys, owner[at]))
+    at, keys = at[order], keys[order]
+    words = data[at[:, None] + np.arange(size)]
+    again = (keys[1:] == keys[:-1]) & (owner[at[1:]] == owner[at[:-1]])
+    again[again] = (words[1:][again] == words[:-1][again]).all(axis=1)
+    keep = np.append(True, ~again)[: len(at)]
+    return at[keep], words[keep]
+
+
+def marked_words(rows: DataFrame, text: str, ids: Sequence[str], marks: np.ndarray, sizes: np.ndarray) -> DataFrame:
+    """``ids`` and ``word`` (bytes) for whatever in a text bears the marks of a value; few others do."""
+    place = rows.columns.index(text)
+    at_ids = [rows.columns.index(c) for c in ids]
+    width = _width_of(sizes)
+    widths = [(int(w), sizes[width == w]) for w in np.unique(width)]
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+
+        def known(hashes: np.ndarray) -> np.ndarray:
+            bit = _bit(hashes, len(held).bit_length() + 5)
+            return (held[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+        def found(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array]]:
+            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            ends, sums = offsets[1:][owner], _Sums(data)
+            for w, own_sizes in widths:
+                places = len(data) - w + 1
+                if places <= 0:
+                    continue
+                hashes = sums.windows(slice(None), w, places)
+                at = np.flatnonzero(known(_both(hashes, np.uint64(0), np.uint64(w))))
+                for s in own_sizes:
+                    of = at[at + s <= ends[at]]
+                    _, begin, own = _marks(hashes[of], sums.windows(of + s - w, w, 0), w, s)
+                    here = known(begin) & known(own)
+                    of, own = of[here], own[here]
+                    for some in np.array_split(np.arange(len(of)), max(1, len(of) * int(s) >> 22)):
+                        if len(some):
+                            new, words = _new(data, owner, of[some], own[some], int(s))
+                            cuts = pa.array(np.arange(len(new) + 1, dtype=np.int32) * np.int32(s))
+                            buffers = [None, cuts.buffers()[1], pa.py_buffer(words.tobytes())]
+                            yield owner[new], pa.Array.from_buffers(pa.binary(), len(new), buffers)
+
+        for batch in batches:
+            for first, _, data, offsets in _slices(batch.column(place)):
+                for text_, words in found(data, offsets):
+                    rows_ = pa.array(text_ + first)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows_) for c in at_ids), words], names=[*ids, "word"])
+
+    schema = StructType([rows.schema[c] for c in at_ids]).add("word", "binary")
+    return rows.mapInArrow(run, schema)
+
+
+def joined_matches(rows: DataFrame, text: str, ids: Sequence[str], listed: DataFrame) -> DataFrame:
+    """``ids, _m`` (``field, place, value``): of each field the first listed value that a text contains.
 
-    A block is what comes to the driver at a time: values are dealt to blocks by their hash.
+    For lists that no task can hold: words of texts that bear the marks of a value meet the values by
+    shuffle, byte by byte, and what a text contains is folded by its number.
     """
-    size = listed.select(F.sum(F.octet_length("_value") + F.octet_length("value"))).first()[0] or 0
-    count = -(-size // BLOCK_BYTES)
-    mark = F.pmod(F.xxhash64("_value"), F.lit(max(count, 1)))
-    return [listed.where(mark == k).toArrow() for k in range(count)]
+    sizes = listed.select(F.octet_length("_value").alias("n")).distinct().toArrow().column("n").to_numpy()
+    numbered = rows.select(
+        F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)], F.col(text).alias("_text")
+    )
+    held = [f"_id{i}" for i in range(len(ids))]
+    words = marked_words(numbered, "_text", ["_row", *held], value_marks(listed), np.sort(sizes).astype(np.int64))
+    one = F.min(F.struct("place", "value"))
+    values = listed.groupBy("field", F.col("_value").cast("binary").alias("word")).agg(one.alias("own"))
+    first = words.join(values, "word").groupBy("_row", "field").agg(
+        F.min("own").alias("own"), *[F.first(c).alias(c) for c in held]
+    )
+    met = F.struct("field", "own.place", "own.value")
+    return first.select(*[F.col(h).alias(c) for h, c in zip(held, ids)], met.alias("_m"))
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

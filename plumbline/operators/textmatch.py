@@ -205,10 +205,11 @@ def value_mentions(
 ) -> DataFrame:
     """Per row and field the first of the field's values that the text contains, in any case.
 
-    ``values`` has ``field``, ``place`` (order within the field) and ``value``; lists of any length take
-    one path. A text is read once per block of values (``operators.mentions``): windows of the text are
-    looked up by hash, so the work grows with the texts and what they hold, not with texts times values.
-    Matches are folded inside the row; nothing is shuffled, and null and repeated ids keep every text.
+    ``values`` has ``field``, ``place`` (order within the field) and ``value``. A text is read once, however
+    many values there are (``operators.mentions``): windows of the text are looked up by hash, so the work
+    grows with the texts and what they hold, not with texts times values. Matches of a list of up to
+    ``BLOCK_BYTES`` are folded inside the row; a longer one never leaves its executors, and matches are
+    joined and folded by shuffle. Null and repeated ids keep every text.
     """
     listed = (
         values.where("value <> ''")
@@ -216,25 +217,17 @@ def value_mentions(
         .orderBy("field", F.asc_nulls_first("place"), "value")
     )
     rows = texts.select(*ids, F.lower(F.col(text)).alias("_text")).where(F.col("_text").isNotNull())
-    blocks = mentions.value_blocks(listed)
-    found = rows
-    for k, block in enumerate(blocks):
-        found = mentions.with_matches(found, f"_found{k}", block, "_text")
-    if not blocks:
+    block = mentions.short_list(listed)
+    if block is None:
+        met = mentions.joined_matches(rows, "_text", ids, listed)
+    elif not len(block):
         return texts.sparkSession.createDataFrame(
             [], texts.select(*ids).schema.add("field", "string").add("value", "string")
         )
-    all_ = F.concat(*[F.col(f"_found{k}") for k in range(len(blocks))]) if len(blocks) > 1 else F.col("_found0")
-    met = found.where(F.size(all_) > 0).select(*ids, all_.alias("_all"))
-    if len(blocks) > 1:  # a field whose values fill several blocks keeps its first one
-        of_field = F.transform(
-            F.array_distinct(F.transform("_all", lambda m: m["field"])),
-            lambda name: F.array_min(F.filter("_all", lambda m: m["field"] == name)),
-        )
-        met = met.select(*ids, of_field.alias("_all"))
-    return met.select(*ids, F.explode("_all").alias("_m")).select(
-        *ids, F.col("_m.field").alias("field"), F.col("_m.value").alias("value")
-    )
+    else:
+        found = mentions.with_matches(rows, "_found", block, "_text").where(F.size("_found") > 0)
+        met = found.select(*ids, F.explode("_found").alias("_m"))
+    return met.select(*ids, F.col("_m.field").alias("field"), F.col("_m.value").alias("value"))
 
 
 def intent(text: Column) -> Column:

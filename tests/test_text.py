@@ -147,6 +147,28 @@ def test_value_mentions_of_every_length(spark, monkeypatch):
     assert sorted(map(str, map(tuple, blocks))) == want
 
 
+def test_long_lists_of_values_stay_apart(spark, monkeypatch):
+    """No task and not the driver holds a long list; repeated and null ids and fields keep every text."""
+    rng = random.Random(3)
+    texts = [(k % 3 or None, f"order {rng.randint(0, 4000)} of Customer#{k % 40:09d} äÄ{k % 7} eeee") for k in range(500)]
+    texts += [(1, None), (1, ""), (2, "x" * 700_000 + "customer#000003999")]
+    listed = [("name", k, f"Customer#{k:09d}") for k in range(4000)] + [(None, -k, str(k)) for k in range(4000)]
+    listed += [("name", 3, "customer#000000007"), ("short", 1, "E"), ("short", 0, "q"), ("ä", None, "ää3"), ("ä", 0, "Ä")]
+    values = spark.createDataFrame(listed, "field string, place int, value string")
+    df = spark.createDataFrame(texts, "id long, text string")
+    whole = textmatch.value_mentions(df, "text", ["id"], values).collect()
+
+    def forbidden(*args):
+        raise AssertionError("a list went to one place")
+
+    monkeypatch.setattr(mentions, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(mentions, "ValueIndex", forbidden)
+    for bits in (26, 8):  # marks that let nearly everything through change nothing
+        monkeypatch.setattr(mentions, "_MARK_BITS", bits)
+        found = textmatch.value_mentions(df.repartition(5), "text", ["id"], values).collect()
+        assert len(found) > 1000 and sorted(map(str, map(tuple, found))) == sorted(map(str, map(tuple, whole)))
+
+
 def test_searching_texts_takes_little_memory():
     index = mentions.ValueIndex([w.encode() for w in ["a", "or", "the", "harbour", "of", "ship"] + [f"word{k}" for k in range(3000)]])
     texts = pa.array([f"the ship of harbour {k} or word{k % 4000}, a word" * 9 for k in range(10_000)])
