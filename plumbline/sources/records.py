@@ -108,7 +108,8 @@ def records_dataset(records: DataFrame, name: str = "dataset") -> Dataset:
     cells = values.select("*", kinds.alias("_kinds")).select(
         *[variant_text(F.col(c), F.col("_kinds")[c]).alias(c) for c in names]
     )
-    return dataset(slug(name), cells)
+    # by way of a list of one line: conditions on cells cannot move below it and parse each text anew
+    return dataset(slug(name), cells.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in names])))))
 
 
 def _repeated_keys_allowed(spark: SparkSession) -> None:

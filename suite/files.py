@@ -102,7 +102,7 @@ def json_repeated_keys(spark, sf):
     )
     path = scratch_path(spark, "repeated")
     table(spark, sf, "orders").select(line.alias("value")).write.text(path)
-    return records.read_json_lines(spark, path).typed()
+    return records.read_json_lines(spark, path).stored(scratch_path(spark, "cells")).typed()
 
 
 def _profile_sql(name: str, types: dict[str, str]) -> str:

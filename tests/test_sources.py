@@ -292,6 +292,14 @@ def test_doubles_in_full(spark):
     assert sorted(r["a"] for r in typed(whole, column_types(column_profile(whole))).collect()) == [0, 0, 7]
 
 
+def test_conditions_on_cells_do_not_parse_again(spark, file_in):
+    path = file_in("k.jsonl", '{"key":1,"status":"a","status":"F"}\n{"key":null,"status":" "}\n{"status":"O","key":2}\n')
+    cells = records.read_json_lines(spark, path).text
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert sorted(map(tuple, cells.collect())) == [("1", "F"), ("2", "O")]
+
+
 def test_import_of_repeated_rows_samples_them_apart(spark, file_in, tmp_path):
     # two kinds of rows only: a sample by content would draw one kind first
     path = file_in("Two Kinds.csv", "kind,amount\n" + "a,1\nb,3\n" * 3000)
