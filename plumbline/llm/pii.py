@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
@@ -36,6 +37,7 @@ _SIGNAL = np.zeros(256, bool)
 _SIGNAL[[*b"0123456789@"]] = True
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_ALIKE = str.maketrans(string.ascii_letters + string.digits, "x" * 26 + "X" * 26 + "9" * 10)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -326,9 +328,15 @@ class _Kinds(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= _REMEMBERED:
             self.clear()
-        known = self.model.known
-        own = tuple(known[f] for f in _features([word])[0][:_OWN] if f in known)
-        self[word] = number = self._numbered(own, shape(word))
+        # words that differ only in which letters and digits they hold are of one kind
+        alike = word.translate(_ALIKE)
+        if alike != word:
+            number = self[alike]
+        else:
+            known = self.model.known
+            own = tuple(known[f] for f in _features([word])[0][:_OWN] if f in known)
+            number = self._numbered(own, shape(word))
+        self[word] = number
         return number
 
     def of(self, text: str) -> np.ndarray:

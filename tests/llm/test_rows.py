@@ -414,3 +414,19 @@ def test_long_words_train_by_their_windows():
     found = toxicity.fit(texts, [1] * 30 + [0] * 60, landmarks=64)
     tops = found.words([b"jerkface", long.encode(), b"rivers"])
     assert tops[1] > tops[2]
+
+
+def test_words_alike_are_looked_at_once(monkeypatch):
+    marked = [pii_labels.marked_spans(m) for m in pii_labels.MARKED]
+    model = pii.ChainField().fit([pii.labelled_words(text, spans) for text, spans in marked])
+    words = [w for text, _ in marked for w in text.split()]
+    words += ["É9aB", "٣4x", "²", "x" * 70 + "9", "a" * 64 + "(", "A1" * 40, "+49(0)", "ǅa", "(at)", "...", "a@b.c"]
+    kinds = pii._Kinds(model)
+    for w in words:
+        own = tuple(model.known[f] for f in pii._features([w])[0][: pii._OWN] if f in model.known)
+        assert kinds[w] == kinds._numbered(own, pii.shape(w)), w
+    seen, features = [], pii._features
+    monkeypatch.setattr(pii, "_features", lambda some: seen.append(some) or features(some))
+    for k in range(1000, 2000):
+        assert kinds[f"Ab{k}c@d.e"] == kinds["Ab1000c@d.e"]
+    assert len(seen) <= 1
