@@ -12,18 +12,22 @@ paired with one another: each is compared with one leader, then with a few neigh
 those that still lie in different components, and only what is apart after that is paired in full. No
 link that joins two components is left out, and a group of thousands of near copies costs a few
 comparisons each.
+
+A pair is first compared by bitmaps: one bit per place, turned over by every n-gram of the set that
+falls there. Two sets differ in at least as many n-grams as their bitmaps do in bits, so a pair whose
+bitmaps differ too much cannot link; only the others are counted n-gram by n-gram.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_ROWS, _mixed, lean, text_slices, word_hashes, words_of
+from plumbline.llm.common import BROADCAST_ROWS, _mixed, joined_by, lean, text_slices, word_hashes, words_of
 from plumbline.llm.components import components
 from plumbline.llm.meeting import shared_rows
 from plumbline.session import stored
@@ -89,28 +93,67 @@ def set_keys(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return keys
 
 
+def bitmaps(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Of each set, a bitmap of two to four bits per n-gram; a bit is 1 if an odd number of n-grams fall there."""
+    out, begin = [], 0
+    for end in ends.tolist():
+        size = max(64, 1 << (2 * (end - begin) - 1).bit_length()) if end > begin else 0
+        places = (values[begin:end] & np.uint64(max(size, 1) - 1)).astype(np.int64)
+        odd = (np.bincount(places, minlength=size) & 1).astype(np.uint8)
+        out.append(np.packbits(odd, bitorder="little").tobytes())
+        begin = end
+    return out
+
+
+def _bits_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the larger one folded to the size of the other."""
+    x, y = (np.frombuffer(b, np.uint8) for b in (x, y))
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _both_hold(x: bytes, y: bytes) -> int:
+    """How many values two sorted lists share."""
+    own, values = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    if not len(own) or not len(values):
+        return 0
+    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+    return int((own[at] == values).sum())
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, cls, mark`` per row; ``cls`` is null for empty sets, ``mark`` a hash of the text."""
+    """``doc_id, n_shingles, cls, mark, bits`` per row.
+
+    ``cls`` is null for empty sets, ``mark`` is a hash of the text. ``bits`` is the bitmap of the set, where a task
+    sees the set first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {0}
         for batch in batches:
-            sizes, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            sizes, keys, bits = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], []
             for _, _, data, offsets in text_slices(batch.column(1)):
                 values, ends = sets_of(data, offsets)
                 sizes.append(np.diff(ends, prepend=0))
                 keys.append(set_keys(values, ends))
+                for key, own in zip(keys[-1].tolist(), bitmaps(values, ends)):
+                    bits.append(None if key in seen else own)
+                    seen.add(key)
             keys = np.concatenate(keys)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(sizes)), pa.array(keys.view(np.int64), mask=keys == 0), batch.column(2)],
-                names=["doc_id", "n_shingles", "cls", "mark"],
+                [batch.column(0), pa.array(np.concatenate(sizes)), pa.array(keys.view(np.int64), mask=keys == 0), batch.column(2), pa.array(bits, pa.binary())],
+                names=["doc_id", "n_shingles", "cls", "mark", "bits"],
             )
 
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    return marked.mapInArrow(lean(run), "doc_id long, n_shingles long, cls long, mark long")
+    return marked.mapInArrow(lean(run), "doc_id long, n_shingles long, cls long, mark long, bits binary")
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -243,6 +286,21 @@ def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
 
     # rows that repeat an id and its text give a part again; it stands beside the first and is passed over
     parts = stored(texts.mapInArrow(lean(cut), "cls long, fragment int, part binary"), "parts")
+    return _summed(pairs, parts, _both_hold).withColumnRenamed("value", "shared")
+
+
+def _near(bits: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps differ in no more bits than sets that link can, stored."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "wanted")
+    own = joined_by(bits, wanted, "cls", wanted.count()).select("cls", F.lit(0).alias("fragment"), "part")
+    differ = _summed(pairs, own, _bits_apart)
+    # 100 * shared >= percent * union, written for the n-grams that one of the two sets holds
+    near = (100 + percent) * F.col("value") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    return stored(pairs.join(differ, ["a", "b"]).where(near).drop("value"), "near")
+
+
+def _summed(pairs: DataFrame, parts: DataFrame, compare: Callable[[bytes, bytes], int]) -> DataFrame:
+    """``a, b, value`` per pair: ``compare`` of their parts in ``parts(cls, fragment, part)``, summed over fragments."""
     per_leader = pairs.groupBy("a").agg(F.ceil(F.count("*") / _MEMBERS).alias("salts"))
     members = (
         pairs.join(per_leader, "a")
@@ -256,38 +314,33 @@ def _overlaps(docs: DataFrame, table: DataFrame, pairs: DataFrame) -> DataFrame:
         .select(F.col("cls").alias("a"), "salt", "fragment", F.lit(None).cast("long").alias("b"), "part")
     )
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = np.empty(0, np.uint64), None
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = b"", None
         for batch in batches:
-            a, b, shared = [], [], []
+            a, b, value = [], [], []
             columns = (batch.column(c).to_pylist() for c in ("a", "salt", "fragment", "b", "part"))
             for leader, salt, fragment, member, blob in zip(*columns):
                 if last == (leader, salt, fragment, member):
                     continue
                 last = leader, salt, fragment, member
-                values = np.frombuffer(blob, "<u8")
                 if member is None:
-                    own = values
+                    own = blob
                     continue
                 a.append(leader)
                 b.append(member)
-                if len(own) and len(values):
-                    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
-                    shared.append(int((own[at] == values).sum()))
-                else:
-                    shared.append(0)
+                value.append(compare(own, blob))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (a, b, shared)], names=["a", "b", "shared"]
+                [pa.array(x, pa.int64()) for x in (a, b, value)], names=["a", "b", "value"]
             )
 
-    spark = docs.sparkSession
+    spark = pairs.sparkSession
     partial = (
         members.unionByName(leaders)
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "salt", "fragment")
         .sortWithinPartitions("a", "salt", "fragment", F.asc_nulls_first("b"))
-        .mapInArrow(lean(counted), "a long, b long, shared long")
+        .mapInArrow(lean(compared), "a long, b long, value long")
     )
-    return partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    return partial.groupBy("a", "b").agg(F.sum("value").alias("value"))
 
 
 def _linked(docs: DataFrame, table: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -387,7 +440,9 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = stored(rows.join(leader.where("x IS NOT NULL AND low < high").select("gram", "x"), "gram"), "met")
     compared = stored(candidates.pairs(rows.select("x", row.alias("y")), "x", "y"), "pairs")
     rows = rows.drop("x")
-    links = _linked(docs, table, compared, percent)
+    bits = table.where("bits IS NOT NULL").join(rows.select("cls").distinct(), "cls")
+    bits = stored(bits.groupBy("cls").agg(F.min("bits").alias("part")), "bitmaps")
+    links = _linked(docs, table, _near(bits, compared, percent), percent)
     for turn, width in enumerate([*NEIGHBOURS, None]):
         groups = stored(components(links), "groups")
         # components only grow, so what is apart later is apart now
@@ -401,7 +456,7 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = stored(candidates.pairs(met, "x", "y").join(compared, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        links = links.unionByName(_linked(docs, table, pairs, percent))
+        links = links.unionByName(_linked(docs, table, _near(bits, pairs, percent), percent))
         compared = compared.unionByName(pairs)
     groups = stored(components(links), "groups")
     per_class = (

@@ -5,10 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: settings of a stored step: its shuffle files go when it ends, not when the driver happens to collect its
+#: garbage, and Python gets rows in batches of bounded bytes, not of 10,000 rows however long
+_STORING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -41,11 +49,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
+@contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session while a block runs; then they are as before."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame from a table written to the scratch folder: computed once, its size known.
 
-    Spark broadcasts such a table in a join only if its files are small.
+    Spark broadcasts such a table in a join only if its files are small. The shuffle files of the step are removed.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _set(df.sparkSession, _STORING):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

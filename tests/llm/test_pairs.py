@@ -112,6 +112,39 @@ def test_related_texts_below_the_line_are_not_all_paired(spark, monkeypatch):
     assert sum(made) < 10_000  # of 124,750 pairs
 
 
+def test_only_pairs_with_close_bitmaps_are_counted(spark, monkeypatch):
+    counted = []
+    real = ngram_join._overlaps
+
+    def overlaps(docs, table, pairs):
+        counted.append(pairs.count())
+        return real(docs, table, pairs)
+
+    monkeypatch.setattr(ngram_join, "_overlaps", overlaps)
+    rows = near_group(3, 500, 4)
+    sets = {i: shingles(t) for i, t in rows}
+    links = [
+        (a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    ]
+    docs = spark.createDataFrame([(i, t, "x", 1, None) for i, t in rows], DOCS)
+    got = ngram_join.similar_sets(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(reachable(sets, links).items())
+    assert sum(counted) < 500  # of more than 6,000 pairs with a common prefix
+
+
+@pytest.mark.parametrize("size, other", [(1, 1), (1, 3), (31, 34), (300, 390), (2048, 1537), (40, 5000)])
+def test_bitmaps_never_differ_more_than_sets(size, other):
+    rng = np.random.default_rng(size)
+    for shared in (0, min(size, other) // 2, min(size, other)):
+        x = rng.integers(0, 1 << 63, size, np.uint64)
+        y = np.concatenate((x[:shared], rng.integers(0, 1 << 63, other - shared, np.uint64)))
+        a, b = ngram_join.bitmaps(np.concatenate((x, y)), np.array([size, size + other]))
+        apart = len(set(x.tolist()) ^ set(y.tolist()))
+        assert apart - ngram_join._bits_apart(a, b) >= 0
+        assert ngram_join._bits_apart(a, b) == ngram_join._bits_apart(b, a)
+        assert (apart - ngram_join._bits_apart(a, b)) % 2 == 0
+
+
 def test_join_through_rows_without_an_id(spark):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(100)]
