@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through five stages, each written as Parquet and read again."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read again.
+
+A stage is run by who writes its result, so those with Python in their last step bound the batches of the
+session: executors keep their memory from stage to stage, and whole texts by the 10,000 fill it.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, mixing, ngram_join, tokens, toxicity
 from plumbline.llm.common import BROADCAST_ROWS, unused
-from plumbline.session import scratch_path, stored
+from plumbline.session import scratch_path, small_batches, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +31,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts hold no word that could be rejected and stay, ids do not matter, repeated rows
     share their fate, and an empty table stays empty.
     """
+    small_batches(spark)
     detector = toxicity.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, detector)
 
@@ -102,6 +107,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have the end id alone, a null ``doc_id`` comes first, repeated rows are
     all written, and an empty table gives no rows.
     """
+    small_batches(spark)
     path = scratch_path(spark, "tokens")
     tokens.write_tokens(docs, path, tokens.word_tokenizer())
     return tokens.read_documents(spark, path)

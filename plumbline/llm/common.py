@@ -38,6 +38,14 @@ with np.errstate(over="ignore"):
     _POWER = np.cumprod(np.full(_LONGEST_POWER, _ODD, np.uint64))
 
 
+def give_back() -> None:
+    """Gives memory that this Python process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lean(run: Callable) -> Callable:
     """A function for ``mapInArrow`` that gives memory back when its task ends.
 
@@ -48,10 +56,7 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped
 

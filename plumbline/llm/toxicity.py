@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import lean, text_slices, word_bounds, word_hashes, words_of
+from plumbline.llm.common import give_back, lean, text_slices, word_bounds, word_hashes, words_of
 
 #: labelled documents that training reads at most, per label
 MOST_TOXIC, MOST_CLEAN = 1_500, 3_000
@@ -340,7 +340,13 @@ def train(
         .toPandas()
         .sort_values("doc_id")
     )
-    return fit([t or "" for t in sample.text], [int(x) for x in sample.toxic], **parameters)
+    texts, marks = [t or "" for t in sample.text], [int(x) for x in sample.toxic]
+    del sample
+    detector = fit(texts, marks, **parameters)
+    # the driver goes on with other steps; it keeps the detector alone
+    del texts
+    give_back()
+    return detector
 
 
 class _Scorer:

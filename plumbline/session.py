@@ -11,12 +11,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
-#: settings of a stored step: its shuffle files go when it ends, not when the driver happens to collect its
-#: garbage, and Python gets rows in batches of bounded bytes, not of 10,000 rows however long
-_STORING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
-}
+#: Python gets rows in batches of bounded bytes, not of 10,000 rows however long
+_SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: settings of a stored step: its shuffle files go when it ends, not when the driver happens to collect its garbage
+_STORING = _SMALL_BATCHES | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -62,6 +60,12 @@ def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that Python gets in this session from now on, for frames that a caller will run."""
+    for key, value in _SMALL_BATCHES.items():
+        spark.conf.set(key, value)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame from a table written to the scratch folder: computed once, its size known.
 

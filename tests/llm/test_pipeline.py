@@ -151,3 +151,14 @@ def test_names_that_stages_use_themselves(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:4]:
         left = stage(spark, docs, sf)
         assert left.columns == docs.columns and left.count() > 0
+
+
+def test_stages_bound_their_batches_and_give_training_memory_back(spark, sf, monkeypatch):
+    key, given = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    monkeypatch.setattr(toxicity, "give_back", lambda: given.append(True))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for stage in (corpus_pipeline.toxic, corpus_pipeline.token_files):
+        spark.conf.unset(key)
+        stage(spark, docs, sf)
+        assert spark.conf.get(key) == "8m"
+    assert len(given) == 1
