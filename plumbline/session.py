@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,3 +75,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     with _set(df.sparkSession, _STORING):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_parts(spark: SparkSession, parts: Iterable[DataFrame], name: str, schema: str) -> DataFrame:
+    """The rows of all frames from one table, each frame written when the one before it is done.
+
+    Only one of them has shuffle files at a time.
+    """
+    path = scratch_path(spark, name)
+    with _set(spark, _STORING):
+        for part in parts:
+            part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, near_vectors, ngram_join, repeats
@@ -335,3 +336,53 @@ def test_vectors_of_several_lengths_are_compared(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(table).collect()}
     want = {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (1, 4, True), 5: (1, 4, False)}
     assert got == want | {k: (0, k, True) for k in (6, 7, 8, 9)}
+
+
+def test_vectors_are_dealt_out_in_few_copies_at_a_time(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1100, 16))
+    near = x[rng.integers(0, 1100, 150)] + rng.normal(size=(150, 16)) * 0.2
+    x = np.concatenate([x, near, x[0] + rng.normal(size=(80, 16)) * 0.15]).astype(np.float32)
+    compared = near_vectors._compared
+
+    def counted(*args):
+        run = compared(*args)
+
+        def noted(batches):
+            seen = []
+            yield from run(seen.append(sum(map(len, b.column("ids").to_pylist()))) or b for b in batches)
+            with open(tmp_path / f"{TaskContext.get().stageId()}-{TaskContext.get().partitionId()}", "w") as f:
+                f.write(str(sum(seen) // 8))
+
+        return noted
+
+    monkeypatch.setattr(near_vectors, "_compared", counted)
+    monkeypatch.setattr(near_vectors, "ROUND_BYTES", 0, raising=False)
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = sorted(tuple(r) for r in near_vectors.near_vectors(table, tile=16).collect())
+    unit = x.astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.95
+    np.fill_diagonal(hit, False)
+    root = reachable(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(hit))])
+    assert got == [(i, int(hit[i].sum()), root[i], root[i] == i) for i in range(len(x))]
+    assert hit.sum() > 1000
+    by_stage = {}
+    for name in tmp_path.iterdir():
+        stage = name.name.split("-")[0]
+        by_stage[stage] = by_stage.get(stage, 0) + int(name.read_text())
+    assert max(by_stage.values()) <= 2 * len(x)
+
+
+def test_rounds_bring_every_two_blocks_together_once():
+    for count, width, most in ((1, 1.0, 0), (2, 1.0, 25), (7, 9.0, 20), (12, 9.0, 300), (12, 0.2, 20), (9, 0.05, 45)):
+        low = [np.array([k / count]) for k in range(count)]
+        blocks = [{"n": 10, "low": at, "high": at + 1 / count} for at in low]
+        met = []
+        for tasks in near_vectors._rounds(blocks, width, most):
+            assert sum(10 + 10 * len(past) for _, _, past in tasks) <= max(most, 20)
+            met += [(held, held) for held, compared, _ in tasks if compared]
+            met += [tuple(sorted((held, p))) for held, _, past in tasks for p in past]
+        near = [(a, b) for a in range(count) for b in range(a, count) if (b - a - 1) / count <= width]
+        assert sorted(met) == near
